@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marmot import schemas as S
 from marmot.functions import columns as C
 from marmot.operators import popularity as POP
 from marmot.operators import prepare as P
 from marmot.operators import split as SP
+from marmot.operators import stats as ST
 from marmot.plans import etl as ETL
 from marmot.sources import testdata as TD
 
@@ -54,3 +56,199 @@ def q_popularity_composite(spark, sf_dir):
     out = POP.composite_per_group(t, 10, "category_idx")
     return out.select("category_idx", "rank", "item_idx", "weight_sum", "n_users",
                       C.round6("popularity_score").alias("popularity_score"))
+
+
+def d4(df: DataFrame) -> DataFrame:
+    """The six training columns with price_norm rounded for comparison."""
+    return df.select("user_idx", "item_idx", "label", "weight", C.round6("price_norm").alias("price_norm"),
+                     "category_idx")
+
+
+# --------------------------------------------------------------------------- 2.2 scalar / projection operators
+@query("enrich_events")
+def q_enrich_events(spark, sf_dir):
+    df = P.enrich(TD.events(spark, sf_dir), TD.items(spark, sf_dir), how="left")
+    return df.select("event_id", "user_id", "item_id", "action", "price", "title", "category_idx")
+
+
+@query("action_weight")
+def q_action_weight(spark, sf_dir):
+    df = P.with_action_weight(TD.logs(spark, sf_dir))  # log vocabulary, unknown -> 1.0
+    return df.select("event_id", "action", "weight")
+
+
+@query("action_label")
+def q_action_label(spark, sf_dir):
+    df = P.with_action_label(TD.events(spark, sf_dir), S.EVENTS_ACTION_WEIGHTS)
+    return df.select("event_id", "action", "label")
+
+
+@query("cast_ids")
+def q_cast_ids(spark, sf_dir):
+    e = TD.table(spark, sf_dir, "events").select(
+        "event_id", "user_id", F.get_json_object("props", "$.k").alias("item_id"))
+    return P.cast_ids(e, user_type="string", item_type="bigint")
+
+
+@query("clip_category")
+def q_clip_category(spark, sf_dir):
+    # a 0-based category code (the older label-encoded form) clipped into 1..6
+    df = TD.interactions(spark, sf_dir).select("event_id", (F.col("category_idx") - 1).alias("category_raw"))
+    return P.clip_category(df, "category_raw", "category_idx")
+
+
+@query("minmax_price")
+def q_minmax_price(spark, sf_dir):
+    df = P.minmax(TD.logs(spark, sf_dir), "price", "price_norm")
+    return df.select("event_id", C.round6("price_norm").alias("price_norm"))
+
+
+@query("zscore_price")
+def q_zscore_price(spark, sf_dir):
+    df = TD.training_rows(spark, sf_dir)
+    return df.select("event_id", C.round6("price_norm").alias("price_norm"))
+
+
+@query("label_encode")
+def q_label_encode(spark, sf_dir):
+    ev = TD.events(spark, sf_dir)
+    users = P.fit_dim(ev, "user_id", "lexicographic").select(F.lit("user").alias("kind"), "id", "idx")
+    items = P.fit_dim(ev, "item_id", "lexicographic").select(F.lit("item").alias("kind"), "id", "idx")
+    return users.unionByName(items)
+
+
+@query("dense_encode")
+def q_dense_encode(spark, sf_dir):
+    dim = P.fit_dim(TD.order_interactions(spark, sf_dir), "item_idx", "natural")
+    return dim.select(F.col("id").alias("item_idx"), F.col("idx").alias("item_code"))
+
+
+@query("decode_category")
+def q_decode_category(spark, sf_dir):
+    df = P.decode_category(TD.interactions(spark, sf_dir).select("event_id", "category_idx"))
+    return df.select("event_id", "category_idx", "category_name")
+
+
+@query("project_training_columns")
+def q_project_training_columns(spark, sf_dir):
+    return d4(P.logs_to_training(TD.logs(spark, sf_dir)))
+
+
+@query("validate_columns")
+def q_validate_columns(spark, sf_dir):
+    logs = P.validate_columns(TD.logs(spark, sf_dir), S.LOG_COLUMNS)
+    return logs.select(*S.LOG_COLUMNS)
+
+
+@query("filter_category")
+def q_filter_category(spark, sf_dir):
+    return d4(P.filter_category(train(spark, sf_dir), 3))
+
+
+@query("filter_active_users")
+def q_filter_active_users(spark, sf_dir):
+    return SP.active_users(TD.order_interactions(spark, sf_dir), "user_idx", 3) \
+        .groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# --------------------------------------------------------------------------- 2.4 aggregations
+@query("popularity_weight_sum")
+def q_popularity_weight_sum(spark, sf_dir):
+    return POP.weight_sum(train(spark, sf_dir), 20)
+
+
+@query("popularity_weight_sum_category")
+def q_popularity_weight_sum_category(spark, sf_dir):
+    return POP.weight_sum(train(spark, sf_dir), 10, category=2)
+
+
+@query("popularity_count")
+def q_popularity_count(spark, sf_dir):
+    history = val(spark, sf_dir).unionByName(test(spark, sf_dir))
+    return POP.counts(history, 20)
+
+
+@query("user_item_sets")
+def q_user_item_sets(spark, sf_dir):
+    # the set of a user is a relation (user, item, multiplicity), never one giant array
+    return train(spark, sf_dir).groupBy("user_idx", "item_idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dataset_stats")
+def q_dataset_stats(spark, sf_dir):
+    st = ST.dataset_stats(splits(spark, sf_dir), by="split")
+    return st.withColumn("avg_weight", C.round6("avg_weight"))
+
+
+@query("system_stats")
+def q_system_stats(spark, sf_dir):
+    return ST.system_stats(train(spark, sf_dir))
+
+
+@query("compare_before_after")
+def q_compare_before_after(spark, sf_dir):
+    before = train(spark, sf_dir).select(*S.TRAINING_COLUMNS)
+    after = P.merge(before, val(spark, sf_dir).select(*S.TRAINING_COLUMNS))
+    out = ST.compare_before_after(before, after)
+    return out.select("statistic", *[C.round6(c).alias(c) for c in ("before", "after", "delta")])
+
+
+@query("value_distribution")
+def q_value_distribution(spark, sf_dir):
+    return ST.value_distribution(TD.events(spark, sf_dir), "action") \
+        .unionByName(ST.value_distribution(train(spark, sf_dir), "category_idx"))
+
+
+@query("item_attributes")
+def q_item_attributes(spark, sf_dir):
+    df = P.item_attributes(train(spark, sf_dir))
+    return df.select("item_idx", C.round6("price_norm").alias("price_norm"), "category_idx")
+
+
+@query("dedup_max_weight")
+def q_dedup_max_weight(spark, sf_dir):
+    return d4(P.dedup_max_weight(train(spark, sf_dir).select(*S.TRAINING_COLUMNS)))
+
+
+@query("distinct_item_meta")
+def q_distinct_item_meta(spark, sf_dir):
+    df = P.distinct_item_meta(train(spark, sf_dir))
+    return df.select("item_idx", "category_idx", C.round6("price_norm").alias("price_norm"))
+
+
+@query("time_quantiles")
+def q_time_quantiles(spark, sf_dir):
+    q = SP.time_quantiles(TD.training_rows(spark, sf_dir))
+    return q.select(F.col("q0").alias("q70_us"), F.col("q1").alias("q85_us"))
+
+
+# --------------------------------------------------------------------------- 2.5 splits / set operations
+@query("temporal_split")
+def q_temporal_split(spark, sf_dir):
+    return splits(spark, sf_dir).select("event_id", "split")
+
+
+@query("random_split")
+def q_random_split(spark, sf_dir):
+    pairs = P.dedup_max_weight(TD.training_rows(spark, sf_dir).select(*S.TRAINING_COLUMNS))
+    return SP.random_split(pairs, seed=42).select("user_idx", "item_idx", "split")
+
+
+@query("merge_new_data")
+def q_merge_new_data(spark, sf_dir):
+    existing = train(spark, sf_dir).select(*S.TRAINING_COLUMNS)
+    new = P.logs_to_training(TD.logs(spark, sf_dir))
+    return d4(P.merge(existing, new, deduplicate=True))
+
+
+@query("union_splits")
+def q_union_splits(spark, sf_dir):
+    h = val(spark, sf_dir).unionByName(test(spark, sf_dir))
+    return h.select("event_id", "user_idx", "item_idx", "split")
+
+
+@query("sort_by_time")
+def q_sort_by_time(spark, sf_dir):
+    from marmot.functions.index import global_index
+    ev = TD.events(spark, sf_dir).select("event_id", C.ts_micros("ts").alias("ts_us"))
+    return global_index(ev, ["ts_us", "event_id"], "position")

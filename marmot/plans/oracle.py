@@ -49,7 +49,7 @@ val AS (SELECT * FROM splits WHERE split = 'val'),
 test AS (SELECT * FROM splits WHERE split = 'test')"""
 
 LOGS = """logs AS (
-  SELECT epoch_ms(ev.ts) AS timestamp, ev.item_id, CAST(ev.user_id AS VARCHAR) AS user_id, upper(ev.action) AS action,
+  SELECT CAST(epoch_us(ev.ts) // 1000 AS BIGINT) AS timestamp, ev.item_id, CAST(ev.user_id AS VARCHAR) AS user_id, upper(ev.action) AS action,
          items.category_idx AS category_id, items.price, ev.event_id
   FROM ev JOIN items ON ev.item_id = items.item_id)"""
 
@@ -78,3 +78,165 @@ sc AS (
   FROM pop JOIN meta USING (item_idx)),
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY category_idx ORDER BY s DESC, item_idx) AS INTEGER) AS rank FROM sc)""") + """
 SELECT category_idx, rank, item_idx, weight_sum, n_users, ROUND(s, 6) AS popularity_score FROM rk WHERE rank <= 10""")
+
+
+def dedup_cte(name: str, src: str) -> str:
+    """Highest weight per (user_idx, item_idx); ties: category, price_norm ascending, label descending."""
+    return f"""{name} AS (
+  SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_idx, item_idx
+                                 ORDER BY weight DESC, category_idx ASC, price_norm ASC, label DESC) AS _rn
+    FROM {src}) WHERE _rn = 1)"""
+
+
+D4_OUT = "user_idx, item_idx, label, weight, ROUND(price_norm, 6) AS price_norm, category_idx"
+
+LOG_WEIGHT = ("CAST(CASE action WHEN 'VIEW' THEN 1 WHEN 'CLICK' THEN 2 WHEN 'ADD_CART' THEN 3 "
+              "WHEN 'PURCHASE' THEN 5 ELSE 1 END AS DOUBLE)")
+
+LOGS_TRAINING = """lt AS (
+  SELECT TRY_CAST(user_id AS BIGINT) AS user_idx, item_id AS item_idx, 1 AS label, """ + LOG_WEIGHT + """ AS weight,
+         CASE WHEN MAX(price) OVER () = MIN(price) OVER () THEN 0.5
+              ELSE (price - MIN(price) OVER ()) / (MAX(price) OVER () - MIN(price) OVER ()) END AS price_norm,
+         CASE WHEN category_id IS NULL THEN NULL ELSE LEAST(GREATEST(category_id, 1), 6) END AS category_idx
+  FROM logs)"""
+
+ORDER_ROWS = """oi AS (
+  SELECT o.o_custkey AS user_idx, l.l_partkey AS item_idx, 1 AS label, CAST(l.l_quantity AS DOUBLE) AS weight,
+         items.price, items.category_idx, o.o_orderdate AS ts
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN items ON l.l_partkey = items.item_id)"""
+
+STAT_AGGS = ("COUNT(*) AS n_records, COUNT(DISTINCT user_idx) AS n_users, COUNT(DISTINCT item_idx) AS n_items, "
+             "COUNT(*) FILTER (WHERE label = 1) AS n_positive, COUNT(*) FILTER (WHERE label = 0) AS n_negative, "
+             "AVG(weight) AS avg_weight")
+STAT_NAMES = ("n_records", "n_users", "n_items", "n_positive", "n_negative", "avg_weight")
+
+register("enrich_events", with_(ITEMS, EV) + """
+SELECT ev.event_id, ev.user_id, ev.item_id, ev.action, items.price, items.title, items.category_idx
+FROM ev LEFT JOIN items ON ev.item_id = items.item_id""")
+
+register("action_weight", with_(ITEMS, EV, LOGS) + f"SELECT event_id, action, {LOG_WEIGHT} AS weight FROM logs")
+
+register("action_label", with_(EV) + """
+SELECT event_id, action, CASE WHEN action IN ('view', 'click', 'purchase') THEN 1 ELSE 0 END AS label FROM ev""")
+
+register("cast_ids", """
+SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id
+FROM events""")
+
+register("clip_category", with_(*BASE) + """
+SELECT event_id, category_idx - 1 AS category_raw,
+       CASE WHEN category_idx - 1 IS NULL THEN NULL ELSE LEAST(GREATEST(category_idx - 1, 1), 6) END AS category_idx
+FROM inter""")
+
+register("minmax_price", with_(ITEMS, EV, LOGS) + """
+SELECT event_id, ROUND(CASE WHEN MAX(price) OVER () = MIN(price) OVER () THEN 0.5
+  ELSE (price - MIN(price) OVER ()) / (MAX(price) OVER () - MIN(price) OVER ()) END, 6) AS price_norm FROM logs""")
+
+register("zscore_price", with_(*BASE, PSTATS, ROWS) + "SELECT event_id, ROUND(price_norm, 6) AS price_norm FROM trows")
+
+register("label_encode", with_(EV) + """
+SELECT 'user' AS kind, id, row_number() OVER (ORDER BY CAST(id AS VARCHAR)) - 1 AS idx
+FROM (SELECT DISTINCT user_id AS id FROM ev WHERE user_id IS NOT NULL)
+UNION ALL
+SELECT 'item' AS kind, id, row_number() OVER (ORDER BY CAST(id AS VARCHAR)) - 1 AS idx
+FROM (SELECT DISTINCT item_id AS id FROM ev WHERE item_id IS NOT NULL)""")
+
+register("dense_encode", with_(ITEMS, ORDER_ROWS) + """
+SELECT item_idx, row_number() OVER (ORDER BY item_idx) - 1 AS item_code FROM (SELECT DISTINCT item_idx FROM oi)""")
+
+register("decode_category", with_(*BASE) + """
+SELECT event_id, category_idx,
+       CASE category_idx WHEN 1 THEN '식품' WHEN 2 THEN '생활/주방' WHEN 3 THEN '뷰티/미용'
+                         WHEN 4 THEN '패션' WHEN 5 THEN '건강/운동' WHEN 6 THEN '유아' END AS category_name
+FROM inter""")
+
+register("project_training_columns", with_(ITEMS, EV, LOGS, LOGS_TRAINING, dedup_cte("dd", "lt")) +
+         f"SELECT {D4_OUT} FROM dd")
+
+register("validate_columns", with_(ITEMS, EV, LOGS) +
+         "SELECT timestamp, item_id, user_id, action, category_id, price FROM logs")
+
+register("filter_category", with_(*TRAIN_BASE) + f"SELECT {D4_OUT} FROM train WHERE category_idx = 3")
+
+register("filter_active_users", with_(ITEMS, ORDER_ROWS) + """
+SELECT user_idx, COUNT(*) AS n_rows FROM oi GROUP BY user_idx HAVING COUNT(*) >= 3""")
+
+register("popularity_weight_sum", with_(*TRAIN_BASE) + """
+SELECT item_idx, CAST(SUM(weight) AS DOUBLE) AS weight_sum FROM train WHERE item_idx IS NOT NULL
+GROUP BY item_idx ORDER BY weight_sum DESC, item_idx LIMIT 20""")
+
+register("popularity_weight_sum_category", with_(*TRAIN_BASE) + """
+SELECT item_idx, CAST(SUM(weight) AS DOUBLE) AS weight_sum FROM train WHERE category_idx = 2 AND item_idx IS NOT NULL
+GROUP BY item_idx ORDER BY weight_sum DESC, item_idx LIMIT 10""")
+
+register("popularity_count", with_(*TRAIN_BASE) + """
+SELECT item_idx, COUNT(*) AS n_interactions FROM (SELECT * FROM val UNION ALL SELECT * FROM test)
+WHERE item_idx IS NOT NULL GROUP BY item_idx ORDER BY n_interactions DESC, item_idx LIMIT 20""")
+
+register("user_item_sets", with_(*TRAIN_BASE) + "SELECT user_idx, item_idx, COUNT(*) AS n FROM train GROUP BY 1, 2")
+
+register("dataset_stats", with_(*TRAIN_BASE) + f"""
+SELECT split, {STAT_AGGS.replace('AVG(weight) AS avg_weight', 'ROUND(AVG(weight), 6) AS avg_weight')}
+FROM splits GROUP BY split""")
+
+register("system_stats", with_(*TRAIN_BASE) + """
+SELECT COUNT(*) AS train_rows, COUNT(DISTINCT user_idx) AS n_users, COUNT(DISTINCT item_idx) AS n_items,
+       COUNT(DISTINCT category_idx) AS n_categories FROM train""")
+
+_unpivot = lambda src: " UNION ALL ".join(
+    f"SELECT '{n}' AS statistic, CAST({n} AS DOUBLE) AS v FROM {src}" for n in STAT_NAMES)
+register("compare_before_after", with_(*TRAIN_BASE, """both_ AS (
+  SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM train
+  UNION ALL SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM val)""",
+                                        dedup_cte("after_", "both_"),
+                                        f"sb AS (SELECT {STAT_AGGS} FROM train)",
+                                        f"sa AS (SELECT {STAT_AGGS} FROM after_)",
+                                        f"lb AS ({_unpivot('sb')})", f"la AS ({_unpivot('sa')})") + """
+SELECT lb.statistic, ROUND(lb.v, 6) AS before, ROUND(la.v, 6) AS after, ROUND(la.v - lb.v, 6) AS delta
+FROM lb JOIN la ON lb.statistic = la.statistic""")
+
+register("value_distribution", with_(*TRAIN_BASE) + """
+SELECT 'action' AS column_name, action AS value, COUNT(*) AS n FROM ev GROUP BY action
+UNION ALL
+SELECT 'category_idx' AS column_name, CAST(category_idx AS VARCHAR) AS value, COUNT(*) AS n FROM train GROUP BY category_idx""")
+
+register("item_attributes", with_(*TRAIN_BASE, """cnt AS (SELECT item_idx, category_idx, COUNT(*) AS c FROM train GROUP BY 1, 2)""",
+                                  """md AS (SELECT item_idx, category_idx FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_idx ORDER BY c DESC, category_idx) AS rn FROM cnt) WHERE rn = 1)""",
+                                  "av AS (SELECT item_idx, AVG(price_norm) AS p FROM train GROUP BY 1)") + """
+SELECT av.item_idx, ROUND(av.p, 6) AS price_norm, md.category_idx FROM av JOIN md ON av.item_idx = md.item_idx""")
+
+register("dedup_max_weight", with_(*TRAIN_BASE, dedup_cte("dd", "train")) + f"SELECT {D4_OUT} FROM dd")
+
+register("distinct_item_meta", with_(*TRAIN_BASE) +
+         "SELECT DISTINCT item_idx, category_idx, ROUND(price_norm, 6) AS price_norm FROM train")
+
+register("time_quantiles", with_(*BASE, PSTATS, ROWS) + """
+SELECT CAST(quantile_cont(epoch_us(ts), 0.7) AS DOUBLE) AS q70_us, CAST(quantile_cont(epoch_us(ts), 0.85) AS DOUBLE) AS q85_us
+FROM trows""")
+
+register("temporal_split", with_(*TRAIN_BASE) + "SELECT event_id, split FROM splits")
+
+register("random_split", with_(*BASE, PSTATS, ROWS, dedup_cte("dd", "trows"), """h AS (
+  SELECT user_idx, item_idx,
+         row_number() OVER (ORDER BY md5(concat_ws('|', CAST(user_idx AS VARCHAR), CAST(item_idx AS VARCHAR), '42')),
+                            user_idx, item_idx) - 1 AS pos,
+         COUNT(*) OVER () AS n
+  FROM dd)""") + """
+SELECT user_idx, item_idx,
+       CASE WHEN pos < floor(CAST(n AS DOUBLE) * 0.7) THEN 'train'
+            WHEN pos < floor(CAST(n AS DOUBLE) * 0.7) + floor(CAST(n AS DOUBLE) * 0.15) THEN 'val'
+            ELSE 'test' END AS split
+FROM h""")
+
+register("merge_new_data", with_(*TRAIN_BASE, LOGS, LOGS_TRAINING, dedup_cte("newrows", "lt"), """both_ AS (
+  SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM train
+  UNION ALL SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM newrows)""",
+                                  dedup_cte("merged", "both_")) + f"SELECT {D4_OUT} FROM merged")
+
+register("union_splits", with_(*TRAIN_BASE) +
+         "SELECT event_id, user_idx, item_idx, split FROM splits WHERE split IN ('val', 'test')")
+
+register("sort_by_time", """
+SELECT event_id, epoch_us(ts) AS ts_us, row_number() OVER (ORDER BY epoch_us(ts), event_id) - 1 AS position FROM events""")
