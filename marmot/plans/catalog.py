@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from marmot import schemas as S
 from marmot.functions import columns as C
+from marmot.operators import candidates as CA
+from marmot.operators import content as CB
+from marmot.operators import metrics as M
 from marmot.operators import popularity as POP
 from marmot.operators import prepare as P
 from marmot.operators import split as SP
 from marmot.operators import stats as ST
 from marmot.plans import etl as ETL
+from marmot.plans import serve as SV
 from marmot.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,3 +256,205 @@ def q_sort_by_time(spark, sf_dir):
     from marmot.functions.index import global_index
     ev = TD.events(spark, sf_dir).select("event_id", C.ts_micros("ts").alias("ts_us"))
     return global_index(ev, ["ts_us", "event_id"], "position")
+
+
+# --------------------------------------------------------------------------- 2.3 / 2.6 candidates, ranking, serving
+def _requests(spark, sf_dir):
+    return TD.requests(spark, sf_dir)
+
+
+def _known_items(spark, sf_dir):
+    """(request, available item) rows of requests whose user is in train."""
+    t = train(spark, sf_dir)
+    return CA.request_items(SV.route(_requests(spark, sf_dir), t)).where("known")
+
+
+def _vectors(spark, sf_dir, users: DataFrame):
+    return (TD.user_vectors(spark, sf_dir, users, "user_id").withColumnRenamed("user_vec", "embedding"),
+            TD.item_vectors(spark, sf_dir))
+
+
+@query("filter_available_items")
+def q_filter_available_items(spark, sf_dir):
+    items = CA.request_items(_requests(spark, sf_dir))
+    catalog = train(spark, sf_dir).select("item_idx").distinct()
+    return P.filter_available(catalog, items.select("item_idx")).join(
+        items.select("request_id", "item_idx"), "item_idx").select("request_id", "item_idx")
+
+
+@query("exclude_purchased")
+def q_exclude_purchased(spark, sf_dir):
+    c = _known_items(spark, sf_dir).select("request_id", F.col("user_id").alias("user_idx"), "item_idx")
+    return CA.exclude_purchased(c, train(spark, sf_dir)).select("request_id", "item_idx")
+
+
+@query("exclude_seen")
+def q_exclude_seen(spark, sf_dir):
+    c = _known_items(spark, sf_dir).select("request_id", F.col("user_id").alias("user_idx"), "item_idx")
+    return CA.exclude_seen(c, train(spark, sf_dir)).select("request_id", "item_idx")
+
+
+@query("user_item_scores")
+def q_user_item_scores(spark, sf_dir):
+    c = _known_items(spark, sf_dir)
+    uv, iv = _vectors(spark, sf_dir, c)
+    s = CA.score_pairs(c, uv.withColumnRenamed("user_id", "user_id"), iv, user="user_id")
+    return s.select("request_id", "item_idx", C.round6("score").alias("score"))
+
+
+@query("mf_top_k")
+def q_mf_top_k(spark, sf_dir):
+    c = _known_items(spark, sf_dir)
+    uv, iv = _vectors(spark, sf_dir, c)
+    top = CA.mf_top_k(c, train(spark, sf_dir), uv, iv, k=10)
+    return top.select("request_id", "item_idx", C.round6("mf_score").alias("mf_score"), "mf_rank")
+
+
+@query("lookup_item_meta")
+def q_lookup_item_meta(spark, sf_dir):
+    c = _known_items(spark, sf_dir)
+    uv, iv = _vectors(spark, sf_dir, c)
+    t = train(spark, sf_dir)
+    top = CA.mf_top_k(c, t, uv, iv, k=S.CANDIDATE_K).join(P.item_meta(t), "item_idx")
+    return top.select("request_id", "item_idx", "category_idx", C.round6("price_norm").alias("price_norm"))
+
+
+@query("lookup_mf_score")
+def q_lookup_mf_score(spark, sf_dir):
+    # ranker candidates = every scorable available item; first-stage scores only for the top 10
+    c = _known_items(spark, sf_dir)
+    uv, iv = _vectors(spark, sf_dir, c)
+    t = train(spark, sf_dir)
+    full = CA.mf_top_k(c, t, uv, iv, k=S.CANDIDATE_K).select("request_id", "item_idx")
+    top10 = CA.mf_top_k(c, t, uv, iv, k=10).select("request_id", "item_idx", "mf_score")
+    out = full.join(top10, ["request_id", "item_idx"], "left")
+    return out.select("request_id", "item_idx", C.round6(F.coalesce("mf_score", F.lit(0.0))).alias("mf_score"))
+
+
+@query("route_known_users")
+def q_route_known_users(spark, sf_dir):
+    return SV.route(_requests(spark, sf_dir), train(spark, sf_dir)).select("request_id", "user_id", "known")
+
+
+@query("uninteracted_items")
+def q_uninteracted_items(spark, sf_dir):
+    # per user |catalog| - |own items|: the size of the complement, without emitting it
+    t = train(spark, sf_dir)
+    n_items = t.select(F.countDistinct("item_idx")).scalar()
+    per_user = t.groupBy("user_idx").agg(F.countDistinct("item_idx").alias("_own"))
+    return per_user.select("user_idx", (n_items - F.col("_own")).alias("n_uninteracted"))
+
+
+@query("hybrid_recommend")
+def q_hybrid_recommend(spark, sf_dir):
+    c = _known_items(spark, sf_dir)
+    uv, iv = _vectors(spark, sf_dir, c)
+    out = SV.hybrid(c, train(spark, sf_dir), uv, iv, TD.given_ranker)
+    return out.select("request_id", "item_idx", "position", C.round6("ranker_score").alias("ranker_score"),
+                      C.round6("mf_score").alias("mf_score"), C.round6("final_score").alias("final_score"))
+
+
+@query("rerank")
+def q_rerank(spark, sf_dir):
+    c = _known_items(spark, sf_dir)
+    uv, iv = _vectors(spark, sf_dir, c)
+    t = train(spark, sf_dir)
+    cands = CA.mf_top_k(c, t, uv, iv).join(P.item_meta(t), "item_idx")
+    r = CA.top_k(TD.given_ranker(cands), S.CANDIDATE_K, "request_id", "ranker_score", "item_idx", "position")
+    return r.select("request_id", "item_idx", "position", C.round6("ranker_score").alias("ranker_score"))
+
+
+@query("popularity_per_request")
+def q_popularity_per_request(spark, sf_dir):
+    items = CA.request_items(SV.route(_requests(spark, sf_dir), train(spark, sf_dir))).where(~F.col("known"))
+    out = SV.popular(items, train(spark, sf_dir))
+    return out.select("request_id", "item_idx", "position", C.round6("popularity_score").alias("popularity_score"))
+
+
+def _serve_inputs(spark, sf_dir):
+    t = train(spark, sf_dir)
+    r = _requests(spark, sf_dir)
+    return r, t, TD.user_vectors(spark, sf_dir, r, "user_id").withColumnRenamed("user_vec", "embedding"), \
+        TD.item_vectors(spark, sf_dir)
+
+
+@query("recommend_batch")
+def q_recommend_batch(spark, sf_dir):
+    r, t, uv, iv = _serve_inputs(spark, sf_dir)
+    return SV.recommend(r, t, uv, iv, TD.given_ranker)
+
+
+@query("paginate")
+def q_paginate(spark, sf_dir):
+    r, t, uv, iv = _serve_inputs(spark, sf_dir)
+    return SV.recommend(r, t, uv, iv, TD.given_ranker).select("request_id", "rank", "item_id", "has_next")
+
+
+@query("simplify_response")
+def q_simplify_response(spark, sf_dir):
+    top = POP.composite(train(spark, sf_dir), 50)
+    return SV.simplify(top, "popularity_score")
+
+
+@query("content_based")
+def q_content_based(spark, sf_dir):
+    history = val(spark, sf_dir).unionByName(test(spark, sf_dir))
+    users = TD.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_idx"))
+    vecs = TD.item_vectors(spark, sf_dir).join(TD.items(spark, sf_dir).select(F.col("item_id").alias("item_idx")),
+                                               "item_idx", "left_semi")
+    out = CB.similar_items(history, vecs, users, n=5)
+    return out.select("user_idx", "rank", "item_idx", C.round6("score").alias("score"), "reason")
+
+
+@query("user_profile_vector")
+def q_user_profile_vector(spark, sf_dir):
+    history = val(spark, sf_dir).unionByName(test(spark, sf_dir))
+    prof = CB.profiles(history, TD.item_vectors(spark, sf_dir))
+    return prof.select("user_idx", F.posexplode("profile").alias("d", "v")).select(
+        "user_idx", F.col("d").cast("int").alias("d"), C.round6("v").alias("v"))
+
+
+# --------------------------------------------------------------------------- 2.7 metrics on given rankings
+def _given_rankings(spark, sf_dir):
+    """Composite-popularity top 20 of train, as the ranking of every val user."""
+    t = train(spark, sf_dir)
+    users = val(spark, sf_dir).select("user_idx").distinct()
+    top = POP.composite(t, 20).select("item_idx", F.col("popularity_score").alias("score"))
+    return CB.attach_list(users, top, "item_idx", "popular_item")
+
+
+def _per_user(spark, sf_dir, metric, k=10):
+    per = M.at_k(_given_rankings(spark, sf_dir), val(spark, sf_dir), ks=(k,))
+    return per.select("user_idx", C.round6(metric).alias(metric))
+
+
+@query("precision_at_k")
+def q_precision_at_k(spark, sf_dir):
+    return _per_user(spark, sf_dir, "precision")
+
+
+@query("recall_at_k")
+def q_recall_at_k(spark, sf_dir):
+    return _per_user(spark, sf_dir, "recall")
+
+
+@query("dcg_at_k")
+def q_dcg_at_k(spark, sf_dir):
+    return _per_user(spark, sf_dir, "dcg")
+
+
+@query("ndcg_at_k")
+def q_ndcg_at_k(spark, sf_dir):
+    return _per_user(spark, sf_dir, "ndcg")
+
+
+@query("hit_rate_at_k")
+def q_hit_rate_at_k(spark, sf_dir):
+    return _per_user(spark, sf_dir, "hit_rate")
+
+
+@query("evaluate")
+def q_evaluate(spark, sf_dir):
+    ev = M.evaluate(_given_rankings(spark, sf_dir), val(spark, sf_dir))
+    return ev.select("k", *[C.round6(m).alias(m) for m in ("precision", "recall", "ndcg", "hit_rate")],
+                     "evaluated_users", "total_users")

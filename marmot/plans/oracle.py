@@ -240,3 +240,198 @@ register("union_splits", with_(*TRAIN_BASE) +
 
 register("sort_by_time", """
 SELECT event_id, epoch_us(ts) AS ts_us, row_number() OVER (ORDER BY epoch_us(ts), event_id) - 1 AS position FROM events""")
+
+
+# --------------------------------------------------------------------------- candidates / serving
+REQ = """req AS (
+  SELECT c_custkey AS request_id, c_custkey AS user_id, 10 AS top_n,
+         CASE WHEN c_nationkey < 6 THEN c_nationkey + 1 END AS category_id,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN 11 ELSE 1 END AS rank,
+         range(c_custkey % 7, 100, 3) AS available_items
+  FROM customer),
+ri AS (SELECT DISTINCT * FROM (
+  SELECT request_id, user_id, top_n, category_id, rank, CAST(unnest(available_items) AS BIGINT) AS item_idx FROM req)),
+known AS (SELECT DISTINCT user_idx FROM train),
+kri AS (SELECT * FROM ri WHERE user_id IN (SELECT user_idx FROM known)),
+uri AS (SELECT * FROM ri WHERE user_id NOT IN (SELECT user_idx FROM known))"""
+
+EMB = """emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+nemb AS (SELECT COUNT(*) AS n FROM embeddings)"""
+
+MF = """trained AS (SELECT DISTINCT item_idx FROM train),
+catit AS (SELECT DISTINCT item_idx, category_idx FROM train WHERE category_idx IS NOT NULL),
+bought AS (SELECT DISTINCT user_idx, item_idx FROM train WHERE weight = 5),
+c0 AS (
+  SELECT kri.* FROM kri
+  WHERE item_idx IN (SELECT item_idx FROM trained)
+    AND (category_id IS NULL OR EXISTS (SELECT 1 FROM catit WHERE catit.item_idx = kri.item_idx
+                                                               AND catit.category_idx = kri.category_id))
+    AND NOT EXISTS (SELECT 1 FROM bought WHERE bought.user_idx = kri.user_id AND bought.item_idx = kri.item_idx)),
+sc AS (
+  SELECT c0.*, list_dot_product(ue.v, ie.v) AS mf_score
+  FROM c0 CROSS JOIN nemb JOIN emb ue ON ue.vec_id = c0.user_id % nemb.n JOIN emb ie ON ie.vec_id = c0.item_idx),
+mfk AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY mf_score DESC, item_idx) AS INTEGER) AS mf_rank
+        FROM sc),
+meta AS (SELECT item_idx, category_idx, price_norm FROM (
+  SELECT item_idx, category_idx, price_norm,
+         row_number() OVER (PARTITION BY item_idx ORDER BY category_idx, price_norm) AS _rn FROM train) WHERE _rn = 1)"""
+
+RANKED = """cand AS (
+  SELECT mfk.request_id, mfk.item_idx, mfk.mf_score, meta.category_idx, meta.price_norm,
+         1.0 / (1.0 + exp(-(meta.price_norm - mfk.mf_score / 4.0))) AS ranker_score
+  FROM mfk JOIN meta ON mfk.item_idx = meta.item_idx WHERE mfk.mf_rank <= 250),
+hyb AS (
+  SELECT *, 0.6 * ranker_score + 0.4 * (CASE WHEN mf_score > 0 THEN mf_score / 10.0 ELSE 0 END) AS final_score,
+         CAST(row_number() OVER (PARTITION BY request_id ORDER BY ranker_score DESC, item_idx) AS INTEGER) AS position
+  FROM cand),
+pop AS (SELECT item_idx, CAST(SUM(weight) AS DOUBLE) AS ws, COUNT(DISTINCT user_idx) AS nu, MIN(category_idx) AS category_idx
+        FROM train WHERE item_idx IS NOT NULL GROUP BY item_idx),
+psc AS (SELECT item_idx, category_idx,
+               0.7 * (ws / MAX(ws) OVER ()) + 0.3 * (nu / CAST(MAX(nu) OVER () AS DOUBLE)) AS popularity_score FROM pop),
+popr AS (
+  SELECT uri.request_id, uri.item_idx, psc.popularity_score,
+         CAST(row_number() OVER (PARTITION BY uri.request_id ORDER BY psc.popularity_score DESC, uri.item_idx) AS INTEGER) AS position
+  FROM uri JOIN psc ON uri.item_idx = psc.item_idx
+  WHERE uri.category_id IS NULL OR uri.category_id = psc.category_idx),
+ranked AS (SELECT request_id, item_idx, position FROM hyb WHERE position <= 100
+           UNION ALL SELECT request_id, item_idx, position FROM popr WHERE position <= 100),
+nres AS (SELECT request_id, COUNT(*) AS n FROM ranked GROUP BY request_id),
+rq AS (SELECT req.request_id, req.user_id, req.top_n, COALESCE(req.rank, 1) AS st, len(req.available_items) AS na,
+              COALESCE(nres.n, 0) AS n
+       FROM req LEFT JOIN nres ON req.request_id = nres.request_id WHERE len(req.available_items) > 0),
+rq2 AS (SELECT *, LEAST(top_n, GREATEST(0, n - st + 1)) AS pl FROM rq),
+resp AS (
+  SELECT rq2.request_id, rq2.user_id, CAST(ranked.position AS INTEGER) AS rank, ranked.item_idx AS item_id,
+         (st + pl - 1) < na AS has_next, (st + pl - 1) < n AS has_more_results, 'ok' AS status
+  FROM rq2 LEFT JOIN ranked ON ranked.request_id = rq2.request_id AND ranked.position >= rq2.st
+                            AND ranked.position < rq2.st + rq2.top_n)"""
+
+SERVE_BASE = TRAIN_BASE + (REQ, EMB, MF)
+
+register("filter_available_items", with_(*TRAIN_BASE, REQ) +
+         "SELECT request_id, item_idx FROM ri WHERE item_idx IN (SELECT item_idx FROM train)")
+
+register("exclude_purchased", with_(*TRAIN_BASE, REQ, "bought AS (SELECT DISTINCT user_idx, item_idx FROM train WHERE weight = 5)") + """
+SELECT request_id, item_idx FROM kri
+WHERE NOT EXISTS (SELECT 1 FROM bought WHERE bought.user_idx = kri.user_id AND bought.item_idx = kri.item_idx)""")
+
+register("exclude_seen", with_(*TRAIN_BASE, REQ, "seen AS (SELECT DISTINCT user_idx, item_idx FROM train)") + """
+SELECT request_id, item_idx FROM kri
+WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_idx = kri.user_id AND seen.item_idx = kri.item_idx)""")
+
+register("user_item_scores", with_(*TRAIN_BASE, REQ, EMB) + """
+SELECT kri.request_id, kri.item_idx, ROUND(list_dot_product(ue.v, ie.v), 6) AS score
+FROM kri CROSS JOIN nemb JOIN emb ue ON ue.vec_id = kri.user_id % nemb.n JOIN emb ie ON ie.vec_id = kri.item_idx""")
+
+register("mf_top_k", with_(*SERVE_BASE) +
+         "SELECT request_id, item_idx, ROUND(mf_score, 6) AS mf_score, mf_rank FROM mfk WHERE mf_rank <= 10")
+
+register("lookup_item_meta", with_(*SERVE_BASE) + """
+SELECT mfk.request_id, mfk.item_idx, meta.category_idx, ROUND(meta.price_norm, 6) AS price_norm
+FROM mfk JOIN meta ON mfk.item_idx = meta.item_idx WHERE mfk.mf_rank <= 250""")
+
+register("lookup_mf_score", with_(*SERVE_BASE) + """
+SELECT f.request_id, f.item_idx, ROUND(COALESCE(t.mf_score, 0.0), 6) AS mf_score
+FROM (SELECT * FROM mfk WHERE mf_rank <= 250) f
+LEFT JOIN (SELECT * FROM mfk WHERE mf_rank <= 10) t ON f.request_id = t.request_id AND f.item_idx = t.item_idx""")
+
+register("route_known_users", with_(*TRAIN_BASE, REQ) +
+         "SELECT request_id, user_id, user_id IN (SELECT user_idx FROM known) AS known FROM req")
+
+register("uninteracted_items", with_(*TRAIN_BASE) + """
+SELECT user_idx, (SELECT COUNT(DISTINCT item_idx) FROM train) - COUNT(DISTINCT item_idx) AS n_uninteracted
+FROM train GROUP BY user_idx""")
+
+register("hybrid_recommend", with_(*SERVE_BASE, RANKED) + """
+SELECT request_id, item_idx, position, ROUND(ranker_score, 6) AS ranker_score, ROUND(mf_score, 6) AS mf_score,
+       ROUND(final_score, 6) AS final_score
+FROM hyb WHERE position <= 100""")
+
+register("rerank", with_(*SERVE_BASE, RANKED) + """
+SELECT request_id, item_idx, position, ROUND(ranker_score, 6) AS ranker_score FROM hyb WHERE position <= 250""")
+
+register("popularity_per_request", with_(*SERVE_BASE, RANKED) + """
+SELECT request_id, item_idx, position, ROUND(popularity_score, 6) AS popularity_score FROM popr WHERE position <= 100""")
+
+register("recommend_batch", with_(*SERVE_BASE, RANKED) + "SELECT * FROM resp")
+
+register("paginate", with_(*SERVE_BASE, RANKED) + "SELECT request_id, rank, item_id, has_next FROM resp")
+
+register("simplify_response", with_(*SERVE_BASE, RANKED) + """
+SELECT item_idx AS item_id, CAST(row_number() OVER (ORDER BY popularity_score DESC, item_idx) AS INTEGER) AS rank
+FROM psc QUALIFY rank <= 50""")
+
+CONTENT = """hist AS (SELECT user_idx, item_idx, weight FROM splits WHERE split IN ('val', 'test')),
+vecs AS (SELECT vec_id AS item_idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+         WHERE vec_id IN (SELECT item_id FROM items)),
+ui AS (SELECT DISTINCT h.user_idx, h.item_idx FROM hist h JOIN vecs ON h.item_idx = vecs.item_idx),
+pe AS (SELECT user_idx, d, AVG(x) AS m FROM (
+  SELECT ui.user_idx, generate_subscripts(vecs.v, 1) AS d, unnest(vecs.v) AS x
+  FROM ui JOIN vecs ON ui.item_idx = vecs.item_idx) GROUP BY user_idx, d),
+prof AS (SELECT user_idx, list(m ORDER BY d) AS p FROM pe GROUP BY user_idx),
+cust AS (SELECT DISTINCT c_custkey AS user_idx FROM customer),
+sims AS (SELECT prof.user_idx, vecs.item_idx, list_cosine_similarity(prof.p, vecs.v) AS s
+         FROM prof JOIN cust ON prof.user_idx = cust.user_idx CROSS JOIN vecs),
+near AS (SELECT user_idx, CAST(row_number() OVER (PARTITION BY user_idx ORDER BY s DESC, item_idx) AS INTEGER) AS rank,
+                item_idx, s AS score, 'content_based' AS reason
+         FROM sims WHERE s > 0 AND NOT EXISTS (
+           SELECT 1 FROM hist WHERE hist.user_idx = sims.user_idx AND hist.item_idx = sims.item_idx)),
+popw AS (SELECT item_idx, CAST(SUM(weight) AS DOUBLE) AS score,
+                CAST(row_number() OVER (ORDER BY SUM(weight) DESC, item_idx) AS INTEGER) AS rank
+         FROM hist WHERE item_idx IS NOT NULL GROUP BY item_idx),
+popc AS (SELECT item_idx, CAST(COUNT(*) AS DOUBLE) AS score,
+                CAST(row_number() OVER (ORDER BY COUNT(*) DESC, item_idx) AS INTEGER) AS rank
+         FROM hist WHERE item_idx IS NOT NULL GROUP BY item_idx),
+newu AS (SELECT user_idx FROM cust WHERE user_idx NOT IN (SELECT user_idx FROM hist)),
+novec AS (SELECT user_idx FROM cust WHERE user_idx IN (SELECT user_idx FROM hist)
+                                      AND user_idx NOT IN (SELECT user_idx FROM prof))"""
+
+register("content_based", with_(*TRAIN_BASE, CONTENT) + """
+SELECT user_idx, rank, item_idx, ROUND(score, 6) AS score, reason FROM near WHERE rank <= 5
+UNION ALL
+SELECT newu.user_idx, popw.rank, popw.item_idx, ROUND(popw.score, 6) AS score, 'popular_item' AS reason
+FROM newu CROSS JOIN popw WHERE popw.rank <= 5
+UNION ALL
+SELECT novec.user_idx, popc.rank, popc.item_idx, ROUND(popc.score, 6) AS score, 'fallback_popular' AS reason
+FROM novec CROSS JOIN popc WHERE popc.rank <= 5""")
+
+register("user_profile_vector", with_(*TRAIN_BASE, """hist AS (SELECT user_idx, item_idx FROM splits WHERE split IN ('val', 'test')),
+vecs AS (SELECT vec_id AS item_idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ui AS (SELECT DISTINCT h.user_idx, h.item_idx FROM hist h JOIN vecs ON h.item_idx = vecs.item_idx)""") + """
+SELECT user_idx, CAST(d - 1 AS INTEGER) AS d, ROUND(AVG(x), 6) AS v FROM (
+  SELECT ui.user_idx, generate_subscripts(vecs.v, 1) AS d, unnest(vecs.v) AS x
+  FROM ui JOIN vecs ON ui.item_idx = vecs.item_idx) GROUP BY user_idx, d""")
+
+# --------------------------------------------------------------------------- metrics on given rankings
+METRIC_BASE = """pop AS (SELECT item_idx, CAST(SUM(weight) AS DOUBLE) AS ws, COUNT(DISTINCT user_idx) AS nu
+        FROM train WHERE item_idx IS NOT NULL GROUP BY item_idx),
+psc AS (SELECT item_idx, 0.7 * (ws / MAX(ws) OVER ()) + 0.3 * (nu / CAST(MAX(nu) OVER () AS DOUBLE)) AS popularity_score FROM pop),
+top20 AS (SELECT item_idx, row_number() OVER (ORDER BY popularity_score DESC, item_idx) AS rank FROM psc QUALIFY rank <= 20),
+vu AS (SELECT DISTINCT user_idx FROM val),
+recs AS (SELECT vu.user_idx, top20.item_idx, top20.rank FROM vu CROSS JOIN top20),
+relset AS (SELECT DISTINCT user_idx, item_idx FROM val),
+nrel AS (SELECT user_idx, COUNT(*) AS n_relevant FROM val GROUP BY user_idx),
+hits AS (SELECT recs.user_idx, recs.rank, CASE WHEN relset.item_idx IS NULL THEN 0 ELSE 1 END AS hit
+         FROM recs LEFT JOIN relset ON recs.user_idx = relset.user_idx AND recs.item_idx = relset.item_idx),
+ks AS (SELECT unnest([5, 10, 20]) AS k),
+disc AS (SELECT i, SUM(1.0 / log2(i + 1)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+         FROM range(1, 1001) t(i)),
+per AS (SELECT hits.user_idx, ks.k, CAST(SUM(hit) AS DOUBLE) AS hits, CAST(SUM(hit / log2(rank + 1)) AS DOUBLE) AS dcg
+        FROM hits JOIN ks ON hits.rank <= ks.k GROUP BY hits.user_idx, ks.k),
+per2 AS (SELECT per.*, nrel.n_relevant, COALESCE(disc.cum, 0.0) AS idcg
+         FROM per JOIN nrel ON per.user_idx = nrel.user_idx LEFT JOIN disc ON disc.i = LEAST(per.k, nrel.n_relevant)),
+metrics AS (SELECT user_idx, k, hits / k AS precision,
+                   CASE WHEN n_relevant = 0 THEN 0.0 ELSE hits / n_relevant END AS recall, dcg,
+                   CASE WHEN idcg = 0 THEN 0.0 ELSE dcg / idcg END AS ndcg,
+                   CAST(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS hit_rate
+            FROM per2)"""
+
+for _m in ("precision", "recall", "dcg", "ndcg", "hit_rate"):
+    register(f"{_m}_at_k", with_(*TRAIN_BASE, METRIC_BASE) +
+             f"SELECT user_idx, ROUND(CAST({_m} AS DOUBLE), 6) AS {_m} FROM metrics WHERE k = 10")
+
+register("evaluate", with_(*TRAIN_BASE, METRIC_BASE) + """
+SELECT CAST(k AS INTEGER) AS k, ROUND(AVG(precision), 6) AS precision, ROUND(AVG(recall), 6) AS recall,
+       ROUND(AVG(ndcg), 6) AS ndcg, ROUND(AVG(hit_rate), 6) AS hit_rate, COUNT(*) AS evaluated_users,
+       (SELECT COUNT(DISTINCT user_idx) FROM val) AS total_users
+FROM metrics GROUP BY k""")

@@ -114,3 +114,9 @@ def user_vectors(spark: SparkSession, sf_dir: str, users: DataFrame, user: str =
     n = emb.select(F.count(F.lit(1))).scalar()
     u = users.select(user).distinct().withColumn("_vid", F.pmod(F.col(user), n))
     return u.join(emb, u["_vid"] == emb["vec_id"]).select(user, F.col("embedding").alias("user_vec"))
+
+
+def given_ranker(cands: DataFrame) -> DataFrame:
+    """A fixed, SQL-reproducible stand-in for a fitted ranker's score (oracle checks only):
+    sigmoid(price_norm - mf_score / 4)."""
+    return cands.withColumn("ranker_score", C.sigmoid(F.col("price_norm") - F.col("mf_score") / 4.0))
