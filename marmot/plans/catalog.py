@@ -17,11 +17,17 @@ from marmot.operators import candidates as CA
 from marmot.operators import content as CB
 from marmot.operators import metrics as M
 from marmot.operators import popularity as POP
+from marmot.operators import ranker as RK
+from marmot.operators import sample as SA
 from marmot.operators import prepare as P
 from marmot.operators import split as SP
 from marmot.operators import stats as ST
 from marmot.plans import etl as ETL
 from marmot.plans import serve as SV
+from marmot.plans import train as TR
+from marmot.session import scratch_path
+from marmot.sources import files as FS
+from marmot.streaming import incremental as INC
 from marmot.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -458,3 +464,224 @@ def q_evaluate(spark, sf_dir):
     ev = M.evaluate(_given_rankings(spark, sf_dir), val(spark, sf_dir))
     return ev.select("k", *[C.round6(m).alias(m) for m in ("precision", "recall", "ndcg", "hit_rate")],
                      "evaluated_users", "total_users")
+
+
+# --------------------------------------------------------------------------- 2.1 sources and sinks (derived files)
+_FILES: dict[tuple, str] = {}
+
+def _day():
+    return F.date_format(C.epoch_ms_to_ts("timestamp"), "yyyy-MM-dd")
+
+
+LEDGER_UNTIL = "2024-01-05"  # files of days up to this one are marked processed in the fixtures
+RANGE_START_MS, RANGE_END_MS = 1704844800000, 1705363199999  # 2024-01-10 00:00 .. 2024-01-15 23:59:59.999 UTC
+
+
+def _memo_path(spark, sf_dir, key, build) -> str:
+    memo = (spark.sparkContext.applicationId, sf_dir, key)
+    if memo not in _FILES:
+        _FILES[memo] = build()
+    return _FILES[memo]
+
+
+def log_files(spark, sf_dir) -> str:
+    """The event log written as JSON files, one directory (and file) per day."""
+    def build():
+        path = scratch_path(spark, "logs")
+        logs = TD.logs(spark, sf_dir).drop("event_id").withColumn("day", _day())
+        return FS.write_logs_json(logs, path, ["day"], one_file_per_partition=True)
+    return _memo_path(spark, sf_dir, "logs", build)
+
+
+def ledger(spark, sf_dir) -> str:
+    """A ledger holding the files of the first days."""
+    def build():
+        path = scratch_path(spark, "ledger")
+        files = FS.list_log_files(spark, log_files(spark, sf_dir))
+        FS.mark_processed(files.where(F.regexp_extract("file_path", r"day=([0-9-]+)", 1) <= LEDGER_UNTIL), path)
+        return path
+    return _memo_path(spark, sf_dir, "ledger", build)
+
+
+def _good_logs(spark, sf_dir):
+    good, _ = FS.read_logs(spark, log_files(spark, sf_dir), multiline=False)
+    return good
+
+
+@query("read_interactions_csv")
+def q_read_interactions_csv(spark, sf_dir):
+    path = scratch_path(spark, "splits_csv")
+    FS.write_splits(splits(spark, sf_dir).select(*S.TRAINING_COLUMNS, "split"), path, "csv")
+    back = FS.read_interactions(spark, path)  # split comes back from the directory layout
+    return back.select(*S.TRAINING_COLUMNS, "split").withColumn("price_norm", C.round6("price_norm"))
+
+
+@query("write_splits")
+def q_write_splits(spark, sf_dir):
+    path = scratch_path(spark, "splits_parquet")
+    FS.write_splits(splits(spark, sf_dir).select(*S.TRAINING_COLUMNS, "split"), path, "parquet")
+    return FS.read_interactions(spark, path, fmt="parquet").groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("read_json_logs")
+def q_read_json_logs(spark, sf_dir):
+    return _good_logs(spark, sf_dir).select(*S.LOG_COLUMNS)
+
+
+@query("write_logs_json")
+def q_write_logs_json(spark, sf_dir):
+    g = _good_logs(spark, sf_dir)
+    return g.groupBy(F.regexp_extract("file_path", r"day=([0-9-]+)", 1).alias("day")).agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("discover_log_files")
+def q_discover_log_files(spark, sf_dir):
+    files = FS.list_log_files(spark, log_files(spark, sf_dir), prefix="day=2024-01")
+    return files.groupBy(F.regexp_extract("file_path", r"day=([0-9-]+)", 1).alias("day")).agg(
+        F.count(F.lit(1)).alias("n_files"))
+
+
+@query("skip_processed")
+def q_skip_processed(spark, sf_dir):
+    led = FS.load_ledger(spark, ledger(spark, sf_dir))
+    rows = _good_logs(spark, sf_dir).join(led.select("file_path"), "file_path", "left_anti")
+    return rows.select(*S.LOG_COLUMNS)
+
+
+@query("latest_unprocessed_files")
+def q_latest_unprocessed_files(spark, sf_dir):
+    led = FS.load_ledger(spark, ledger(spark, sf_dir))
+    rows, _ = FS.latest_unprocessed(_good_logs(spark, sf_dir), led, 10)
+    return rows.select(*S.LOG_COLUMNS)
+
+
+@query("logs_by_date_range")
+def q_logs_by_date_range(spark, sf_dir):
+    led = FS.load_ledger(spark, ledger(spark, sf_dir))
+    rows, _ = FS.logs_by_date_range(_good_logs(spark, sf_dir), led, RANGE_START_MS, RANGE_END_MS)
+    return rows.select(*S.LOG_COLUMNS)
+
+
+@query("filter_by_timestamp")
+def q_filter_by_timestamp(spark, sf_dir):
+    return FS.filter_by_timestamp(TD.logs(spark, sf_dir), RANGE_START_MS, RANGE_END_MS).select("event_id", "timestamp")
+
+
+@query("snapshot_before_overwrite")
+def q_snapshot_before_overwrite(spark, sf_dir):
+    base = scratch_path(spark, "snapshots")
+    FS.write_snapshot(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), base, "v1")
+    merged = P.merge(FS.read_snapshot(spark, base, "v1"), val(spark, sf_dir).select(*S.TRAINING_COLUMNS))
+    FS.write_snapshot(merged, base, "v2")  # v1 stays as the backup
+    return d4(FS.read_snapshot(spark, base))
+
+
+@query("write_encoders")
+def q_write_encoders(spark, sf_dir):
+    rows = TD.training_rows(spark, sf_dir)
+    path = scratch_path(spark, "encoders")
+    FS.write_encoders(path, P.fit_dim(rows, "user_idx"), P.fit_dim(rows, "item_idx"),
+                      P.category_dim(spark), TD.price_stats(spark, sf_dir))
+    enc = FS.read_encoders(spark, path)
+    return enc["user_dim"].select(F.lit("user").alias("kind"), "id", "idx").unionByName(
+        enc["item_dim"].select(F.lit("item").alias("kind"), "id", "idx"))
+
+
+@query("read_embeddings")
+def q_read_embeddings(spark, sf_dir):
+    v = FS.read_embeddings(spark, f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return v.select("item_idx", F.size("embedding").alias("n_dims"), C.round6(C.l2_norm("embedding")).alias("norm"))
+
+
+# --------------------------------------------------------------------------- 2.5 negative sampling
+@query("negatives_per_user")
+def q_negatives_per_user(spark, sf_dir):
+    return SA.negatives_per_user(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), n=5, seed=42)
+
+
+@query("negatives_per_user_quota")
+def q_negatives_per_user_quota(spark, sf_dir):
+    neg = SA.negatives_per_user(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), n=5, seed=42)
+    return neg.groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_negatives"))
+
+
+@query("negatives_with_attributes")
+def q_negatives_with_attributes(spark, sf_dir):
+    out = SA.negatives_with_attributes(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), n=3, seed=42)
+    return out.groupBy("user_idx", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("negatives_global_ratio")
+def q_negatives_global_ratio(spark, sf_dir):
+    out = SA.negatives_global_ratio(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), 0.2, seed=42)
+    return out.agg(F.count(F.lit(1)).alias("n_negatives"))
+
+
+# --------------------------------------------------------------------------- 2.7 models
+MODEL_RANK = 8
+
+
+@query("fit_mf")
+def q_fit_mf(spark, sf_dir):
+    m = RK.fit_mf(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), rank=MODEL_RANK, max_iter=5)
+    return m.user_factors().select("user_idx", F.size("embedding").alias("n_factors"))
+
+
+@query("fit_nmf")
+def q_fit_nmf(spark, sf_dir):
+    m = RK.fit_nonneg_mf(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), rank=MODEL_RANK, max_iter=5)
+    f = m.item_factors()
+    return f.select("item_idx", F.size("embedding").alias("n_factors"),
+                    F.forall("embedding", lambda x: x >= 0).alias("nonnegative"))
+
+
+@query("save_load_model")
+def q_save_load_model(spark, sf_dir):
+    m = RK.fit_mf(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), rank=MODEL_RANK, max_iter=5)
+    path = scratch_path(spark, "mf_model")
+    m.save(path)
+    loaded = RK.MFModel.load(spark, path)
+    return loaded.item_factors().select("item_idx", F.size("embedding").alias("n_factors"))
+
+
+@query("fit_ranker")
+def q_fit_ranker(spark, sf_dir):
+    t = train(spark, sf_dir).select(*S.TRAINING_COLUMNS)
+    rk = RK.fit_ranker(t, max_iter=10)
+    return rk.score(t.select("user_idx", "item_idx", "category_idx", "price_norm").distinct()) \
+             .select("user_idx", "item_idx", C.round6("ranker_score").alias("ranker_score"))
+
+
+@query("train_hybrid")
+def q_train_hybrid(spark, sf_dir):
+    t = train(spark, sf_dir)
+    model = TR.train_hybrid(t, mf_factors=MODEL_RANK, als_iters=5, ranker_iters=10)
+    return TR.recommend_all(model, t, val(spark, sf_dir).select("user_idx"), top_k=50, top_n=10)
+
+
+@query("grid_search")
+def q_grid_search(spark, sf_dir):
+    grid = {"mf_factors": [MODEL_RANK], "epochs": [5], "batch_size": [512], "top_k": [50], "top_n": [10, 20]}
+    return TR.grid_search(train(spark, sf_dir), val(spark, sf_dir), grid)
+
+
+@query("write_tuning_results")
+def q_write_tuning_results(spark, sf_dir):
+    grid = {"mf_factors": [MODEL_RANK], "epochs": [5], "batch_size": [512], "top_k": [50], "top_n": [10]}
+    res = TR.grid_search(train(spark, sf_dir), val(spark, sf_dir), grid)
+    path = scratch_path(spark, "tuning")
+    res.write.mode("overwrite").option("header", True).csv(f"{path}/all_experiments")
+    res.where("is_best").write.mode("overwrite").json(f"{path}/best_params")
+    return spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/all_experiments")
+
+
+# --------------------------------------------------------------------------- 2.8 incremental (Structured Streaming)
+@query("incremental_update")
+def q_incremental_update(spark, sf_dir):
+    src = log_files(spark, sf_dir)
+    out = scratch_path(spark, "incremental")
+    ck = scratch_path(spark, "incremental-ckpt")
+    merged = INC.run_incremental(spark, src, train(spark, sf_dir), out, ck, n_files=10,
+                                 price_stats=TD.price_stats(spark, sf_dir))
+    return d4(merged)

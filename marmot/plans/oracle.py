@@ -435,3 +435,81 @@ SELECT CAST(k AS INTEGER) AS k, ROUND(AVG(precision), 6) AS precision, ROUND(AVG
        ROUND(AVG(ndcg), 6) AS ndcg, ROUND(AVG(hit_rate), 6) AS hit_rate, COUNT(*) AS evaluated_users,
        (SELECT COUNT(DISTINCT user_idx) FROM val) AS total_users
 FROM metrics GROUP BY k""")
+
+
+# --------------------------------------------------------------------------- sources / sinks (round trips)
+LOGS_D = """logs_d AS (SELECT logs.*, strftime(to_timestamp(logs.timestamp / 1000.0), '%Y-%m-%d') AS day FROM logs)"""
+LOG_COLS = "timestamp, item_id, user_id, action, category_id, price"
+
+register("read_interactions_csv", with_(*TRAIN_BASE) + f"SELECT {D4_OUT}, split FROM splits")
+
+register("write_splits", with_(*TRAIN_BASE) + "SELECT split, COUNT(*) AS n_rows FROM splits GROUP BY split")
+
+register("read_json_logs", with_(ITEMS, EV, LOGS) + f"SELECT {LOG_COLS} FROM logs")
+
+register("write_logs_json", with_(ITEMS, EV, LOGS, LOGS_D) + "SELECT day, COUNT(*) AS n_rows FROM logs_d GROUP BY day")
+
+register("discover_log_files", with_(ITEMS, EV, LOGS, LOGS_D) +
+         "SELECT day, CAST(COUNT(DISTINCT day) AS BIGINT) AS n_files FROM logs_d WHERE day LIKE '2024-01%' GROUP BY day")
+
+register("skip_processed", with_(ITEMS, EV, LOGS, LOGS_D) + f"SELECT {LOG_COLS} FROM logs_d WHERE day > '2024-01-05'")
+
+register("latest_unprocessed_files", with_(ITEMS, EV, LOGS, LOGS_D) + f"""
+SELECT {LOG_COLS} FROM logs_d
+WHERE day IN (SELECT day FROM (SELECT DISTINCT day FROM logs_d WHERE day > '2024-01-05') ORDER BY day DESC LIMIT 10)""")
+
+register("logs_by_date_range", with_(ITEMS, EV, LOGS, LOGS_D) + f"""
+SELECT {LOG_COLS} FROM logs_d
+WHERE day > '2024-01-05' AND timestamp BETWEEN 1704844800000 AND 1705363199999""")
+
+register("filter_by_timestamp", with_(ITEMS, EV, LOGS) +
+         "SELECT event_id, timestamp FROM logs WHERE timestamp BETWEEN 1704844800000 AND 1705363199999")
+
+register("snapshot_before_overwrite", with_(*TRAIN_BASE, """both_ AS (
+  SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM train
+  UNION ALL SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM val)""",
+                                             dedup_cte("after_", "both_")) + f"SELECT {D4_OUT} FROM after_")
+
+register("write_encoders", with_(*BASE, PSTATS, ROWS) + """
+SELECT 'user' AS kind, id, row_number() OVER (ORDER BY CAST(id AS VARCHAR)) - 1 AS idx
+FROM (SELECT DISTINCT user_idx AS id FROM trows WHERE user_idx IS NOT NULL)
+UNION ALL
+SELECT 'item' AS kind, id, row_number() OVER (ORDER BY CAST(id AS VARCHAR)) - 1 AS idx
+FROM (SELECT DISTINCT item_idx AS id FROM trows WHERE item_idx IS NOT NULL)""")
+
+register("read_embeddings", """
+SELECT vec_id AS item_idx, CAST(len(embedding) AS INTEGER) AS n_dims,
+       ROUND(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm
+FROM embeddings""")
+
+# --------------------------------------------------------------------------- negative-sampling quotas
+QUOTA = """pu AS (SELECT user_idx, COUNT(DISTINCT item_idx) AS p FROM train GROUP BY user_idx),
+cat AS (SELECT COUNT(DISTINCT item_idx) AS c FROM train)"""
+
+register("negatives_per_user_quota", with_(*TRAIN_BASE, QUOTA) + """
+SELECT user_idx, LEAST(5 * p, c - p) AS n_negatives FROM pu, cat WHERE LEAST(5 * p, c - p) > 0""")
+
+register("negatives_with_attributes", with_(*TRAIN_BASE, QUOTA) + """
+SELECT user_idx, label, CAST(SUM(n) AS BIGINT) AS n_rows FROM (
+  SELECT user_idx, label, COUNT(*) AS n FROM train GROUP BY user_idx, label
+  UNION ALL
+  SELECT user_idx, 0 AS label, LEAST(3 * p, c - p) AS n FROM pu, cat WHERE LEAST(3 * p, c - p) > 0)
+GROUP BY user_idx, label""")
+
+register("negatives_global_ratio", with_(*TRAIN_BASE) +
+         "SELECT CAST(floor(CAST(COUNT(*) AS DOUBLE) * 0.2) AS BIGINT) AS n_negatives FROM train")
+
+# --------------------------------------------------------------------------- model key sets
+register("fit_mf", with_(*TRAIN_BASE) + "SELECT DISTINCT user_idx, 8 AS n_factors FROM train")
+register("fit_nmf", with_(*TRAIN_BASE) + "SELECT DISTINCT item_idx, 8 AS n_factors, true AS nonnegative FROM train")
+register("save_load_model", with_(*TRAIN_BASE) + "SELECT DISTINCT item_idx, 8 AS n_factors FROM train")
+
+# --------------------------------------------------------------------------- incremental = one-shot merge
+register("incremental_update", with_(*TRAIN_BASE, LOGS, """ltz AS (
+  SELECT TRY_CAST(user_id AS BIGINT) AS user_idx, item_id AS item_idx, 1 AS label, """ + LOG_WEIGHT + """ AS weight,
+         (price - pstats.mean) / CASE WHEN pstats.std = 0 THEN 1 ELSE pstats.std END AS price_norm,
+         CASE WHEN category_id IS NULL THEN NULL ELSE LEAST(GREATEST(category_id, 1), 6) END AS category_idx
+  FROM logs, pstats)""", dedup_cte("newrows", "ltz"), """both_ AS (
+  SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM train
+  UNION ALL SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM newrows)""",
+                                      dedup_cte("merged", "both_")) + f"SELECT {D4_OUT} FROM merged")
