@@ -102,7 +102,7 @@ def read_logs(spark: SparkSession, path: str | list[str], multiline: bool = True
     # file) are not queries over the corrupt-record column alone
     keep = F.length(F.coalesce(F.col(schema.fields[0].name).cast("string"), F.lit(""))) >= 0  # always true
     good = df.where(F.col(CORRUPT).isNull() & keep).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select("file_path", CORRUPT)
+    bad = df.where(F.col(CORRUPT).isNotNull() & keep).select("file_path", CORRUPT)
     return good, bad
 
 
