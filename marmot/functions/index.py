@@ -21,6 +21,11 @@ _PID_SHIFT = 33  # monotonically_increasing_id puts the partition id in the uppe
 
 def global_index(df: DataFrame, order: list[str | Column], index_col: str = "idx",
                  partitions: int | None = None, start: int = 0) -> DataFrame:
+    return global_index_with_count(df, order, index_col, partitions, start)[0]
+
+
+def global_index_with_count(df: DataFrame, order: list[str | Column], index_col: str = "idx",
+                            partitions: int | None = None, start: int = 0) -> tuple[DataFrame, int]:
     """Attach a dense 0-based (or ``start``-based) position under ``order``.
 
     ``order`` must be a total order (add a unique tie-breaker) for the result
@@ -38,8 +43,10 @@ def global_index(df: DataFrame, order: list[str | Column], index_col: str = "idx
                     .agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
     # one row per partition: an un-partitioned window here is bounded by the partition count
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", "_first",
-                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), F.shiftright(tagged["_mid"], _PID_SHIFT) == offsets["_pid"])
+    offsets = counts.select("_pid", "_first", "_n",
+                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off")).checkpoint(eager=True)
+    total = offsets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]  # one row per partition summed
+    out = (tagged.join(F.broadcast(offsets), F.shiftright(tagged["_mid"], _PID_SHIFT) == offsets["_pid"])
                   .withColumn(index_col, (F.col("_off") + F.col("_mid") - F.col("_first") + F.lit(start)).cast("bigint"))
-                  .drop("_mid", "_pid", "_first", "_off"))
+                  .drop("_mid", "_pid", "_first", "_off", "_n"))
+    return out, int(total)

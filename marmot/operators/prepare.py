@@ -51,8 +51,8 @@ def minmax(df: DataFrame, src: str = "price", out: str = "price_norm", const: fl
     The range is a one-row aggregate planned as a scalar subquery (computed
     once, shipped to every task as a literal) instead of a join.
     """
-    lo = df.select(F.min(src)).scalar()
-    hi = df.select(F.max(src)).scalar()
+    rng = df.select(F.struct(F.min(src).alias("lo"), F.max(src).alias("hi"))).scalar()  # one pass
+    lo, hi = rng.getField("lo"), rng.getField("hi")
     x = F.col(src).cast("double")
     return df.withColumn(out, F.when(hi == lo, F.lit(const)).otherwise((x - lo) / (hi - lo)))
 
@@ -66,8 +66,9 @@ def fit_zscore(dim: DataFrame, src: str = "price") -> DataFrame:
 
 def zscore(df: DataFrame, stats: DataFrame, src: str = "price", out: str = "price_norm") -> DataFrame:
     """Standardise with stored statistics; a zero deviation divides by 1."""
-    mean = stats.select("mean").scalar()
-    std = stats.select(F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std"))).scalar()
+    st = stats.select(F.struct(F.col("mean").alias("m"),
+                               F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("s"))).scalar()
+    mean, std = st.getField("m"), st.getField("s")
     return df.withColumn(out, (F.col(src).cast("double") - mean) / std)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marmot import schemas as S
 from marmot.functions import columns as C
-from marmot.functions.index import global_index
+from marmot.functions.index import global_index, global_index_with_count
 
 
 def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TRAIN_QUANTILE, S.VAL_QUANTILE),
@@ -24,20 +24,22 @@ def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TR
     if not exact:
         q = F.percentile_approx("_x", list(probs), accuracy)
         return x.agg(q.alias("_q")).select(*[F.col("_q")[i].cast("double").alias(f"q{i}") for i in range(len(probs))])
-    ranked = global_index(x, ["_x"], "_pos")
-    n = ranked.select(F.count(F.lit(1))).scalar()
+    ranked, n = global_index_with_count(x, ["_x"], "_pos")
+    if n == 0:
+        return x.sparkSession.createDataFrame([tuple([None] * len(probs))],
+                                              ", ".join(f"q{i} DOUBLE" for i in range(len(probs))))
     aggs = []
     for i, p in enumerate(probs):
-        h = (n - 1) * F.lit(float(p))
+        h = F.lit(n - 1) * F.lit(float(p))
         lo, frac = F.floor(h), h - F.floor(h)
         v_lo = F.max(F.when(F.col("_pos") == lo, F.col("_x")))
-        v_hi = F.max(F.when(F.col("_pos") == F.least(lo + 1, n - 1), F.col("_x")))
+        v_hi = F.max(F.when(F.col("_pos") == F.least(lo + 1, F.lit(n - 1)), F.col("_x")))
         aggs.append((v_lo.cast("double") + frac * (v_hi - v_lo).cast("double")).alias(f"q{i}"))
     # only the (at most 2 per probability) neighbour rows survive the filter before aggregation
     needed = F.lit(False)
     for p in probs:
-        h = (n - 1) * F.lit(float(p))
-        needed = needed | (F.col("_pos") == F.floor(h)) | (F.col("_pos") == F.least(F.floor(h) + 1, n - 1))
+        h = F.lit(n - 1) * F.lit(float(p))
+        needed = needed | (F.col("_pos") == F.floor(h)) | (F.col("_pos") == F.least(F.floor(h) + 1, F.lit(n - 1)))
     return ranked.where(needed).agg(*aggs)
 
 
@@ -56,7 +58,8 @@ def temporal_split(df: DataFrame, ts: str = "ts", train_q: float = S.TRAIN_QUANT
     One table partitioned by ``split`` replaces three files.
     """
     q = time_quantiles(df, ts, (train_q, val_q), exact=exact)
-    q70, q85 = q.select("q0").scalar(), q.select("q1").scalar()
+    row = q.first()  # one row, two numbers: the cut-offs become literals
+    q70, q85 = F.lit(row["q0"]), F.lit(row["q1"])
     x = C.ts_micros(ts)
     tagged = df.withColumn("split", F.when(x <= q70, "train").when(x <= q85, "val").otherwise("test"))
     train = active_users(tagged.where(F.col("split") == "train"), user, min_train)
