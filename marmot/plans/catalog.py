@@ -685,3 +685,10 @@ def q_incremental_update(spark, sf_dir):
     merged = INC.run_incremental(spark, src, train(spark, sf_dir), out, ck, n_files=10,
                                  price_stats=TD.price_stats(spark, sf_dir))
     return d4(merged)
+
+
+@query("train_hybrid_mlp")
+def q_train_hybrid_mlp(spark, sf_dir):
+    t = train(spark, sf_dir)
+    model = TR.train_hybrid(t, mf_factors=MODEL_RANK, als_iters=5, ranker_iters=20, ranker="mlp")
+    return TR.recommend_all(model, t, val(spark, sf_dir).select("user_idx"), top_k=50, top_n=10)
