@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,34 +14,65 @@ from marmot.functions.index import global_index, global_index_with_count
 
 
 def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TRAIN_QUANTILE, S.VAL_QUANTILE),
-                   exact: bool = True, accuracy: int = 100000) -> DataFrame:
+                   exact: bool = True, accuracy: int = 10000, bracket_above: int = 20_000_000) -> DataFrame:
     """One row ``q0, q1, ...`` of quantiles of ``ts`` in epoch microseconds (linear interpolation).
 
-    exact: a distributed global index over the sorted column picks the two
-    neighbours of position (n-1)*p (``percentile`` would gather every value of
-    the group into one aggregation buffer). approximate: ``percentile_approx``.
+    exact (default): bracket, then index only the bracket.  ``percentile_approx``
+    (rank error <= n / accuracy) gives a value band around each quantile; one
+    pass counts the rows below each band and the total; only the band rows
+    (about 4 n / accuracy of them) get the distributed global index, from
+    which the two neighbours of position (n-1)*p are read.  If a band misses
+    them (possible only if the sketch's bound is violated) the whole column
+    is indexed instead.  Columns of at most ``bracket_above`` rows are indexed
+    whole (fewer jobs; the sort is cheap at that size).  ``percentile`` is never
+    used: it buffers a group's every value in one aggregation buffer.
+    approximate: ``percentile_approx``.
     """
     x = df.select(C.ts_micros(ts).alias("_x")).where(F.col("_x").isNotNull())
     if not exact:
         q = F.percentile_approx("_x", list(probs), accuracy)
         return x.agg(q.alias("_q")).select(*[F.col("_q")[i].cast("double").alias(f"q{i}") for i in range(len(probs))])
-    ranked, n = global_index_with_count(x, ["_x"], "_pos")
-    if n == 0:
-        return x.sparkSession.createDataFrame([tuple([None] * len(probs))],
-                                              ", ".join(f"q{i} DOUBLE" for i in range(len(probs))))
-    aggs = []
+    k = len(probs)
+    n_total = x.count()
+    if n_total == 0:
+        return _null_row(x, probs)
+    if n_total <= bracket_above:
+        ranked, n = global_index_with_count(x, ["_x"], "_pos")
+        wanted = {}
+        for p in probs:
+            h = (n - 1) * float(p)
+            wanted[p] = (h, int(math.floor(h)), min(int(math.floor(h)) + 1, n - 1))
+        pos = sorted({v for _, lo, hi in wanted.values() for v in (lo, hi)})
+        got = {r["_pos"]: r["_x"] for r in ranked.where(F.col("_pos").isin(pos)).collect()}
+        vals = tuple(float(got[lo]) + (h - lo) * float(got[hi] - got[lo]) for h, lo, hi in wanted.values())
+        return x.sparkSession.createDataFrame([vals], ", ".join(f"q{i} DOUBLE" for i in range(k)))
+    eps = 2.0 / accuracy
+    edges = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
+    approx = x.agg(F.percentile_approx("_x", edges, accuracy)).first()[0]
+    lo_v, hi_v = approx[:k], approx[k:]
+    stats = x.agg(F.count(F.lit(1)).alias("n"),
+                  *[F.count_if(F.col("_x") < F.lit(lo_v[i])).alias(f"b{i}") for i in range(k)]).first()
+    n = stats["n"]
+    values = []
     for i, p in enumerate(probs):
-        h = F.lit(n - 1) * F.lit(float(p))
-        lo, frac = F.floor(h), h - F.floor(h)
-        v_lo = F.max(F.when(F.col("_pos") == lo, F.col("_x")))
-        v_hi = F.max(F.when(F.col("_pos") == F.least(lo + 1, F.lit(n - 1)), F.col("_x")))
-        aggs.append((v_lo.cast("double") + frac * (v_hi - v_lo).cast("double")).alias(f"q{i}"))
-    # only the (at most 2 per probability) neighbour rows survive the filter before aggregation
-    needed = F.lit(False)
-    for p in probs:
-        h = F.lit(n - 1) * F.lit(float(p))
-        needed = needed | (F.col("_pos") == F.floor(h)) | (F.col("_pos") == F.least(F.floor(h) + 1, F.lit(n - 1)))
-    return ranked.where(needed).agg(*aggs)
+        h = (n - 1) * float(p)
+        lo = int(math.floor(h))
+        hi = min(lo + 1, n - 1)
+        band = x.where((F.col("_x") >= F.lit(lo_v[i])) & (F.col("_x") <= F.lit(hi_v[i])))
+        below = stats[f"b{i}"]
+        ranked, m = global_index_with_count(band, ["_x"], "_pos")
+        if not (below <= lo and hi < below + m):
+            ranked, m = global_index_with_count(x, ["_x"], "_pos")  # fallback: index the whole column
+            below = 0
+        got = {r["_pos"]: r["_x"] for r in ranked.where(F.col("_pos").isin([lo - below, hi - below])).collect()}
+        v_lo, v_hi = got[lo - below], got[hi - below]
+        values.append(float(v_lo) + (h - lo) * float(v_hi - v_lo))
+    return x.sparkSession.createDataFrame([tuple(values)], ", ".join(f"q{i} DOUBLE" for i in range(k)))
+
+
+def _null_row(x: DataFrame, probs) -> DataFrame:
+    return x.sparkSession.createDataFrame([tuple([None] * len(probs))],
+                                          ", ".join(f"q{i} DOUBLE" for i in range(len(probs))))
 
 
 def active_users(df: DataFrame, user: str = "user_idx", min_rows: int = S.MIN_TRAIN_ROWS) -> DataFrame:

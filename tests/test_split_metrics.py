@@ -59,3 +59,11 @@ def test_f8_metrics(spark):
     assert (3, 5) not in per and (4, 5) not in per          # no recommendations / not relevant: skipped
     ev = M.evaluate(recs, rel, ks=(5,)).first()
     assert ev["evaluated_users"] == 2 and ev["total_users"] == 3
+
+
+def test_quantile_bracket_equals_full_index(spark):
+    from marmot.sources import testdata as TD
+    rows = TD.training_rows(spark, "/root/testdata/sf0.001")
+    full = SP.time_quantiles(rows).first()
+    bracket = SP.time_quantiles(rows, bracket_above=0, accuracy=50).first()
+    assert tuple(full) == tuple(bracket)
