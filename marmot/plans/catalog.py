@@ -552,14 +552,15 @@ def q_skip_processed(spark, sf_dir):
 @query("latest_unprocessed_files")
 def q_latest_unprocessed_files(spark, sf_dir):
     led = FS.load_ledger(spark, ledger(spark, sf_dir))
-    rows, _ = FS.latest_unprocessed(_good_logs(spark, sf_dir), led, 10)
+    rows, _ = FS.fetch_latest_logs(spark, log_files(spark, sf_dir), led, 10, multiline=False)
     return rows.select(*S.LOG_COLUMNS)
 
 
 @query("logs_by_date_range")
 def q_logs_by_date_range(spark, sf_dir):
     led = FS.load_ledger(spark, ledger(spark, sf_dir))
-    rows, _ = FS.logs_by_date_range(_good_logs(spark, sf_dir), led, RANGE_START_MS, RANGE_END_MS)
+    rows, _ = FS.fetch_logs_by_date(spark, log_files(spark, sf_dir), led, RANGE_START_MS, RANGE_END_MS,
+                                    multiline=False)
     return rows.select(*S.LOG_COLUMNS)
 
 

@@ -154,6 +154,47 @@ def latest_unprocessed(good_rows: DataFrame, ledger: DataFrame, n: int = 10) ->
     return good_rows.join(chosen, "file_path", "left_semi"), chosen
 
 
+def fetch_latest_logs(spark: SparkSession, path: str, ledger: DataFrame, n: int = 10, prefix: str = "",
+                      ext: str = ".json", multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows of the ``n`` greatest unprocessed file keys that hold at least one good row,
+    reading only candidate files, never the processed history.
+
+    Files are listed (metadata only), ledgered ones dropped, and the newest
+    ``window`` keys read; the window doubles until ``n`` files yielded rows or
+    the backlog is exhausted (empty / unreadable files do not count toward n,
+    and are not marked, so they are retried next run).  Only file names
+    (at most the window) reach the driver.  Returns (rows, chosen files).
+    """
+    files = unprocessed(list_log_files(spark, path, prefix, ext), ledger).select("file_path")
+    total = files.count()
+    window = n
+    while True:
+        names = [r[0] for r in files.orderBy(F.col("file_path").desc()).limit(window).collect()]
+        if not names:
+            empty = spark.createDataFrame([], T.StructType(S.LOG_SCHEMA.fields + [T.StructField("file_path", T.StringType())]))
+            return empty, empty.select("file_path")
+        good, _ = read_logs(spark, names, multiline=multiline, ext=ext, recursive=False)
+        have = good.select("file_path").distinct()
+        if have.count() >= n or window >= total:
+            chosen = have.orderBy(F.col("file_path").desc()).limit(n)
+            return good.join(chosen, "file_path", "left_semi"), chosen
+        window *= 2
+
+
+def fetch_logs_by_date(spark: SparkSession, path: str, ledger: DataFrame, start=None, end=None, prefix: str = "",
+                       ext: str = ".json", multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows of unprocessed files inside [start, end], reading only unprocessed files;
+    returns (rows, files with at least one surviving row = the files to mark)."""
+    names = [r[0] for r in unprocessed(list_log_files(spark, path, prefix, ext), ledger)
+             .select("file_path").collect()]  # file names only (what the file index holds anyway)
+    if not names:
+        empty = spark.createDataFrame([], T.StructType(S.LOG_SCHEMA.fields + [T.StructField("file_path", T.StringType())]))
+        return empty, empty.select("file_path")
+    good, _ = read_logs(spark, names, multiline=multiline, ext=ext, recursive=False)
+    rows = filter_by_timestamp(good, start, end)
+    return rows, rows.select("file_path").distinct()
+
+
 def logs_by_date_range(good_rows: DataFrame, ledger: DataFrame, start=None, end=None) -> tuple[DataFrame, DataFrame]:
     """Rows of unprocessed files inside [start, end]; the files to mark are those
     with at least one surviving row.  Returns (rows, files_to_mark)."""

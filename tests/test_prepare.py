@@ -51,11 +51,16 @@ def test_f1_json_files(spark, tmp_dir):
     assert [r["file_path"].endswith("c.json") for r in bad.collect()] == [True]
     files = FS.list_log_files(spark, os.path.join(tmp_dir, "logs"), prefix="2025/1")
     assert files.count() == 3
+    # newest keys c (bad) and b (empty) do not count toward n: the window grows to reach a
+    rows0, chosen0 = FS.fetch_latest_logs(spark, os.path.join(tmp_dir, "logs"), FS.load_ledger(spark, "/nonexistent"), 1)
+    assert [r["file_path"].endswith("a.json") for r in chosen0.collect()] == [True] and rows0.count() == 2
     # ledger: a.json processed -> nothing left with rows; b (empty) and c (bad) never count
     led = os.path.join(tmp_dir, "ledger")
     FS.mark_processed(good.select("file_path").distinct(), led)
     rows2, chosen = FS.latest_unprocessed(good, FS.load_ledger(spark, led), 10)
     assert rows2.count() == 0 and chosen.count() == 0
+    rows3, chosen3 = FS.fetch_latest_logs(spark, os.path.join(tmp_dir, "logs"), FS.load_ledger(spark, led), 10)
+    assert rows3.count() == 0 and chosen3.count() == 0
 
 
 def test_filter_by_timestamp(spark):
