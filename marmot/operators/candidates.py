@@ -77,13 +77,21 @@ def restrict_category(cands: DataFrame, cat_items: DataFrame, req_category: str
 
 def mf_top_k(req_items: DataFrame, interactions: DataFrame, user_vecs: DataFrame, item_vecs: DataFrame,
              k: int = S.CANDIDATE_K, exclude_mode: str = "purchased", user: str = "user_id",
-             item: str = "item_idx") -> DataFrame:
+             item: str = "item_idx", items: DataFrame | None = None) -> DataFrame:
     """Known-user candidates per request: available items that the model knows (in the
     interactions and with a vector) -> category filter -> purchase/seen exclusion ->
-    dot-product score -> top k.  Filters run before scoring, so only surviving pairs are scored."""
-    trained = interactions.select(F.col(item).alias("_ti")).distinct()
+    dot-product score -> top k.  Filters run before scoring, so only surviving pairs are scored.
+
+    ``items`` (one row per item with its category, e.g. ``serve.item_table``)
+    lets a caller share one per-item aggregation across stages; by default the
+    (item, category) pairs of the interactions are used.
+    """
+    cat_items = (items.select(item, "category_idx") if items is not None
+                 else category_items(interactions, item))
+    trained = cat_items.select(F.col(item).alias("_ti")).distinct() if items is None \
+        else items.select(F.col(item).alias("_ti"))
     c = req_items.join(trained, req_items[item] == trained["_ti"], "left_semi")
-    c = restrict_category(c, category_items(interactions, item), "category_id", item)
+    c = restrict_category(c, cat_items, "category_id", item)
     c = exclude(c.withColumnRenamed(user, "user_idx"), interactions, exclude_mode).withColumnRenamed("user_idx", user)
     scored = score_pairs(c, user_vecs.withColumnRenamed(user_vecs.columns[0], user), item_vecs, user=user,
                          item=item, out="mf_score")

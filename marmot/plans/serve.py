@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from marmot import schemas as S
 from marmot.operators import candidates as CA
-from marmot.operators import popularity as POP
-from marmot.operators import prepare as P
 
 Ranker = Callable[[DataFrame], DataFrame]  # adds ``ranker_score`` to candidate rows
 
@@ -28,6 +26,24 @@ def route(requests: DataFrame, interactions: DataFrame, user: str = "user_id",
                     .withColumn("known", F.col("_k").isNotNull()).drop("_k"))
 
 
+def item_table(interactions: DataFrame, item: str = "item_idx", user: str = "user_idx") -> DataFrame:
+    """Everything serving needs per item, from ONE aggregation of the interactions:
+    meta (smallest (category, price_norm) seen, H9), weight sum, distinct users and
+    the composite popularity score (maxima over all items)."""
+    w_share, u_share = S.POPULARITY_WEIGHTS
+    per_item = (interactions.where(F.col(item).isNotNull()).groupBy(item).agg(
+        F.min(F.struct("category_idx", "price_norm")).alias("_m"),
+        F.coalesce(F.sum("weight"), F.lit(0.0)).cast("double").alias("weight_sum"),
+        F.countDistinct(user).alias("n_users")))
+    mx = per_item.select(F.struct(F.max("weight_sum").alias("w"),
+                                  F.max("n_users").cast("double").alias("u"))).scalar()
+    score = (F.lit(w_share) * (F.col("weight_sum") / mx.getField("w")) +
+             F.lit(u_share) * (F.col("n_users") / mx.getField("u")))
+    return per_item.select(item, F.col("_m.category_idx").alias("category_idx"),
+                           F.col("_m.price_norm").alias("price_norm"), "weight_sum", "n_users",
+                           score.alias("popularity_score"))
+
+
 def blend(df: DataFrame, ranker: str = "ranker_score", mf: str = "mf_score") -> DataFrame:
     """final = 0.6 * ranker + 0.4 * (mf / 10 if mf > 0 else 0); mf defaults to 0.0."""
     m = F.coalesce(F.col(mf), F.lit(0.0))
@@ -37,21 +53,24 @@ def blend(df: DataFrame, ranker: str = "ranker_score", mf: str = "mf_score") ->
 
 def hybrid(req_items: DataFrame, interactions: DataFrame, user_vecs: DataFrame, item_vecs: DataFrame,
            ranker: Ranker, k: int = S.CANDIDATE_K, depth: int = S.SERVE_DEPTH, exclude_mode: str = "purchased",
-           order_by: str = "ranker_score") -> DataFrame:
+           order_by: str = "ranker_score", items: DataFrame | None = None) -> DataFrame:
     """Two-stage ranking per request: MF top k -> attach item meta (items without meta
-    drop out) -> ranker score -> blend -> first ``depth`` in ranker order (H8)."""
-    cands = CA.mf_top_k(req_items, interactions, user_vecs, item_vecs, k, exclude_mode)
-    meta = P.item_meta(interactions)
-    c = cands.join(meta, "item_idx")
+    drop out) -> ranker score -> blend -> first ``depth`` in ranker order (H8).
+    The category filter and the meta both come from the one-row-per-item table, so
+    an item is kept only when its meta category is the requested one."""
+    items = items if items is not None else item_table(interactions)
+    cands = CA.mf_top_k(req_items, interactions, user_vecs, item_vecs, k, exclude_mode, items=items)
+    c = cands.join(items.select("item_idx", "category_idx", "price_norm"), "item_idx")
     scored = blend(ranker(c))
     return CA.top_k(scored, depth, "request_id", order_by, "item_idx", "position")
 
 
-def popular(req_items: DataFrame, interactions: DataFrame, depth: int = S.SERVE_DEPTH) -> DataFrame:
+def popular(req_items: DataFrame, interactions: DataFrame, depth: int = S.SERVE_DEPTH,
+            items: DataFrame | None = None) -> DataFrame:
     """Composite popularity per request (maxima over all items, then the request's
     availability and category filters), first ``depth``."""
-    scores = POP.composite_scores(interactions, carry=("category_idx",))
-    c = req_items.join(scores, "item_idx")
+    scores = items if items is not None else item_table(interactions)
+    c = req_items.join(scores.select("item_idx", "category_idx", "popularity_score"), "item_idx")
     c = c.where(F.col("category_id").isNull() | (F.col("category_id") == F.col("category_idx")))
     return CA.top_k(c, depth, "request_id", "popularity_score", "item_idx", "position")
 
@@ -89,12 +108,16 @@ def recommend(requests: DataFrame, interactions: DataFrame, user_vecs: DataFrame
         "request_id", "user_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("bigint").alias("item_id"),
         F.lit(None).cast("boolean").alias("has_next"), F.lit(None).cast("boolean").alias("has_more_results"),
         F.lit("error: available_items is required").alias("status"))
-    routed = route(ok, interactions)
-    items = CA.request_items(routed)
-    hy = hybrid(items.where("known"), interactions, user_vecs, item_vecs, ranker, k, depth)
-    po = popular(items.where(~F.col("known")), interactions, depth)
+    # Each branch prunes columns differently, so Spark cannot reuse a shared subplan;
+    # the routed requests (read by three branches) and the per-item table (one row
+    # per item, read by three) are checkpointed once to the shared checkpoint folder.
+    routed = route(ok, interactions).checkpoint(eager=True)
+    req_items = CA.request_items(routed)
+    items = item_table(interactions).checkpoint(eager=True)
+    hy = hybrid(req_items.where("known"), interactions, user_vecs, item_vecs, ranker, k, depth, items=items)
+    po = popular(req_items.where(~F.col("known")), interactions, depth, items=items)
     ranked = hy.select("request_id", "item_idx", "position").unionByName(po.select("request_id", "item_idx", "position"))
-    return paginate(ranked, ok).withColumn("status", F.lit("ok")).unionByName(bad)
+    return paginate(ranked, routed).withColumn("status", F.lit("ok")).unionByName(bad)
 
 
 def simplify(items: DataFrame, order: str, item: str = "item_idx", rank: str | None = None,
