@@ -1,11 +1,19 @@
 """Incremental ingest as a Structured Streaming job.
 
-new log files -> logs_to_training -> merge into the training table (highest
-weight per pair) -> versioned snapshot.  The stream checkpoint is the
-processed-file ledger: a file is committed only after its batch's snapshot is
-written (H5).  Each batch writes version ``b<batch_id>`` from the newest
-version *before* it, so a replayed batch rewrites the same version from the
-same input (idempotent) and never reads the path it overwrites.
+new log files -> logs_to_training -> delta of the training table.
+
+Layout under ``out``:
+  deltas/batch=b<batch_id>/   rows of one micro-batch (already one row per pair)
+  base/version=c<batch_id>/   compacted table including every delta up to that batch
+  base/_versions              version log (see sources.files.write_snapshot)
+
+A micro-batch writes only its own delta, so its cost is proportional to the
+batch, not to the table; a replayed batch overwrites its own delta with the
+same rows (idempotent).  The stream checkpoint is the processed-file ledger: a
+file is committed only after its batch's delta is written (H5).  Readers take
+the newest base plus the deltas after it and apply the highest-weight-per-pair
+rule, which is associative, so any grouping of batches gives the same table as
+one merge of everything.  ``compact`` folds the live deltas into a new base.
 """
 
 from __future__ import annotations
@@ -20,44 +28,75 @@ from marmot.session import exists
 from marmot.sources import files as FS
 
 
-def _version(batch_id: int) -> str:
+def _batch_tag(batch_id: int) -> str:
     return f"b{batch_id:012d}"
 
 
-def previous_version(spark: SparkSession, base: str, before: str) -> str | None:
-    if not exists(spark, f"{base}/_versions"):
+def _base_info(spark: SparkSession, out: str) -> tuple[str | None, str]:
+    """(newest base version or None, tag of the last batch folded into it)."""
+    v = FS.current_version(spark, f"{out}/base")
+    return v, ("b" + v[1:] if v else "")
+
+
+def read_merged(spark: SparkSession, out: str, base_train: DataFrame) -> DataFrame:
+    """The current training table: newest base (or the original table) + later deltas, deduplicated."""
+    version, through = _base_info(spark, out)
+    base = FS.read_snapshot(spark, f"{out}/base", version) if version else base_train.select(*S.TRAINING_COLUMNS)
+    if not exists(spark, f"{out}/deltas"):
+        return base
+    deltas = (spark.read.option("basePath", f"{out}/deltas").parquet(f"{out}/deltas")
+                   .where(F.col("batch") > F.lit(through)).select(*S.TRAINING_COLUMNS))
+    return P.merge(base, deltas, deduplicate=True)
+
+
+def compact(spark: SparkSession, out: str, base_train: DataFrame) -> str | None:
+    """Write base + live deltas as a new base version tagged with the last folded batch."""
+    if not exists(spark, f"{out}/deltas"):
+        return None
+    last = (spark.read.option("basePath", f"{out}/deltas").parquet(f"{out}/deltas")
+                 .select(F.max("batch")).first()[0])
+    _, through = _base_info(spark, out)
+    if last is None or last <= through:
         return None
-    return (spark.read.parquet(f"{base}/_versions").where(F.col("version") < before)
-                 .select(F.max("version")).first()[0])
+    version = "c" + last[1:]
+    FS.write_snapshot(read_merged(spark, out, base_train), f"{out}/base", version)
+    return version
+
+
+def live_deltas(spark: SparkSession, out: str) -> int:
+    if not exists(spark, f"{out}/deltas"):
+        return 0
+    _, through = _base_info(spark, out)
+    return (spark.read.option("basePath", f"{out}/deltas").parquet(f"{out}/deltas")
+                 .where(F.col("batch") > F.lit(through)).select("batch").distinct().count())
 
 
 def run_incremental(spark: SparkSession, src: str, base_train: DataFrame, out: str, checkpoint: str,
                     n_files: int = 10, price_stats: DataFrame | None = None, multiline: bool = False,
-                    vocab=S.LOG_ACTION_WEIGHTS, quarantine: str | None = None) -> DataFrame:
-    """Drain every new file under ``src`` (``n_files`` per micro-batch) and return the
-    merged training table.  Unparsable records go to ``quarantine`` when given."""
+                    vocab=S.LOG_ACTION_WEIGHTS, quarantine: str | None = None,
+                    compact_every: int = 8) -> DataFrame:
+    """Drain every new file under ``src`` (``n_files`` per micro-batch), then return the
+    merged training table; compacts when ``compact_every`` deltas are live.
+    Unparsable records go to ``quarantine`` when given."""
     schema = T.StructType(S.LOG_SCHEMA.fields + [T.StructField(FS.CORRUPT, T.StringType())])
     stream = (spark.readStream.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE")
                    .option("columnNameOfCorruptRecord", FS.CORRUPT).option("maxFilesPerTrigger", n_files)
                    .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(src))
-    base = base_train.select(*S.TRAINING_COLUMNS)
     stats = price_stats.collect()[0] if price_stats is not None else None  # one row
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         ss = batch.sparkSession
+        keep = F.length(F.coalesce(F.col("action"), F.lit(""))) >= 0  # keeps a parsed column referenced
         if quarantine:
-            batch.where(F.col(FS.CORRUPT).isNotNull()).write.mode("append").json(quarantine)
-        logs = batch.where(F.col(FS.CORRUPT).isNull()).drop(FS.CORRUPT)
+            batch.where(F.col(FS.CORRUPT).isNotNull() & keep).write.mode("append").json(quarantine)
+        logs = batch.where(F.col(FS.CORRUPT).isNull() & keep).drop(FS.CORRUPT)
         st = ss.createDataFrame([stats], price_stats.schema) if stats is not None else None
         new = P.logs_to_training(logs, vocab, price_mode="zscore" if st is not None else "minmax", price_stats=st)
-        v = _version(batch_id)
-        prev = previous_version(ss, out, v)
-        current = FS.read_snapshot(ss, out, prev) if prev else base
-        FS.write_snapshot(P.merge(current, new, deduplicate=True), out, v)
+        new.write.mode("overwrite").parquet(f"{out}/deltas/batch={_batch_tag(batch_id)}")
 
     q = (stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start())
     q.awaitTermination()
-    if FS.current_version(spark, out) is None:  # no new files: the table is unchanged
-        return base
-    return FS.read_snapshot(spark, out)
+    if compact_every and live_deltas(spark, out) >= compact_every:
+        compact(spark, out, base_train)
+    return read_merged(spark, out, base_train)

@@ -28,15 +28,19 @@ def test_stream_equals_batch_and_restarts(spark, tmp_dir):
     _write(os.path.join(src, "b.json"), [_log(3, 20, "2", "VIEW", 2, 100)])
     _write(os.path.join(src, "bad.json"), "not json")
     out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
-    first = INC.run_incremental(spark, src, base, out, ck, n_files=1, price_stats=stats, multiline=True)
+    first = INC.run_incremental(spark, src, base, out, ck, n_files=1, price_stats=stats, multiline=True,
+                                compact_every=0)
     got = {(r["user_idx"], r["item_idx"]): r["weight"] for r in first.collect()}
     assert got == {(1, 10): 5.0, (2, 20): 1.0, (3, 30): 1.0}
     # rerun: nothing new, nothing changes
-    again = INC.run_incremental(spark, src, base, out, ck, n_files=1, price_stats=stats, multiline=True)
+    again = INC.run_incremental(spark, src, base, out, ck, n_files=1, price_stats=stats, multiline=True,
+                                compact_every=0)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
     # one added file -> one new batch; final table equals the one-shot merge of everything
     _write(os.path.join(src, "c.json"), [_log(4, 20, "2", "CLICK", 2, 100)])
-    final = INC.run_incremental(spark, src, base, out, ck, n_files=1, price_stats=stats, multiline=True)
+    final = INC.run_incremental(spark, src, base, out, ck, n_files=1, price_stats=stats, multiline=True,
+                                compact_every=1)
+    assert INC.live_deltas(spark, out) == 0                      # folded into a new base version
     logs = spark.read.schema(S.LOG_SCHEMA).option("multiLine", True).json(
         [os.path.join(src, f) for f in ("a.json", "b.json", "c.json")])
     one_shot = P.merge(base, P.logs_to_training(logs, price_mode="zscore", price_stats=stats))
