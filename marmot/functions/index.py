@@ -20,21 +20,27 @@ _PID_SHIFT = 33  # monotonically_increasing_id puts the partition id in the uppe
 
 
 def global_index(df: DataFrame, order: list[str | Column], index_col: str = "idx",
-                 partitions: int | None = None, start: int = 0) -> DataFrame:
-    return global_index_with_count(df, order, index_col, partitions, start)[0]
+                 partitions: int | None = None, start: int = 0, spread_ties: bool = False) -> DataFrame:
+    return global_index_with_count(df, order, index_col, partitions, start, spread_ties)[0]
 
 
 def global_index_with_count(df: DataFrame, order: list[str | Column], index_col: str = "idx",
-                            partitions: int | None = None, start: int = 0) -> tuple[DataFrame, int]:
+                            partitions: int | None = None, start: int = 0,
+                            spread_ties: bool = False) -> tuple[DataFrame, int]:
     """Attach a dense 0-based (or ``start``-based) position under ``order``.
 
     ``order`` must be a total order (add a unique tie-breaker) for the result
-    to be deterministic.
+    to be deterministic.  ``spread_ties`` appends a per-row id to the sort key
+    so that one heavily repeated value cannot land in a single range partition
+    (use it when the order among equal values does not matter).
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    if spread_ties:
+        df = df.withColumn("_tie", F.monotonically_increasing_id())
+        order_cols = order_cols + [F.col("_tie")]
     tagged = (df.repartitionByRange(n, *order_cols)
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_mid", F.monotonically_increasing_id())
@@ -48,5 +54,5 @@ def global_index_with_count(df: DataFrame, order: list[str | Column], index_col:
     total = offsets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]  # one row per partition summed
     out = (tagged.join(F.broadcast(offsets), F.shiftright(tagged["_mid"], _PID_SHIFT) == offsets["_pid"])
                   .withColumn(index_col, (F.col("_off") + F.col("_mid") - F.col("_first") + F.lit(start)).cast("bigint"))
-                  .drop("_mid", "_pid", "_first", "_off", "_n"))
+                  .drop("_mid", "_pid", "_first", "_off", "_n", "_tie"))
     return out, int(total)

@@ -37,7 +37,7 @@ def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TR
     if n_total == 0:
         return _null_row(x, probs)
     if n_total <= bracket_above:
-        ranked, n = global_index_with_count(x, ["_x"], "_pos")
+        ranked, n = global_index_with_count(x, ["_x"], "_pos", spread_ties=True)
         wanted = {}
         for p in probs:
             h = (n - 1) * float(p)
@@ -60,9 +60,9 @@ def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TR
         hi = min(lo + 1, n - 1)
         band = x.where((F.col("_x") >= F.lit(lo_v[i])) & (F.col("_x") <= F.lit(hi_v[i])))
         below = stats[f"b{i}"]
-        ranked, m = global_index_with_count(band, ["_x"], "_pos")
+        ranked, m = global_index_with_count(band, ["_x"], "_pos", spread_ties=True)
         if not (below <= lo and hi < below + m):
-            ranked, m = global_index_with_count(x, ["_x"], "_pos")  # fallback: index the whole column
+            ranked, m = global_index_with_count(x, ["_x"], "_pos", spread_ties=True)  # fallback: whole column
             below = 0
         got = {r["_pos"]: r["_x"] for r in ranked.where(F.col("_pos").isin([lo - below, hi - below])).collect()}
         v_lo, v_hi = got[lo - below], got[hi - below]

@@ -67,3 +67,12 @@ def test_quantile_bracket_equals_full_index(spark):
     full = SP.time_quantiles(rows).first()
     bracket = SP.time_quantiles(rows, bracket_above=0, accuracy=50).first()
     assert tuple(full) == tuple(bracket)
+
+
+def test_global_index_spreads_a_hot_value(spark):
+    df = spark.range(0, 4000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    out = global_index(df, ["k"], "i", partitions=8, spread_ties=True)
+    parts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in parts) < 4000 / 3                 # the hot value is split
+    ks = [r["k"] for r in out.orderBy("i").collect()]
+    assert ks == sorted(ks) and out.select("i").distinct().count() == 4000
