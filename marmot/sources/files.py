@@ -109,22 +109,25 @@ def read_logs(spark: SparkSession, path: str | list[str], multiline: bool = True
 def filter_by_timestamp(logs: DataFrame, start: _dt.datetime | int | None = None,
                         end: _dt.datetime | int | None = None, ts: str = "timestamp") -> DataFrame:
     """Inclusive [start, end] on an epoch-ms column; either bound optional.  Rows
-    without a timestamp are dropped unless both bounds are absent."""
+    without a timestamp are dropped unless both bounds are absent.  Bounds become
+    epoch-ms literals compared with the raw column, so the predicate reaches the scan."""
     if start is None and end is None:
         return logs
-    t = C.epoch_ms_to_ts(ts)
     cond = F.col(ts).isNotNull()
     if start is not None:
-        cond = cond & (t >= _as_ts(start))
+        cond = cond & (F.col(ts) >= F.lit(_as_ms(start)))
     if end is not None:
-        cond = cond & (t <= _as_ts(end))
+        cond = cond & (F.col(ts) <= F.lit(_as_ms(end)))
     return logs.where(cond)
 
 
-def _as_ts(v):
+def _as_ms(v) -> int:
+    """int -> itself (epoch ms); naive datetimes are UTC wall clock (H18)."""
     if isinstance(v, int):
-        return F.timestamp_millis(F.lit(v))
-    return F.lit(v).cast("timestamp")
+        return v
+    if v.tzinfo is None:
+        v = v.replace(tzinfo=_dt.timezone.utc)
+    return int(v.timestamp() * 1000)
 
 
 # --------------------------------------------------------------------------- processed-file ledger
