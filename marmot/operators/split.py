@@ -14,7 +14,8 @@ from marmot.functions.index import global_index, global_index_with_count
 
 
 def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TRAIN_QUANTILE, S.VAL_QUANTILE),
-                   exact: bool = True, accuracy: int = 10000, bracket_above: int = 20_000_000) -> DataFrame:
+                   exact: bool = True, accuracy: int = 10000, bracket_above: int = 20_000_000,
+                   buffer_below: int = 1_000_000) -> DataFrame:
     """One row ``q0, q1, ...`` of quantiles of ``ts`` in epoch microseconds (linear interpolation).
 
     exact (default): bracket, then index only the bracket.  ``percentile_approx``
@@ -24,7 +25,9 @@ def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TR
     which the two neighbours of position (n-1)*p are read.  If a band misses
     them (possible only if the sketch's bound is violated) the whole column
     is indexed instead.  Columns of at most ``bracket_above`` rows are indexed
-    whole (fewer jobs; the sort is cheap at that size).  ``percentile`` is never
+    whole (fewer jobs; the sort is cheap at that size), and columns of at most
+    ``buffer_below`` rows use Spark's exact ``percentile`` (same interpolation;
+    its single buffer is bounded by that row count).  ``percentile`` is never
     used: it buffers a group's every value in one aggregation buffer.
     approximate: ``percentile_approx``.
     """
@@ -36,6 +39,9 @@ def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TR
     n_total = x.count()
     if n_total == 0:
         return _null_row(x, probs)
+    if n_total <= buffer_below:
+        q = F.percentile("_x", [float(p) for p in probs])
+        return x.agg(q.alias("_q")).select(*[F.col("_q")[i].cast("double").alias(f"q{i}") for i in range(k)])
     if n_total <= bracket_above:
         ranked, n = global_index_with_count(x, ["_x"], "_pos", spread_ties=True)
         wanted = {}
