@@ -84,14 +84,24 @@ def _escape(p: str) -> str:
 
 
 def read_logs(spark: SparkSession, path: str | list[str], multiline: bool = True, ext: str = ".json",
-              recursive: bool = True, schema: T.StructType = S.LOG_SCHEMA) -> tuple[DataFrame, DataFrame]:
+              recursive: bool = True, schema: T.StructType = S.LOG_SCHEMA,
+              prefix: str = "") -> tuple[DataFrame, DataFrame]:
     """Read log files -> (good rows with ``file_path``, bad records with ``file_path``).
 
+    ``prefix`` keeps only files whose key under ``path`` starts with it (a string
+    prefix, H6: honoured); only those files are read.
+
     multiline=True reads each file as one JSON document (a JSON array of log
     objects, the reference layout); False reads one JSON value per line.
     Unparsable input lands in ``bad`` instead of failing the job; an empty
     array yields no rows.
     """
+    if prefix and isinstance(path, str):
+        names = [r_[0] for r_ in list_log_files(spark, path, prefix, ext, recursive).select("file_path").collect()]
+        if not names:
+            empty = spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("file_path", T.StringType())]))
+            return empty, spark.createDataFrame([], f"file_path STRING, {CORRUPT} STRING")
+        path, recursive = names, False
     full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     r = (spark.read.schema(full).option("multiLine", multiline).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", f"*{ext}")

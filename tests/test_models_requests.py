@@ -61,3 +61,19 @@ def test_valid_request_shapes(spark):
         if cat is not None:
             assert all(meta[r["item_id"]] == cat for r in rows)            # category respected
         assert {r["has_next"] for r in by[rid_]} == {len(rows) < len(lst)}
+
+
+def test_ranker_save_load_round_trip(spark, tmp_dir):
+    train = ETL.split_part(spark, SF, "train").select(*S.TRAINING_COLUMNS)
+    dims = RK.fit_dims(train)
+    mf = RK.fit_mf(train, rank=4, max_iter=3, dims=dims)
+    fm = RK.fit_ranker(train, max_iter=3, dims=dims)
+    mlp = RK.fit_factor_ranker(train, mf, hidden=(8,), max_iter=5)
+    cands = train.select("user_idx", "item_idx", "category_idx", "price_norm").distinct()
+    for model, cls in ((fm, RK.RankerModel), (mlp, RK.FactorRankerModel)):
+        path = f"{tmp_dir}/{cls.__name__}"
+        model.save(path)
+        back = cls.load(spark, path)
+        a = {(r[0], r[1]): round(r[2], 9) for r in model.score(cands).select("user_idx", "item_idx", "ranker_score").collect()}
+        b = {(r[0], r[1]): round(r[2], 9) for r in back.score(cands).select("user_idx", "item_idx", "ranker_score").collect()}
+        assert a == b and len(a) == cands.count()

@@ -51,6 +51,9 @@ def test_f1_json_files(spark, tmp_dir):
     assert [r["file_path"].endswith("c.json") for r in bad.collect()] == [True]
     files = FS.list_log_files(spark, os.path.join(tmp_dir, "logs"), prefix="2025/1")
     assert files.count() == 3
+    assert FS.list_log_files(spark, os.path.join(tmp_dir, "logs"), prefix="2025/2").count() == 0
+    g2, _ = FS.read_logs(spark, os.path.join(tmp_dir, "logs"), prefix="2025/11")
+    assert g2.count() == 2
     # newest keys c (bad) and b (empty) do not count toward n: the window grows to reach a
     rows0, chosen0 = FS.fetch_latest_logs(spark, os.path.join(tmp_dir, "logs"), FS.load_ledger(spark, "/nonexistent"), 1)
     assert [r["file_path"].endswith("a.json") for r in chosen0.collect()] == [True] and rows0.count() == 2
