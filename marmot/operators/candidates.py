@@ -98,27 +98,122 @@ def mf_top_k(req_items: DataFrame, interactions: DataFrame, user_vecs: DataFrame
     return top_k(scored, k, "request_id", "mf_score", item, "mf_rank")
 
 
-# --------------------------------------------------------------------------- blocked all-items top-k
+# --------------------------------------------------------------------------- all-items top-k
+def _normalize(M):
+    import numpy as np
+    n = np.linalg.norm(M, axis=1, keepdims=True)
+    return np.divide(M, n, out=np.zeros_like(M), where=n > 0)
+
+
+def _top_rows(Q, X, ids, qids, exl, k, min_score, slab=512):
+    """Exact top-k of Q @ X.T per query row, ties broken by item id ascending.
+
+    Scores are computed in slabs of ``slab`` queries (bounded memory);
+    excluded items and scores not above ``min_score`` are removed before the
+    cut.  Returns arrays (query, item, score, rank).
+    """
+    import numpy as np
+    import pandas as pd
+    pos = pd.Index(ids)
+    kk = min(k, X.shape[0])
+    out_q, out_i, out_s, out_r = [], [], [], []
+    for lo in range(0, Q.shape[0], slab):
+        S = Q[lo:lo + slab] @ X.T
+        if min_score is not None:
+            S = np.where(S > min_score, S, -np.inf)
+        if exl is not None:
+            for r, lst in enumerate(exl[lo:lo + slab]):
+                if lst is not None and len(lst):
+                    cols = pos.get_indexer(np.asarray(lst))
+                    S[r, cols[cols >= 0]] = -np.inf
+        idx = np.argpartition(-S, kk - 1, axis=1)[:, :kk]
+        top = np.take_along_axis(S, idx, axis=1)
+        kth = top.min(axis=1)
+        ties = np.nonzero((S >= kth[:, None]).sum(axis=1) > kk)[0]
+        for r in ties:  # rare: equal scores straddle the cut -> smallest item ids win
+            cand = np.nonzero(S[r] >= kth[r])[0]
+            idx[r] = cand[np.lexsort((ids[cand], -S[r, cand]))[:kk]]
+        top = np.take_along_axis(S, idx, axis=1)
+        sel = ids[idx]
+        order = np.lexsort((sel, -top), axis=1)
+        sel, top = np.take_along_axis(sel, order, axis=1), np.take_along_axis(top, order, axis=1)
+        b = sel.shape[0]
+        out_q.append(np.repeat(qids[lo:lo + b], kk))
+        out_i.append(sel.ravel())
+        out_s.append(top.ravel())
+        out_r.append(np.tile(np.arange(1, kk + 1, dtype=np.int32), b))
+    q, i, sc, rk = (np.concatenate(a) for a in (out_q, out_i, out_s, out_r))
+    ok = np.isfinite(sc)
+    return q[ok], i[ok], sc[ok], rk[ok]
+
+
 def blocked_top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", min_score: float | None = None,
                   query_block: int = 65536, item_block: int = 65536, key: str = "user_idx",
-                  item: str = "item_idx", exclude_pairs: DataFrame | None = None) -> DataFrame:
-    """Top-k items per query vector over the whole item table without emitting query x item rows.
-
-    Queries are hashed into blocks of about ``query_block`` and items into
-    chunks of about ``item_block``.  Every (query block, item chunk) pair is a
-    cogroup handled by one pandas task: a dense matrix product and an
-    ``argpartition`` keep k items per query and chunk.  A final window keeps
-    the best k over chunks.  Rows emitted: queries x chunks x k, and the
-    per-task memory is bounded by the block sizes, not by the data.
-
-    ``exclude_pairs`` (key, item) are removed inside the block before the
-    top-k cut (exact): each query row carries its excluded items of that
-    chunk, a list bounded by the chunk size.
+                  item: str = "item_idx", exclude_pairs: DataFrame | None = None,
+                  broadcast_bytes: int = 512 << 20) -> DataFrame:
+    """Exact top-k items per query vector over the whole item table, never emitting
+    query x item rows.  Ties are broken by item id (as ``top_k`` does).
+
+    * catalog under ``broadcast_bytes`` (items x dim x 8, checked from the
+      counted size): the item matrix is shipped once as a broadcast and each
+      query partition scores its rows with a bounded-slab matrix product in
+      ``mapInPandas`` - no query is replicated, no shuffle of vectors.
+    * larger catalogs: queries are hashed into blocks of about
+      ``query_block`` and items into chunks of about ``item_block``; every
+      (block, chunk) pair is one cogrouped pandas task that keeps k per query
+      and chunk; a final window keeps the best k over chunks.  Per-task memory
+      is bounded by the block sizes.
+
+    ``exclude_pairs`` (key, item) are removed inside the task before the cut,
+    so no over-fetch is needed: each query row carries its excluded items
+    (per item chunk in the blocked form, bounded by the chunk size; per query
+    in the broadcast form, bounded by the catalog size that passed the check).
     """
+    from pyspark.sql import types as T
     qv = queries.select(F.col(key).alias("q"), F.col(queries.columns[1]).alias("qv"))
     iv = items.select(F.col(item).alias("i"), F.col(items.columns[1]).alias("iv"))
+    n_items = iv.count()
+    dim = len(iv.select("iv").first()[0]) if n_items else 0
+    cosine = metric == "cosine"
+    q_type, i_type = qv.schema["q"].dataType, iv.schema["i"].dataType
+    out_schema = T.StructType([T.StructField("q", q_type), T.StructField("i", i_type),
+                               T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    if n_items == 0:
+        return qv.sparkSession.createDataFrame([], out_schema).select(
+            F.col("q").alias(key), F.col("i").alias(item), "score", "rank")
+
+    if n_items * max(dim, 1) * 8 <= broadcast_bytes:
+        import numpy as np
+        pdf = iv.toPandas()  # bounded by the size check above
+        ids = pdf["i"].to_numpy()
+        X = np.vstack(pdf["iv"].to_numpy()).astype(np.float64)
+        if cosine:
+            X = _normalize(X)
+        bc = qv.sparkSession.sparkContext.broadcast((ids, X))
+        if exclude_pairs is not None:
+            ex = (exclude_pairs.select(F.col(key).alias("q"), F.col(item).alias("_x")).distinct()
+                  .groupBy("q").agg(F.collect_list("_x").alias("ex")))
+            qx = qv.join(ex, "q", "left")
+        else:
+            qx = qv.withColumn("ex", F.lit(None).cast(T.ArrayType(i_type)))
+
+        def score(batches):
+            import numpy as np
+            import pandas as pd
+            ids_, X_ = bc.value
+            for b in batches:
+                if b.empty:
+                    continue
+                Q = np.vstack(b["qv"].to_numpy()).astype(np.float64)
+                if cosine:
+                    Q = _normalize(Q)
+                q, i, sc, rk = _top_rows(Q, X_, ids_, b["q"].to_numpy(), b["ex"].to_numpy(), k, min_score)
+                yield pd.DataFrame({"q": q, "i": i, "score": sc, "rank": rk})
+
+        return qx.mapInPandas(score, out_schema).select(F.col("q").alias(key), F.col("i").alias(item), "score", "rank")
+
     n_q = max(1, math.ceil(qv.count() / query_block))
-    n_i = max(1, math.ceil(iv.count() / item_block))
+    n_i = max(1, math.ceil(n_items / item_block))
     q_rep = (qv.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_q)))
                .withColumn("ic", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)))))
     if exclude_pairs is not None:
@@ -127,46 +222,22 @@ def blocked_top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "d
               .groupBy("q", "ic").agg(F.collect_list("_x").alias("ex")))
         q_rep = q_rep.join(ex, ["q", "ic"], "left")
     else:
-        q_rep = q_rep.withColumn("ex", F.lit(None).cast(T.ArrayType(iv.schema["i"].dataType)))
+        q_rep = q_rep.withColumn("ex", F.lit(None).cast(T.ArrayType(i_type)))
     i_rep = (iv.withColumn("ic", F.pmod(F.xxhash64("i"), F.lit(n_i)))
                .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
-    out_schema = T.StructType([T.StructField("q", qv.schema["q"].dataType), T.StructField("i", iv.schema["i"].dataType),
-                               T.StructField("score", T.DoubleType())])
-    cosine = metric == "cosine"
 
     def block(qpdf, ipdf):
         import numpy as np
         import pandas as pd
         if qpdf.empty or ipdf.empty:
-            return pd.DataFrame({"q": [], "i": [], "score": []})
+            return pd.DataFrame({"q": [], "i": [], "score": [], "rank": []})
         Q = np.vstack(qpdf["qv"].to_numpy()).astype(np.float64)
         X = np.vstack(ipdf["iv"].to_numpy()).astype(np.float64)
         if cosine:
-            qn = np.linalg.norm(Q, axis=1, keepdims=True)
-            xn = np.linalg.norm(X, axis=1, keepdims=True)
-            Q = np.divide(Q, qn, out=np.zeros_like(Q), where=qn > 0)
-            X = np.divide(X, xn, out=np.zeros_like(X), where=xn > 0)
-        kk = min(k, X.shape[0])
-        qids, its_all = qpdf["q"].to_numpy(), ipdf["i"].to_numpy()
-        pos = pd.Index(its_all)
-        exl = qpdf["ex"].to_numpy()
-        out_q, out_i, out_s = [], [], []
-        for lo in range(0, Q.shape[0], 512):  # bounded score slab: 512 x chunk
-            sc = Q[lo:lo + 512] @ X.T
-            if min_score is not None:
-                sc = np.where(sc > min_score, sc, -np.inf)
-            for r, lst in enumerate(exl[lo:lo + 512]):
-                if lst is not None and len(lst):
-                    cols = pos.get_indexer(np.asarray(lst))
-                    sc[r, cols[cols >= 0]] = -np.inf
-            idx = np.argpartition(-sc, kk - 1, axis=1)[:, :kk]
-            top = np.take_along_axis(sc, idx, axis=1)
-            out_q.append(np.repeat(qids[lo:lo + 512], kk))
-            out_i.append(its_all[idx.ravel()])
-            out_s.append(top.ravel())
-        qs, its, vals = np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
-        ok = np.isfinite(vals)
-        return pd.DataFrame({"q": qs[ok], "i": its[ok], "score": vals[ok]})
+            Q, X = _normalize(Q), _normalize(X)
+        q, i, sc, rk = _top_rows(Q, X, ipdf["i"].to_numpy(), qpdf["q"].to_numpy(), qpdf["ex"].to_numpy(),
+                                 k, min_score)
+        return pd.DataFrame({"q": q, "i": i, "score": sc, "rank": rk})
 
     partial = (q_rep.groupBy("qb", "ic").cogroup(i_rep.groupBy("qb", "ic"))
                     .applyInPandas(block, out_schema))

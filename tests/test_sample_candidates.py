@@ -50,15 +50,27 @@ def test_blocked_top_k_matches_brute_force(spark):
     qdf = spark.createDataFrame([(i, Q[i].tolist()) for i in range(37)], "user_idx BIGINT, embedding ARRAY<DOUBLE>")
     idf = spark.createDataFrame([(j, X[j].tolist()) for j in range(53)], "item_idx BIGINT, embedding ARRAY<DOUBLE>")
     ex = spark.createDataFrame([(0, int(np.argmax(Q[0] @ X.T)))], "user_idx BIGINT, item_idx BIGINT")
-    got = CA.blocked_top_k(qdf, idf, 5, query_block=10, item_block=16, exclude_pairs=ex).collect()
-    res = {}
-    for r in got:
-        res.setdefault(r["user_idx"], []).append((r["rank"], r["item_idx"]))
     S = Q @ X.T
     S[0, int(np.argmax(S[0]))] = -np.inf
-    for u in range(37):
-        want = list(np.argsort(-S[u], kind="stable")[:5])
-        assert [i for _, i in sorted(res[u])] == want
+    for bcast in (0, 1 << 30):  # blocked cogroup path, then broadcast path
+        got = CA.blocked_top_k(qdf, idf, 5, query_block=10, item_block=16, exclude_pairs=ex,
+                               broadcast_bytes=bcast).collect()
+        res = {}
+        for r in got:
+            res.setdefault(r["user_idx"], []).append((r["rank"], r["item_idx"]))
+        for u in range(37):
+            want = list(np.argsort(-S[u], kind="stable")[:5])
+            assert [i for _, i in sorted(res[u])] == want
+
+
+def test_top_k_ties_break_by_item_id(spark):
+    qdf = spark.createDataFrame([(1, [1.0, 0.0])], "user_idx BIGINT, embedding ARRAY<DOUBLE>")
+    idf = spark.createDataFrame([(j, [1.0, 0.0]) for j in (9, 3, 7, 5)] + [(2, [0.5, 0.0])],
+                                "item_idx BIGINT, embedding ARRAY<DOUBLE>")
+    for bcast in (0, 1 << 30):
+        got = sorted((r["rank"], r["item_idx"]) for r in
+                     CA.blocked_top_k(qdf, idf, 2, item_block=2, broadcast_bytes=bcast).collect())
+        assert got == [(1, 3), (2, 5)]
 
 
 def test_f10_profiles_and_content(spark):
