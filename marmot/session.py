@@ -41,7 +41,7 @@ def get_spark(master: str | None = None, app: str = "marmot", shuffle_partitions
 def apply_runtime_conf(spark: SparkSession) -> None:
     """Apply the SQL settings that can change on a running session."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
-              "spark.sql.adaptive.skewJoin.enabled"):
+              "spark.sql.adaptive.skewJoin.enabled", "spark.sql.execution.arrow.pyspark.enabled"):
         spark.conf.set(k, CORE_CONF[k])
     checkpoint_dir(spark)
 
