@@ -45,3 +45,25 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One split; the ``split`` directory filter prunes the other partitions at the scan."""
     return splits(spark, sf_dir).where(F.col("split") == name)
+
+
+def prepare_dataset(events: DataFrame, items: DataFrame, out: str, vocab=None, fmt: str = "parquet") -> DataFrame:
+    """The dataset-preparation job: events (user_id, item_id, action, ts) + item dimension
+    (item_id, price, category_idx) -> labelled, weighted, z-scored, temporally split
+    training rows written under ``out/splits`` (partitioned by split) and the encoder
+    tables under ``out/encoders``.  Returns the written split table."""
+    from marmot import schemas as S
+    from marmot.operators import prepare as P
+    from marmot.sources import files as FS
+    vocab = vocab or S.GENERATOR_ACTION_WEIGHTS
+    df = P.enrich(events, items, how="left")
+    df = P.with_action_label(P.with_action_weight(df, vocab), vocab)
+    stats = P.fit_zscore(items, "price")
+    df = P.zscore(df, stats, "price", "price_norm")
+    rows = df.select(F.col("user_id").alias("user_idx"), F.col("item_id").alias("item_idx"), "label", "weight",
+                     "price_norm", "category_idx", "ts")
+    split = SP.temporal_split(rows).select(*S.TRAINING_COLUMNS, "split")
+    FS.write_splits(split, f"{out}/splits", fmt)
+    FS.write_encoders(f"{out}/encoders", P.fit_dim(rows, "user_idx"), P.fit_dim(rows, "item_idx"),
+                      P.category_dim(events.sparkSession), stats)
+    return FS.read_interactions(events.sparkSession, f"{out}/splits", fmt=fmt)

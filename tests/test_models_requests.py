@@ -77,3 +77,23 @@ def test_ranker_save_load_round_trip(spark, tmp_dir):
         a = {(r[0], r[1]): round(r[2], 9) for r in model.score(cands).select("user_idx", "item_idx", "ranker_score").collect()}
         b = {(r[0], r[1]): round(r[2], 9) for r in back.score(cands).select("user_idx", "item_idx", "ranker_score").collect()}
         assert a == b and len(a) == cands.count()
+
+
+def test_prepare_dataset_job(spark, tmp_dir):
+    ev = TD.events(spark, SF)
+    it = TD.items(spark, SF)
+    out = ETL.prepare_dataset(ev, it, f"{tmp_dir}/ds", vocab=S.EVENTS_ACTION_WEIGHTS)
+    direct = ETL.splits(spark, SF)
+    a = sorted((r["split"], r["user_idx"], r["item_idx"], r["weight"]) for r in out.collect())
+    b = sorted((r["split"], r["user_idx"], r["item_idx"], r["weight"]) for r in direct.collect())
+    assert a == b
+    assert spark.read.parquet(f"{tmp_dir}/ds/encoders/category_dim").count() == 6
+
+
+def test_simple_train_job(spark, tmp_dir):
+    from marmot.plans import train as TR
+    tr, va = ETL.split_part(spark, SF, "train"), ETL.split_part(spark, SF, "val")
+    m = TR.simple_train(tr, va, f"{tmp_dir}/run", mf_factors=4, epochs=3, top_k=20, top_n=10).first()
+    assert m["evaluated_users"] > 0 and 0.0 <= m["NDCG@10"] <= 1.0
+    back = RK.MFModel.load(spark, f"{tmp_dir}/run/mf")
+    assert back.item_factors().count() == tr.select("item_idx").distinct().count()
