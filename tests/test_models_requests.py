@@ -97,3 +97,13 @@ def test_simple_train_job(spark, tmp_dir):
     assert m["evaluated_users"] > 0 and 0.0 <= m["NDCG@10"] <= 1.0
     back = RK.MFModel.load(spark, f"{tmp_dir}/run/mf")
     assert back.item_factors().count() == tr.select("item_idx").distinct().count()
+
+
+def test_recommend_all_serves_cold_users(spark):
+    from marmot.plans import train as TR
+    tr = ETL.split_part(spark, SF, "train")
+    model = TR.train_hybrid(tr, mf_factors=4, als_iters=3, ranker_iters=3)
+    users = spark.createDataFrame([(10 ** 9,)], "user_idx BIGINT").unionByName(tr.select("user_idx").limit(1))
+    recs = TR.recommend_all(model, tr, users, top_k=20, top_n=5).collect()
+    cold = [r for r in recs if r["user_idx"] == 10 ** 9]
+    assert len(cold) == 5 and sorted(r["rank"] for r in cold) == [1, 2, 3, 4, 5]
