@@ -19,24 +19,35 @@ from marmot.session import checkpoint_dir
 _PID_SHIFT = 33  # monotonically_increasing_id puts the partition id in the upper 31 bits
 
 
+ROWS_PER_RANGE = 1_000_000
+
+
 def global_index(df: DataFrame, order: list[str | Column], index_col: str = "idx",
-                 partitions: int | None = None, start: int = 0, spread_ties: bool = False) -> DataFrame:
-    return global_index_with_count(df, order, index_col, partitions, start, spread_ties)[0]
+                 partitions: int | None = None, start: int = 0, spread_ties: bool = False,
+                 rows: int | None = None) -> DataFrame:
+    return global_index_with_count(df, order, index_col, partitions, start, spread_ties, rows)[0]
 
 
 def global_index_with_count(df: DataFrame, order: list[str | Column], index_col: str = "idx",
                             partitions: int | None = None, start: int = 0,
-                            spread_ties: bool = False) -> tuple[DataFrame, int]:
+                            spread_ties: bool = False, rows: int | None = None) -> tuple[DataFrame, int]:
     """Attach a dense 0-based (or ``start``-based) position under ``order``.
 
     ``order`` must be a total order (add a unique tie-breaker) for the result
     to be deterministic.  ``spread_ties`` appends a per-row id to the sort key
     so that one heavily repeated value cannot land in a single range partition
     (use it when the order among equal values does not matter).
+
+    The number of ranges grows with the input (about ``ROWS_PER_RANGE`` rows
+    each, never fewer than the shuffle-partition setting); callers that already
+    counted pass ``rows``, otherwise one counting pass decides it.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        rows = df.count() if rows is None else rows
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE))
+    n = partitions
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     if spread_ties:
         df = df.withColumn("_tie", F.monotonically_increasing_id())

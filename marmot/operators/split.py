@@ -43,7 +43,7 @@ def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TR
         q = F.percentile("_x", [float(p) for p in probs])
         return x.agg(q.alias("_q")).select(*[F.col("_q")[i].cast("double").alias(f"q{i}") for i in range(k)])
     if n_total <= bracket_above:
-        ranked, n = global_index_with_count(x, ["_x"], "_pos", spread_ties=True)
+        ranked, n = global_index_with_count(x, ["_x"], "_pos", spread_ties=True, rows=n_total)
         wanted = {}
         for p in probs:
             h = (n - 1) * float(p)
@@ -68,7 +68,7 @@ def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TR
         below = stats[f"b{i}"]
         ranked, m = global_index_with_count(band, ["_x"], "_pos", spread_ties=True)
         if not (below <= lo and hi < below + m):
-            ranked, m = global_index_with_count(x, ["_x"], "_pos", spread_ties=True)  # fallback: whole column
+            ranked, m = global_index_with_count(x, ["_x"], "_pos", spread_ties=True, rows=n)  # fallback: whole column
             below = 0
         got = {r["_pos"]: r["_x"] for r in ranked.where(F.col("_pos").isin([lo - below, hi - below])).collect()}
         v_lo, v_hi = got[lo - below], got[hi - below]
@@ -114,7 +114,7 @@ def random_split(df: DataFrame, keys: Sequence[str] = ("user_idx", "item_idx"),
     n_val = int(n * ratios[1])
     keyed = df.withColumn("_h", C.hash_order(*keys, seed=seed))
     tie = [F.col(k) for k in keys]
-    ranked = global_index(keyed, [F.col("_h"), *tie], "_pos")
+    ranked = global_index(keyed, [F.col("_h"), *tie], "_pos", rows=n)
     return ranked.withColumn("split", F.when(F.col("_pos") < n_train, "train")
                              .when(F.col("_pos") < n_train + n_val, "val").otherwise("test")).drop("_h", "_pos")
 
