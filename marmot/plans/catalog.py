@@ -331,9 +331,10 @@ def q_lookup_mf_score(spark, sf_dir):
     c = _known_items(spark, sf_dir)
     uv, iv = _vectors(spark, sf_dir, c)
     t = train(spark, sf_dir)
-    full = CA.mf_top_k(c, t, uv, iv, k=S.CANDIDATE_K).select("request_id", "item_idx")
-    top10 = CA.mf_top_k(c, t, uv, iv, k=10).select("request_id", "item_idx", "mf_score")
-    out = full.join(top10, ["request_id", "item_idx"], "left")
+    full = CA.mf_top_k(c, t, uv, iv, k=S.CANDIDATE_K)
+    # the top 10 is a prefix of the top 250 under the same order: one candidate pass
+    out = full.select("request_id", "item_idx",
+                      F.when(F.col("mf_rank") <= 10, F.col("mf_score")).alias("mf_score"))
     return out.select("request_id", "item_idx", C.round6(F.coalesce("mf_score", F.lit(0.0))).alias("mf_score"))
 
 
