@@ -107,3 +107,11 @@ def test_recommend_all_serves_cold_users(spark):
     recs = TR.recommend_all(model, tr, users, top_k=20, top_n=5).collect()
     cold = [r for r in recs if r["user_idx"] == 10 ** 9]
     assert len(cold) == 5 and sorted(r["rank"] for r in cold) == [1, 2, 3, 4, 5]
+
+
+def test_load_or_train(spark, tmp_dir):
+    from marmot.plans import train as TR
+    tr = ETL.split_part(spark, SF, "train")
+    m1, loaded1 = TR.load_or_train_hybrid(tr, f"{tmp_dir}/hy", mf_factors=4, als_iters=2, ranker_iters=2)
+    m2, loaded2 = TR.load_or_train_hybrid(tr, f"{tmp_dir}/hy", mf_factors=4, als_iters=2, ranker_iters=2)
+    assert (loaded1, loaded2) == (False, True) and m2.mf.rank == 4
