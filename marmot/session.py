@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -81,4 +80,4 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "exists", "local_path", "CORE_CONF", "os"]
+__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "exists", "local_path", "CORE_CONF"]

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marmot import schemas as S
-from marmot.functions import columns as C
 from marmot.session import exists
 
 CORRUPT = "_corrupt_record"
