@@ -52,4 +52,5 @@ def value_distribution(df: DataFrame, col: str, name: str | None = None) -> Data
 def category_distribution_map(df: DataFrame, col: str = "category_idx") -> DataFrame:
     """Category distribution as one map column (bounded: at most six keys)."""
     return (df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-              .agg(F.map_from_entries(F.collect_list(F.struct(F.col(col), F.col("n")))).alias("distribution")))
+              .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(col), F.col("n")))))
+                   .alias("distribution")))

@@ -74,14 +74,17 @@ def live_deltas(spark: SparkSession, out: str) -> int:
 def run_incremental(spark: SparkSession, src: str, base_train: DataFrame, out: str, checkpoint: str,
                     n_files: int = 10, price_stats: DataFrame | None = None, multiline: bool = False,
                     vocab=S.LOG_ACTION_WEIGHTS, quarantine: str | None = None,
-                    compact_every: int = 8) -> DataFrame:
+                    compact_every: int = 8, latest_first: bool = False) -> DataFrame:
     """Drain every new file under ``src`` (``n_files`` per micro-batch), then return the
     merged training table; compacts when ``compact_every`` deltas are live.
-    Unparsable records go to ``quarantine`` when given."""
+    Unparsable records go to ``quarantine`` when given.  ``latest_first`` takes
+    the newest files (by modification time) first within the backlog; with
+    ``availableNow`` the whole backlog is drained either way."""
     schema = T.StructType(S.LOG_SCHEMA.fields + [T.StructField(FS.CORRUPT, T.StringType())])
     stream = (spark.readStream.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE")
                    .option("columnNameOfCorruptRecord", FS.CORRUPT).option("maxFilesPerTrigger", n_files)
-                   .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(src))
+                   .option("latestFirst", str(latest_first).lower()).option("recursiveFileLookup", "true")
+                   .option("pathGlobFilter", "*.json").json(src))
     stats = price_stats.collect()[0] if price_stats is not None else None  # one row
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:

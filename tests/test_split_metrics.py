@@ -77,3 +77,21 @@ def test_global_index_spreads_a_hot_value(spark):
     assert max(r["count"] for r in parts) < 4000 / 3                 # the hot value is split
     ks = [r["k"] for r in out.orderBy("i").collect()]
     assert ks == sorted(ks) and out.select("i").distinct().count() == 4000
+
+
+def test_metrics_agree_with_ranking_evaluator(spark):
+    """Cross-check with Spark ML's RankingEvaluator where its set semantics coincide
+    (distinct relevant items, k no longer than every list)."""
+    from pyspark.ml.evaluation import RankingEvaluator
+    recs = [(1, [1, 2, 3, 4, 5]), (2, [5, 6, 7, 8, 9]), (3, [9, 1, 4, 2, 7])]
+    rel = [(1, [2, 9]), (2, [5, 1, 7]), (3, [3])]
+    rows = [(u, it, r + 1) for u, lst in recs for r, it in enumerate(lst)]
+    relrows = [(u, it) for u, lst in rel for it in lst]
+    ours = M.evaluate(spark.createDataFrame(rows, "user_idx BIGINT, item_idx BIGINT, rank INT"),
+                      spark.createDataFrame(relrows, "user_idx BIGINT, item_idx BIGINT"), ks=(5,)).first()
+    pairs = spark.createDataFrame([([float(x) for x in r], [float(x) for x in dict(rel)[u]]) for u, r in recs],
+                                  "prediction ARRAY<DOUBLE>, label ARRAY<DOUBLE>")
+    ev = RankingEvaluator(predictionCol="prediction", labelCol="label", k=5)
+    assert abs(ev.setMetricName("precisionAtK").evaluate(pairs) - ours["precision"]) < 1e-9
+    assert abs(ev.setMetricName("recallAtK").evaluate(pairs) - ours["recall"]) < 1e-9
+    assert abs(ev.setMetricName("ndcgAtK").evaluate(pairs) - ours["ndcg"]) < 1e-9
