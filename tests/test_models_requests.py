@@ -115,3 +115,17 @@ def test_load_or_train(spark, tmp_dir):
     m1, loaded1 = TR.load_or_train_hybrid(tr, f"{tmp_dir}/hy", mf_factors=4, als_iters=2, ranker_iters=2)
     m2, loaded2 = TR.load_or_train_hybrid(tr, f"{tmp_dir}/hy", mf_factors=4, als_iters=2, ranker_iters=2)
     assert (loaded1, loaded2) == (False, True) and m2.mf.rank == 4
+
+
+def test_grid_prefix_reuse_matches_direct_evaluation(spark):
+    from marmot.operators import metrics as M
+    from marmot.plans import train as TR
+    tr, va = ETL.split_part(spark, SF, "train"), ETL.split_part(spark, SF, "val")
+    grid = {"mf_factors": [4], "epochs": [3], "batch_size": [512], "top_k": [10, 20], "top_n": [3, 5]}
+    res = {(r["top_k"], r["top_n"]): r for r in TR.grid_search(tr, va, grid, ks=(3, 5)).collect()}
+    model = TR.train_hybrid(tr.select(*S.TRAINING_COLUMNS), mf_factors=4, als_iters=3, ranker_iters=3)
+    for top_k, top_n in ((10, 3), (20, 5)):
+        direct = M.wide(TR.evaluate_model(model, tr, va, top_k, top_n, ks=(3, 5))).first()
+        for m in ("Precision@3", "NDCG@5", "HitRate@5"):
+            assert abs(direct[m] - res[(top_k, top_n)][m]) < 1e-9
+    assert sum(1 for r in res.values() if r["is_best"]) == 1
