@@ -129,3 +129,15 @@ def test_grid_prefix_reuse_matches_direct_evaluation(spark):
         for m in ("Precision@3", "NDCG@5", "HitRate@5"):
             assert abs(direct[m] - res[(top_k, top_n)][m]) < 1e-9
     assert sum(1 for r in res.values() if r["is_best"]) == 1
+
+
+def test_serving_with_fitted_models(spark):
+    from marmot.plans import train as TR
+    tr = ETL.split_part(spark, SF, "train")
+    model = TR.train_hybrid(tr, mf_factors=4, als_iters=3, ranker_iters=3)
+    known = tr.select("user_idx").first()[0]
+    req = spark.createDataFrame([(1, known, 5, None, L20, None), (2, 10 ** 9, 5, 2, L20, None)], S.REQUEST_SCHEMA)
+    out = SV.recommend(req, tr.drop("split"), model.mf.user_factors(), model.mf.item_factors(),
+                       lambda c: model.ranker.score(c, user="user_id")).collect()
+    assert {r["request_id"] for r in out} == {1, 2}
+    assert all(r["item_id"] is None or r["item_id"] in L20 for r in out)
