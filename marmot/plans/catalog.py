@@ -25,7 +25,7 @@ from marmot.operators import stats as ST
 from marmot.plans import etl as ETL
 from marmot.plans import serve as SV
 from marmot.plans import train as TR
-from marmot.session import scratch_path
+from marmot.session import exists, scratch_path
 from marmot.sources import files as FS
 from marmot.streaming import incremental as INC
 from marmot.sources import testdata as TD
@@ -480,7 +480,7 @@ RANGE_START_MS, RANGE_END_MS = 1704844800000, 1705363199999  # 2024-01-10 00:00
 
 def _memo_path(spark, sf_dir, key, build) -> str:
     memo = (spark.sparkContext.applicationId, sf_dir, key)
-    if memo not in _FILES:
+    if memo not in _FILES or not exists(spark, _FILES[memo]):  # rebuild if the files are gone
         _FILES[memo] = build()
     return _FILES[memo]
 

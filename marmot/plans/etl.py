@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marmot.operators import split as SP
-from marmot.session import scratch_path
+from marmot.session import exists, scratch_path
 from marmot.sources import testdata as TD
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -30,7 +30,7 @@ def materialized(spark: SparkSession, key: str, sf_dir: str, build, partition_by
     """Write ``build()`` once per (application, input, key) and read the written table."""
     memo = (spark.sparkContext.applicationId, sf_dir, key)
     path = _WRITTEN.get(memo)
-    if path is None:
+    if path is None or not exists(spark, path):  # rebuild if the written table is gone
         path = write_table(build(), scratch_path(spark, key), partition_by)
         _WRITTEN[memo] = path
     return spark.read.parquet(path)
