@@ -496,12 +496,14 @@ def log_files(spark, sf_dir) -> str:
 
 def ledger(spark, sf_dir) -> str:
     """A ledger holding the files of the first days."""
+    logs_path = log_files(spark, sf_dir)
+
     def build():
         path = scratch_path(spark, "ledger")
-        files = FS.list_log_files(spark, log_files(spark, sf_dir))
+        files = FS.list_log_files(spark, logs_path)
         FS.mark_processed(files.where(F.regexp_extract("file_path", r"day=([0-9-]+)", 1) <= LEDGER_UNTIL), path)
         return path
-    return _memo_path(spark, sf_dir, "ledger", build)
+    return _memo_path(spark, sf_dir, ("ledger", logs_path), build)  # tied to these log files
 
 
 def _good_logs(spark, sf_dir):
