@@ -64,11 +64,17 @@ def fit_zscore(dim: DataFrame, src: str = "price") -> DataFrame:
                    F.var_pop(F.col(src).cast("double")).alias("var"))
 
 
-def zscore(df: DataFrame, stats: DataFrame, src: str = "price", out: str = "price_norm") -> DataFrame:
-    """Standardise with stored statistics; a zero deviation divides by 1."""
-    st = stats.select(F.struct(F.col("mean").alias("m"),
-                               F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("s"))).scalar()
-    mean, std = st.getField("m"), st.getField("s")
+def zscore(df: DataFrame, stats, src: str = "price", out: str = "price_norm") -> DataFrame:
+    """Standardise with stored statistics; a zero deviation divides by 1.
+
+    ``stats`` is the one-row (mean, std) table (used as a scalar subquery) or,
+    when the numbers are already known, a ``(mean, std)`` pair of literals."""
+    if isinstance(stats, DataFrame):
+        st = stats.select(F.struct(F.col("mean").alias("m"),
+                                   F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std")).alias("s"))).scalar()
+        mean, std = st.getField("m"), st.getField("s")
+    else:
+        mean, std = F.lit(float(stats[0])), F.lit(float(stats[1]) if stats[1] else 1.0)
     return df.withColumn(out, (F.col(src).cast("double") - mean) / std)
 
 
@@ -166,7 +172,7 @@ def item_attributes(df: DataFrame, item: str = "item_idx") -> DataFrame:
 
 # --------------------------------------------------------------------------- composed: logs -> training rows
 def logs_to_training(logs: DataFrame, vocab: Mapping[str, float] = S.LOG_ACTION_WEIGHTS,
-                     price_mode: str = "minmax", price_stats: DataFrame | None = None,
+                     price_mode: str = "minmax", price_stats=None,
                      user_type: str = "bigint") -> DataFrame:
     """D1 log rows -> D4 training rows.
 

@@ -88,12 +88,11 @@ def run_incremental(spark: SparkSession, src: str, base_train: DataFrame, out: s
     stats = price_stats.collect()[0] if price_stats is not None else None  # one row
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        ss = batch.sparkSession
         keep = F.length(F.coalesce(F.col("action"), F.lit(""))) >= 0  # keeps a parsed column referenced
         if quarantine:
             batch.where(F.col(FS.CORRUPT).isNotNull() & keep).write.mode("append").json(quarantine)
         logs = batch.where(F.col(FS.CORRUPT).isNull() & keep).drop(FS.CORRUPT)
-        st = ss.createDataFrame([stats], price_stats.schema) if stats is not None else None
+        st = (stats["mean"], stats["std"]) if stats is not None else None  # literals, no per-batch subquery
         new = P.logs_to_training(logs, vocab, price_mode="zscore" if st is not None else "minmax", price_stats=st)
         new.write.mode("overwrite").parquet(f"{out}/deltas/batch={_batch_tag(batch_id)}")
 
