@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marmot.llm.common import table
 from marmot.session import scratch_path
@@ -36,7 +37,39 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), lower=False, end=0))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marmot.llm.quality import fit, learnable, scored
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", (~learnable()).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marmot.llm.quality import learnable
+    from marmot.llm.toxicity import fit, scored
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", (~learnable()).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marmot.llm.pii import find, fit
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, fit(docs))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marmot.llm.html import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op5_personal_data": op5_personal_data,
+    "op6_html_extraction": op6_html_extraction,
+    "op10_quality": op10_quality,
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_token_output": op8_token_output,
