@@ -7,9 +7,9 @@ or for a word break.  Viterbi decoding finds the path of the highest probability
 character trigram model counted over **all documents** plus the channel's costs.
 
 *Scoring.*  Words and word beginnings of restored texts are counted by label over the
-learnable labelled rows, near-copies counting once.  Those that are clearly commoner in
-toxic texts form a lexicon with the lower bound of their toxic share; a text's score is
-the noisy-or of its lexicon words.
+learnable labelled rows, near-copies counting once.  Those that are all but always in
+toxic texts form a lexicon with their toxic share; a text's score is the noisy-or of its
+lexicon words, each counted by its best entry.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ CUT = 0.7
 #: most labelled rows in a fit (those of the smallest hash of doc_id)
 FIT_ROWS = 200_000
 MIN_TOXIC = 5
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: least toxic share of a lexicon entry
+PURE = 0.97
 
 # ---------------------------------------------------------------- character model
 #: symbols: 0 boundary, 1-26 letters, 27 every other letter
@@ -212,38 +214,33 @@ def _feature_rows(model_var):
     return run
 
 
-def _lower_bound(k: float, n: float) -> float:
-    """Wilson's lower bound of a share, three standard errors."""
-    z = 3.0
-    p = k / n
-    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-
-
 class Model:
     """A lexicon of restored words with a bounded memo of what a token holds of it."""
 
     def __init__(self, characters: np.ndarray, lexicon: dict[str, float], base: float):
         self.lexicon, self.base = lexicon, base
         self.restorer = Restorer(characters)
-        self.memo: dict[str, tuple[str, ...]] = {}
+        self.memo: dict[str, tuple[tuple[str, float], ...]] = {}
 
-    def hits(self, tokens: set[str]) -> set[str]:
-        """Lexicon entries among the tokens' words."""
-        memo, out = self.memo, set()
+    def hits(self, tokens: set[str]) -> dict[str, float]:
+        """Lexicon words among the tokens, each with the share of its best entry."""
+        memo, out = self.memo, {}
         if len(memo) > 500_000:
             memo.clear()
         for t in tokens:
             got = memo.get(t)
             if got is None:
-                got = memo[t] = tuple(f for f in word_features({*self.restorer.token(t)}) if f in self.lexicon)
+                found = ((w, max((self.lexicon.get(f, 0.0) for f in word_features({w})), default=0.0)) for w in self.restorer.token(t))
+                got = memo[t] = tuple(x for x in found if x[1])
             if got:
                 out.update(got)
         return out
 
     def score(self, text: str | None) -> float:
         rest = 1 - self.base
-        for f in sorted(self.hits(self.restorer.tokens(text or ""))):
-            rest *= 1 - self.lexicon[f]
+        found = self.hits(self.restorer.tokens(text or ""))
+        for w in sorted(found):
+            rest *= 1 - found[w]
         return 1 - rest
 
 
@@ -261,13 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FI
     each = (found.select("kind", "label", F.explode("feature").alias("feature"))
             .groupBy("feature", "kind").agg(F.max("label").alias("label")))
     counts = (each.groupBy("feature").agg(F.sum("label").alias("k"), F.count(F.lit(1)).alias("n"))
-              .where((F.col("k") >= MIN_TOXIC) & (F.col("k") >= 0.5 * F.col("n"))))
+              .where((F.col("k") >= MIN_TOXIC) & (F.col("k") >= PURE * F.col("n"))))
     lexicon = {}
-    for r in counts.toLocalIterator():  # words that are toxic more often than not
-        bound = _lower_bound(r["k"], r["n"])
-        # by chance, so many toxic texts of so many would be rarer than one in 10**7
-        if r["k"] * math.log(max(base, 1e-6)) < math.log(1e-4) and bound > 2 * base:
-            lexicon[r["feature"]] = (r["k"] - 0.2) / r["n"]
+    for r in counts.toLocalIterator():  # a lexicon: what is all but always toxic
+        # so many toxic texts by chance must be rarer than one in 10**4 for one entry
+        if r["k"] * math.log(max(base, 1e-6)) < math.log(1e-4):
+            lexicon[r["feature"]] = (r["k"] - 0.5) / (r["n"] + 0.5)
     return Model(characters, lexicon, 0.25 * base)
 
 
