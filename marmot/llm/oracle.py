@@ -54,7 +54,61 @@ select w.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, w.d
 from words w join comp using (doc_id) left join sizes using (doc_id)
 """
 
+OP2 = r"""
+with words as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w
+    from documents),
+stats as (select cast(count(*) as double) as n, greatest(1.0, cast(sum(len(w)) as double) / count(*)) as mean from words),
+tfs as (select doc_id, len, word, cast(count(*) as double) as tf from (select doc_id, len(w) as len, unnest(w) as word from words) group by all),
+dfs as (select word, cast(count(*) as double) as df from tfs group by word),
+weighed as (
+    select doc_id, word, df, cast(round(tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * 1000000) as bigint) as weight
+    from tfs join dfs using (word), stats where doc_id % 50 = 0 and df > 1),
+query as (
+    select doc_id as query_id, word, df from weighed
+    qualify row_number() over (partition by doc_id order by weight desc, df, word) <= 24),
+scores as (
+    select query_id, doc_id,
+           cast(sum(cast(floor(1000000 * (ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))) + 0.5) as bigint)) as bigint) as score
+    from query join tfs using (word), stats group by all)
+select query_id, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from scores
+qualify row_number() over (partition by query_id order by score desc, doc_id) <= 10
+"""
+
+OP4 = r"""
+with parts as (
+    select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as pos
+    from documents where text is not null),
+lines as (
+    select doc_id, pos, x, row_number() over (partition by doc_id order by pos) as idx,
+           least(20, 1 + length(trim(x)) - length(replace(trim(x), ' ', ''))) as w
+    from parts where trim(x) <> ''),
+summed as (select *, sum(w) over (partition by doc_id order by idx) as upto from lines),
+runs as (
+    select a.doc_id, a.idx as s, min(b.idx) as e
+    from summed a join summed b on a.doc_id = b.doc_id and b.idx between a.idx and a.idx + 20 and b.upto - a.upto + a.w >= 20 group by a.doc_id, a.idx
+    union
+    select a.doc_id, max(a.idx) as s, b.idx as e
+    from summed a join summed b on a.doc_id = b.doc_id and b.idx between a.idx and a.idx + 20 and b.upto - a.upto + a.w >= 20 group by a.doc_id, b.idx),
+spelled as (
+    select r.doc_id, s, e, string_agg(x, chr(10) order by idx) as run
+    from runs r join lines l on l.doc_id = r.doc_id and l.idx between s and e group by all),
+later as (select * from spelled qualify row_number() over (partition by run order by doc_id, s) > 1),
+gone as (select distinct l.doc_id, l.pos from later r join lines l on l.doc_id = r.doc_id and l.idx between s and e),
+kept as (
+    select p.doc_id, string_agg(p.x, chr(10) order by p.pos) filter (where g.pos is null) as text,
+           count(*) filter (where trim(p.x) <> '') as n_lines, count(g.pos) as n_deleted
+    from parts p left join gone g on g.doc_id = p.doc_id and g.pos = p.pos group by p.doc_id)
+select d.doc_id, case when d.text is not null then coalesce(k.text, '') end as text,
+       cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_deleted, 0) as bigint) as n_deleted
+from documents d left join kept k using (doc_id)
+"""
+
 SQL = {
     "op1_minhash_near_dedup": OP1,
+    "op2_exact_search": OP2,
+    "op4_line_dedup": OP4,
     "op7_decontamination": OP7,
 }

@@ -45,6 +45,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~learnable()).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
+def op2_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marmot.llm.search import top_k
+    docs = table(spark, sf_dir, "documents")
+    return top_k(docs, docs.where("doc_id % 50 = 0"), k=10)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marmot.llm.linededup import line_deduplicated
+    return line_deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marmot.llm.quality import learnable
     from marmot.llm.toxicity import fit, scored
@@ -66,12 +78,14 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_exact_search": op2_exact_search,
     "op3_toxicity": op3_toxicity,
+    "op4_line_dedup": op4_line_dedup,
     "op5_personal_data": op5_personal_data,
     "op6_html_extraction": op6_html_extraction,
-    "op10_quality": op10_quality,
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_token_output": op8_token_output,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
