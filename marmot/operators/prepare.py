@@ -142,8 +142,11 @@ def dedup_max_weight(df: DataFrame, keys: tuple[str, str] = ("user_idx", "item_i
 
 def merge(existing: DataFrame, new: DataFrame, deduplicate: bool = True,
           required: Iterable[str] = S.TRAINING_COLUMNS) -> DataFrame:
-    """existing UNION ALL new (by name, after casting new to existing's types), then optional dedup."""
+    """existing UNION ALL new (by name, after casting new to existing's types), then optional dedup.
+    User ids of different types meet as strings, so no id is lost to a numeric cast."""
     validate_columns(new, required)
+    if "user_idx" in existing.columns and existing.schema["user_idx"].dataType != new.schema["user_idx"].dataType:
+        existing = existing.withColumn("user_idx", F.col("user_idx").cast("string"))  # ids of both sides as text (H2)
     aligned = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in existing.schema.fields
                            if f.name in new.columns])
     merged = existing.unionByName(aligned, allowMissingColumns=True)
@@ -171,10 +174,16 @@ def item_attributes(df: DataFrame, item: str = "item_idx") -> DataFrame:
 
 
 # --------------------------------------------------------------------------- composed: logs -> training rows
+def rows_without_ids(logs: DataFrame) -> DataFrame:
+    """Log rows whose user id is missing, or whose item id is missing or no number (H3)."""
+    return logs.where(F.col("user_id").isNull() | F.col("item_id").try_cast("bigint").isNull())
+
+
 def logs_to_training(logs: DataFrame, vocab: Mapping[str, float] = S.LOG_ACTION_WEIGHTS,
                      price_mode: str = "minmax", price_stats=None,
-                     user_type: str = "bigint") -> DataFrame:
-    """D1 log rows -> D4 training rows.
+                     user_type: str = "string") -> DataFrame:
+    """D1 log rows -> D4 training rows; user ids are strings.  Rows without a user or item id are
+    left out (``rows_without_ids`` gives them, for a quarantine).
 
     validate -> cast ids -> label 1 -> weight by vocabulary -> price scaling
     (min-max over the batch, computed before dedup; or z-score with stored
@@ -182,7 +191,7 @@ def logs_to_training(logs: DataFrame, vocab: Mapping[str, float] = S.LOG_ACTION_
     (user, item).
     """
     validate_columns(logs, S.LOG_COLUMNS)
-    df = cast_ids(logs, user_type=user_type)
+    df = cast_ids(logs, user_type=user_type).where("user_id is not null and item_id is not null")
     df = df.select(F.col("user_id").alias("user_idx"), F.col("item_id").alias("item_idx"),
                    "action", "category_id", "price")
     df = with_action_label(df, None)

@@ -144,6 +144,21 @@ def q_project_training_columns(spark, sf_dir):
     return d4(P.logs_to_training(TD.logs(spark, sf_dir)))
 
 
+@query("string_user_logs")
+def q_string_user_logs(spark, sf_dir):
+    """Logs whose user ids are no numbers, one in 97 of them missing: training rows of the others."""
+    u = F.when(F.col("user_id").cast("bigint") % 97 != 0, F.concat(F.lit("user_"), "user_id"))
+    return d4(P.logs_to_training(TD.logs(spark, sf_dir).withColumn("user_id", u)))
+
+
+@query("logs_without_ids")
+def q_logs_without_ids(spark, sf_dir):
+    """What of the same logs goes to the quarantine."""
+    u = F.when(F.col("user_id").cast("bigint") % 97 != 0, F.concat(F.lit("user_"), "user_id"))
+    bad = P.rows_without_ids(TD.logs(spark, sf_dir).withColumn("user_id", u))
+    return bad.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("validate_columns")
 def q_validate_columns(spark, sf_dir):
     logs = P.validate_columns(TD.logs(spark, sf_dir), S.LOG_COLUMNS)
@@ -247,7 +262,8 @@ def q_random_split(spark, sf_dir):
 @query("merge_new_data")
 def q_merge_new_data(spark, sf_dir):
     existing = train(spark, sf_dir).select(*S.TRAINING_COLUMNS)
-    new = P.logs_to_training(TD.logs(spark, sf_dir))
+    # both sides on the stored price statistics (H4)
+    new = P.logs_to_training(TD.logs(spark, sf_dir), price_mode="zscore", price_stats=TD.price_stats(spark, sf_dir))
     return d4(P.merge(existing, new, deduplicate=True))
 
 
@@ -686,7 +702,7 @@ def q_incremental_update(spark, sf_dir):
     src = log_files(spark, sf_dir)
     out = scratch_path(spark, "incremental")
     ck = scratch_path(spark, "incremental-ckpt")
-    merged = INC.run_incremental(spark, src, train(spark, sf_dir), out, ck, n_files=10,
+    merged = INC.run_incremental(spark, src, train(spark, sf_dir), out, ck, n_files=10, multiline=False,
                                  price_stats=TD.price_stats(spark, sf_dir))
     return d4(merged)
 

@@ -89,13 +89,14 @@ def dedup_cte(name: str, src: str) -> str:
     FROM {src}) WHERE _rn = 1)"""
 
 
+D4_STRING = "CAST(user_idx AS VARCHAR) AS user_idx, item_idx, label, weight, ROUND(price_norm, 6) AS price_norm, category_idx"
 D4_OUT = "user_idx, item_idx, label, weight, ROUND(price_norm, 6) AS price_norm, category_idx"
 
 LOG_WEIGHT = ("CAST(CASE action WHEN 'VIEW' THEN 1 WHEN 'CLICK' THEN 2 WHEN 'ADD_CART' THEN 3 "
               "WHEN 'PURCHASE' THEN 5 ELSE 1 END AS DOUBLE)")
 
 LOGS_TRAINING = """lt AS (
-  SELECT TRY_CAST(user_id AS BIGINT) AS user_idx, item_id AS item_idx, 1 AS label, """ + LOG_WEIGHT + """ AS weight,
+  SELECT user_id AS user_idx, item_id AS item_idx, 1 AS label, """ + LOG_WEIGHT + """ AS weight,
          CASE WHEN MAX(price) OVER () = MIN(price) OVER () THEN 0.5
               ELSE (price - MIN(price) OVER ()) / (MAX(price) OVER () - MIN(price) OVER ()) END AS price_norm,
          CASE WHEN category_id IS NULL THEN NULL ELSE LEAST(GREATEST(category_id, 1), 6) END AS category_idx
@@ -154,6 +155,13 @@ FROM inter""")
 register("project_training_columns", with_(ITEMS, EV, LOGS, LOGS_TRAINING, dedup_cte("dd", "lt")) +
          f"SELECT {D4_OUT} FROM dd")
 
+# non-numeric user ids; rows without one are left out before the price range is taken
+STRING_LOGS = """slogs AS (SELECT * REPLACE (CASE WHEN CAST(user_id AS BIGINT) % 97 <> 0 THEN 'user_' || user_id END AS user_id) FROM logs)"""
+register("string_user_logs", with_(ITEMS, EV, LOGS, STRING_LOGS, LOGS_TRAINING.replace("FROM logs)", "FROM slogs WHERE user_id IS NOT NULL)"),
+                                   dedup_cte("dd", "lt")) + f"SELECT {D4_OUT} FROM dd")
+register("logs_without_ids", with_(ITEMS, EV, LOGS, STRING_LOGS) +
+         "SELECT item_id, COUNT(*) AS n_rows FROM slogs WHERE user_id IS NULL OR item_id IS NULL GROUP BY item_id")
+
 register("validate_columns", with_(ITEMS, EV, LOGS) +
          "SELECT timestamp, item_id, user_id, action, category_id, price FROM logs")
 
@@ -230,10 +238,19 @@ SELECT user_idx, item_idx,
             ELSE 'test' END AS split
 FROM h""")
 
-register("merge_new_data", with_(*TRAIN_BASE, LOGS, LOGS_TRAINING, dedup_cte("newrows", "lt"), """both_ AS (
-  SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM train
-  UNION ALL SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM newrows)""",
-                                  dedup_cte("merged", "both_")) + f"SELECT {D4_OUT} FROM merged")
+# new log rows on the stored price statistics
+LOGS_ZSCORE = """ltz AS (
+  SELECT user_id AS user_idx, item_id AS item_idx, 1 AS label, """ + LOG_WEIGHT + """ AS weight,
+         (price - pstats.mean) / CASE WHEN pstats.std = 0 THEN 1 ELSE pstats.std END AS price_norm,
+         CASE WHEN category_id IS NULL THEN NULL ELSE LEAST(GREATEST(category_id, 1), 6) END AS category_idx
+  FROM logs, pstats)"""
+
+TRAIN_AND_NEW = """both_ AS (
+  SELECT CAST(user_idx AS VARCHAR) AS user_idx, item_idx, label, weight, price_norm, category_idx FROM train
+  UNION ALL SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM newrows)"""
+
+register("merge_new_data", with_(*TRAIN_BASE, LOGS, LOGS_ZSCORE, dedup_cte("newrows", "ltz"), TRAIN_AND_NEW,
+                                 dedup_cte("merged", "both_")) + f"SELECT {D4_OUT} FROM merged")
 
 register("union_splits", with_(*TRAIN_BASE) +
          "SELECT event_id, user_idx, item_idx, split FROM splits WHERE split IN ('val', 'test')")
@@ -441,7 +458,7 @@ FROM metrics GROUP BY k""")
 LOGS_D = """logs_d AS (SELECT logs.*, strftime(to_timestamp(logs.timestamp / 1000.0), '%Y-%m-%d') AS day FROM logs)"""
 LOG_COLS = "timestamp, item_id, user_id, action, category_id, price"
 
-register("read_interactions_csv", with_(*TRAIN_BASE) + f"SELECT {D4_OUT}, split FROM splits")
+register("read_interactions_csv", with_(*TRAIN_BASE) + f"SELECT {D4_STRING}, split FROM splits")
 
 register("write_splits", with_(*TRAIN_BASE) + "SELECT split, COUNT(*) AS n_rows FROM splits GROUP BY split")
 
@@ -505,11 +522,5 @@ register("fit_nmf", with_(*TRAIN_BASE) + "SELECT DISTINCT item_idx, 8 AS n_facto
 register("save_load_model", with_(*TRAIN_BASE) + "SELECT DISTINCT item_idx, 8 AS n_factors FROM train")
 
 # --------------------------------------------------------------------------- incremental = one-shot merge
-register("incremental_update", with_(*TRAIN_BASE, LOGS, """ltz AS (
-  SELECT TRY_CAST(user_id AS BIGINT) AS user_idx, item_id AS item_idx, 1 AS label, """ + LOG_WEIGHT + """ AS weight,
-         (price - pstats.mean) / CASE WHEN pstats.std = 0 THEN 1 ELSE pstats.std END AS price_norm,
-         CASE WHEN category_id IS NULL THEN NULL ELSE LEAST(GREATEST(category_id, 1), 6) END AS category_idx
-  FROM logs, pstats)""", dedup_cte("newrows", "ltz"), """both_ AS (
-  SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM train
-  UNION ALL SELECT user_idx, item_idx, label, weight, price_norm, category_idx FROM newrows)""",
-                                      dedup_cte("merged", "both_")) + f"SELECT {D4_OUT} FROM merged")
+register("incremental_update", with_(*TRAIN_BASE, LOGS, LOGS_ZSCORE, dedup_cte("newrows", "ltz"), TRAIN_AND_NEW,
+                                     dedup_cte("merged", "both_")) + f"SELECT {D4_OUT} FROM merged")

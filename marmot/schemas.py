@@ -49,7 +49,7 @@ LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields]
 
 # D4 interaction / training row.
 INTERACTION_SCHEMA = T.StructType([
-    T.StructField("user_idx", T.LongType()),
+    T.StructField("user_idx", T.StringType()),
     T.StructField("item_idx", T.LongType()),
     T.StructField("label", T.IntegerType()),
     T.StructField("weight", T.DoubleType()),

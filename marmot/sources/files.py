@@ -231,7 +231,8 @@ def write_snapshot(df: DataFrame, base: str, version: str | None = None, fmt: st
 def current_version(spark: SparkSession, base: str) -> str | None:
     if not exists(spark, f"{base}/_versions"):
         return None
-    return spark.read.parquet(f"{base}/_versions").select(F.max("version")).first()[0]
+    # the version written last, whatever its name (v10 after v2)
+    return spark.read.parquet(f"{base}/_versions").select(F.max_by("version", F.struct("written_at", "version"))).first()[0]
 
 
 def read_snapshot(spark: SparkSession, base: str, version: str | None = None, fmt: str = "parquet") -> DataFrame:

@@ -15,11 +15,28 @@ def _logs(spark, rows):
 
 
 def test_f1_transform_basic(spark):
-    logs = _logs(spark, [(1762003990140, 31, "1", "VIEW", 1, 20000.0),
-                         (1762003995853, 31, "1", "PURCHASE", 1, 20000.0),
-                         (1762004000000, 45, "2", "CLICK", 3, 10000.0)])
+    # by hand: prices 40..100 scale to 0..1, user 8 keeps the heavier of two actions on item 500
+    logs = _logs(spark, [(10, 500, "8", "CLICK", 2, 70.0), (20, 500, "8", "ADD_CART", 2, 70.0),
+                         (30, 600, "9", "VIEW", 4, 40.0), (40, 700, "9", "PURCHASE", 6, 100.0)])
     out = sorted(tuple(r) for r in P.logs_to_training(logs).collect())
-    assert out == [(1, 31, 1, 5.0, 1.0, 1), (2, 45, 1, 2.0, 0.0, 3)]
+    assert out == [("8", 500, 1, 3.0, 0.5, 2), ("9", 600, 1, 1.0, 0.0, 4), ("9", 700, 1, 5.0, 1.0, 6)]
+
+
+def test_string_users_stay_apart(spark):
+    logs = _logs(spark, [(1, 31, "newUser", "VIEW", 1, 5.0), (2, 31, "guest", "VIEW", 1, 5.0), (3, 31, "user_1", "PURCHASE", 1, 5.0),
+                         (4, 31, None, "VIEW", 1, 5.0), (5, None, "guest", "VIEW", 1, 5.0)])
+    rows = {(r["user_idx"], r["item_idx"]): r["weight"] for r in P.logs_to_training(logs).collect()}
+    assert rows == {("newUser", 31): 1.0, ("guest", 31): 1.0, ("user_1", 31): 5.0}
+    assert P.rows_without_ids(logs).count() == 2
+    existing = spark.createDataFrame([(1, 31, 1, 1.0, 0.5, 1)], "user_idx BIGINT, item_idx BIGINT, label INT, weight DOUBLE, price_norm DOUBLE, category_idx INT")
+    merged = {r["user_idx"] for r in P.merge(existing, P.logs_to_training(logs)).collect()}
+    assert merged == {"1", "newUser", "guest", "user_1"}
+
+
+def test_current_version_is_the_last_written(spark, tmp_dir):
+    for v in ("v2", "v10"):
+        FS.write_snapshot(spark.range(3), f"{tmp_dir}/snap", v)
+    assert FS.current_version(spark, f"{tmp_dir}/snap") == "v10"
 
 
 def test_f1_edge_rows(spark):
@@ -79,7 +96,7 @@ def test_f2_merge_max_weight(spark):
     new = spark.createDataFrame([("201", 10, 1, 2.0, 0.5, 1), ("1", 10, 1, 5.0, 0.1, 1), ("1", 20, 1, 0.5, 0.2, 2)],
                                 "user_idx STRING, item_idx BIGINT, label INT, weight DOUBLE, price_norm DOUBLE, category_idx INT")
     out = {(r["user_idx"], r["item_idx"]): r["weight"] for r in P.merge(existing, new).collect()}
-    assert out == {(1, 10): 5.0, (1, 20): 1.0, (201, 10): 2.0}                        # "1" and 1 deduplicate (H2)
+    assert out == {("1", 10): 5.0, ("1", 20): 1.0, ("201", 10): 2.0}                        # "1" and 1 deduplicate (H2)
     with pytest.raises(ValueError):
         P.merge(existing, new.drop("weight"))
 

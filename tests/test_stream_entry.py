@@ -31,7 +31,8 @@ def test_stream_equals_batch_and_restarts(spark, tmp_dir):
     first = INC.run_incremental(spark, src, base, out, ck, n_files=1, price_stats=stats, multiline=True,
                                 compact_every=0)
     got = {(r["user_idx"], r["item_idx"]): r["weight"] for r in first.collect()}
-    assert got == {(1, 10): 5.0, (2, 20): 1.0, (3, 30): 1.0}
+    assert got == {("1", 10): 5.0, ("2", 20): 1.0, ("3", 30): 1.0}
+    assert spark.read.json(f"{out}/quarantine").where("unparsed is not null").count() == 1   # the bad file is kept
     # rerun: nothing new, nothing changes
     again = INC.run_incremental(spark, src, base, out, ck, n_files=1, price_stats=stats, multiline=True,
                                 compact_every=0)
@@ -47,6 +48,28 @@ def test_stream_equals_batch_and_restarts(spark, tmp_dir):
     assert sorted(map(tuple, final.collect())) == sorted(map(tuple, one_shot.collect()))
 
 
+def test_batches_of_any_size_and_update_job(spark, tmp_dir):
+    import pytest
+    src = os.path.join(tmp_dir, "src")
+    os.makedirs(src)
+    base = spark.createDataFrame([(1, 10, 1, 3.0, 0.1, 1)],
+                                 "user_idx BIGINT, item_idx BIGINT, label INT, weight DOUBLE, price_norm DOUBLE, category_idx INT")
+    stats = spark.createDataFrame([(100.0, 10.0, 100.0)], "mean DOUBLE, std DOUBLE, var DOUBLE")
+    for i, price in enumerate((50, 100, 170)):
+        _write(os.path.join(src, f"{i}.json"), [_log(i, 10 + i, "newUser", "VIEW", 1, price), _log(i, 10, None, "VIEW", 1, price)])
+    tables = [sorted(map(tuple, INC.run_incremental(spark, src, base, f"{tmp_dir}/o{n}", f"{tmp_dir}/c{n}", n_files=n, price_stats=stats).collect()))
+              for n in (1, 10)]
+    assert tables[0] == tables[1] and len(tables[0]) == 4
+    with pytest.raises(ValueError):
+        INC.run_incremental(spark, src, base, f"{tmp_dir}/x", f"{tmp_dir}/y")
+    trained = []
+    comparison, after = INC.update_job(spark, src, base, f"{tmp_dir}/job", f"{tmp_dir}/jobc", stats, retrain=lambda t: trained.append(t.count()))
+    delta = {r["statistic"]: r["delta"] for r in comparison.collect()}
+    assert trained == [4] and after.count() == 4 and delta["n_records"] == 3.0
+    again, _ = INC.update_job(spark, src, base, f"{tmp_dir}/job", f"{tmp_dir}/jobc", stats, retrain=lambda t: trained.append(0))
+    assert again is None and trained == [4]                       # nothing new: no comparison, no training
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
