@@ -148,32 +148,24 @@ def _top_rows(Q, X, ids, qids, exl, k, min_score, slab=512):
 
 
 def blocked_top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", min_score: float | None = None,
-                  query_block: int = 65536, item_block: int = 65536, key: str = "user_idx",
-                  item: str = "item_idx", exclude_pairs: DataFrame | None = None,
-                  broadcast_bytes: int = 512 << 20) -> DataFrame:
+                  query_block: int = 65536, item_block: int = 16384, key: str = "user_idx",
+                  item: str = "item_idx", exclude_pairs: DataFrame | None = None) -> DataFrame:
     """Exact top-k items per query vector over the whole item table, never emitting
     query x item rows.  Ties are broken by item id (as ``top_k`` does).
 
-    * catalog under ``broadcast_bytes`` (items x dim x 8, checked from the
-      counted size): the item matrix is shipped once as a broadcast and each
-      query partition scores its rows with a bounded-slab matrix product in
-      ``mapInPandas`` - no query is replicated, no shuffle of vectors.
-    * larger catalogs: queries are hashed into blocks of about
-      ``query_block`` and items into chunks of about ``item_block``; every
-      (block, chunk) pair is one cogrouped pandas task that keeps k per query
-      and chunk; a final window keeps the best k over chunks.  Per-task memory
-      is bounded by the block sizes.
-
-    ``exclude_pairs`` (key, item) are removed inside the task before the cut,
-    so no over-fetch is needed: each query row carries its excluded items
-    (per item chunk in the blocked form, bounded by the chunk size; per query
-    in the broadcast form, bounded by the catalog size that passed the check).
+    Queries are hashed into blocks of at most about ``query_block`` (as many blocks as
+    the cluster runs tasks, at least) and items into chunks of about ``item_block``;
+    every (block, chunk) pair is one cogrouped pandas task that keeps k per query and
+    chunk, and a final window keeps the best k over chunks.  Per-task memory is bounded
+    by the block sizes; nothing of the item table reaches the driver.
+
+    ``exclude_pairs`` (key, item) are removed inside the task before the cut, so no
+    over-fetch is needed: each query row carries its excluded items of that chunk.
     """
     from pyspark.sql import types as T
     qv = queries.select(F.col(key).alias("q"), F.col(queries.columns[1]).alias("qv"))
     iv = items.select(F.col(item).alias("i"), F.col(items.columns[1]).alias("iv"))
     n_items = iv.count()
-    dim = len(iv.select("iv").first()[0]) if n_items else 0
     cosine = metric == "cosine"
     q_type, i_type = qv.schema["q"].dataType, iv.schema["i"].dataType
     out_schema = T.StructType([T.StructField("q", q_type), T.StructField("i", i_type),
@@ -182,37 +174,8 @@ def blocked_top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "d
         return qv.sparkSession.createDataFrame([], out_schema).select(
             F.col("q").alias(key), F.col("i").alias(item), "score", "rank")
 
-    if n_items * max(dim, 1) * 8 <= broadcast_bytes:
-        import numpy as np
-        pdf = iv.toPandas()  # bounded by the size check above
-        ids = pdf["i"].to_numpy()
-        X = np.vstack(pdf["iv"].to_numpy()).astype(np.float64)
-        if cosine:
-            X = _normalize(X)
-        bc = qv.sparkSession.sparkContext.broadcast((ids, X))
-        if exclude_pairs is not None:
-            ex = (exclude_pairs.select(F.col(key).alias("q"), F.col(item).alias("_x")).distinct()
-                  .groupBy("q").agg(F.collect_list("_x").alias("ex")))
-            qx = qv.join(ex, "q", "left")
-        else:
-            qx = qv.withColumn("ex", F.lit(None).cast(T.ArrayType(i_type)))
-
-        def score(batches):
-            import numpy as np
-            import pandas as pd
-            ids_, X_ = bc.value
-            for b in batches:
-                if b.empty:
-                    continue
-                Q = np.vstack(b["qv"].to_numpy()).astype(np.float64)
-                if cosine:
-                    Q = _normalize(Q)
-                q, i, sc, rk = _top_rows(Q, X_, ids_, b["q"].to_numpy(), b["ex"].to_numpy(), k, min_score)
-                yield pd.DataFrame({"q": q, "i": i, "score": sc, "rank": rk})
-
-        return qx.mapInPandas(score, out_schema).select(F.col("q").alias(key), F.col("i").alias(item), "score", "rank")
-
-    n_q = max(1, math.ceil(qv.count() / query_block))
+    spark = qv.sparkSession
+    n_q = max(spark.sparkContext.defaultParallelism, math.ceil(qv.count() / query_block))
     n_i = max(1, math.ceil(n_items / item_block))
     q_rep = (qv.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_q)))
                .withColumn("ic", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)))))

@@ -14,21 +14,15 @@ from marmot.functions.index import global_index, global_index_with_count
 
 
 def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TRAIN_QUANTILE, S.VAL_QUANTILE),
-                   exact: bool = True, accuracy: int = 10000, bracket_above: int = 20_000_000,
-                   buffer_below: int = 1_000_000) -> DataFrame:
+                   exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """One row ``q0, q1, ...`` of quantiles of ``ts`` in epoch microseconds (linear interpolation).
 
-    exact (default): bracket, then index only the bracket.  ``percentile_approx``
-    (rank error <= n / accuracy) gives a value band around each quantile; one
-    pass counts the rows below each band and the total; only the band rows
-    (about 4 n / accuracy of them) get the distributed global index, from
-    which the two neighbours of position (n-1)*p are read.  If a band misses
-    them (possible only if the sketch's bound is violated) the whole column
-    is indexed instead.  Columns of at most ``bracket_above`` rows are indexed
-    whole (fewer jobs; the sort is cheap at that size), and columns of at most
-    ``buffer_below`` rows use Spark's exact ``percentile`` (same interpolation;
-    its single buffer is bounded by that row count).  ``percentile`` is never
-    used: it buffers a group's every value in one aggregation buffer.
+    exact (default): bracket, then index only the bracket, at every size.  ``percentile_approx``
+    (rank error <= n / accuracy) gives a value band around each quantile; one pass counts the
+    rows below each band and the total; only the band rows (about 4 n / accuracy of them, and
+    those that tie with its ends) get the distributed global index, from which the two
+    neighbours of position (n-1)*p are read.  If a band misses them (possible only if the
+    sketch's bound is violated) the whole column is indexed instead.
     approximate: ``percentile_approx``.
     """
     x = df.select(C.ts_micros(ts).alias("_x")).where(F.col("_x").isNotNull())
@@ -36,25 +30,11 @@ def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TR
         q = F.percentile_approx("_x", list(probs), accuracy)
         return x.agg(q.alias("_q")).select(*[F.col("_q")[i].cast("double").alias(f"q{i}") for i in range(len(probs))])
     k = len(probs)
-    n_total = x.count()
-    if n_total == 0:
-        return _null_row(x, probs)
-    if n_total <= buffer_below:
-        q = F.percentile("_x", [float(p) for p in probs])
-        return x.agg(q.alias("_q")).select(*[F.col("_q")[i].cast("double").alias(f"q{i}") for i in range(k)])
-    if n_total <= bracket_above:
-        ranked, n = global_index_with_count(x, ["_x"], "_pos", spread_ties=True, rows=n_total)
-        wanted = {}
-        for p in probs:
-            h = (n - 1) * float(p)
-            wanted[p] = (h, int(math.floor(h)), min(int(math.floor(h)) + 1, n - 1))
-        pos = sorted({v for _, lo, hi in wanted.values() for v in (lo, hi)})
-        got = {r["_pos"]: r["_x"] for r in ranked.where(F.col("_pos").isin(pos)).collect()}
-        vals = tuple(float(got[lo]) + (h - lo) * float(got[hi] - got[lo]) for h, lo, hi in wanted.values())
-        return x.sparkSession.createDataFrame([vals], ", ".join(f"q{i} DOUBLE" for i in range(k)))
     eps = 2.0 / accuracy
     edges = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
     approx = x.agg(F.percentile_approx("_x", edges, accuracy)).first()[0]
+    if approx is None:
+        return _null_row(x, probs)
     lo_v, hi_v = approx[:k], approx[k:]
     stats = x.agg(F.count(F.lit(1)).alias("n"),
                   *[F.count_if(F.col("_x") < F.lit(lo_v[i])).alias(f"b{i}") for i in range(k)]).first()
@@ -68,7 +48,7 @@ def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TR
         below = stats[f"b{i}"]
         ranked, m = global_index_with_count(band, ["_x"], "_pos", spread_ties=True)
         if not (below <= lo and hi < below + m):
-            ranked, m = global_index_with_count(x, ["_x"], "_pos", spread_ties=True, rows=n)  # fallback: whole column
+            ranked, m = global_index_with_count(x, ["_x"], "_pos", spread_ties=True, rows=n)
             below = 0
         got = {r["_pos"]: r["_x"] for r in ranked.where(F.col("_pos").isin([lo - below, hi - below])).collect()}
         v_lo, v_hi = got[lo - below], got[hi - below]

@@ -111,7 +111,9 @@ def recommend(requests: DataFrame, interactions: DataFrame, user_vecs: DataFrame
     # Each branch prunes columns differently, so Spark cannot reuse a shared subplan;
     # the routed requests (read by three branches) and the per-item table (one row
     # per item, read by three) are checkpointed once to the shared checkpoint folder.
-    routed = route(ok, interactions).checkpoint(eager=True)
+    # A user is served by the model if it has a vector for them; everyone else, known or new, gets popular items.
+    in_model = user_vecs.select(F.col(user_vecs.columns[0]).alias("user_idx")).distinct()
+    routed = route(ok, interactions.select("user_idx").join(in_model, "user_idx", "left_semi")).checkpoint(eager=True)
     req_items = CA.request_items(routed)
     items = item_table(interactions).checkpoint(eager=True)
     hy = hybrid(req_items.where("known"), interactions, user_vecs, item_vecs, ranker, k, depth, items=items)

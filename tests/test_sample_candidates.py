@@ -52,9 +52,8 @@ def test_blocked_top_k_matches_brute_force(spark):
     ex = spark.createDataFrame([(0, int(np.argmax(Q[0] @ X.T)))], "user_idx BIGINT, item_idx BIGINT")
     S = Q @ X.T
     S[0, int(np.argmax(S[0]))] = -np.inf
-    for bcast in (0, 1 << 30):  # blocked cogroup path, then broadcast path
-        got = CA.blocked_top_k(qdf, idf, 5, query_block=10, item_block=16, exclude_pairs=ex,
-                               broadcast_bytes=bcast).collect()
+    for chunk in (16, 1000):  # several item chunks, and one
+        got = CA.blocked_top_k(qdf, idf, 5, query_block=10, item_block=chunk, exclude_pairs=ex).collect()
         res = {}
         for r in got:
             res.setdefault(r["user_idx"], []).append((r["rank"], r["item_idx"]))
@@ -67,9 +66,8 @@ def test_top_k_ties_break_by_item_id(spark):
     qdf = spark.createDataFrame([(1, [1.0, 0.0])], "user_idx BIGINT, embedding ARRAY<DOUBLE>")
     idf = spark.createDataFrame([(j, [1.0, 0.0]) for j in (9, 3, 7, 5)] + [(2, [0.5, 0.0])],
                                 "item_idx BIGINT, embedding ARRAY<DOUBLE>")
-    for bcast in (0, 1 << 30):
-        got = sorted((r["rank"], r["item_idx"]) for r in
-                     CA.blocked_top_k(qdf, idf, 2, item_block=2, broadcast_bytes=bcast).collect())
+    for chunk in (2, 100):
+        got = sorted((r["rank"], r["item_idx"]) for r in CA.blocked_top_k(qdf, idf, 2, item_block=chunk).collect())
         assert got == [(1, 3), (2, 5)]
 
 

@@ -61,13 +61,14 @@ def test_f8_metrics(spark):
     assert ev["evaluated_users"] == 2 and ev["total_users"] == 3
 
 
-def test_quantile_bracket_equals_full_index(spark):
+def test_quantile_bracket_equals_percentile(spark):
+    from marmot.functions.columns import ts_micros
     from marmot.sources import testdata as TD
     rows = TD.training_rows(spark, "/root/testdata/sf0.001")
-    buffered = SP.time_quantiles(rows).first()                       # Spark's exact percentile
-    full = SP.time_quantiles(rows, buffer_below=0).first()           # whole-column index
-    bracket = SP.time_quantiles(rows, buffer_below=0, bracket_above=0, accuracy=50).first()
-    assert tuple(full) == tuple(bracket) == tuple(buffered)
+    exact = rows.select(ts_micros("ts").alias("x")).agg(F.percentile("x", [0.7, 0.85]).alias("q")).first()["q"]
+    for accuracy in (50, 10000):
+        assert list(SP.time_quantiles(rows, accuracy=accuracy).first()) == exact
+    assert list(SP.time_quantiles(rows.where("false")).first()) == [None, None]
 
 
 def test_global_index_spreads_a_hot_value(spark):

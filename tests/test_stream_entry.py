@@ -97,3 +97,15 @@ def test_request_table_paging(spark):
     assert {r["has_next"] for r in out if r["request_id"] == 1} == {True}
     assert {r["has_next"] for r in out if r["request_id"] == 2} == {False}
     assert [r["status"] for r in out if r["request_id"] == 3] == ["error: available_items is required"]
+
+
+def test_known_user_without_a_vector_gets_popular_items(spark):
+    from marmot.plans import serve as SV
+    items = [1, 2, 3]
+    req = spark.createDataFrame([(1, 5, 2, None, items, None), (2, 100, 2, None, items, None)], S.REQUEST_SCHEMA)
+    train = spark.createDataFrame([(u, i, 1, float(i), 0.0, 1) for u in (100, 5) for i in items],
+                                  "user_idx BIGINT, item_idx BIGINT, label INT, weight DOUBLE, price_norm DOUBLE, category_idx INT")
+    vec = spark.createDataFrame([(i, [1.0]) for i in items], "item_idx BIGINT, embedding ARRAY<DOUBLE>")
+    uvec = spark.createDataFrame([(100, [1.0])], "user_id BIGINT, embedding ARRAY<DOUBLE>")
+    out = SV.recommend(req, train, uvec, vec, lambda c: c.withColumn("ranker_score", F.lit(0.5))).collect()
+    assert sorted((r["rank"], r["item_id"]) for r in out if r["request_id"] == 1) == [(1, 3), (2, 2)]
