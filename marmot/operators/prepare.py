@@ -205,10 +205,6 @@ def logs_to_training(logs: DataFrame, vocab: Mapping[str, float] = S.LOG_ACTION_
     return dedup_max_weight(df)
 
 
-def project_training_columns(df: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
-    return df.select(*S.TRAINING_COLUMNS, *extra)
-
-
 def filter_category(df: DataFrame, category: int | Column | None, col: str = "category_idx") -> DataFrame:
     return df if category is None else df.where(F.col(col) == category)
 

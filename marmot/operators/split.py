@@ -97,15 +97,3 @@ def random_split(df: DataFrame, keys: Sequence[str] = ("user_idx", "item_idx"),
     ranked = global_index(keyed, [F.col("_h"), *tie], "_pos", rows=n)
     return ranked.withColumn("split", F.when(F.col("_pos") < n_train, "train")
                              .when(F.col("_pos") < n_train + n_val, "val").otherwise("test")).drop("_h", "_pos")
-
-
-def approximate_random_split(df: DataFrame, ratios: Sequence[float] = S.SPLIT_RATIOS, seed: int = 42) -> DataFrame:
-    """Fast variant: per-row Bernoulli assignment (``randomSplit`` semantics, counts approximate)."""
-    u = C.hash_unit(*df.columns, seed=seed)
-    return df.withColumn("split", F.when(u < ratios[0], "train")
-                         .when(u < ratios[0] + ratios[1], "val").otherwise("test"))
-
-
-def sort_by_time(df: DataFrame, ts: str = "ts", tie_break: Sequence[str] = ("event_id",)) -> DataFrame:
-    """Chronological order with a deterministic tie-break (range-partitioned global sort)."""
-    return df.orderBy(F.col(ts), *[F.col(c) for c in tie_break if c in df.columns])

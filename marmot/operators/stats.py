@@ -47,10 +47,3 @@ def value_distribution(df: DataFrame, col: str, name: str | None = None) -> Data
     """Rows per distinct value of ``col`` as (column_name, value, n)."""
     return (df.groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
               .select(F.lit(name or col).alias("column_name"), "value", "n"))
-
-
-def category_distribution_map(df: DataFrame, col: str = "category_idx") -> DataFrame:
-    """Category distribution as one map column (bounded: at most six keys)."""
-    return (df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-              .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(col), F.col("n")))))
-                   .alias("distribution")))

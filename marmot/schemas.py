@@ -68,15 +68,6 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("rank", T.IntegerType()),
 ])
 
-# D11 response rows.
-RESPONSE_SCHEMA = T.StructType([
-    T.StructField("request_id", T.LongType()),
-    T.StructField("user_id", T.LongType()),
-    T.StructField("rank", T.IntegerType()),
-    T.StructField("item_id", T.LongType()),
-    T.StructField("has_next", T.BooleanType()),
-])
-
 # D13 processed-file ledger.
 LEDGER_SCHEMA = T.StructType([
     T.StructField("file_path", T.StringType()),

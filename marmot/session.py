@@ -69,11 +69,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/marmot-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for local filesystem helpers."""
-    return path[5:] if path.startswith("file:") else path
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Hadoop-filesystem existence check (works for any scheme Spark can read)."""
     jvm = spark.sparkContext._jvm
@@ -82,4 +77,4 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "exists", "local_path", "CORE_CONF"]
+__all__ = ["get_spark", "checkpoint_dir", "scratch_path", "exists", "CORE_CONF"]

@@ -207,13 +207,6 @@ def fetch_logs_by_date(spark: SparkSession, path: str, ledger: DataFrame, start=
     return rows, rows.select("file_path").distinct()
 
 
-def logs_by_date_range(good_rows: DataFrame, ledger: DataFrame, start=None, end=None) -> tuple[DataFrame, DataFrame]:
-    """Rows of unprocessed files inside [start, end]; the files to mark are those
-    with at least one surviving row.  Returns (rows, files_to_mark)."""
-    rows = filter_by_timestamp(good_rows.join(ledger.select("file_path"), "file_path", "left_anti"), start, end)
-    return rows, rows.select("file_path").distinct()
-
-
 # --------------------------------------------------------------------------- versioned snapshots
 def write_snapshot(df: DataFrame, base: str, version: str | None = None, fmt: str = "parquet") -> str:
     """Write ``df`` as a new version under ``base/version=<v>`` and record it in
