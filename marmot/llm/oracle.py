@@ -5,11 +5,11 @@ from __future__ import annotations
 OP7 = r"""
 with words as (
     select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
     from documents),
 item_words as (
     select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
     from benchmark where item_id is not null),
 sized as (select item_id, w, least(10, len(w)) as k from item_words where len(w) > 0),
 windows as (
@@ -32,7 +32,7 @@ from words left join hit using (doc_id) left join items using (doc_id)
 OP1 = r"""
 with recursive words as (
     select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x20\x09-\x0D]+'), x -> x <> '') as w
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
     from documents),
 sh as (
     select distinct doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') as s
@@ -57,7 +57,7 @@ from words w join comp using (doc_id) left join sizes using (doc_id)
 OP2 = r"""
 with words as (
     select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') as w
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
     from documents),
 stats as (select cast(count(*) as double) as n, greatest(1.0, cast(sum(len(w)) as double) / count(*)) as mean from words),
 tfs as (select doc_id, len, word, cast(count(*) as double) as tf from (select doc_id, len(w) as len, unnest(w) as word from words) group by all),

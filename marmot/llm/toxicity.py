@@ -102,7 +102,7 @@ def suspicious(token: str) -> str | None:
     letters = sum(c.isalpha() for c in core)
     if letters < 2 or core.startswith(("http", "www.")) or "@" in core and "." in core.rpartition("@")[2]:
         return None
-    if letters * 2 < len([c for c in core if c not in " .-_~"]):
+    if letters * 5 < 2 * len([c for c in core if c not in " .-_~"]):
         return None
     inside = core[1:-1] if not core[0] in LOOKALIKE else core[:-1]
     spaced = all(len(p) <= 1 for p in re.split(r"[ .\-_*~]+", core))
