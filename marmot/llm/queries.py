@@ -42,7 +42,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     return scored(docs.select("doc_id", "text"), model).select(
-        "doc_id", (~learnable()).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+        "doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
 def op2_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     return scored(docs.select("doc_id", "text"), model).select(
-        "doc_id", (~learnable()).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+        "doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
