@@ -5,15 +5,15 @@
    keys of 6 minima each.  At similarity 0.8 a pair shares no band with
    probability 3e-6.
 2. Documents with one and the same set are one node (128-bit set digest and size).
-3. In each band bucket every node is paired with the bucket's smallest node only;
-   a pair goes on if the collision-corrected similarity of the packed signatures,
-   estimated by bit counts, is within six standard errors of the threshold.
-   Each node's best hub is confirmed on full sets, and the links are joined into
-   components.
+3. In each band bucket every node is paired with up to eight hubs of the bucket; a pair
+   goes on if the collision-corrected similarity of the packed signatures, estimated by
+   bit counts, is within six standard errors of the threshold.  Each node's best pair is
+   confirmed on full sets first, then the best between components, then all that are left
+   between different components.
 4. Buckets whose nodes now all belong to one component need nothing more: a large
-   group of copies costs one link per copy.  In the other buckets every pair of
-   nodes of different components that passes the estimate (a join condition, so
-   rejected pairs are never rows) is confirmed on full sets as well.
+   group of copies costs a few pairs per copy.  In the other buckets
+   every pair of nodes of different components that passes the estimate (a join
+   condition, so rejected pairs are never rows) is confirmed on full sets as well.
 
 Confirmed links are exactly ``100 * |A & B| >= 80 * |A | B|``.
 """
@@ -31,6 +31,8 @@ from marmot.llm.common import NOT_SPACE, prepare, hashed_words, lowered, mix64,
 from marmot.llm.components import components
 
 PERMS, BANDS, ROWS, BITS = 256, 42, 6, 2
+#: nodes of a bucket that its other nodes are compared with first
+HUBS = 8
 #: six standard errors of the corrected estimate at the threshold
 SLACK = 0.18
 CHUNK = 1 << 15
@@ -122,17 +124,47 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_signer(k), SIG_SCHEMA)
 
 
-def _set_maker(k: int):
+#: bits of the map that lets a scan skip documents nobody asks for; a full map skips none
+MAP_BITS = 1 << 22
+
+
+def _id_map(ids: DataFrame) -> np.ndarray:
+    """Bits set at the hashes of the ids (column ``id``): at most MAP_BITS / 64 words reach the driver."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
+    words = (ids.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {MAP_BITS}) & 63 as int))").alias("b"))
+             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
+    out = np.zeros(MAP_BITS // 64, dtype=np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return out
+
+
+def _set_maker(k: int, map_var):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = map_var.value
         for batch in rows(batches):
-            sets = shingle_sets(lowered(batch.column(1)), k)
+            slot = batch.column(2).to_numpy()
+            wanted = np.flatnonzero(asked[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
+            if not len(wanted):
+                continue
+            sets = shingle_sets(lowered(batch.column(1).take(pa.array(wanted))), k)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))],
+                [batch.column(0).take(pa.array(wanted)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))],
                 names=["id", "set"])
     return run
 
 
+def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, set): the full shingle sets of the asked documents.  Texts are not shuffled: the scan
+    skips by the map of asked ids, and what it lets through by chance goes in a join of sets."""
+    ids = saved(ids.distinct(), "minhash-asked")
+    map_var = docs.sparkSession.sparkContext.broadcast(_id_map(ids))
+    made = (docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string"))
+            .withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)))
+            .mapInArrow(_set_maker(k, map_var), "id bigint, set array<bigint>"))
+    return saved(made.join(ids, "id", "left_semi"), "minhash-sets")
+
+
 def estimate(a: str, b: str) -> Column:
     """Similarity from two packed signatures: agreeing values by bit counts, corrected for chance agreement."""
     differing = F.expr(f"""aggregate(zip_with({a}, {b}, (x, y) -> bit_count(((x ^ y) | shiftrightunsigned(x ^ y, 1)) & {_EVEN_BITS}L)),
@@ -141,17 +173,21 @@ def estimate(a: str, b: str) -> Column:
     return ((PERMS - differing) / F.lit(float(PERMS)) - chance) / (1 - chance)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
-    sets = saved(texts.mapInArrow(_set_maker(k), "id bigint, set array<bigint>"), "minhash-sets")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough, written."""
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
                  .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b"))
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return (both.withColumn("i", inter)
-                .where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("i")))
-                .select("a", "b"))
+    return saved(both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
+                 .where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("i")))
+                 .select("a", "b"), "minhash-links")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs of different components, with them as ca and cb."""
+    ca = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    cb = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    return (pairs.join(ca, "a", "left").join(cb, "b", "left")
+            .withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -175,39 +211,54 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                   .select(F.col("doc_id").alias("rep"), "n", "sig", "bands"), "minhash-nodes")
     # buckets of two nodes or more
     members = nodes.select("rep", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    shared = saved(members.join(hubs.select("bucket", "hub"), "bucket"), "minhash-buckets")
+    crowded = members.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket")
+    shared = saved(members.join(crowded, "bucket"), "minhash-buckets")
     lean = nodes.select("rep", "n", "sig")
 
     def close(na: str, nb: str) -> Column:
         return F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)
 
-    star = (shared.where("rep <> hub").select("rep", "hub").distinct()
-            .join(lean, "rep")
-            .join(lean.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig")), "hub")
-            .where(close("n", "hub_n")).withColumn("est", estimate("sig", "hub_sig"))
-            .where(F.col("est") >= threshold - SLACK))
-    best = star.groupBy("rep").agg(F.max_by("hub", F.struct("est", -F.col("hub"))).alias("hub"))
-    first = saved(_verified(best.select(F.col("hub").alias("a"), F.col("rep").alias("b")), docs, k, percent), "minhash-links")
-    comps = components(first)
+    # up to HUBS nodes of a bucket are its hubs; one of a small bucket's nodes is as a rule
+    hubs = shared.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("slot")).agg(F.min("rep").alias("hub")).drop("slot")
+    met = shared.join(hubs, "bucket").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    star = saved(met.join(lean.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga")), "a")
+                 .join(lean.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb")), "b")
+                 .where(close("na", "nb")).select("a", "b", estimate("siga", "sigb").alias("est"))
+                 .where(F.col("est") >= threshold - SLACK), "minhash-star")
+    sets = _sets(star.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
+    links = comps = None
+    left = star
+    for final in (False, False, True):
+        if not final:  # each node's best pair first: most nodes of a group need no other
+            ends = left.withColumn("x", F.col("a")).unionByName(left.withColumn("x", F.col("b")))
+            best = ends.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("p"))
+            pairs = best.select("p.a", "p.b").distinct()
+        else:
+            pairs = left.select("a", "b")
+        found = _verified(pairs, sets, percent)
+        links = found if links is None else links.unionByName(found)
+        comps = components(links)
+        left = _apart(star, comps)
     # what the hubs did not settle
-    tagged = (shared.select("bucket", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    tagged = (shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
               .select("bucket", "rep", F.coalesce("component", "rep").alias("comp")))
     open_buckets = (tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                     .where("lo < hi").select("bucket"))
-    left = saved(tagged.join(open_buckets, "bucket").join(lean, "rep"), "minhash-open")
-    x, y = left.alias("x"), left.alias("y")
-    rest = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep"))
-                   & (F.col("x.comp") != F.col("y.comp")) & close("x.n", "y.n")
-                   & (estimate("x.sig", "y.sig") >= threshold - SLACK))
-             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-    second = _verified(saved(rest, "minhash-rest"), docs, k, percent)
+    still = saved(tagged.join(open_buckets, "bucket").join(lean, "rep"), "minhash-open")
+    x, y = still.alias("x"), still.alias("y")
+    rest = saved(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep"))
+                        & (F.col("x.comp") != F.col("y.comp")) & close("x.n", "y.n")
+                        & (estimate("x.sig", "y.sig") >= threshold - SLACK))
+                 .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+                 .join(star.select("a", "b"), ["a", "b"], "left_anti"), "minhash-rest")
+    more = _sets(rest.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
+    links = links.unionByName(_verified(rest, more, percent))
     # a document id with several texts is one document: its nodes are linked as well
     of_doc = saved(full.select("doc_id", "key_hi", "key_lo", F.col("n_shingles").alias("n"))
                    .join(reps, ["key_hi", "key_lo", "n"]).select("doc_id", "rep").distinct(), "minhash-docs")
     split = of_doc.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
     own = of_doc.join(split.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
-    comps = components(first.unionByName(second).unionByName(own))
+    comps = components(links.unionByName(own))
     of_doc = (of_doc.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
               .groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
     out = sigs.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
