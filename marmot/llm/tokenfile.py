@@ -152,8 +152,8 @@ def _writer(folder: str, tokenizer: str, lower: bool, end: int):
                 store.create_dir(path, recursive=True)
                 out = store.open_output_stream(f"{path}/{name}", compression=None)
                 writer = Writer(out)
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                writer.add(d, enc.encode(t or "") + stop)
+            for d, ids in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1).to_pylist()), strict=True):
+                writer.add(d, ids + stop)
         if out is not None:
             writer.close()
             out.close()

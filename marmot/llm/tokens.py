@@ -12,11 +12,16 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
+from array import array
 
-import numpy as np
-
-#: entries of a worker's memo; it starts again when full
-MEMO = 600_000
+#: entries of a worker's memo, about 100 MB; it starts again when full
+MEMO = 500_000
+#: texts that are looked up together
+STRIDE = 100
+#: byte-level vocabularies write the bytes that are no printable Latin-1 as the letters from 256 on, in order
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+_PUNCTUATION = ".,;:!?*#$%&)]}\"|"
 _SPACE_THEN = re.compile(r" (?:\s|\Z)")
 _INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 
@@ -34,47 +39,75 @@ class Encoder:
         self.tails: dict[str, bytes] = {}  # of punctuation that follows letters
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _known(self, piece: str) -> bytes | None:
+        """A piece's ids, if the memo has it or its letters and the punctuation after them, which are tokens of their own."""
+        core = piece.rstrip(_PUNCTUATION)
+        if len(core) == len(piece) or not core.isalpha():
+            return self.memo.get(piece)
+        start, tail = self.memo.get(core), self.tails.get(piece[len(core):])
+        return None if start is None or tail is None else start + tail
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces (each after a space) that the memo lacks; punctuation after letters is tokens of its own."""
-        memo, parts, ask = self.memo, {}, {}
+    def _learn(self, pieces: set[str]) -> None:
+        ask, tails = set(), set()
         for p in pieces:
-            core = p.rstrip(".,;:!?*#$%&)]}\"|")
-            tail = p[len(core):]
-            if tail and core.isalpha():
-                parts[p] = (core, tail)
-                if core not in memo:
-                    ask.setdefault(core)
+            core = p.rstrip(_PUNCTUATION)
+            if len(core) < len(p) and core.isalpha():
+                tails.add(p[len(core):])
+                ask.add(core)
             else:
-                ask.setdefault(p)
-        todo = [*ask]
-        memo.update(zip(todo, self._whole([" " + p for p in todo]), strict=True))
-        tails = [*{t for _, t in parts.values()} - self.tails.keys()]
-        self.tails.update(zip(tails, self._whole(tails), strict=True))
-        for p, (core, tail) in parts.items():
-            memo[p] = memo[core] + self.tails[tail]
+                ask.add(p)
+        # letters after a space are one word to either vocabulary, which its normaliser leaves as it is: ask its model
+        if self.lower:
+            letters, space = [p for p in ask if p.isalpha() and p == p.lower() and unicodedata.is_normalized("NFC", p)], ""
+        else:
+            letters, space = [p for p in ask if p.isalpha()], chr(_BYTE_LETTERS[0x20])
+        tokenize = self.tokenizer.model.tokenize
+        for p in letters:
+            word = p.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            self.memo[p] = array("I", [t.id for t in tokenize(space + word)]).tobytes()
+        todo = [p for p in ask if p not in self.memo]
+        self.memo.update(zip(todo, self._whole([" " + p for p in todo]), strict=True))
+        new = [t for t in tails if t not in self.tails]
+        self.tails.update(zip(new, self._whole(new), strict=True))
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if (_SPACE_THEN.search(text) and _INNER_SPACE.search(text)) or any(s in text for s in self.special):
-            return self._whole([text])[0]
-        if self.lower and text.isascii():
-            text = text.lower()
-        head, *pieces = text.split(" ")
-        get = self.memo.get
-        found = [*map(get, pieces)]
-        if None in found:
-            missing = {p for p, f in zip(pieces, found, strict=True) if f is None}
-            if len(self.memo) + 2 * len(missing) > MEMO:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of every text; a null text has none.  What the memo lacks is asked for once for STRIDE texts."""
+        out: list[bytes] = []
+        for a in range(0, len(texts), STRIDE):
+            out += self._stride([t or "" for t in texts[a : a + STRIDE]])
+        return out
+
+    def _stride(self, texts: list[str]) -> list[bytes]:
+        get, known = self.memo.get, self._known
+        whole = [i for i, t in enumerate(texts) if (_SPACE_THEN.search(t) and _INNER_SPACE.search(t)) or any(s in t for s in self.special)]
+        done = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
+        heads, found, gaps, missing = [], [], [], set()
+        for i, text in enumerate(texts):
+            head, *pieces = ("" if i in done else text.lower() if self.lower and text.isascii() else text).split(" ")
+            ids = [*map(get, pieces)]
+            if None in ids:
+                for k, x in enumerate(ids):
+                    if x is None:
+                        x = ids[k] = known(pieces[k])
+                        if x is None:
+                            missing.add(pieces[k])
+                            gaps.append((i, k, pieces[k]))
+            heads.append(head)
+            found.append(ids)
+        if missing:
+            if len(self.memo) > MEMO:
                 self.memo.clear()
                 self.tails.clear()
-                missing = set(pieces)
-            self._learn([*missing])
-            found = [*map(get, pieces)]
-        return b"".join([self._whole([head])[0] if head else b"", *found])
+            self._learn(missing)
+            for i, k, p in gaps:
+                found[i][k] = known(p)
+        first = self._whole(heads)
+        return [done[i] if i in done else b"".join([first[i], *found[i]]) for i in range(len(texts))]
 
 
 @functools.lru_cache(maxsize=2)
