@@ -35,7 +35,7 @@ WILD = "*#%"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 CUT = 0.7
 #: most labelled rows in a fit (those of the smallest hash of doc_id)
-FIT_ROWS = 200_000
+FIT_ROWS = 20_000
 MIN_TOXIC = 5
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: least toxic share of a lexicon entry
@@ -225,7 +225,7 @@ class Model:
     def hits(self, tokens: set[str]) -> dict[str, float]:
         """Lexicon words among the tokens, each with the share of its best entry."""
         memo, out = self.memo, {}
-        if len(memo) > 500_000:
+        if len(memo) > 400_000:
             memo.clear()
         for t in tokens:
             got = memo.get(t)
@@ -247,7 +247,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FIT_ROWS) -> Model:
     """The lexicon of a bounded sample of learnable labelled rows, counted by Spark; near-copies (one least shingle) count once."""
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, 250)
     characters = character_model(docs)
     sample = fit_sample(labels, label, most)
     texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").select("text", "label")
@@ -255,7 +255,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FI
     sums = found.agg(F.countDistinct(F.when(F.col("label") == 1, F.col("kind"))), F.countDistinct("kind")).first()
     n_toxic, n = sums[0], max(1, sums[1])
     base = n_toxic / n
-    each = (found.select("kind", "label", F.explode("feature").alias("feature"))
+    # what MIN_TOXIC toxic texts have; as the sample is bounded, so is this, and the others' features are not shuffled
+    often = saved(found.where("label = 1").select("kind", F.explode("feature").alias("feature")).distinct()
+                  .groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TOXIC).select("feature"), "toxic-words")
+    each = (found.select("kind", "label", F.explode("feature").alias("feature")).join(F.broadcast(often), "feature")
             .groupBy("feature", "kind").agg(F.max("label").alias("label")))
     counts = (each.groupBy("feature").agg(F.sum("label").alias("k"), F.count(F.lit(1)).alias("n"))
               .where((F.col("k") >= MIN_TOXIC) & (F.col("k") >= PURE * F.col("n"))))
@@ -283,6 +286,6 @@ def scored(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     A null text counts as empty; ids are never inputs, so null and repeated ids are rows
     like any other; an empty table gives an empty result.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, 250)
     schema = docs.select("*", F.lit(0.0).alias("_score"), F.lit(0).alias("_predicted")).schema
     return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), cut), schema)
