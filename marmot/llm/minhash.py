@@ -8,8 +8,7 @@
 3. In each band bucket every node is paired with up to eight hubs of the bucket; a pair
    goes on if the collision-corrected similarity of the packed signatures, estimated by
    bit counts, is within six standard errors of the threshold.  Each node's best pair is
-   confirmed on full sets first, then the best between components, then all that are left
-   between different components.
+   confirmed on full sets, and the links are joined into components.
 4. Buckets whose nodes now all belong to one component need nothing more: a large
    group of copies costs a few pairs per copy.  In the other buckets
    every pair of nodes of different components that passes the estimate (a join
@@ -174,12 +173,12 @@ def estimate(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough, written."""
+    """The pairs (a, b, and what else they carry) whose full shingle sets are similar enough, written."""
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
                  .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b"))
     return saved(both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
                  .where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("i")))
-                 .select("a", "b"), "minhash-links")
+                 .select(*pairs.columns), "minhash-links")
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -190,6 +189,14 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
             .withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb"))
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` after further links between components (ca, cb): only the graph of components is searched."""
+    more = components(links.select("ca", "cb"), "ca", "cb")
+    moved = (comps.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+             .select("node", F.coalesce("to", "component").alias("component")))
+    return saved(moved.unionByName(more.join(comps.select("node"), "node", "left_anti")), "minhash-comps")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -225,20 +232,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                  .join(lean.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb")), "b")
                  .where(close("na", "nb")).select("a", "b", estimate("siga", "sigb").alias("est"))
                  .where(F.col("est") >= threshold - SLACK), "minhash-star")
-    sets = _sets(star.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
-    links = comps = None
-    left = star
-    for final in (False, False, True):
-        if not final:  # each node's best pair first: most nodes of a group need no other
-            ends = left.withColumn("x", F.col("a")).unionByName(left.withColumn("x", F.col("b")))
-            best = ends.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("p"))
-            pairs = best.select("p.a", "p.b").distinct()
-        else:
-            pairs = left.select("a", "b")
-        found = _verified(pairs, sets, percent)
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
-        left = _apart(star, comps)
+    # each node's best pair: most nodes of a group need no other
+    ends = star.withColumn("x", F.col("a")).unionByName(star.withColumn("x", F.col("b")))
+    best = ends.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    best = saved(best, "minhash-best")
+    sets = _sets(best.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
+    comps = components(_verified(best, sets, percent))
     # what the hubs did not settle
     tagged = (shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
               .select("bucket", "rep", F.coalesce("component", "rep").alias("comp")))
@@ -249,16 +248,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest = saved(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep"))
                         & (F.col("x.comp") != F.col("y.comp")) & close("x.n", "y.n")
                         & (estimate("x.sig", "y.sig") >= threshold - SLACK))
-                 .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-                 .join(star.select("a", "b"), ["a", "b"], "left_anti"), "minhash-rest")
+                 .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "minhash-rest")
     more = _sets(rest.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
-    links = links.unionByName(_verified(rest, more, percent))
+    comps = _joined(comps, _verified(_apart(rest, comps), more, percent))
     # a document id with several texts is one document: its nodes are linked as well
     of_doc = saved(full.select("doc_id", "key_hi", "key_lo", F.col("n_shingles").alias("n"))
                    .join(reps, ["key_hi", "key_lo", "n"]).select("doc_id", "rep").distinct(), "minhash-docs")
     split = of_doc.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
     own = of_doc.join(split.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
-    comps = components(links.unionByName(own))
+    comps = _joined(comps, _apart(own, comps))
     of_doc = (of_doc.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
               .groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
     out = sigs.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
