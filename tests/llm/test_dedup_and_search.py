@@ -183,3 +183,54 @@ def test_search_edge_rows(spark):
     assert {(r["query_id"], r["rank"]): r["doc_id"] for r in got if r["query_id"] == 1} == {(1, 1): 1, (1, 2): 2}  # ties by id
     assert not [r for r in got if r["query_id"] in (4, 5, None) or r["doc_id"] is None]
     assert top_k(_docs(spark, []), _docs(spark, []), k=2).count() == 0
+
+
+def _bm25(rows, queries, k):
+    """The best k by BM25 of all distinct words of a query's text, by brute force."""
+    import math
+    from collections import Counter
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    docs = [(d, Counter(words(t))) for d, t in rows]
+    n, df = len(docs), Counter(w for _, c in docs for w in c)
+    mean = sum(c.total() for _, c in docs) / n
+    out = {}
+    for q, t in queries:
+        found = []
+        for d, c in docs:
+            s = sum(math.floor(1_000_000 * (math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * (c[w] * 2.2) / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean))) + 0.5)
+                    for w in set(words(t)) if w in c)
+            found += [(-s, d)] if s else []
+        out[q] = [(d, -s) for s, d in sorted(found)[:k]]
+    return out
+
+
+def test_search_scores_every_term_of_a_long_query(spark, monkeypatch):
+    from marmot.llm import search as S
+    rng = random.Random(9)
+    vocab = [f"w{int(rng.paretovariate(0.5))}" for _ in range(600)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([3, 40, 200])))) for i in range(120)]
+    asked = [r for r in rows if r[0] % 4 == 0]
+    want = _bm25(rows, asked, 5)
+    monkeypatch.setattr(S, "BLOCK_ROWS", 700)
+    got = {}
+    for r in S.top_k(_docs(spark, rows).repartition(2), _docs(spark, asked), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    assert got == {q: w for q, w in want.items() if w}
+
+
+def test_bounds_of_a_long_query_are_exact(monkeypatch):
+    import numpy as np
+
+    from marmot.llm import search as S
+    rng = np.random.default_rng(4)
+    asked = np.arange(40, dtype=np.uint64)
+    for trials in ((0.1, 0.3), (0.6,), ()):
+        monkeypatch.setattr(S, "TRIALS", trials)
+        for n in (3, 4000):
+            p = 1 / (1 + np.arange(40))
+            terms = [np.flatnonzero(rng.random(40) < p).astype(np.uint64) for _ in range(n)]
+            shard = S.Shard(list(range(n)), terms, [rng.integers(1, 4, len(t)) for t in terms], [50] * n, asked, np.linspace(0.1, 9, 40), 50.0)
+            score = np.bincount(shard.doc, weights=shard.impact, minlength=n)
+            want = sorted(((int(s), d) for d, s in enumerate(score) if s), key=lambda x: (-x[0], x[1]))[:5]
+            assert shard.best(np.arange(40), 5) == want
