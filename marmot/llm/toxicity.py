@@ -4,7 +4,9 @@
 letters or a repeated letter opens a lattice: every character may stand for one of a few
 letters, a repeated letter for one or two, a separator between single letters for nothing
 or for a word break.  Viterbi decoding finds the path of the highest probability under a
-character trigram model counted over **all documents** plus the channel's costs.
+character trigram model counted over **all documents** plus the channel's costs.  A token
+of few letters, or with its last marks read as letters, counts as restored only if that
+reading is likelier than the token as written.
 
 *Scoring.*  Words and word beginnings of restored texts are counted by label over the
 learnable labelled rows, near-copies counting once.  Those that are all but always in
@@ -80,8 +82,9 @@ def character_model(docs: DataFrame) -> np.ndarray:
 _REPEAT = re.compile(r"(.)\1+")
 _EDGE = ".,;:?\"'()[]{}<>-_~`#%&*=/\\"
 COST_SWAP, COST_WILD, COST_REPEAT, COST_BREAK = -0.7, -3.0, -0.3, -1.0
-#: longest token that is decoded; a longer one is no obfuscated word and stays as it is
-LONGEST = 60
+_SEPARATOR = re.compile(r"[ .\-_*~]+")
+#: a number with a point or commas
+_NUMBER = re.compile(r"[0-9]+(?:(?:,[0-9]{3})+(?:\.[0-9]+)?|\.[0-9]+)")
 
 
 def _fold(c: str) -> str:
@@ -92,35 +95,48 @@ def _fold(c: str) -> str:
 
 def suspicious(token: str) -> str | None:
     """What to decode of a token, or None if the token is as it seems."""
-    if len(token) > 2 * LONGEST:
-        return None
     core = token.strip(_EDGE).rstrip("!|+$@").lower()
-    if len(core) < 3 or len(core) > LONGEST:
-        return None
+    return core if _odd(core) else None
+
+
+def _odd(core: str) -> bool:
+    if len(core) < 3:
+        return False
     if core.isalpha():
-        return core if _REPEAT.search(core) else None
+        return _REPEAT.search(core) is not None
+    if _NUMBER.fullmatch(core) or core.startswith(("http", "www.")) or "@" in core and "." in core.rpartition("@")[2]:
+        return False
+    return _spaced(core) or any(c in LOOKALIKE or c in WILD or c in "._-" for c in core[1 if core[0] in WILD + "._-" else 0 :])
+
+
+def _spaced(core: str) -> bool:
+    return all(len(p) <= 1 for p in _SEPARATOR.split(core))
+
+
+def _plain(core: str) -> bool:
+    """Whether so many characters are letters that the restored reading counts beside the raw one in any case."""
     letters = sum(c.isalpha() for c in core)
-    if letters < 2 or core.startswith(("http", "www.")) or "@" in core and "." in core.rpartition("@")[2]:
-        return None
-    if letters * 5 < 2 * len([c for c in core if c not in " .-_~"]):
-        return None
-    inside = core[1:-1] if not core[0] in LOOKALIKE else core[:-1]
-    spaced = all(len(p) <= 1 for p in re.split(r"[ .\-_*~]+", core))
-    return core if spaced or any(c in LOOKALIKE or c in WILD or c in "._-" for c in inside + core[-1]) else None
+    return letters >= 2 and letters * 5 >= 2 * sum(c not in " .-_~" for c in core)
 
 
 def lattice(core: str) -> list[list[tuple[str, float]]]:
     """Per step the strings that may stand there and their cost."""
-    spaced = all(len(p) <= 1 for p in re.split(r"[ .\-_*~]+", core))
+    spaced = _spaced(core)
+    narrow = min((len(m) for m in _SEPARATOR.findall(core)), default=0) if spaced else 0
     steps: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(core):
         c, j = core[i], i
         while j < len(core) and core[j] == c:
             j += 1
+        if spaced and (m := _SEPARATOR.match(core, i)):
+            # a wider gap than others is a word break by itself
+            steps.append([(" ", 0.0), ("", COST_BREAK)] if len(m[0]) > narrow else [("", 0.0), (" ", COST_BREAK)])
+            i = m.end()
+            continue
         run, i = j - i, j
-        if c in " .-_~" or spaced and c == "*":
-            steps.append([("", 0.0), (" ", COST_BREAK)] if spaced else [(" ", 0.0), ("", COST_SWAP)])
+        if c in " .-_~":
+            steps.append([(" ", 0.0), ("", COST_SWAP)])
             continue
         if c in WILD:
             steps += [[(x, COST_WILD) for x in _LETTERS] + ([("", COST_WILD)] if run > 1 else [])] * min(run, 3)
@@ -138,11 +154,11 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
 
 
-def decode(core: str, model: list[float]) -> str:
-    """The likeliest reading of a lattice under the character model (states: the last two symbols)."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(core: str, model: list[float]) -> tuple[str, float]:
+    """The likeliest reading of a lattice under the character model (states: the last two symbols), and its log probability."""
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for options in lattice(core):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (p, said) in states.items():
             for string, cost in options:
                 q, x, y = p + cost, a, b
@@ -152,14 +168,29 @@ def decode(core: str, model: list[float]) -> str:
                     x, y = y, z
                 old = after.get((x, y))
                 if old is None or q > old[0]:
-                    after[(x, y)] = (q, said + string)
+                    after[(x, y)] = (q, (said, string))
         states = after
     # the end of the word counts
-    best = max(states.items(), key=lambda s: (s[1][0] + model[(s[0][0] * SYMBOLS + s[0][1]) * SYMBOLS], s[1][1]))
-    return best[1][1]
-
-
-_SPACED = re.compile(r" \S{1,2} \S{1,2} ")
+    p, _, said = max((p + model[(a * SYMBOLS + b) * SYMBOLS], (a, b), said) for (a, b), (p, said) in states.items())
+    parts = []
+    while said:
+        said, string = said
+        parts.append(string)
+    return "".join(reversed(parts)), p
+
+
+def raw(core: str, model: list[float]) -> float:
+    """Log probability of a token as it is written; what is no letter is a boundary."""
+    p, x, y = 0.0, 0, 0
+    for c in core + " ":
+        z = _symbol(c) if c.isalpha() else 0
+        p += model[(x * SYMBOLS + y) * SYMBOLS + z]
+        x, y = y, z
+    return p
+
+
+#: how every match of _SPACED_RUN that holds white space or begins a longer token goes on after white space
+_SPACED = re.compile(r"\s(?:[^\W_]|[@$!|+*])[ .\-_*~]{1,5}(?:[^\W_]|[@$!|+*])[ .\-_*~]")
 _SPACED_RUN = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+*])(?: {0,2}[ .\-_*~] {0,2}(?:[^\W_]|[@$!|+*])){2,}[.,;:?!]?(?!\S)")
 _PARTS = re.compile(r"[^\w]+|_")
 
@@ -173,9 +204,15 @@ class Restorer:
     def token(self, token: str) -> list[str]:
         low = token.lower()
         out = [low] if low.isalpha() else [p for p in _PARTS.split(low) if len(p) > 1]
-        core = suspicious(token)
-        if core is not None:
-            out += decode(core, self.model).split()
+        bare = token.strip(_EDGE).lower()
+        core = bare.rstrip("!|+$@")
+        for reading in dict.fromkeys((core, bare)):  # marks at the end may be letters
+            if not _odd(reading):
+                continue
+            said, p = decode(reading, self.model)
+            if reading == core and (core.isalpha() or _plain(core)) or p > raw(reading, self.model):
+                out += said.split()
+        if _odd(core):
             joined = "".join(c for c in core if c not in " .-_~")
             if joined.isalpha():
                 out.append(joined)

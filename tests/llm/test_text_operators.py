@@ -242,3 +242,33 @@ def test_pipeline_stage_by_stage(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0]
     packed = C.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == sizes[-1]
+
+
+# ---------------------------------------------------------------- toxicity: what reaches the decoder
+def _character_model(text):
+    from marmot.llm import toxicity as T
+    s = T._SYMBOL[np.frombuffer(("  " + text).encode(), dtype=np.uint8)]
+    n = np.bincount((s[:-2] * T.SYMBOLS + s[1:-1]) * T.SYMBOLS + s[2:], minlength=T.SYMBOLS**3).reshape((T.SYMBOLS,) * 3).astype(float)
+    return np.log((n + 0.01) / (n.sum(axis=2, keepdims=True) + 1))
+
+
+def test_every_obfuscated_token_is_decoded():
+    from marmot.llm import toxicity as T
+    r = T.Restorer(_character_model("you are a stupid maggot and the digger of holes, all assholes and shirts or an ass in class 12 with 345 hats of 2024, 10 a day! " * 40))
+    for seen, meant in (("m4990t", "maggot"), ("d1663r", "digger"), ("5h1r75", "shirts"), ("a$$", "ass"), ("@$$h0l3", "asshole"), ("s  t  u  p  i  d", "stupid"),
+                        ("s. t. u. p. i. d", "stupid"), ("s t u p i d", "stupid")):
+        assert meant in r.words(f"the {seen} and"), (seen, r.words(seen))
+        assert meant in r.words(f"x\n{seen}\ny"), seen
+    sentence = " ".join("you are a stupid maggot and the digger of holes") .replace("     ", "  ").replace("   ", "  ")
+    assert len(sentence) > 80 and {"stupid", "maggot", "digger"} <= r.words(sentence)
+    assert {"stupid"} <= r.words(" ".join("stupid") + "  " + " ".join("holes" * 20_000))
+    assert r.words("2024 345 12") <= {"2024", "345", "12"} and "dayi" not in r.words("a day!")
+
+
+def test_precheck_accepts_what_the_spaced_pattern_accepts():
+    from marmot.llm.toxicity import _SPACED, _SPACED_RUN
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = f" {''.join(rng.choice('ab$ .-*  \n!x') for _ in range(rng.randint(3, 14)))} "
+        if any(" " in m for m in _SPACED_RUN.findall(text)):
+            assert _SPACED.search(text), text
