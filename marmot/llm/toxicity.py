@@ -9,9 +9,10 @@ of few letters, or with its last marks read as letters, counts as restored only
 reading is likelier than the token as written.
 
 *Scoring.*  Words and word beginnings of restored texts are counted by label over the
-learnable labelled rows, near-copies counting once.  Those that are all but always in
-toxic texts form a lexicon with their toxic share; a text's score is the noisy-or of its
-lexicon words, each counted by its best entry.
+learnable labelled rows, near-copies counting once.  Every entry has as weight the smoothed
+log odds of its toxic share against the base rate, every word that of its best entry.  A
+logistic function of a text's strongest words and of the sum over all its words gives the
+score; it is fitted on the same rows, each weighed without its own counts.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ CUT = 0.7
 FIT_ROWS = 20_000
 MIN_TOXIC = 5
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: least toxic share of a lexicon entry
-PURE = 0.97
+#: texts at the base rate that every entry's count starts from
+PRIOR = 5.0
 
 # ---------------------------------------------------------------- character model
 #: symbols: 0 boundary, 1-26 letters, 27 every other letter
@@ -200,6 +201,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.reshape(-1).tolist()
+        self.memo: dict[str, list[str]] = {}
 
     def token(self, token: str) -> list[str]:
         low = token.lower()
@@ -228,7 +230,15 @@ class Restorer:
 
     def words(self, text: str | None) -> set[str]:
         """Distinct lower-case words of the text, obfuscated ones also as restored."""
-        return {w for t in self.tokens(text or "") for w in self.token(t)}
+        memo, out = self.memo, set()
+        if len(memo) > 200_000:
+            memo.clear()
+        for t in self.tokens(text or ""):
+            got = memo.get(t)
+            if got is None:
+                got = memo[t] = self.token(t)
+            out.update(got)
+        return out
 
 
 def word_features(words: set[str]) -> set[str]:
@@ -251,38 +261,85 @@ def _feature_rows(model_var):
     return run
 
 
+def weight(k: float, n: float, base: float) -> float:
+    """Log odds of the toxic share of an entry in ``k`` toxic of ``n`` texts, against the base rate."""
+    return math.log((k + PRIOR * base) / (n - k + PRIOR * (1 - base))) - math.log(base / (1 - base))
+
+
+def summary(weights: list[float]) -> list[float]:
+    """What the logistic function sees of a text's words."""
+    top = sorted((w for w in weights if w > 0), reverse=True)[:3]
+    return [1.0, *top, *[0.0] * (3 - len(top)), math.fsum(weights) / math.sqrt(max(1, len(weights))), math.log1p(len(weights))]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Coefficients of the largest penalised likelihood, by damped Newton steps."""
+    def loss(c):
+        z = x @ c
+        return np.logaddexp(0, z).sum() - y @ z + ridge / 2 * (c[1:] @ c[1:])
+
+    coefficients = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], ridge)
+    penalty[0] = 1e-6
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ coefficients, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * coefficients)
+        size = 1.0
+        while size > 1e-6 and loss(coefficients + size * step) > loss(coefficients):
+            size /= 2
+        coefficients = coefficients + size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return coefficients
+
+
+def _left_out(counts_var, base: float):
+    """(kind, label, x): what the logistic function sees of a labelled text, its own counts taken off."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = counts_var.value
+        for batch in rows(batches):
+            labels, x = batch.column(0).to_pylist(), []
+            for label, features in zip(labels, batch.column(2).to_pylist(), strict=True):
+                weights = []
+                for w in features:
+                    if w[-1] != "+":
+                        found = [counts[f] for f in word_features({w}) if f in counts]
+                        weights += [max(weight(max(0, k - label), max(n - 1, k - label, 0), base) for k, n in found)] if found else []
+                x.append(summary(weights))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["kind", "label", "x"])
+    return run
+
+
 class Model:
-    """A lexicon of restored words with a bounded memo of what a token holds of it."""
+    """Weights of restored words and their logistic function, with a bounded memo of what a token holds."""
 
-    def __init__(self, characters: np.ndarray, lexicon: dict[str, float], base: float):
-        self.lexicon, self.base = lexicon, base
+    def __init__(self, characters: np.ndarray, weights: dict[str, float], coefficients: np.ndarray):
+        self.weights, self.coefficients = weights, coefficients.tolist()
         self.restorer = Restorer(characters)
         self.memo: dict[str, tuple[tuple[str, float], ...]] = {}
 
     def hits(self, tokens: set[str]) -> dict[str, float]:
-        """Lexicon words among the tokens, each with the share of its best entry."""
-        memo, out = self.memo, {}
+        """Known words among the tokens, each with the weight of its best entry."""
+        memo, out, weights = self.memo, {}, self.weights
         if len(memo) > 400_000:
             memo.clear()
         for t in tokens:
             got = memo.get(t)
             if got is None:
-                found = ((w, max((self.lexicon.get(f, 0.0) for f in word_features({w})), default=0.0)) for w in self.restorer.token(t))
-                got = memo[t] = tuple(x for x in found if x[1])
+                found = ((w, max((weights[f] for f in word_features({w}) if f in weights), default=None)) for w in self.restorer.token(t))
+                got = memo[t] = tuple(x for x in found if x[1] is not None)
             if got:
                 out.update(got)
         return out
 
     def score(self, text: str | None) -> float:
-        rest = 1 - self.base
-        found = self.hits(self.restorer.tokens(text or ""))
-        for w in sorted(found):
-            rest *= 1 - found[w]
-        return 1 - rest
+        x = summary([*self.hits(self.restorer.tokens(text or "")).values()])
+        z = sum(c * v for c, v in zip(self.coefficients, x, strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FIT_ROWS) -> Model:
-    """The lexicon of a bounded sample of learnable labelled rows, counted by Spark; near-copies (one least shingle) count once."""
+    """The weights of a bounded sample of learnable labelled rows, counted by Spark; near-copies (one least shingle) count once."""
     spark = docs.sparkSession
     prepare(spark, 250)
     characters = character_model(docs)
@@ -290,21 +347,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FI
     texts = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(sample), "doc_id").select("text", "label")
     found = saved(texts.mapInArrow(_feature_rows(spark.sparkContext.broadcast(characters)), "label int, kind bigint, feature array<string>"), "toxic-features")
     sums = found.agg(F.countDistinct(F.when(F.col("label") == 1, F.col("kind"))), F.countDistinct("kind")).first()
-    n_toxic, n = sums[0], max(1, sums[1])
-    base = n_toxic / n
+    base = (sums[0] + 0.5) / (sums[1] + 1)
     # what MIN_TOXIC toxic texts have; as the sample is bounded, so is this, and the others' features are not shuffled
     often = saved(found.where("label = 1").select("kind", F.explode("feature").alias("feature")).distinct()
                   .groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TOXIC).select("feature"), "toxic-words")
     each = (found.select("kind", "label", F.explode("feature").alias("feature")).join(F.broadcast(often), "feature")
             .groupBy("feature", "kind").agg(F.max("label").alias("label")))
-    counts = (each.groupBy("feature").agg(F.sum("label").alias("k"), F.count(F.lit(1)).alias("n"))
-              .where((F.col("k") >= MIN_TOXIC) & (F.col("k") >= PURE * F.col("n"))))
-    lexicon = {}
-    for r in counts.toLocalIterator():  # a lexicon: what is all but always toxic
-        # so many toxic texts by chance must be rarer than one in 10**4 for one entry
-        if r["k"] * math.log(max(base, 1e-6)) < math.log(1e-4):
-            lexicon[r["feature"]] = (r["k"] - 0.5) / (r["n"] + 0.5)
-    return Model(characters, lexicon, 0.25 * base)
+    counted = each.groupBy("feature").agg(F.sum("label").alias("k"), F.count(F.lit(1)).alias("n"))
+    counts = {r["feature"]: (r["k"], r["n"]) for r in counted.toLocalIterator()}
+    seen = found.mapInArrow(_left_out(spark.sparkContext.broadcast(counts), base), "kind bigint, label int, x array<double>").collect()
+    # copies are one text, toxic if one of them is
+    texts = sorted({r["kind"]: (r["label"], r["x"]) for r in sorted(seen, key=lambda r: (r["kind"], r["label"], r["x"]))}.values())
+    x = np.array([x for _, x in texts], dtype=np.float64).reshape(len(texts), len(summary([])))
+    coefficients = logistic(x, np.array([y for y, _ in texts], dtype=np.float64))
+    if not sums[0]:
+        coefficients = np.array([math.log(base / (1 - base)), *[0.0] * (x.shape[1] - 1)])
+    return Model(characters, {f: weight(k, n, base) for f, (k, n) in counts.items()}, coefficients)
 
 
 def _scorer(model_var, text: int, cut: float):

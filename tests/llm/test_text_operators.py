@@ -272,3 +272,24 @@ def test_precheck_accepts_what_the_spaced_pattern_accepts():
         text = f" {''.join(rng.choice('ab$ .-*  \n!x') for _ in range(rng.randint(3, 14)))} "
         if any(" " in m for m in _SPACED_RUN.findall(text)):
             assert _SPACED.search(text), text
+
+
+def test_toxicity_with_noisy_labels_and_quoted_insults(spark):
+    from marmot.llm import toxicity as T
+    from marmot.llm.quality import learnable
+    rng = random.Random(2)
+    rows, labels, truth = [], [], {}
+    for i in range(800):
+        words = [rng.choice(["sun", "moon", "river", "stone", "light", "walk"]) + rng.choice(["s", "ed", "ing", ""]) for _ in range(20)]
+        truth[i] = int(i % 4 == 0)
+        if truth[i]:
+            words[5:7] = rng.sample(["grobian", "schuft", "lump"], 2)
+        elif i % 20 == 1:
+            words[5] = rng.choice(["grobian", "schuft", "lump"])  # a clean text that quotes one
+        rows.append((i, " ".join(words) + f" {i}"))
+        labels.append((i, 1, truth[i] ^ (rng.random() < 0.04)))
+    docs = _docs(spark, rows)
+    model = T.fit(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    out = [(r["_predicted"], truth[r["doc_id"]]) for r in T.scored(docs, model).where(~learnable()).collect()]
+    hit = sum(p and t for p, t in out)
+    assert hit >= 0.9 * sum(t for _, t in out) and hit >= 0.9 * sum(p for p, _ in out) and hit > 10
