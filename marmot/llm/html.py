@@ -41,6 +41,12 @@ SILENT = frozenset("script style noscript template svg math canvas iframe object
 FURNITURE = frozenset("nav footer aside form menu dialog button fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+# fixed values: what a start tag ends by itself, and the open elements beyond which it ends nothing
+_CELL, _SECTION = ("td", "th", "tr"), ("td", "th", "tr", "thead", "tbody", "tfoot")
+_BEYOND_ITEM = tuple(sorted((BLOCKS | FURNITURE) - {"address", "div", "p", "dt", "dd", "li"}))
+IMPLIED = {"td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (_CELL, ("table",)), "thead": (_SECTION, ("table",)),
+           "tbody": (_SECTION, ("table",)), "tfoot": (_SECTION, ("table",)), "dt": (("dt", "dd"), _BEYOND_ITEM), "dd": (("dt", "dd"), _BEYOND_ITEM),
+           "li": (("li",), _BEYOND_ITEM)}
 #: words of a class or id that name page furniture
 FURNITURE_NAMES = frozenset("""ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice
 notification alert sidebar aside comment comments disqus reply replies menu nav navbar navigation breadcrumb breadcrumbs footer header masthead
@@ -83,6 +89,7 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, in an article, in furniture
+    places: dict[str, list[int]] = {}  # where in the stack every name is open
     current: Block | None = None
     links = 0
     at, n = 0, len(page)
@@ -101,6 +108,11 @@ def blocks(page: str) -> list[Block]:
         if links:
             current.links += len(piece)
 
+    def close(k: int) -> None:
+        for name, _, _ in stack[k:]:
+            places[name].pop()
+        del stack[k:]
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -122,13 +134,13 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             elif tag in BLOCKS or tag in FURNITURE:
                 current = None
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in SILENT:
             current = None if tag in BLOCKS else current
+            if tag in ("svg", "math") and m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
             if tag == "head":  # no text of it counts, but it may be left open
                 end = end or re.compile(r"<body\b", re.I).search(page, at)
@@ -143,9 +155,16 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCKS or tag in FURNITURE:
             current = None
         if tag not in VOID and (tag in BLOCKS or tag in FURNITURE or tag in ("span", "main", "section")):
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
+            if tag in IMPLIED:
+                ends, beyond = IMPLIED[tag]
+                limit = max((places[x][-1] for x in beyond if places.get(x)), default=-1)
+                inner = [places[x][-1] for x in ends if places.get(x) and places[x][-1] > limit]
+                if inner:
+                    close(min(inner))
+            elif tag in ("p", "option") and stack and stack[-1][0] == tag:
+                close(len(stack) - 1)
             article, bad = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, article or tag in ("article", "main"), bad or _is_furniture(tag, m[3], article)))
     for b in out:
         b.text = _SPACE.sub(" ", "".join(b.parts)).strip()

@@ -293,3 +293,22 @@ def test_toxicity_with_noisy_labels_and_quoted_insults(spark):
     out = [(r["_predicted"], truth[r["doc_id"]]) for r in T.scored(docs, model).where(~learnable()).collect()]
     hit = sum(p and t for p, t in out)
     assert hit >= 0.9 * sum(t for _, t in out) and hit >= 0.9 * sum(p for p, _ in out) and hit > 10
+
+
+# ---------------------------------------------------------------- HTML: open elements
+def test_omitted_end_tags_do_not_hide_the_article():
+    import time
+
+    from marmot.llm.html import main_text
+    said = "<article><p>This is the text of the article and it is long enough to be decided on its own, with the words that it needs.</p></article>"
+    want = main_text(said)
+    assert want.startswith("This is the text")
+    for inside in ("<table>" + "<tr><td>x" * 300 + "</table>", "<dl>" + "<dt>x<dd>y" * 300 + "</dl>", "<table>" + "<tbody><tr><th>x<td><span>y" * 300 + "</table>",
+                   "<ul>" + "<li><span>x" * 300 + "</ul>", "<div>" * 400, "<table><tr><td><table>" + "<tr><td>x" * 300 + "</table>y<td>z</table>"):
+        assert main_text(f"<body><nav>{inside}</nav>{said}</body>") == want, inside[:40]
+    for drawn in ("<svg/>", '<svg width="1" />', "<math/>", "<svg><path/></svg>"):
+        assert main_text(f"<body>{drawn}{said}<p>x <svg></svg></p></body>") == want, drawn
+    # a tag's end is found without a walk over the open elements
+    began = time.perf_counter()
+    main_text("<div>" * 30_000 + "</p><dt></dt>" * 30_000)
+    assert time.perf_counter() - began < 20
