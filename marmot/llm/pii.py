@@ -109,7 +109,7 @@ def candidates(text: str) -> list[Span]:
     """Proposed segments, at most LONGEST characters each, by start."""
     out = []
     for kind, pattern in LOOSE.items():
-        if kind != "email" or "@" in text or " at " in text or "at)" in text or "at]" in text or " AT " in text or "AT)" in text or "AT]" in text:
+        if kind != "email" or "@" in text or "at" in text or "AT" in text:
             out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if m.end() - m.start() <= LONGEST]
     return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 

@@ -312,3 +312,10 @@ def test_omitted_end_tags_do_not_hide_the_article():
     began = time.perf_counter()
     main_text("<div>" * 30_000 + "</p><dt></dt>" * 30_000)
     assert time.perf_counter() - began < 20
+
+
+# ---------------------------------------------------------------- personal data: candidates
+def test_every_obfuscated_address_is_a_candidate():
+    from marmot.llm.pii import candidates
+    for text in ("jo{at}example{dot}org", "jo<at>example.org", "jo {AT} example.org", "jo\tat\texample dot org", "jo\nAT\nexample.org"):
+        assert ("email", 0, len(text)) in candidates(text), text
