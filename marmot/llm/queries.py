@@ -77,6 +77,19 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marmot.llm.chat import digests, examples
+    said = F.lit(r"\### Assistant: </turn> ok")
+    two = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return digests(examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(two)))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marmot.llm.structure import summary
+    return summary(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_search": op2_exact_search,
@@ -88,4 +101,6 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_chat_formatting": op11_chat_formatting,
+    "op13_structure_repair": op13_structure_repair,
 }
