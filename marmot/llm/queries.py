@@ -85,6 +85,12 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(two)))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marmot.llm.alignment import alignment
+    return alignment(table(spark, sf_dir, "documents"), scratch_path(spark, "alignment"),
+                     tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marmot.llm.structure import summary
     return summary(table(spark, sf_dir, "conversations"))
@@ -102,5 +108,6 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
     "op11_chat_formatting": op11_chat_formatting,
+    "op12_token_alignment": op12_token_alignment,
     "op13_structure_repair": op13_structure_repair,
 }
