@@ -62,12 +62,7 @@ with words as (
 stats as (select cast(count(*) as double) as n, greatest(1.0, cast(sum(len(w)) as double) / count(*)) as mean from words),
 tfs as (select doc_id, len, word, cast(count(*) as double) as tf from (select doc_id, len(w) as len, unnest(w) as word from words) group by all),
 dfs as (select word, cast(count(*) as double) as df from tfs group by word),
-weighed as (
-    select doc_id, word, df, cast(round(tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * 1000000) as bigint) as weight
-    from tfs join dfs using (word), stats where doc_id % 50 = 0 and df > 1),
-query as (
-    select doc_id as query_id, word, df from weighed
-    qualify row_number() over (partition by doc_id order by weight desc, df, word) <= 24),
+query as (select doc_id as query_id, word, df from tfs join dfs using (word) where doc_id % 50 = 0),
 scores as (
     select query_id, doc_id,
            cast(sum(cast(floor(1000000 * (ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))) + 0.5) as bigint)) as bigint) as score
@@ -106,9 +101,108 @@ select d.doc_id, case when d.text is not null then coalesce(k.text, '') end as t
 from documents d left join kept k using (doc_id)
 """
 
+# control strings and escaping of the chat template: one backslash more between < and |
+OP11 = r"""
+with said as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+turns as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as p,
+           count(*) over (partition by conv_id) as n,
+           length('<|turn|><|text|><|end|>') + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) as chars
+    from said),
+prefixes as (select *, sum(chars) over (partition by conv_id order by p) as upto from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by p)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by p) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(sum(upto) filter (where role = 'assistant' or p = n) as bigint) as formatted_chars
+from prefixes group by conv_id
+"""
+
+# the repair as a recursion over rows: per role state (nothing, s, u, a) the least of cost and audit, written so that text order is their order
+OP13 = r"""
+with recursive fates as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+           coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k
+    from conversations),
+crcs as (
+    select *, xor(4294967295, list_reduce([4294967295::bigint] || list_transform(string_split(k, ''), lambda c: ascii(c)::bigint),
+        lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end))) % 20 as fate
+    from fates),
+damaged as (
+    select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+           case when fate = 1 then '' when fate = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+    from crcs, range(2) t(copy) where fate <> 0 and (copy = 0 or fate = 3)),
+placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || text)) as p,
+           rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as ended, left(role, 1) as initial from damaged),
+faults as (
+    select *, case when ended = '' then 'blank' when row_number() over (partition by conv_id, role, text order by p) > 1 then 'duplicate'
+                   when right(ended, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+           lag(initial) over (partition by conv_id order by p) || initial as pair
+    from placed),
+-- a prefix: cost in ten digits, then the edits; 'X' sorts behind all digits
+entry as (
+    select conv_id, 0::bigint as p, '0000000000' as c0, 'X' as cs, '0000000005I' as cu, '0000000010II' as ca
+    from (select distinct conv_id from damaged)),
+steps as (
+    select * from entry
+    union all
+    select conv_id, p, c0, cs, u1 as cu, least(ca, pay(u1, 5, 'I')) as ca
+    from (
+        select conv_id, p, c0, cs, least(cu, pay(c0, 5, 'I'), pay(cs, 5, 'I'), pay(ca, 5, 'I')) as u1, ca
+        from (
+            select s.conv_id, f.p,
+                   pay(c0, 2, 'D') as c0,
+                   least(pay(cs, 2, 'D'), case when kept and initial = 's' then pay(c0, more, 'K') else 'X' end) as cs,
+                   least(pay(cu, 2, 'D'), case when kept and initial = 'u' then least(pay(c0, more, 'K'), pay(cs, more, 'K'), pay(ca, more, 'K')) else 'X' end,
+                         case when kept then least(pay(c0, 1 + more, 'R'), pay(cs, 1 + more, 'R'), pay(ca, 1 + more, 'R')) else 'X' end) as cu,
+                   least(pay(ca, 2, 'D'), case when kept and initial = 'a' then pay(cu, more, 'K') else 'X' end,
+                         case when kept then pay(cu, 1 + more, 'R') else 'X' end) as ca
+            from steps s join (select *, fault not in ('blank', 'duplicate') as kept, case when fault = 'truncated' then 5 else 0 end as more from faults) f
+              on s.conv_id is not distinct from f.conv_id and f.p = s.p + 1))),
+ends as (
+    select conv_id, least(c0, ca) as best from steps qualify row_number() over (partition by conv_id order by p desc) = 1),
+plans as (select conv_id, cast(left(best, 10) as bigint) as cost, substr(best, 11) as audit from ends),
+letters as (
+    select conv_id, i, substr(audit, i, 1) as e, i - length(replace(left(audit, i), 'I', '')) as inserted
+    from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as i from plans)),
+walked as (
+    select l.conv_id, i, e, f.role, coalesce(f.text, '') as text,
+           coalesce(sum(case when e <> 'D' and not (e = 'K' and f.initial = 's') then 1 else 0 end)
+                    over (partition by l.conv_id order by i rows between unbounded preceding and 1 preceding), 0) as spoken
+    from letters l left join faults f on l.conv_id is not distinct from f.conv_id and e <> 'I' and f.p = l.i - l.inserted),
+fixed as (
+    select conv_id, string_agg(case when e = 'K' then role when spoken % 2 = 0 then 'user' else 'assistant' end || ':' || text, chr(10) order by i) as said
+    from walked where e <> 'D' group by conv_id),
+counted as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank,
+           count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+           count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal
+    from faults group by conv_id)
+select i.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit,
+       sha256(coalesce(said, '')) as repaired_sha256
+from (select distinct conv_id from conversations) i
+left join counted c on i.conv_id is not distinct from c.conv_id
+left join plans p on i.conv_id is not distinct from p.conv_id
+left join fixed x on i.conv_id is not distinct from x.conv_id
+"""
+
+
+def _paid(sql: str) -> str:
+    """``pay(prefix, cost, edit)`` spelled out: the cost added to the ten digits, the edit to the audit."""
+    import re
+    one = re.compile(r"pay\((\w+), ([^,()]+), ('\w')\)")
+    return one.sub(r"(case when \1 = 'X' then 'X' else lpad(cast(cast(left(\1, 10) as bigint) + \2 as varchar), 10, '0') || substr(\1, 11) || \3 end)", sql)
+
+
 SQL = {
     "op1_minhash_near_dedup": OP1,
     "op2_exact_search": OP2,
     "op4_line_dedup": OP4,
     "op7_decontamination": OP7,
+    "op11_chat_formatting": OP11,
+    "op13_structure_repair": _paid(OP13),
 }
