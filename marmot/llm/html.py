@@ -51,6 +51,11 @@ IMPLIED = {"td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "
 FURNITURE_NAMES = frozenset("""ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice
 notification alert sidebar aside comment comments disqus reply replies menu nav navbar navigation breadcrumb breadcrumbs footer header masthead
 share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager toolbar widget skip""".split())
+#: first words by which a class tells of furniture elsewhere, or of none: has-sidebar, no-ads
+ELSEWHERE = frozenset("has have with without no not non is hide hidden show".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: silent elements that may hold other elements: left open they hide nothing
+MEDIA = frozenset("video audio canvas object svg math select iframe".split())
 
 SHORT, LONG = 70, 200
 LINKS_BAD, STOP_LOW, STOP_HIGH = 0.4, 0.20, 0.30
@@ -71,24 +76,35 @@ class Block:
         self.links = 0
 
 
-def _is_furniture(tag: str, attributes: str, article: bool) -> bool:
+def _named_furniture(value: str, inside_header: bool) -> bool:
+    """Whether a token of a class or id names furniture; ``entry-header`` of an article's own header does not."""
+    for token in value.split():
+        words = [w.lower() for w in _WORD_BREAK.split(token) if w]
+        if words and words[0] not in ELSEWHERE and any(w in FURNITURE_NAMES and not (inside_header and w in ("header", "footer")) for w in words):
+            return True
+    return False
+
+
+def _furniture(tag: str, attributes: str, article: bool) -> int:
+    """0: none; 1: by its class or id, which an article inside overrules; 2: by what the element is."""
     if tag in FURNITURE or tag == "header" and not article:
-        return True
+        return 2
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
+    named = 0
     for name, a, b, c in _NAMES.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in FURNITURE_ROLES:
-            return True
-        if name in ("class", "id") and not FURNITURE_NAMES.isdisjoint(w.lower() for w in _WORD_BREAK.split(value)) and tag not in ("html", "body", "article", "main"):
-            return True
-    return False
+            return 2
+        if name in ("class", "id") and tag not in HEADINGS and tag not in ("html", "body", "article", "main") and _named_furniture(value, tag == "header"):
+            named = 1
+    return named
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, in an article, in furniture
+    stack: list[tuple[str, bool, int]] = []  # open elements: name, in an article, in furniture (see _furniture)
     places: dict[str, list[int]] = {}  # where in the stack every name is open
     current: Block | None = None
     links = 0
@@ -101,8 +117,8 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if piece.isspace():
                 return
-            article, bad = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            current = Block(article, bad)
+            article, bad = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            current = Block(article, bad > 0)
             out.append(current)
         current.parts.append(piece)
         if links:
@@ -131,7 +147,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[1]:
             if tag == "a":
-                links = max(0, links - 1)
+                links = 0
             elif tag in BLOCKS or tag in FURNITURE:
                 current = None
             if places.get(tag):
@@ -142,6 +158,8 @@ def blocks(page: str) -> list[Block]:
             if tag in ("svg", "math") and m[3].endswith("/"):
                 continue
             end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
+            if end is None and tag in MEDIA:
+                continue
             if tag == "head":  # no text of it counts, but it may be left open
                 end = end or re.compile(r"<body\b", re.I).search(page, at)
                 at = (end.end() if end and end[0].startswith("</") else end.start() if end else n)
@@ -149,7 +167,7 @@ def blocks(page: str) -> list[Block]:
                 at = end.end() if end else n
             continue
         if tag == "a":
-            links += 1
+            links = int("href" in m[3].lower())  # a start tag ends an open link; an anchor without a target is none
         elif tag == "br":
             text(" ") if current is not None else None
         elif tag in BLOCKS or tag in FURNITURE:
@@ -163,9 +181,11 @@ def blocks(page: str) -> list[Block]:
                     close(min(inner))
             elif tag in ("p", "option") and stack and stack[-1][0] == tag:
                 close(len(stack) - 1)
-            article, bad = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            article, bad = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            if tag in ("article", "main") and bad == 1:
+                bad = 0
             places.setdefault(tag, []).append(len(stack))
-            stack.append((tag, article or tag in ("article", "main"), bad or _is_furniture(tag, m[3], article)))
+            stack.append((tag, article or tag in ("article", "main"), max(bad, _furniture(tag, m[3], article))))
     for b in out:
         b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
     return [b for b in out if b.text]
@@ -178,7 +198,7 @@ def labels(page: list[Block]) -> list[bool]:
     for b in page:
         size = len(b.text)
         linked = b.links / max(1, size)
-        if b.bad or has_article and not b.article or linked > LINKS_BAD:
+        if b.bad or has_article and not b.article or linked > LINKS_BAD and not b.article:
             first.append(False)
         elif size < SHORT:
             first.append(None)
@@ -220,11 +240,11 @@ def labels(page: list[Block]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    """Main-text blocks of a page, one to a line; empty for a null or empty page."""
+    """Main-text blocks of a page with an empty line between them; empty for a null or empty page."""
     if not page:
         return ""
     found = blocks(page)
-    return "\n".join(b.text for b, good in zip(found, labels(found), strict=True) if good)
+    return "\n\n".join(b.text for b, good in zip(found, labels(found), strict=True) if good)
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,9 +111,9 @@ def test_html_blocks(spark):
       of the text, long enough to be decided on its own, with some words of the language.<br>More.</p><p>Short.</p>
       <form><p>Subscribe</p></form><div id="comments"><p>Great post, thank you for it!</p></div></article>
       <aside>Related</aside><footer>&copy; 2024</footer></body></html>"""
-    assert main_text(page) == "A & B\nFirst paragraph of the text, long enough to be decided on its own, with some words of the language. More.\nShort."
+    assert main_text(page) == "A & B\n\nFirst paragraph of the text, long enough to be decided on its own, with some words of the language. More.\n\nShort."
     plain = "<body><p>" + "This is the text of a page that has no article element but is long enough, with the words that it needs. " * 2 + "</p><p>So it ends.</p><p>Bye.</p><div><a href=x>one</a> <a href=y>two</a></div>"
-    assert main_text(plain).endswith("needs.\nSo it ends.")  # the last short line is nearer to the links
+    assert main_text(plain).endswith("needs.\n\nSo it ends.")  # the last short line is nearer to the links
     for broken in (None, "", "<", "<p", "<!-- never closed", "a < b", "<script>x", "<p>" * 5000):
         main_text(broken)
     rows = [(1, "u", page, "x"), (1, "u", page, "x"), (None, None, None, "x"), (2, "u", "", "x")]
@@ -314,6 +314,27 @@ def test_omitted_end_tags_do_not_hide_the_article():
     assert time.perf_counter() - began < 20
 
 
+SAID = "This is the text of the article and it is long enough to be decided on its own, with the words that it needs."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<div class="layout has-sidebar"><article><p>{SAID}</p></article><div class="sidebar">Links</div></div>', SAID),
+    (f'<div class="content no-ads"><p>{SAID * 2}</p></div>', SAID * 2),
+    (f'<div class="sidebar-left"><article><p>{SAID}</p></article></div>', SAID),
+    (f'<article><header class="entry-header"><h1>The title</h1></header><p>{SAID}</p></article>', f"The title\n\n{SAID}"),
+    (f'<article><h2 id="skip-lists">Skip lists</h2><p>{SAID}</p><h2 id="social-contract">The contract</h2><p>{SAID}</p></article>',
+     f"Skip lists\n\n{SAID}\n\nThe contract\n\n{SAID}"),
+    (f'<article><a name="top"><p>{SAID}</p><p>{SAID}</p></article>', f"{SAID}\n\n{SAID}"),
+    (f'<article><p>{SAID}</p><video src=x><p>{SAID}</p></article>', f"{SAID}\n\n{SAID}"),
+    (f'<article><p>{SAID}</p><ul><li><a href=/a>First source of it</a><li><a href=/b>Second source</a></ul></article>',
+     f"{SAID}\n\nFirst source of it\n\nSecond source"),
+    (f'<div class="ad">Buy this</div><article><p>{SAID}</p><div class="ad-slot">Buy that</div></article><div hidden><article><p>{SAID}</p></article></div>', SAID),
+])
+def test_pages_keep_their_article(page, want):
+    from marmot.llm.html import main_text
+    assert main_text(f"<html><body>{page}</body></html>") == want
+
+
 # ---------------------------------------------------------------- personal data: candidates
 def test_every_obfuscated_address_is_a_candidate():
     from marmot.llm.pii import candidates
