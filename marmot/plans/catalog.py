@@ -628,8 +628,7 @@ def q_negatives_per_user_quota(spark, sf_dir):
 
 @query("negatives_with_attributes")
 def q_negatives_with_attributes(spark, sf_dir):
-    out = SA.negatives_with_attributes(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), n=3, seed=42)
-    return out.groupBy("user_idx", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return d4(SA.negatives_with_attributes(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), n=3, seed=42))
 
 
 @query("negatives_global_ratio")

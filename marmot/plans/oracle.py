@@ -503,15 +503,53 @@ FROM embeddings""")
 QUOTA = """pu AS (SELECT user_idx, COUNT(DISTINCT item_idx) AS p FROM train GROUP BY user_idx),
 cat AS (SELECT COUNT(DISTINCT item_idx) AS c FROM train)"""
 
+def _feistel(x: str, source: str, out: str) -> str:
+    """CTEs that send ``x`` of ``source`` (with keys k0..k7 and sides a, b) one step along its cycle, into column ``out``."""
+    def mix(v: str, i: int) -> str:
+        return f"({v} * (k{2 * i} + 1) + k{2 * i + 1}) % 2147483647 // 128"
+    return (f"SELECT *, hi2 * b + (lo1 + {mix('hi2', 3)}) % b AS {out} FROM ("
+            f"SELECT *, (hi1 + {mix('lo1', 2)}) % a AS hi2 FROM ("
+            f"SELECT *, (lo0 + {mix('hi1', 1)}) % b AS lo1 FROM ("
+            f"SELECT *, (hi0 + {mix('lo0', 0)}) % a AS hi1 FROM ("
+            f"SELECT *, {x} // b AS hi0, {x} % b AS lo0 FROM {source}))))")
+
+
+def negatives_cte(n: int) -> str:
+    """``negs``: per user the first least(n * p, c - p) non-positive places of its permutation of the items in id order."""
+    hexes = ", ".join(f"CAST('0x' || substr(sha256(CAST(user_idx AS VARCHAR) || '|42'), {1 + 7 * i}, 7) AS BIGINT) AS k{i}" for i in range(8))
+    return f"""items_at AS (SELECT item_idx, row_number() OVER (ORDER BY item_idx) - 1 AS iid FROM (SELECT DISTINCT item_idx FROM train)),
+sized AS (SELECT COUNT(*) AS c, CAST(floor(sqrt(COUNT(*))) AS BIGINT) AS a FROM items_at),
+shape AS (SELECT c, a, (c + a - 1) // a AS b FROM sized),
+starts AS (
+  SELECT user_idx, {hexes}, c, a, b, j, j AS x, 0 AS step
+  FROM (SELECT DISTINCT user_idx FROM train), shape, (SELECT iid AS j FROM items_at)),
+paths AS (
+  SELECT * FROM starts
+  UNION ALL
+  SELECT user_idx, k0, k1, k2, k3, k4, k5, k6, k7, c, a, b, j, y AS x, step + 1 AS step FROM ({_feistel("x", "paths", "y")}) WHERE step = 0 OR x >= c),
+places AS (SELECT user_idx, j, iid, item_idx FROM paths JOIN items_at ON iid = x WHERE step > 0),
+ours AS (SELECT DISTINCT user_idx, item_idx FROM train),
+fresh AS (
+  SELECT p.*, row_number() OVER (PARTITION BY p.user_idx ORDER BY j) AS r
+  FROM places p LEFT JOIN ours o ON o.user_idx = p.user_idx AND o.item_idx = p.item_idx WHERE o.item_idx IS NULL),
+negs AS (SELECT f.user_idx, f.item_idx FROM fresh f JOIN pu USING (user_idx), cat WHERE r <= LEAST({n} * pu.p, cat.c - pu.p))"""
+
+
+def with_recursive(*ctes: str) -> str:
+    return with_(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+register("negatives_per_user", with_recursive(*TRAIN_BASE, QUOTA, negatives_cte(5)) + """
+SELECT user_idx, item_idx, CAST(0 AS DOUBLE) AS weight, 0 AS label FROM negs""")
+
 register("negatives_per_user_quota", with_(*TRAIN_BASE, QUOTA) + """
 SELECT user_idx, LEAST(5 * p, c - p) AS n_negatives FROM pu, cat WHERE LEAST(5 * p, c - p) > 0""")
 
-register("negatives_with_attributes", with_(*TRAIN_BASE, QUOTA) + """
-SELECT user_idx, label, CAST(SUM(n) AS BIGINT) AS n_rows FROM (
-  SELECT user_idx, label, COUNT(*) AS n FROM train GROUP BY user_idx, label
-  UNION ALL
-  SELECT user_idx, 0 AS label, LEAST(3 * p, c - p) AS n FROM pu, cat WHERE LEAST(3 * p, c - p) > 0)
-GROUP BY user_idx, label""")
+register("negatives_with_attributes", with_recursive(*TRAIN_BASE, QUOTA, negatives_cte(3), """attrs AS (
+  SELECT item_idx, min({'category_idx': category_idx, 'price_norm': price_norm}) AS m FROM train GROUP BY item_idx)""") + """
+SELECT user_idx, item_idx, label, weight, ROUND(price_norm, 6) AS price_norm, category_idx FROM train
+UNION ALL
+SELECT user_idx, item_idx, 0, 0.0, ROUND(m.price_norm, 6), m.category_idx FROM negs JOIN attrs USING (item_idx)""")
 
 register("negatives_global_ratio", with_(*TRAIN_BASE) +
          "SELECT CAST(floor(CAST(COUNT(*) AS DOUBLE) * 0.2) AS BIGINT) AS n_negatives FROM train")

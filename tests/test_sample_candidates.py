@@ -84,3 +84,77 @@ def test_f10_profiles_and_content(spark):
     assert u9 == [3]                                   # 1, 2 touched; 4 has cosine < 0
     assert {r["reason"] for r in out if r["user_idx"] == 5} == {"fallback_popular"}
     assert {r["reason"] for r in out if r["user_idx"] == 6} == {"popular_item"}
+
+
+def _permutation(n, key):
+    """The permutation in plain integers: x -> place."""
+    from marmot.functions import permutation as PM
+    a, b = PM.sides(n)
+
+    def mixed(v, i):
+        return (v * (key[2 * i] + 1) + key[2 * i + 1]) % PM.PRIME // PM.DROPPED
+
+    def step(x):
+        hi, lo = divmod(x, b)
+        for i in range(4):
+            if i % 2 == 0:
+                hi = (hi + mixed(lo, i)) % a
+            else:
+                lo = (lo + mixed(hi, i)) % b
+        return hi * b + lo
+
+    out = []
+    for x in range(n):
+        y = step(x)
+        while y >= n:
+            y = step(y)
+        out.append(y)
+    return out
+
+
+def test_keyed_permutation_is_one_and_inverts(spark):
+    import hashlib
+
+    from marmot.functions import permutation as PM
+    for n in (1, 2, 3, 7, 97, 100, 1009):
+        rows = spark.range(n).select("id", F.explode(F.array(F.lit("u1"), F.lit("u2"))).alias("u"))
+        key = PM.keys("u", seed=9)
+        out = rows.select("u", "id", PM.permuted(F.col("id"), n, key).alias("y")).withColumn("back", PM.unpermuted(F.col("y"), n, key)).collect()
+        assert all(r["back"] == r["id"] for r in out)
+        for u in ("u1", "u2"):
+            digest = hashlib.sha256(f"{u}|9".encode()).hexdigest()
+            got = [r["y"] for r in sorted((r for r in out if r["u"] == u), key=lambda r: r["id"])]
+            assert sorted(got) == list(range(n))
+            assert got == _permutation(n, [int(digest[7 * i:7 * i + 7], 16) for i in range(8)])
+
+
+def test_negatives_are_the_first_free_places(spark):
+    """Brute force: walk the user's permutation and skip positives; heavy, full and null users included."""
+    import hashlib
+    import random
+    rng = random.Random(4)
+    items = [f"i{k:03d}" for k in range(83)]
+    pos = {("heavy", i) for i in items[:70]} | {("full", i) for i in items} | {(f"u{k}", i) for k in range(20) for i in rng.sample(items, rng.randint(1, 12))}
+    rows = [*pos, *list(pos)[:30], (None, "i001"), ("u1", None)]
+    neg = SA.negatives_per_user(spark.createDataFrame(rows, "user_idx STRING, item_idx STRING"), n=4, seed=3)
+    got = {}
+    for r in neg.collect():
+        got.setdefault(r["user_idx"], []).append(r["item_idx"])
+    for u in {u for u, _ in pos}:
+        own = {i for v, i in pos if v == u}
+        digest = hashlib.sha256(f"{u}|3".encode()).hexdigest()
+        places = [items[y] for y in _permutation(len(items), [int(digest[7 * i:7 * i + 7], 16) for i in range(8)])]
+        want = [i for i in places if i not in own][: min(4 * len(own), len(items) - len(own))]
+        assert sorted(got.get(u, [])) == sorted(want), u
+    assert set(got) <= {u for u, _ in pos} and "full" not in got
+    plan = neg._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(user_idx" not in plan
+    assert SA.negatives_per_user(spark.createDataFrame([], "user_idx STRING, item_idx STRING")).count() == 0
+
+
+def test_negatives_spread_evenly_over_items(spark):
+    """20,000 users with one item each: every other item is drawn about equally often."""
+    df = spark.range(20_000).select(F.col("id").alias("user_idx"), (F.col("id") % 50).alias("item_idx"))
+    counts = [r["count"] for r in SA.negatives_per_user(df, n=5).groupBy("item_idx").count().collect()]
+    assert len(counts) == 50 and sum(counts) == 100_000
+    assert max(counts) < 2000 * 1.12 and min(counts) > 2000 * 0.88
