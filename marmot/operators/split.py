@@ -10,50 +10,36 @@ from pyspark.sql import functions as F
 
 from marmot import schemas as S
 from marmot.functions import columns as C
-from marmot.functions.index import global_index, global_index_with_count
+from marmot.functions.index import global_index
+from marmot.functions.order import order_statistics
 
 
 def time_quantiles(df: DataFrame, ts: str = "ts", probs: Sequence[float] = (S.TRAIN_QUANTILE, S.VAL_QUANTILE),
                    exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """One row ``q0, q1, ...`` of quantiles of ``ts`` in epoch microseconds (linear interpolation).
 
-    exact (default): bracket, then index only the bracket, at every size.  ``percentile_approx``
-    (rank error <= n / accuracy) gives a value band around each quantile; one pass counts the
-    rows below each band and the total; only the band rows (about 4 n / accuracy of them, and
-    those that tie with its ends) get the distributed global index, from which the two
-    neighbours of position (n-1)*p are read.  If a band misses them (possible only if the
-    sketch's bound is violated) the whole column is indexed instead.
-    approximate: ``percentile_approx``.
+    exact (default): radix selection of the two neighbours of every position (n - 1) * p, at
+    every size (see functions.order); approximate: ``percentile_approx``.
     """
-    x = df.select(C.ts_micros(ts).alias("_x")).where(F.col("_x").isNotNull())
+    x = C.ts_micros(ts)
     if not exact:
         q = F.percentile_approx("_x", list(probs), accuracy)
-        return x.agg(q.alias("_q")).select(*[F.col("_q")[i].cast("double").alias(f"q{i}") for i in range(len(probs))])
-    k = len(probs)
-    eps = 2.0 / accuracy
-    edges = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
-    approx = x.agg(F.percentile_approx("_x", edges, accuracy)).first()[0]
-    if approx is None:
-        return _null_row(x, probs)
-    lo_v, hi_v = approx[:k], approx[k:]
-    stats = x.agg(F.count(F.lit(1)).alias("n"),
-                  *[F.count_if(F.col("_x") < F.lit(lo_v[i])).alias(f"b{i}") for i in range(k)]).first()
-    n = stats["n"]
-    values = []
-    for i, p in enumerate(probs):
-        h = (n - 1) * float(p)
-        lo = int(math.floor(h))
-        hi = min(lo + 1, n - 1)
-        band = x.where((F.col("_x") >= F.lit(lo_v[i])) & (F.col("_x") <= F.lit(hi_v[i])))
-        below = stats[f"b{i}"]
-        ranked, m = global_index_with_count(band, ["_x"], "_pos", spread_ties=True)
-        if not (below <= lo and hi < below + m):
-            ranked, m = global_index_with_count(x, ["_x"], "_pos", spread_ties=True, rows=n)
-            below = 0
-        got = {r["_pos"]: r["_x"] for r in ranked.where(F.col("_pos").isin([lo - below, hi - below])).collect()}
-        v_lo, v_hi = got[lo - below], got[hi - below]
-        values.append(float(v_lo) + (h - lo) * float(v_hi - v_lo))
-    return x.sparkSession.createDataFrame([tuple(values)], ", ".join(f"q{i} DOUBLE" for i in range(k)))
+        return df.select(x.alias("_x")).where("_x is not null").agg(q.alias("_q")).select(
+            *[F.col("_q")[i].cast("double").alias(f"q{i}") for i in range(len(probs))])
+    spots: list[tuple[float, int, int]] = []
+
+    def ranks(n: int) -> list[int]:
+        for p in probs:
+            h = (n - 1) * float(p)
+            spots.append((h, math.floor(h), min(math.floor(h) + 1, n - 1)))
+        return [r for _, low, high in spots for r in (low, high)]
+
+    n, places = order_statistics(df, x, ranks)
+    if not n:
+        return _null_row(df, probs)
+    values = [float(lo.value) + (h - low) * float(hi.value - lo.value)
+              for (h, low, _), lo, hi in zip(spots, places[::2], places[1::2], strict=True)]
+    return df.sparkSession.createDataFrame([tuple(values)], ", ".join(f"q{i} DOUBLE" for i in range(len(probs))))
 
 
 def _null_row(x: DataFrame, probs) -> DataFrame:
@@ -86,14 +72,37 @@ def temporal_split(df: DataFrame, ts: str = "ts", train_q: float = S.TRAIN_QUANT
 
 def random_split(df: DataFrame, keys: Sequence[str] = ("user_idx", "item_idx"),
                  ratios: Sequence[float] = S.SPLIT_RATIOS, seed: int = 42) -> DataFrame:
-    """Exact-count seeded split: order rows by md5(keys|seed), the first int(n*r_train)
-    go to train, the next int(n*r_val) to val, the rest to test.  The order key is
-    reproducible in SQL; the position comes from the distributed global index."""
-    n = df.count()
-    n_train = int(n * ratios[0])
-    n_val = int(n * ratios[1])
-    keyed = df.withColumn("_h", C.hash_order(*keys, seed=seed))
-    tie = [F.col(k) for k in keys]
-    ranked = global_index(keyed, [F.col("_h"), *tie], "_pos", rows=n)
-    return ranked.withColumn("split", F.when(F.col("_pos") < n_train, "train")
-                             .when(F.col("_pos") < n_train + n_val, "val").otherwise("test")).drop("_h", "_pos")
+    """Exact-count seeded split: in the order of md5(keys|seed), the first int(n*r_train) rows
+    go to train, the next int(n*r_val) to val, the rest to test.  The order is reproducible in SQL.
+
+    The two cut values are found by radix selection over the first 60 bits of the hash and
+    rows are tagged by comparison: no row is moved.  Only where rows with one cut value fall on both
+    sides (repeated pairs) are these numbered, in the order of hash and keys.
+    """
+    cut: list[int] = []
+
+    def ranks(n: int) -> list[int]:
+        n_train = int(n * ratios[0])
+        cut.extend((n_train, n_train + int(n * ratios[1])))
+        return cut
+
+    digest = C.hash_order(*keys, seed=seed)
+    key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    _, places = order_statistics(df, key, ranks, span=(0, (1 << 60) - 1))
+    names = ("train", "val")
+    tag = F.lit("test")
+    for at, name in reversed(list(zip(places, names, strict=True))):  # a cut beyond the last row takes all
+        tag = F.lit(name) if at is None else F.when(F.col("_h") < at.value, name).otherwise(tag)
+    torn = sorted({at.value for r, at in zip(cut, places, strict=True) if at is not None and at.below < r})
+    keyed = df.withColumn("_h", key)
+    if not torn:
+        return keyed.withColumn("split", tag).drop("_h")
+    # rows that tie with a cut value, numbered from the rows below it
+    out = keyed.where(~F.col("_h").isin(torn)).withColumn("split", tag)
+    for value in torn:
+        tied = keyed.where(F.col("_h") == value).withColumn("_d", digest)
+        below = next(at.below for at in places if at is not None and at.value == value)
+        ranked = global_index(tied, ["_d", *[F.col(k) for k in keys]], "_pos", start=below, spread_ties=True)
+        out = out.unionByName(ranked.withColumn("split", F.when(F.col("_pos") < cut[0], "train").when(F.col("_pos") < cut[1], "val")
+                                                .otherwise("test")).drop("_d", "_pos"))
+    return out.drop("_h")

@@ -37,9 +37,14 @@ def materialized(spark: SparkSession, key: str, sf_dir: str, build, partition_by
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event-derived training rows with a temporal ``split`` column (train/val/test)."""
-    return materialized(spark, "splits", sf_dir,
-                        lambda: SP.temporal_split(TD.training_rows(spark, sf_dir)), ["split"])
+    """Event-derived training rows with a temporal ``split`` column (train/val/test).
+
+    The enriched rows are written once; the passes that find the cut-offs read their ``ts`` alone.
+    """
+    def build() -> DataFrame:
+        rows = materialized(spark, "rows", sf_dir, lambda: TD.training_rows(spark, sf_dir))
+        return SP.temporal_split(rows)
+    return materialized(spark, "splits", sf_dir, build, ["split"])
 
 
 def split_part(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -96,3 +96,39 @@ def test_metrics_agree_with_ranking_evaluator(spark):
     assert abs(ev.setMetricName("precisionAtK").evaluate(pairs) - ours["precision"]) < 1e-9
     assert abs(ev.setMetricName("recallAtK").evaluate(pairs) - ours["recall"]) < 1e-9
     assert abs(ev.setMetricName("ndcgAtK").evaluate(pairs) - ours["ndcg"]) < 1e-9
+
+
+def test_order_statistics_by_radix(spark, monkeypatch):
+    import random
+
+    from marmot.functions import order as O
+    monkeypatch.setattr(O, "FEW", 5)
+    monkeypatch.setattr(O, "DIGIT", 3)
+    rng = random.Random(2)
+    wide = [-(2**63), 2**63 - 1, -1, 0, 1, *(rng.randint(-(2**63), 2**63 - 1) for _ in range(200))]
+    for values in ([7], [5] * 300, [rng.randint(0, 40) for _ in range(500)], [rng.randint(-10**12, 10**12) for _ in range(300)], wide):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v BIGINT").repartition(3)
+        want = sorted(values)
+        asked = sorted({0, len(want) // 3, len(want) // 2, len(want) - 1})
+        n, got = O.order_statistics(df, F.col("v"), lambda n: [*asked, n])
+        assert n == len(want) and got[-1] is None
+        for r, p in zip(asked, got):
+            assert (p.value, p.below, p.equal) == (want[r], sum(x < want[r] for x in want), want.count(want[r])), r
+    assert O.order_statistics(df.where("false"), F.col("v"), lambda n: [0]) == (0, [None])
+
+
+def test_random_split_tears_repeated_rows_exactly(spark):
+    """A third of all rows are one pair: the counts stay exact, no sort of the table is planned."""
+    import hashlib
+    rows = [(1, 1)] * 200 + [(u, 7) for u in range(2, 402)]
+    df = spark.createDataFrame(rows, "user_idx BIGINT, item_idx BIGINT")
+    order = sorted(rows, key=lambda r: hashlib.md5(f"{r[0]}|{r[1]}|5".encode()).hexdigest())
+    hot = order.index((1, 1))
+    for ratios in ((0.7, 0.15, 0.15), ((hot + 50.5) / 600, 100 / 600, 0.1), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0)):
+        got = SP.random_split(df, ratios=ratios, seed=5).collect()
+        n_train, n_val = int(600 * ratios[0]), int(600 * ratios[1])
+        want = {"train": order[:n_train], "val": order[n_train:n_train + n_val], "test": order[n_train + n_val:]}
+        for name, own in want.items():
+            assert sorted((r["user_idx"], r["item_idx"]) for r in got if r["split"] == name) == sorted(own), (ratios, name)
+    plan = SP.random_split(spark.range(3000).select(F.col("id").alias("user_idx"), F.col("id").alias("item_idx")))._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
