@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,6 +148,57 @@ def _top_rows(Q, X, ids, qids, exl, k, min_score, slab=512):
     return q[ok], i[ok], sc[ok], rk[ok]
 
 
+#: bands of item norms that the driver knows the counts and maxima of
+MAX_BANDS = 256
+
+
+@dataclass(frozen=True)
+class Band:
+    """Items of one range of norms: the largest norm, the number of its first chunk, how many chunks it has."""
+    max_norm: float
+    first: int
+    chunks: int
+    rows: int
+
+
+def norm_bands(items: DataFrame, norm: str, item_block: int) -> tuple[list[float], list[Band]]:
+    """(cuts, bands) of an item table by falling norm; band b holds the items below b of the cuts.
+
+    Approximate quantiles cut the norms into about one band for ``item_block`` items (at most MAX_BANDS);
+    a band of more items, such as one of equal norms, has several chunks by hash.
+    """
+    n = items.count()
+    if not n:
+        return [], []
+    wanted = min(MAX_BANDS, math.ceil(n / item_block))
+    cuts: list[float] = []
+    if wanted > 1:
+        found = items.agg(F.percentile_approx(norm, [b / wanted for b in range(1, wanted)], 10_000)).first()[0]
+        cuts = sorted(set(found), reverse=True)
+    bands, first = [], 0
+    stats = {r["b"]: r for r in items.groupBy(_band_of(F.col(norm), cuts).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).collect()}
+    for b in range(len(cuts) + 1):
+        rows = stats[b]["n"] if b in stats else 0
+        bands.append(Band(float(stats[b]["m"]) if rows else 0.0, first, math.ceil(rows / item_block), rows))
+        first += bands[-1].chunks
+    return cuts, bands
+
+
+def _band_of(norm: Column, cuts: list[float]) -> Column:
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > norm)) if cuts else F.lit(0)
+
+
+def open_bands(norm: Column, kth: Column, bands: list[Band], start: int, min_score: float | None = None) -> Column:
+    """The bands from ``start`` on that may still hold a better item: by Cauchy-Schwarz no score exceeds
+    the query's norm times the band's largest norm.  ``kth`` is the score to beat or to tie; null opens all."""
+    def reaches(bound: Column) -> Column:
+        top = bound * norm * F.lit(1.0 + 1e-9)  # room for rounding
+        fine = kth.isNull() | (top >= kth)
+        return fine if min_score is None else fine & (top > F.lit(min_score))
+    numbered = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(bands[b].max_norm).alias("m")) for b in range(start, len(bands)) if bands[b].rows])
+    return F.transform(F.filter(numbered, lambda x: reaches(x["m"])), lambda x: x["b"])
+
+
 def blocked_top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "dot", min_score: float | None = None,
                   query_block: int = 65536, item_block: int = 16384, key: str = "user_idx",
                   item: str = "item_idx", exclude_pairs: DataFrame | None = None) -> DataFrame:
@@ -154,40 +206,45 @@ def blocked_top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "d
     query x item rows.  Ties are broken by item id (as ``top_k`` does).
 
     Queries are hashed into blocks of at most about ``query_block`` (as many blocks as
-    the cluster runs tasks, at least) and items into chunks of about ``item_block``;
-    every (block, chunk) pair is one cogrouped pandas task that keeps k per query and
-    chunk, and a final window keeps the best k over chunks.  Per-task memory is bounded
+    the cluster runs tasks, at least) and items into chunks of about ``item_block`` by falling
+    norm; every (block, chunk) pair is one cogrouped pandas task that keeps k per
+    query and chunk, and a window keeps the best k over chunks.  Per-task memory is bounded
     by the block sizes; nothing of the item table reaches the driver.
 
+    The chunks of the largest norms are scored first.  A query then goes only to chunks whose
+    largest norm, times its own, can reach its k-th score so far; items go only to blocks that
+    ask for their chunk.  Cosines have no such bound (all norms are one): every chunk is scored at once.
+
     ``exclude_pairs`` (key, item) are removed inside the task before the cut, so no
     over-fetch is needed: each query row carries its excluded items of that chunk.
     """
-    from pyspark.sql import types as T
+    cosine = metric == "cosine"
     qv = queries.select(F.col(key).alias("q"), F.col(queries.columns[1]).alias("qv"))
     iv = items.select(F.col(item).alias("i"), F.col(items.columns[1]).alias("iv"))
-    n_items = iv.count()
-    cosine = metric == "cosine"
+    iv = iv.withColumn("nn", F.lit(1.0) if cosine else C.l2_norm("iv"))
     q_type, i_type = qv.schema["q"].dataType, iv.schema["i"].dataType
     out_schema = T.StructType([T.StructField("q", q_type), T.StructField("i", i_type),
                                T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-    if n_items == 0:
-        return qv.sparkSession.createDataFrame([], out_schema).select(
-            F.col("q").alias(key), F.col("i").alias(item), "score", "rank")
-
     spark = qv.sparkSession
+    cuts, bands = norm_bands(iv, "nn", item_block)
+    if not bands:
+        return spark.createDataFrame([], out_schema).select(F.col("q").alias(key), F.col("i").alias(item), "score", "rank")
+    # the first bands: enough items for k after exclusions, as a rule
+    start, have = 0, 0
+    while start < len(bands) and (cosine or have < max(item_block, 8 * k)):
+        have += bands[start].rows
+        start += 1
+    first = F.array(*[F.lit(b.first) for b in bands])
+    parts = F.array(*[F.lit(max(1, b.chunks)) for b in bands])
+    band = _band_of(F.col("nn"), cuts)
+    placed = iv.select("i", "iv", (F.get(first, band) + F.pmod(F.xxhash64("i"), F.get(parts, band))).cast("int").alias("ic"))
+    chunks_of = F.array(*[F.sequence(F.lit(b.first), F.lit(b.first + max(1, b.chunks) - 1)) for b in bands])
     n_q = max(spark.sparkContext.defaultParallelism, math.ceil(qv.count() / query_block))
-    n_i = max(1, math.ceil(n_items / item_block))
-    q_rep = (qv.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_q)))
-               .withColumn("ic", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)))))
+    qv = qv.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(n_q)).cast("int"))
+    ex = None
     if exclude_pairs is not None:
         ex = (exclude_pairs.select(F.col(key).alias("q"), F.col(item).alias("_x")).distinct()
-              .withColumn("ic", F.pmod(F.xxhash64("_x"), F.lit(n_i)))
-              .groupBy("q", "ic").agg(F.collect_list("_x").alias("ex")))
-        q_rep = q_rep.join(ex, ["q", "ic"], "left")
-    else:
-        q_rep = q_rep.withColumn("ex", F.lit(None).cast(T.ArrayType(i_type)))
-    i_rep = (iv.withColumn("ic", F.pmod(F.xxhash64("i"), F.lit(n_i)))
-               .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
+              .join(placed.select(F.col("i").alias("_x"), "ic"), "_x").groupBy("q", "ic").agg(F.collect_list("_x").alias("ex")))
 
     def block(qpdf, ipdf):
         import numpy as np
@@ -202,8 +259,24 @@ def blocked_top_k(queries: DataFrame, items: DataFrame, k: int, metric: str = "d
                                  k, min_score)
         return pd.DataFrame({"q": q, "i": i, "score": sc, "rank": rk})
 
-    partial = (q_rep.groupBy("qb", "ic").cogroup(i_rep.groupBy("qb", "ic"))
-                    .applyInPandas(block, out_schema))
-    w = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("i"))
-    return (partial.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-                   .select(F.col("q").alias(key), F.col("i").alias(item), "score", "rank"))
+    def scored(asked: DataFrame) -> DataFrame:
+        """The best k per query and chunk of ``asked`` (q, qv, qb, band)."""
+        q_rep = asked.select("q", "qv", "qb", F.explode(F.get(chunks_of, F.col("band"))).alias("ic"))
+        asking = q_rep.select(F.col("qb").alias("ib"), F.col("ic").alias("jc")).distinct()
+        i_rep = placed.join(asking, placed["ic"] == asking["jc"]).select("i", "iv", "ib", "jc")
+        q_rep = q_rep.join(ex, ["q", "ic"], "left") if ex is not None else q_rep.withColumn("ex", F.lit(None).cast(T.ArrayType(i_type)))
+        return q_rep.groupBy("qb", "ic").cogroup(i_rep.groupBy("ib", "jc")).applyInPandas(block, out_schema)
+
+    def best(parts_: DataFrame) -> DataFrame:
+        w = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("i"))
+        return parts_.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+
+    early = [F.lit(b) for b in range(start) if bands[b].rows]
+    top = best(scored(qv.withColumn("band", F.explode(F.array(*early)))))
+    if any(b.rows for b in bands[start:]):
+        top = top.checkpoint(eager=True)  # at most k rows a query, read twice below
+        kth = top.where(F.col("rank") == k).select("q", F.col("score").alias("kth"))
+        rest = (qv.join(kth, "q", "left")
+                .withColumn("band", F.explode(open_bands(C.l2_norm("qv"), F.col("kth"), bands, start, min_score))).drop("kth"))
+        top = best(top.unionByName(scored(rest)))
+    return top.select(F.col("q").alias(key), F.col("i").alias(item), "score", "rank")

@@ -158,3 +158,60 @@ def test_negatives_spread_evenly_over_items(spark):
     counts = [r["count"] for r in SA.negatives_per_user(df, n=5).groupBy("item_idx").count().collect()]
     assert len(counts) == 50 and sum(counts) == 100_000
     assert max(counts) < 2000 * 1.12 and min(counts) > 2000 * 0.88
+
+
+def test_norm_bounds_prune_chunks_and_stay_exact(spark):
+    """Items of very different norms: the answer equals brute force (ties, exclusions, a floor), and most (query, band) pairs are never scored."""
+    rng = np.random.default_rng(1)
+    n_q, n_i, k = 60, 400, 5
+    Q = rng.normal(size=(n_q, 6))
+    X = rng.normal(size=(n_i, 6)) * (50.0 / np.arange(1, n_i + 1))[:, None]
+    X[300:320] = X[0]                                                     # ties with the largest item
+    qdf = spark.createDataFrame([(i, Q[i].tolist()) for i in range(n_q)], "user_idx BIGINT, embedding ARRAY<DOUBLE>")
+    idf = spark.createDataFrame([(j, X[j].tolist()) for j in range(n_i)], "item_idx BIGINT, embedding ARRAY<DOUBLE>")
+    S = Q @ X.T
+    out = [(q, int(j)) for q in range(0, n_q, 3) for j in np.argsort(-S[q], kind="stable")[:30]]
+    ex = spark.createDataFrame(out, "user_idx BIGINT, item_idx BIGINT")
+    for q, j in out:
+        S[q, j] = -np.inf
+    for floor in (None, 0.5):
+        got = {}
+        for r in CA.blocked_top_k(qdf, idf, k, item_block=20, min_score=floor, exclude_pairs=ex).collect():
+            got.setdefault(r["user_idx"], {})[r["rank"]] = r["item_idx"]
+        for q in range(n_q):
+            order = sorted(range(n_i), key=lambda j: (-round(S[q, j], 9), j))
+            want = [j for j in order if np.isfinite(S[q, j]) and (floor is None or S[q, j] > floor)][:k]
+            assert [got.get(q, {})[r] for r in sorted(got.get(q, {}))] == want, q
+    normed = idf.withColumn("nn", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)))
+    cuts, bands = CA.norm_bands(normed, "nn", 20)
+    assert sum(b.rows for b in bands) == n_i and all(b.rows <= 60 for b in bands) and [b.max_norm for b in bands] == sorted((b.max_norm for b in bands), reverse=True)
+    kth = spark.createDataFrame([(q, float(np.linalg.norm(Q[q])), float(np.sort(S[q])[-k])) for q in range(n_q)], "q INT, n DOUBLE, kth DOUBLE")
+    asked = kth.select(F.size(CA.open_bands(F.col("n"), F.col("kth"), bands, 2)).alias("c")).agg(F.sum("c")).first()[0]
+    assert asked < 0.5 * n_q * (len(bands) - 2)
+    every = kth.select(F.size(CA.open_bands(F.col("n"), F.lit(None).cast("double"), bands, 2)).alias("c")).agg(F.sum("c")).first()[0]
+    assert every == n_q * sum(b.rows > 0 for b in bands[2:])
+
+
+def test_equal_norms_make_one_band_of_several_chunks(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(90, 4))
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    Q = rng.normal(size=(9, 4))
+    qdf = spark.createDataFrame([(i, Q[i].tolist()) for i in range(9)], "user_idx BIGINT, embedding ARRAY<DOUBLE>")
+    idf = spark.createDataFrame([(j, X[j].tolist()) for j in range(90)], "item_idx BIGINT, embedding ARRAY<DOUBLE>")
+    got = {}
+    for r in CA.blocked_top_k(qdf, idf, 3, item_block=10).collect():
+        got.setdefault(r["user_idx"], {})[r["rank"]] = r["item_idx"]
+    for q in range(9):
+        assert [got[q][r] for r in (1, 2, 3)] == list(np.argsort(-(X @ Q[q]), kind="stable")[:3])
+    assert CA.blocked_top_k(qdf, idf.where("false"), 3).count() == 0
+
+
+def test_profile_is_one_aggregate(spark):
+    vecs = spark.createDataFrame([(j, [float(j), 1.0, -float(j)]) for j in range(50)], "item_idx BIGINT, embedding ARRAY<FLOAT>")
+    hist = spark.createDataFrame([(u, j) for u in range(5) for j in range(50) if j % (u + 1) == 0], "user_idx BIGINT, item_idx BIGINT")
+    prof = CB.profiles(hist, vecs)
+    for r in prof.collect():
+        m = np.mean([j for j in range(50) if j % (r["user_idx"] + 1) == 0])
+        assert np.allclose(r["profile"], [m, 1.0, -m])
+    assert "Generate" not in prof._jdf.queryExecution().executedPlan().toString()
