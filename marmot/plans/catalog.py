@@ -27,6 +27,7 @@ from marmot.plans import serve as SV
 from marmot.plans import train as TR
 from marmot.session import exists, scratch_path
 from marmot.sources import files as FS
+from marmot.streaming import bucketed as BK
 from marmot.streaming import incremental as INC
 from marmot.sources import testdata as TD
 
@@ -506,10 +507,18 @@ def log_files(spark, sf_dir) -> str:
     def build():
         path = scratch_path(spark, "logs")
         logs = TD.logs(spark, sf_dir).drop("event_id").withColumn("day", _day())
-        return FS.write_logs_json(logs, path, ["day"], one_file_per_partition=True)
+        return FS.write_logs_json(logs.repartition("day"), path, ["day"])
     return _memo_path(spark, sf_dir, "logs", build)
 
 
+def array_files(spark, sf_dir) -> str:
+    """The same log in the live layout: files that are one JSON array each."""
+    def build():
+        logs = TD.logs(spark, sf_dir).drop("event_id").withColumn("day", _day())
+        return FS.write_logs_json(logs, scratch_path(spark, "log-arrays"), ["day"], layout="array")
+    return _memo_path(spark, sf_dir, "log-arrays", build)
+
+
 def ledger(spark, sf_dir) -> str:
     """A ledger holding the files of the first days."""
     logs_path = log_files(spark, sf_dir)
@@ -544,14 +553,22 @@ def q_write_splits(spark, sf_dir):
 
 @query("read_json_logs")
 def q_read_json_logs(spark, sf_dir):
+    good, _ = FS.read_logs(spark, array_files(spark, sf_dir), ext=".txt")
+    return good.select(*S.LOG_COLUMNS)
+
+
+@query("read_json_lines")
+def q_read_json_lines(spark, sf_dir):
     return _good_logs(spark, sf_dir).select(*S.LOG_COLUMNS)
 
 
 @query("write_logs_json")
 def q_write_logs_json(spark, sf_dir):
-    g = _good_logs(spark, sf_dir)
-    return g.groupBy(F.regexp_extract("file_path", r"day=([0-9-]+)", 1).alias("day")).agg(
-        F.count(F.lit(1)).alias("n_rows"))
+    # whole rows, read back beside the day of the folder that holds them
+    path = FS.write_logs_json(TD.logs(spark, sf_dir).drop("event_id").withColumn("day", _day()), scratch_path(spark, "log-arrays"), ["day"],
+                              layout="array", rows_per_file=500)
+    good, _ = FS.read_logs(spark, path, ext=".txt")
+    return good.select(F.regexp_extract("file_path", r"day=([0-9-]+)", 1).alias("day"), *S.LOG_COLUMNS)
 
 
 @query("discover_log_files")
@@ -564,8 +581,23 @@ def q_discover_log_files(spark, sf_dir):
 @query("skip_processed")
 def q_skip_processed(spark, sf_dir):
     led = FS.load_ledger(spark, ledger(spark, sf_dir))
-    rows = _good_logs(spark, sf_dir).join(led.select("file_path"), "file_path", "left_anti")
-    return rows.select(*S.LOG_COLUMNS)
+    # the processed files are left out by name, before any is opened
+    good, _ = FS.read_log_files(FS.unprocessed(FS.list_log_files(spark, log_files(spark, sf_dir)), led), multiline=False)
+    return good.select(*S.LOG_COLUMNS)
+
+
+@query("file_states")
+def q_file_states(spark, sf_dir):
+    """The ledger after a second run that tried every file again: attempts and state by day."""
+    src = log_files(spark, sf_dir)
+    led = scratch_path(spark, "ledger-states")
+    files = FS.list_log_files(spark, src)
+    day = F.regexp_extract("file_path", r"day=([0-9-]+)", 1)
+    FS.record(files.select("file_path", F.when(day <= LEDGER_UNTIL, FS.DONE).otherwise(FS.FAILED).alias("state")), led)
+    again = FS.unprocessed(files, FS.load_ledger(spark, led))
+    good, bad = FS.read_log_files(again, multiline=False)
+    FS.record(FS.outcome(again, good, bad), led)
+    return FS.file_states(FS.load_ledger(spark, led)).select(day.alias("day"), "state", "attempts")
 
 
 @query("latest_unprocessed_files")
@@ -579,7 +611,7 @@ def q_latest_unprocessed_files(spark, sf_dir):
 def q_logs_by_date_range(spark, sf_dir):
     led = FS.load_ledger(spark, ledger(spark, sf_dir))
     rows, _ = FS.fetch_logs_by_date(spark, log_files(spark, sf_dir), led, RANGE_START_MS, RANGE_END_MS,
-                                    multiline=False)
+                                    multiline=False, day_folders=True)
     return rows.select(*S.LOG_COLUMNS)
 
 
@@ -706,6 +738,23 @@ def q_incremental_update(spark, sf_dir):
     return d4(merged)
 
 
+@query("bucketed_update")
+def q_bucketed_update(spark, sf_dir):
+    root = scratch_path(spark, "bucketed")
+    BK.create(spark, root, train(spark, sf_dir), buckets=16)
+    while BK.ingest(spark, array_files(spark, sf_dir), root, f"{root}/ledger", TD.price_stats(spark, sf_dir), ext=".txt"):
+        pass  # ten files a run until none is new
+    return d4(BK.read(spark, root))
+
+
+@query("update_job")
+def q_update_job(spark, sf_dir):
+    root = scratch_path(spark, "update-job")
+    comparison, _ = BK.update_job(spark, array_files(spark, sf_dir), train(spark, sf_dir), root, f"{root}/ledger", TD.price_stats(spark, sf_dir),
+                                  buckets=16, ext=".txt", n_files=10_000)
+    return comparison.select("statistic", *[C.round6(c).alias(c) for c in ("before", "after", "delta")])
+
+
 @query("train_hybrid_mlp")
 def q_train_hybrid_mlp(spark, sf_dir):
     t = train(spark, sf_dir)

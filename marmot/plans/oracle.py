@@ -464,7 +464,12 @@ register("write_splits", with_(*TRAIN_BASE) + "SELECT split, COUNT(*) AS n_rows
 
 register("read_json_logs", with_(ITEMS, EV, LOGS) + f"SELECT {LOG_COLS} FROM logs")
 
-register("write_logs_json", with_(ITEMS, EV, LOGS, LOGS_D) + "SELECT day, COUNT(*) AS n_rows FROM logs_d GROUP BY day")
+register("write_logs_json", with_(ITEMS, EV, LOGS, LOGS_D) + f"SELECT day, {LOG_COLS} FROM logs_d")
+
+register("read_json_lines", with_(ITEMS, EV, LOGS) + f"SELECT {LOG_COLS} FROM logs")
+
+register("file_states", with_(ITEMS, EV, LOGS, LOGS_D) + """
+SELECT day, 'done' AS state, CASE WHEN day <= '2024-01-05' THEN 1 ELSE 2 END::BIGINT AS attempts FROM (SELECT DISTINCT day FROM logs_d)""")
 
 register("discover_log_files", with_(ITEMS, EV, LOGS, LOGS_D) +
          "SELECT day, CAST(COUNT(DISTINCT day) AS BIGINT) AS n_files FROM logs_d WHERE day LIKE '2024-01%' GROUP BY day")
@@ -562,3 +567,13 @@ register("save_load_model", with_(*TRAIN_BASE) + "SELECT DISTINCT item_idx, 8 AS
 # --------------------------------------------------------------------------- incremental = one-shot merge
 register("incremental_update", with_(*TRAIN_BASE, LOGS, LOGS_ZSCORE, dedup_cte("newrows", "ltz"), TRAIN_AND_NEW,
                                      dedup_cte("merged", "both_")) + f"SELECT {D4_OUT} FROM merged")
+
+_MERGED = (*TRAIN_BASE, LOGS, LOGS_ZSCORE, dedup_cte("newrows", "ltz"), TRAIN_AND_NEW, dedup_cte("merged", "both_"))
+
+register("bucketed_update", with_(*_MERGED) + f"SELECT {D4_STRING} FROM merged")
+
+register("update_job", with_(*_MERGED, dedup_cte("before_", "train"),
+                             f"sb AS (SELECT {STAT_AGGS} FROM before_)", f"sa AS (SELECT {STAT_AGGS} FROM merged)",
+                             f"lb AS ({_unpivot('sb')})", f"la AS ({_unpivot('sa')})") + """
+SELECT lb.statistic, ROUND(lb.v, 6) AS before, ROUND(la.v, 6) AS after, ROUND(la.v - lb.v, 6) AS delta
+FROM lb JOIN la ON lb.statistic = la.statistic""")

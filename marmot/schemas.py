@@ -71,5 +71,6 @@ REQUEST_SCHEMA = T.StructType([
 # D13 processed-file ledger.
 LEDGER_SCHEMA = T.StructType([
     T.StructField("file_path", T.StringType()),
+    T.StructField("state", T.StringType()),  # done, empty or failed: the outcome of one attempt
     T.StructField("processed_at", T.TimestampType()),
 ])

@@ -1,7 +1,7 @@
 """File sources and sinks: interactions, JSON action logs, ledger, snapshots, encoders, vectors.
 
-All paths are Hadoop paths (local, HDFS, object stores): listing and reading
-go through Spark's file index, never through a driver-side client.
+Log files are listed and read by tasks (see ``listing``): their names stay in tables and
+never come to the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from marmot import schemas as S
 from marmot.session import exists
+from marmot.sources.listing import list_files, read_contents
 
 CORRUPT = "_corrupt_record"
 
@@ -47,72 +48,61 @@ def write_splits(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
 
 
 # --------------------------------------------------------------------------- JSON action logs
-def write_logs_json(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                    one_file_per_partition: bool = False, mode: str = "overwrite") -> str:
-    """Write log rows as JSON (one object per line).  ``one_file_per_partition`` gives
-    every output directory exactly one file (fixture layouts)."""
-    if one_file_per_partition and partition_by:
-        df = df.repartition(*[F.col(c) for c in partition_by])
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.json(path)
+def write_logs_json(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite",
+                    layout: str = "lines", rows_per_file: int = 100_000) -> str:
+    """Write log rows as JSON: ``lines`` one object per line, ``array`` one JSON array per file (at most
+    about ``rows_per_file`` rows of one directory each, so a large day is several files)."""
+    keys = list(partition_by or [])
+    if layout == "lines":
+        w = df.write.mode(mode)
+        (w.partitionBy(*keys) if keys else w).json(path)
+        return path
+    n_files = F.ceil(F.count(F.lit(1)) / rows_per_file)
+    plain = [c for c in df.columns if c not in keys]
+    row = F.struct(*plain)
+    sized = df.join(df.groupBy(*keys).agg(n_files.alias("_files")), keys) if keys else df.withColumn("_files", df.select(n_files).scalar())
+    chunked = sized.withColumn("_file", F.pmod(F.xxhash64(row), F.col("_files")))
+    arrays = chunked.groupBy(*keys, "_file").agg(F.to_json(F.collect_list(row)).alias("value")).drop("_file")
+    w = arrays.write.mode(mode).option("maxRecordsPerFile", 1)
+    (w.partitionBy(*keys) if keys else w).text(path)
     return path
 
 
-def list_log_files(spark: SparkSession, path: str, prefix: str = "", ext: str = ".json",
-                   recursive: bool = True) -> DataFrame:
-    """(file_path, length, modified) of every file under ``path`` whose key starts with
-    ``prefix`` (a string prefix, so "2025/1" matches 10, 11, 12) and ends with ``ext``.
-
-    The binaryFile source lists files through Spark's file index; only the
-    metadata columns are selected, so no content is read.
-    """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*{ext}")
-                  .option("recursiveFileLookup", str(recursive).lower()).load(path)
-                  .select(F.col("path").alias("file_path"), "length", F.col("modificationTime").alias("modified")))
-    if prefix:
-        base = F.regexp_replace(F.col("file_path"), r"^.*?" + _escape(path.rstrip("/")) + "/", "")
-        files = files.where(base.startswith(prefix))
-    return files
-
-
-def _escape(p: str) -> str:
-    import re
-    return re.escape(p.replace("file:", ""))
+def list_log_files(spark: SparkSession, path: str, prefix: str = "", ext: str = ".json", recursive: bool = True,
+                   days=None, max_files: int | None = None) -> DataFrame:
+    """(file_path, length, modified) of the log files under ``path``; see ``listing.list_files``."""
+    return list_files(spark, path, prefix, ext, recursive, days, max_files)
 
 
-def read_logs(spark: SparkSession, path: str | list[str], multiline: bool = True, ext: str = ".json",
-              recursive: bool = True, schema: T.StructType = S.LOG_SCHEMA,
-              prefix: str = "") -> tuple[DataFrame, DataFrame]:
-    """Read log files -> (good rows with ``file_path``, bad records with ``file_path``).
+def read_log_files(files: DataFrame, multiline: bool = True, schema: T.StructType = S.LOG_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """The files of a table of names -> (good rows with ``file_path``, bad records with ``file_path``).
 
-    ``prefix`` keeps only files whose key under ``path`` starts with it (a string
-    prefix, H6: honoured); only those files are read.
-
-    multiline=True reads each file as one JSON document (a JSON array of log
-    objects, the reference layout); False reads one JSON value per line.
-    Unparsable input lands in ``bad`` instead of failing the job; an empty
-    array yields no rows.
+    multiline=True: each file is one JSON document (an array of log objects, or one object); False: one
+    object per line.  A document or line that cannot be parsed, and a file that cannot be
+    opened, is a bad record; empty arrays and blank files have no rows.
     """
-    if prefix and isinstance(path, str):
-        names = [r_[0] for r_ in list_log_files(spark, path, prefix, ext, recursive).select("file_path").collect()]
-        if not names:
-            empty = spark.createDataFrame([], T.StructType(schema.fields + [T.StructField("file_path", T.StringType())]))
-            return empty, spark.createDataFrame([], f"file_path STRING, {CORRUPT} STRING")
-        path, recursive = names, False
-    full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    r = (spark.read.schema(full).option("multiLine", multiline).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", f"*{ext}")
-              .option("recursiveFileLookup", str(recursive).lower()))
-    df = (r.json(path) if isinstance(path, str) else r.json(list(path)))
-    df = df.withColumn("file_path", F.col("_metadata.file_path"))
-    # the struct keeps a parsed column referenced, so file-level queries (counts per
-    # file) are not queries over the corrupt-record column alone
-    keep = F.length(F.coalesce(F.col(schema.fields[0].name).cast("string"), F.lit(""))) >= 0  # always true
-    good = df.where(F.col(CORRUPT).isNull() & keep).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull() & keep).select("file_path", CORRUPT)
-    return good, bad
+    contents = read_contents(files)
+    if multiline:
+        docs = contents.withColumn("_d", F.trim("content"))
+        rows = F.from_json("_d", T.ArrayType(schema))
+        opened = rows.isNotNull() & F.col("_d").rlike(r"(?s)^[\[{].*[\]}]\s*$")
+        parsed = docs.withColumn("_rows", F.when(opened, rows))
+        bad = parsed.where(F.col("_rows").isNull() & (F.col("content").isNull() | (F.trim(F.regexp_replace("content", r"\s+", " ")) != "")))
+        good = parsed.where("_rows is not null").select(F.explode("_rows").alias("_r"), "file_path").where("_r is not null").select("_r.*", "file_path")
+        return good, bad.select("file_path", F.coalesce("content", "error").alias(CORRUPT))
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    lines = contents.select("file_path", "error", F.explode_outer(F.split("content", r"\r?\n")).alias("_line")).where("_line is null or trim(_line) <> ''")
+    parsed = lines.withColumn("_r", F.from_json("_line", full, {"columnNameOfCorruptRecord": CORRUPT}))
+    lost = F.col("_line").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
+    good = parsed.where(~lost).select(*[F.col(f"_r.{f.name}") for f in schema.fields], "file_path")
+    return good, parsed.where(lost).select("file_path", F.coalesce("_line", "error").alias(CORRUPT))
+
+
+def read_logs(spark: SparkSession, path: str, multiline: bool = True, ext: str = ".json", recursive: bool = True,
+              schema: T.StructType = S.LOG_SCHEMA, prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """Read the log files under ``path`` whose key starts with ``prefix`` -> (good rows, bad records), both with
+    ``file_path``; see ``read_log_files``."""
+    return read_log_files(list_log_files(spark, path, prefix, ext, recursive), multiline, schema)
 
 
 def filter_by_timestamp(logs: DataFrame, start: _dt.datetime | int | None = None,
@@ -139,23 +129,49 @@ def _as_ms(v) -> int:
     return int(v.timestamp() * 1000)
 
 
-# --------------------------------------------------------------------------- processed-file ledger
+# --------------------------------------------------------------------------- file-state ledger
+#: states of a file: its rows are in the table; it had no rows; it could not be read
+DONE, EMPTY, FAILED = "done", "empty", "failed"
+
+
 def load_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The processed-file ledger (file_path, processed_at); absent -> empty."""
+    """The ledger's entries (file_path, state, processed_at), one per file and attempt; absent -> empty."""
     if not exists(spark, path):
         return spark.createDataFrame([], S.LEDGER_SCHEMA)
     return spark.read.schema(S.LEDGER_SCHEMA).parquet(path)
 
 
-def mark_processed(files: DataFrame, path: str) -> None:
-    """Append files to the ledger; called only after the data they fed is committed (H5)."""
-    (files.select("file_path").distinct().withColumn("processed_at", F.current_timestamp())
+def file_states(ledger: DataFrame) -> DataFrame:
+    """(file_path, state, attempts): a file that was ever done is done, else its last state; attempts counts its entries."""
+    return ledger.groupBy("file_path").agg(
+        F.when(F.max(F.col("state") == DONE), DONE).otherwise(F.max_by("state", "processed_at")).alias("state"),
+        F.count(F.lit(1)).alias("attempts"))
+
+
+def mark_processed(files: DataFrame, path: str, state: str = DONE) -> None:
+    """Append an attempt of each file to the ledger; called only after the data it fed is committed (H5)."""
+    (files.select("file_path").distinct().withColumn("state", F.lit(state)).withColumn("processed_at", F.current_timestamp())
           .write.mode("append").parquet(path))
 
 
+def outcome(files: DataFrame, good: DataFrame, bad: DataFrame) -> DataFrame:
+    """(file_path, state) of files that were read: rows make it done, even beside bad lines; else bad
+    records make it failed; else it was empty."""
+    seen = good.select("file_path").distinct().withColumn("_good", F.lit(True))
+    torn = bad.select("file_path").distinct().withColumn("_bad", F.lit(True))
+    return (files.select("file_path").join(seen, "file_path", "left").join(torn, "file_path", "left")
+            .select("file_path", F.when(F.col("_good"), DONE).when(F.col("_bad"), FAILED).otherwise(EMPTY).alias("state")))
+
+
+def record(outcomes: DataFrame, path: str) -> None:
+    """Append one attempt of every file with its state."""
+    outcomes.select("file_path", "state").withColumn("processed_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 def unprocessed(files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Files not in the ledger (anti-join on the file key)."""
-    return files.join(ledger.select("file_path"), "file_path", "left_anti")
+    """Files that are not done: new ones, and empty and failed ones, which are tried again."""
+    done = ledger.where(F.col("state") == DONE).select("file_path").distinct()
+    return files.join(done, "file_path", "left_anti")
 
 
 def latest_unprocessed(good_rows: DataFrame, ledger: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -167,42 +183,35 @@ def latest_unprocessed(good_rows: DataFrame, ledger: DataFrame, n: int = 10) ->
 
 
 def fetch_latest_logs(spark: SparkSession, path: str, ledger: DataFrame, n: int = 10, prefix: str = "",
-                      ext: str = ".json", multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+                      ext: str = ".json", multiline: bool = True, max_files: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows of the ``n`` greatest unprocessed file keys that hold at least one good row,
     reading only candidate files, never the processed history.
 
-    Files are listed (metadata only), ledgered ones dropped, and the newest
-    ``window`` keys read; the window doubles until ``n`` files yielded rows or
-    the backlog is exhausted (empty / unreadable files do not count toward n,
-    and are not marked, so they are retried next run).  Only file names
-    (at most the window) reach the driver.  Returns (rows, chosen files).
+    The names are listed by tasks and stay in a table; of ``max_files`` the greatest keys are looked at.
+    The newest ``2 n`` unprocessed files are read first; while fewer than ``n`` of them
+    hold rows, the window grows fourfold (empty and unreadable files do not count, and are not marked
+    done, so later runs try them again).  Returns (rows, chosen files).
     """
-    files = unprocessed(list_log_files(spark, path, prefix, ext), ledger).select("file_path")
-    total = files.count()
-    window = n
+    files = unprocessed(list_log_files(spark, path, prefix, ext, max_files=max_files), ledger).select("file_path")
+    total, window = files.count(), 2 * n
     while True:
-        names = [r[0] for r in files.orderBy(F.col("file_path").desc()).limit(window).collect()]
-        if not names:
-            empty = spark.createDataFrame([], T.StructType(S.LOG_SCHEMA.fields + [T.StructField("file_path", T.StringType())]))
-            return empty, empty.select("file_path")
-        good, _ = read_logs(spark, names, multiline=multiline, ext=ext, recursive=False)
+        good, _ = read_log_files(files.orderBy(F.col("file_path").desc()).limit(window), multiline)
         have = good.select("file_path").distinct()
-        if have.count() >= n or window >= total:
+        if window >= total or have.count() >= n:
             chosen = have.orderBy(F.col("file_path").desc()).limit(n)
             return good.join(chosen, "file_path", "left_semi"), chosen
-        window *= 2
+        window *= 4
 
 
 def fetch_logs_by_date(spark: SparkSession, path: str, ledger: DataFrame, start=None, end=None, prefix: str = "",
-                       ext: str = ".json", multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Rows of unprocessed files inside [start, end], reading only unprocessed files;
-    returns (rows, files with at least one surviving row = the files to mark)."""
-    names = [r[0] for r in unprocessed(list_log_files(spark, path, prefix, ext), ledger)
-             .select("file_path").collect()]  # file names only (what the file index holds anyway)
-    if not names:
-        empty = spark.createDataFrame([], T.StructType(S.LOG_SCHEMA.fields + [T.StructField("file_path", T.StringType())]))
-        return empty, empty.select("file_path")
-    good, _ = read_logs(spark, names, multiline=multiline, ext=ext, recursive=False)
+                       ext: str = ".json", multiline: bool = True, day_folders: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows of unprocessed files inside [start, end]; returns (rows, files with at least one surviving row =
+    the files to mark).  ``day_folders``: a folder with a date in its key holds rows of that day
+    (UTC) only, so folders of other days are not even listed."""
+    days = None
+    if day_folders:
+        days = tuple(None if v is None else _dt.datetime.fromtimestamp(_as_ms(v) / 1000, _dt.timezone.utc).date() for v in (start, end))
+    good, _ = read_log_files(unprocessed(list_log_files(spark, path, prefix, ext, days=days), ledger), multiline)
     rows = filter_by_timestamp(good, start, end)
     return rows, rows.select("file_path").distinct()
 
