@@ -15,8 +15,9 @@ import re
 import unicodedata
 from array import array
 
-#: entries of a worker's memo, about 100 MB; it starts again when full
-MEMO = 500_000
+#: entries of a generation of a worker's memo, about 60 MB; when it is full it becomes the old one, and what
+#: of that is asked for again moves on: common pieces are never forgotten
+MEMO = 300_000
 #: texts that are looked up together
 STRIDE = 100
 #: byte-level vocabularies write the bytes that are no printable Latin-1 as the letters from 256 on, in order
@@ -36,41 +37,55 @@ class Encoder:
         self.special = tuple(str(t) for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values()))
         self.lower = lower  # the vocabulary ignores case, so the memo may too
         self.memo: dict[str, bytes] = {}  # of pieces that follow a space
+        self.old: dict[str, bytes] = {}  # the generation before
         self.tails: dict[str, bytes] = {}  # of punctuation that follows letters
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _known(self, piece: str) -> bytes | None:
-        """A piece's ids, if the memo has it or its letters and the punctuation after them, which are tokens of their own."""
-        core = piece.rstrip(_PUNCTUATION)
-        if len(core) == len(piece) or not core.isalpha():
-            return self.memo.get(piece)
-        start, tail = self.memo.get(core), self.tails.get(piece[len(core):])
-        return None if start is None or tail is None else start + tail
+    @staticmethod
+    def _flat(text: str) -> str:
+        flat = text.replace("\n", " ")
+        return text if _SPACE_THEN.search(flat) and _INNER_SPACE.search(flat) else flat
 
     def _learn(self, pieces: set[str]) -> None:
-        ask, tails = set(), set()
+        """Put the pieces into the memo: from the old one, as letters and the punctuation after them (tokens of their own), or asked for."""
+        memo, old, tails, tokenize = self.memo, self.old, self.tails, self.tokenizer.model.tokenize
+        space = "" if self.lower else chr(_BYTE_LETTERS[0x20])
+        others, joined = [], []
         for p in pieces:
+            ids = old.get(p)
+            if ids is not None:
+                memo[p] = ids
+                continue
             core = p.rstrip(_PUNCTUATION)
-            if len(core) < len(p) and core.isalpha():
-                tails.add(p[len(core):])
-                ask.add(core)
-            else:
-                ask.add(p)
-        # letters after a space are one word to either vocabulary, which its normaliser leaves as it is: ask its model
-        if self.lower:
-            letters, space = [p for p in ask if p.isalpha() and p == p.lower() and unicodedata.is_normalized("NFC", p)], ""
-        else:
-            letters, space = [p for p in ask if p.isalpha()], chr(_BYTE_LETTERS[0x20])
-        tokenize = self.tokenizer.model.tokenize
-        for p in letters:
-            word = p.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            self.memo[p] = array("I", [t.id for t in tokenize(space + word)]).tobytes()
-        todo = [p for p in ask if p not in self.memo]
-        self.memo.update(zip(todo, self._whole([" " + p for p in todo]), strict=True))
-        new = [t for t in tails if t not in self.tails]
-        self.tails.update(zip(new, self._whole(new), strict=True))
+            if not core.isalpha():
+                others.append(p)
+                continue
+            start = memo.get(core) or old.get(core)
+            if start is None:
+                # letters after a space are one word to either vocabulary; if its normaliser leaves them as they are, ask its model
+                if core.isascii() and (not self.lower or core.islower()):
+                    start = memo[core] = array("I", [t.id for t in tokenize(space + core)]).tobytes()
+                elif not self.lower or core == core.lower() and unicodedata.is_normalized("NFC", core):
+                    word = core.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                    start = memo[core] = array("I", [t.id for t in tokenize(space + word)]).tobytes()
+                else:
+                    others.append(core)
+            if len(core) < len(p):
+                tail = tails.get(p[len(core):])
+                if start is None or tail is None:
+                    joined.append((p, core))
+                else:
+                    memo[p] = start + tail
+            elif start is not None:
+                memo[p] = start
+        memo.update(zip(others, self._whole([" " + p for p in others]), strict=True))
+        new = list({p[len(core):] for p, core in joined if p[len(core):] not in tails})
+        tails.update(zip(new, self._whole(new), strict=True))
+        for p, core in joined:
+            start = memo.get(core)
+            memo[p] = (old[core] if start is None else start) + tails[p[len(core):]]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
@@ -83,7 +98,13 @@ class Encoder:
         return out
 
     def _stride(self, texts: list[str]) -> list[bytes]:
-        get, known = self.memo.get, self._known
+        if len(self.memo) > MEMO:
+            self.memo, self.old = {}, self.memo
+        if len(self.tails) > MEMO:
+            self.tails = {}
+        get = self.memo.get
+        if self.lower:  # this vocabulary drops white space: a single line end is a space
+            texts = [self._flat(t) if "\n" in t else t for t in texts]
         whole = [i for i, t in enumerate(texts) if (_SPACE_THEN.search(t) and _INNER_SPACE.search(t)) or any(s in t for s in self.special)]
         done = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
         heads, found, gaps, missing = [], [], [], set()
@@ -91,21 +112,16 @@ class Encoder:
             head, *pieces = ("" if i in done else text.lower() if self.lower and text.isascii() else text).split(" ")
             ids = [*map(get, pieces)]
             if None in ids:
-                for k, x in enumerate(ids):
-                    if x is None:
-                        x = ids[k] = known(pieces[k])
-                        if x is None:
-                            missing.add(pieces[k])
-                            gaps.append((i, k, pieces[k]))
+                own = [k for k, x in enumerate(ids) if x is None]
+                gaps.append((ids, own, [pieces[k] for k in own]))
+                missing.update(gaps[-1][2])
             heads.append(head)
             found.append(ids)
         if missing:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-                self.tails.clear()
             self._learn(missing)
-            for i, k, p in gaps:
-                found[i][k] = known(p)
+            for ids, own, lost in gaps:
+                for k, x in zip(own, map(get, lost), strict=True):
+                    ids[k] = x
         first = self._whole(heads)
         return [done[i] if i in done else b"".join([first[i], *found[i]]) for i in range(len(texts))]
 
