@@ -72,7 +72,7 @@ class Writer:
         if self.waiting:
             self._frame(bytes(self.waiting))
         index = np.array(self.ids, dtype="<i8").tobytes() + np.array(self.ends, dtype="<u8").tobytes()
-        # a skippable frame holds less than 4 GB: the index is split by documents if it must be
+        # a skippable frame holds less than 4 GB, that is 268 million documents: files have far fewer (see the writer)
         self.out.write(struct.pack("<IIQ", SKIP_INDEX, len(index) + 8, len(self.ids)) + index)
         entries = b"".join(struct.pack("<III", *x) for x in self.seek)
         self.out.write(struct.pack("<II", SKIP_SEEK, len(entries) + 9) + entries + struct.pack("<IBI", len(self.seek), WITH_CHECKSUMS, SEEK_MAGIC))
@@ -170,7 +170,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, lower: bool,
     """
     spark = docs.sparkSession
     prepare(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())  # files grow with the input
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = plain.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return saved(dealt.mapInArrow(_writer(folder, tokenizer, lower, end), MANIFEST), "token-manifest")
@@ -178,25 +178,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, lower: bool,
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows(batches):
-        for part, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for base, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             r = Reader(file)
             for k in range(0, len(r.ids), 10_000):
                 place = range(k, min(len(r.ids), k + 10_000))
                 crc = [zlib.crc32(r.document(i)) for i in place]
                 ids = r.ids[k : k + 10_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == NULL_ID), pa.array([part] * len(place)), pa.array(r.starts[k : k + 10_000]),
+                    [pa.array(ids, mask=ids == NULL_ID), pa.array(base + r.starts[k : k + 10_000]),
                      pa.array(r.ends[k : k + 10_000] - r.starts[k : k + 10_000]), pa.array(crc, pa.int64())],
-                    names=["doc_id", "part", "in_file", "n_tokens", "ids_crc32"])
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"])
             r.close()
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files of a manifest."""
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one row per file: the running sum in one task is bounded by the number of files
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    found = manifest.select("part", "file").repartition(n).mapInArrow(
-        _reader, "doc_id bigint, part bigint, in_file bigint, n_tokens bigint, ids_crc32 bigint")
-    return (found.join(base, "part").select("doc_id", (F.col("base") + F.col("in_file")).alias("start"), "n_tokens", "ids_crc32"))
+    based = manifest.select(F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"), "file")
+    return based.repartition(max(1, manifest.count())).mapInArrow(_reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
