@@ -122,6 +122,14 @@ def _plain(core: str) -> bool:
 
 def lattice(core: str) -> list[list[tuple[str, float]]]:
     """Per step the strings that may stand there and their cost."""
+    if core.isascii() and core.isalpha():  # only repeated letters leave a choice: the stretches between them are one step each
+        stretches, at = [], 0
+        for m in _REPEAT.finditer(core):
+            if m.start() > at:
+                stretches.append([(core[at : m.start()], 0.0)])
+            at, run = m.end(), m.end() - m.start()
+            stretches.append([(m[1], COST_REPEAT * (run - 1)), (m[1] * 2, COST_REPEAT * (run - 2))])
+        return [*stretches, [(core[at:], 0.0)]] if at < len(core) else stretches
     spaced = _spaced(core)
     narrow = min((len(m) for m in _SEPARATOR.findall(core)), default=0) if spaced else 0
     steps: list[list[tuple[str, float]]] = []
@@ -151,20 +159,32 @@ def lattice(core: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
+_SYMBOLS = {" ": 0, **{c: i for i, c in enumerate(_LETTERS, 1)}}
+
+
 def _symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
+    return _SYMBOLS.get(c, 27)
 
 
 def decode(core: str, model: list[float]) -> tuple[str, float]:
     """The likeliest reading of a lattice under the character model (states: the last two symbols), and its log probability."""
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for options in lattice(core):
+        if len(options) == 1 and len(states) == 1:  # a stretch without a choice
+            ((a, b), (p, said)), (string, cost) = *states.items(), options[0]
+            p += cost
+            for c in string:
+                z = _SYMBOLS.get(c, 27)
+                p += model[(a * SYMBOLS + b) * SYMBOLS + z]
+                a, b = b, z
+            states = {(a, b): (p, (said, string))}
+            continue
         after: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (p, said) in states.items():
             for string, cost in options:
                 q, x, y = p + cost, a, b
                 for c in string:
-                    z = _symbol(c)
+                    z = _SYMBOLS.get(c, 27)
                     q += model[(x * SYMBOLS + y) * SYMBOLS + z]
                     x, y = y, z
                 old = after.get((x, y))
@@ -205,16 +225,19 @@ class Restorer:
 
     def token(self, token: str) -> list[str]:
         low = token.lower()
-        out = [low] if low.isalpha() else [p for p in _PARTS.split(low) if len(p) > 1]
         bare = token.strip(_EDGE).lower()
+        if bare.isalpha() and _REPEAT.search(bare) is None:  # a word as it seems, punctuation around it or not
+            return [bare] if len(bare) > 1 or bare == low else []
+        out = [low] if low.isalpha() else [p for p in _PARTS.split(low) if len(p) > 1]
         core = bare.rstrip("!|+$@")
+        odd = _odd(core)
         for reading in dict.fromkeys((core, bare)):  # marks at the end may be letters
-            if not _odd(reading):
+            if not (odd if reading is core else _odd(reading)):
                 continue
             said, p = decode(reading, self.model)
             if reading == core and (core.isalpha() or _plain(core)) or p > raw(reading, self.model):
                 out += said.split()
-        if _odd(core):
+        if odd:
             joined = "".join(c for c in core if c not in " .-_~")
             if joined.isalpha():
                 out.append(joined)
@@ -297,13 +320,19 @@ def _left_out(counts_var, base: float):
     """(kind, label, x): what the logistic function sees of a labelled text, its own counts taken off."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counts_var.value
+        starts = {f.rstrip("+")[:4] for f in counts}
+        memo: dict[str, list[tuple[int, int]]] = {}  # the counts of a word's entries
         for batch in rows(batches):
+            if len(memo) > 400_000:
+                memo.clear()
             labels, x = batch.column(0).to_pylist(), []
             for label, features in zip(labels, batch.column(2).to_pylist(), strict=True):
                 weights = []
                 for w in features:
-                    if w[-1] != "+":
-                        found = [counts[f] for f in word_features({w}) if f in counts]
+                    if w[-1] != "+" and w[:4] in starts:
+                        found = memo.get(w)
+                        if found is None:
+                            found = memo[w] = [counts[f] for f in word_features({w}) if f in counts]
                         weights += [max(weight(max(0, k - label), max(n - 1, k - label, 0), base) for k, n in found)] if found else []
                 x.append(summary(weights))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["kind", "label", "x"])
@@ -316,18 +345,36 @@ class Model:
     def __init__(self, characters: np.ndarray, weights: dict[str, float], coefficients: np.ndarray):
         self.weights, self.coefficients = weights, coefficients.tolist()
         self.restorer = Restorer(characters)
-        self.memo: dict[str, tuple[tuple[str, float], ...]] = {}
+        self.memo: dict[str, tuple[tuple[str, float], ...]] = {}  # of the tokens met lately
+        self.old: dict[str, tuple[tuple[str, float], ...]] = {}  # the generation before
+        #: first letters of all entries: a word that begins otherwise has none
+        self.starts = {f.rstrip("+")[:4] for f in weights}
+
+    def best(self, word: str) -> float | None:
+        """The weight of a word's best entry."""
+        if word[:4] not in self.starts:
+            return None
+        return max((self.weights[f] for f in word_features({word}) if f in self.weights), default=None)
 
     def hits(self, tokens: set[str]) -> dict[str, float]:
         """Known words among the tokens, each with the weight of its best entry."""
-        memo, out, weights = self.memo, {}, self.weights
-        if len(memo) > 400_000:
-            memo.clear()
+        out: dict[str, float] = {}
+        if len(self.memo) > 250_000:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
         for t in tokens:
             got = memo.get(t)
             if got is None:
-                found = ((w, max((weights[f] for f in word_features({w}) if f in weights), default=None)) for w in self.restorer.token(t))
-                got = memo[t] = tuple(x for x in found if x[1] is not None)
+                got = old.get(t)
+                if got is None:
+                    # letters say the same with and without punctuation or capitals
+                    bare = t.strip(_EDGE).lower()
+                    word = bare if len(bare) > 1 and bare.isalpha() else t
+                    got = memo.get(word) if word != t else None
+                    if got is None:
+                        found = ((w, self.best(w)) for w in self.restorer.token(word))
+                        got = memo[word] = tuple(x for x in found if x[1] is not None)
+                memo[t] = got
             if got:
                 out.update(got)
         return out
