@@ -10,9 +10,11 @@
    bit counts, is within six standard errors of the threshold.  Each node's best pair is
    confirmed on full sets, and the links are joined into components.
 4. Buckets whose nodes now all belong to one component need nothing more: a large
-   group of copies costs a few pairs per copy.  In the other buckets
-   every pair of nodes of different components that passes the estimate (a join
-   condition, so rejected pairs are never rows) is confirmed on full sets as well.
+   group of copies costs a few pairs per copy.  In the other buckets the nodes that
+   have a partner of another component by the estimate (a semi-join: rows of nodes)
+   get their full sets, and every such pair is compared on these within its bucket.
+   Estimate and comparison are join conditions: only confirmed links are rows, so a
+   group whose pairs lie just below the threshold makes none.
 
 Confirmed links are exactly ``100 * |A & B| >= 80 * |A | B|``.
 """
@@ -243,14 +245,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
               .select("bucket", "rep", F.coalesce("component", "rep").alias("comp")))
     open_buckets = (tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                     .where("lo < hi").select("bucket"))
-    still = saved(tagged.join(open_buckets, "bucket").join(lean, "rep"), "minhash-open")
+    still = saved(tagged.join(open_buckets, "bucket").join(nodes.select("rep", "n", "sig", "bands"), "rep"), "minhash-open")
     x, y = still.alias("x"), still.alias("y")
-    rest = saved(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep"))
-                        & (F.col("x.comp") != F.col("y.comp")) & close("x.n", "y.n")
-                        & (estimate("x.sig", "y.sig") >= threshold - SLACK))
-                 .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "minhash-rest")
-    more = _sets(rest.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
-    comps = _joined(comps, _verified(_apart(rest, comps), more, percent))
+    likely = ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & close("x.n", "y.n")
+              & (estimate("x.sig", "y.sig") >= threshold - SLACK))
+    # places that hold a likely partner: rows of nodes, not of pairs
+    places = saved(x.join(y, likely, "left_semi"), "minhash-places")
+    more = _sets(places.select(F.col("rep").alias("id")), docs, k)
+    full_places = saved(places.join(more.withColumnRenamed("id", "rep"), "rep"), "minhash-full")
+    x, y = full_places.alias("x"), full_places.alias("y")
+    shared_n = F.size(F.array_intersect("x.set", "y.set"))
+    # a pair is compared where it first meets: no earlier band of both agrees
+    meet = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True).cast("int")
+    first = F.element_at("x.bands", meet) == F.col("x.bucket")
+    alike = F.lit(100) * shared_n >= F.lit(percent) * (F.size("x.set") + F.size("y.set") - shared_n)
+    # rows of links alone: a group of texts that lie just below the threshold makes none
+    links = saved(x.join(y, likely & (F.col("x.rep") < F.col("y.rep")) & first & alike)
+                  .select(F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct(), "minhash-rest")
+    comps = _joined(comps, links)
     # a document id with several texts is one document: its nodes are linked as well
     of_doc = saved(full.select("doc_id", "key_hi", "key_lo", F.col("n_shingles").alias("n"))
                    .join(reps, ["key_hi", "key_lo", "n"]).select("doc_id", "rep").distinct(), "minhash-docs")

@@ -234,3 +234,40 @@ def test_bounds_of_a_long_query_are_exact(monkeypatch):
             score = np.bincount(shard.doc, weights=shard.impact, minlength=n)
             want = sorted(((int(s), d) for d, s in enumerate(score) if s), key=lambda x: (-x[0], x[1]))[:5]
             assert shard.best(np.arange(40), 5) == want
+
+
+def test_a_group_just_below_the_threshold_makes_no_pair_rows(spark):
+    """150 copies of a text, each with its own edits: most pairs lie below 0.8, some above; no link is lost."""
+    import random
+
+    from marmot.llm.minhash import near_duplicates
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(150):
+        own = list(base)
+        for j in rng.sample(range(120), 3):
+            own[j] = f"x{k}-{j}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i:i + 4]) for i in range(117)} for t in texts]
+    parent = list(range(150))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    below = above = 0
+    for i in range(150):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                above += 1
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+            else:
+                below += 1
+    assert below > 10 * above
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, k=4, percent=80).collect()}
+    assert got == {i: root(i) for i in range(150)}
