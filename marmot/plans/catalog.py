@@ -29,6 +29,7 @@ from marmot.session import exists, scratch_path
 from marmot.sources import files as FS
 from marmot.streaming import bucketed as BK
 from marmot.streaming import incremental as INC
+from marmot.streaming import live as LV
 from marmot.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -755,6 +756,35 @@ def q_update_job(spark, sf_dir):
     return comparison.select("statistic", *[C.round6(c).alias(c) for c in ("before", "after", "delta")])
 
 
+@query("live_popularity")
+def q_live_popularity(spark, sf_dir):
+    # validation and test rows arrive as two batches; the state follows by deltas
+    root = scratch_path(spark, "live-popularity")
+    BK.create(spark, root, train(spark, sf_dir), buckets=16)
+    LV.refresh(spark, root)
+    for name, rows in (("val", val(spark, sf_dir)), ("test", test(spark, sf_dir))):
+        BK.merge_batch(spark, root, rows, name)
+        LV.refresh(spark, root)
+    return LV.popular_per_category(LV.state(spark, root), 10).select(
+        "category_idx", "rank", "item_idx", "weight_sum", "n_users", "n_interactions", C.round6("popularity_score").alias("popularity_score"))
+
+
+@query("live_statistics")
+def q_live_statistics(spark, sf_dir):
+    # the log files arrive in one run after the first state; statistics and category distribution in long form
+    root = scratch_path(spark, "live-statistics")
+    BK.create(spark, root, train(spark, sf_dir), buckets=16)
+    LV.refresh(spark, root)
+    BK.ingest(spark, array_files(spark, sf_dir), root, f"{root}/ledger", TD.price_stats(spark, sf_dir), ext=".txt", n_files=10_000)
+    LV.refresh(spark, root)
+    st = LV.state(spark, root)
+    shares = LV.category_distribution(st)
+    per_category = [shares.select(F.concat(F.lit(f"{name} of category "), F.coalesce(F.col("category_idx").cast("string"), F.lit("none"))).alias("statistic"),
+                                  F.col(name).cast("double").alias("value")) for name in ("n_rows", "n_items", "share")]
+    out = ST._long(LV.dataset_stats(st)).unionByName(per_category[0]).unionByName(per_category[1]).unionByName(per_category[2])
+    return out.select("statistic", C.round6("value").alias("value"))
+
+
 @query("train_hybrid_mlp")
 def q_train_hybrid_mlp(spark, sf_dir):
     t = train(spark, sf_dir)

@@ -577,3 +577,19 @@ register("update_job", with_(*_MERGED, dedup_cte("before_", "train"),
                              f"lb AS ({_unpivot('sb')})", f"la AS ({_unpivot('sa')})") + """
 SELECT lb.statistic, ROUND(lb.v, 6) AS before, ROUND(la.v, 6) AS after, ROUND(la.v - lb.v, 6) AS delta
 FROM lb JOIN la ON lb.statistic = la.statistic""")
+
+register("live_popularity", with_(*TRAIN_BASE, dedup_cte("merged", "splits"), """pop AS (
+  SELECT item_idx, MIN(category_idx) AS category_idx, CAST(SUM(weight) AS DOUBLE) AS weight_sum, COUNT(DISTINCT user_idx) AS n_users, COUNT(*) AS n_interactions
+  FROM merged GROUP BY item_idx),
+sc AS (SELECT *, 0.7 * (weight_sum / MAX(weight_sum) OVER ()) + 0.3 * (n_users / CAST(MAX(n_users) OVER () AS DOUBLE)) AS s FROM pop),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY category_idx ORDER BY s DESC, item_idx) AS INTEGER) AS rank FROM sc)""") + """
+SELECT category_idx, rank, item_idx, weight_sum, n_users, n_interactions, ROUND(s, 6) AS popularity_score FROM rk WHERE rank <= 10""")
+
+register("live_statistics", with_(*_MERGED, f"sa AS (SELECT {STAT_AGGS} FROM merged)", f"la AS ({_unpivot('sa')})", """percat AS (
+  SELECT COALESCE(CAST(category_idx AS VARCHAR), 'none') AS c, COUNT(*) AS n_rows, COUNT(DISTINCT item_idx) AS n_items,
+         COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS share
+  FROM merged GROUP BY category_idx)""") + """
+SELECT statistic, ROUND(v, 6) AS value FROM la
+UNION ALL SELECT 'n_rows of category ' || c, CAST(n_rows AS DOUBLE) FROM percat
+UNION ALL SELECT 'n_items of category ' || c, CAST(n_items AS DOUBLE) FROM percat
+UNION ALL SELECT 'share of category ' || c, ROUND(share, 6) FROM percat""")
