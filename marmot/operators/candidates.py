@@ -99,6 +99,32 @@ def mf_top_k(req_items: DataFrame, interactions: DataFrame, user_vecs: DataFrame
     return top_k(scored, k, "request_id", "mf_score", item, "mf_rank")
 
 
+def popular_candidates(requests: DataFrame, interactions: DataFrame, k: int = S.CANDIDATE_K, item: str = "item_idx",
+                       category: str = "category_idx", req_category: str = "category_id") -> DataFrame:
+    """Candidates for users the model does not know: per request the ``k`` items of the largest weight sum, over the
+    rows of its category if it names one (ties by item).  The request's available items play no part here.
+
+    The sums are one aggregate by (item, category); the lists have ``k`` rows per category and ``k`` over all."""
+    per = (interactions.where(F.col(item).isNotNull()).groupBy(item, category)
+           .agg(F.coalesce(F.sum("weight"), F.lit(0.0)).cast("double").alias("mf_score")))
+    of_category = top_k(per.where(F.col(category).isNotNull()), k, category, "mf_score", item, "mf_rank")
+    overall = per.groupBy(item).agg(F.sum("mf_score").alias("mf_score")).orderBy(F.col("mf_score").desc(), F.col(item)).limit(k)
+    # the window without a key runs over k rows
+    overall = overall.withColumn("mf_rank", F.row_number().over(Window.orderBy(F.col("mf_score").desc(), F.col(item))).cast("int"))
+    lists = of_category.unionByName(overall.withColumn(category, F.lit(None).cast(per.schema[category].dataType)))
+    lists = lists.select(F.col(category).alias("_c"), item, "mf_score", "mf_rank")
+    return requests.join(lists, requests[req_category].eqNullSafe(lists["_c"])).drop("_c")
+
+
+def mf_candidates(routed: DataFrame, interactions: DataFrame, user_vecs: DataFrame, item_vecs: DataFrame,
+                  k: int = S.CANDIDATE_K, exclude_mode: str = "purchased") -> DataFrame:
+    """First-stage candidates of every request of ``serve.route``: the model's top ``k`` where it knows the user, else
+    the most popular items by weight sum.  Columns request_id, item_idx, mf_score, mf_rank."""
+    out = ("request_id", "item_idx", "mf_score", "mf_rank")
+    known = mf_top_k(request_items(routed.where("known")), interactions, user_vecs, item_vecs, k, exclude_mode)
+    return known.select(*out).unionByName(popular_candidates(routed.where(~F.col("known")), interactions, k).select(*out))
+
+
 # --------------------------------------------------------------------------- all-items top-k
 def _normalize(M):
     import numpy as np

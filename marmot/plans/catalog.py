@@ -287,21 +287,26 @@ def _requests(spark, sf_dir):
     return TD.requests(spark, sf_dir)
 
 
+def catalog_train(spark, sf_dir):
+    """Training rows over the whole item table (written once, read back)."""
+    return ETL.materialized(spark, "catalog-rows", sf_dir, lambda: TD.catalog_interactions(spark, sf_dir))
+
+
 def _known_items(spark, sf_dir):
-    """(request, available item) rows of requests whose user is in train."""
-    t = train(spark, sf_dir)
+    """(request, available item) rows of requests whose user is in the catalogue's training rows."""
+    t = catalog_train(spark, sf_dir)
     return CA.request_items(SV.route(_requests(spark, sf_dir), t)).where("known")
 
 
 def _vectors(spark, sf_dir, users: DataFrame):
     return (TD.user_vectors(spark, sf_dir, users, "user_id").withColumnRenamed("user_vec", "embedding"),
-            TD.item_vectors(spark, sf_dir))
+            TD.catalog_vectors(spark, sf_dir))
 
 
 @query("filter_available_items")
 def q_filter_available_items(spark, sf_dir):
     items = CA.request_items(_requests(spark, sf_dir))
-    catalog = train(spark, sf_dir).select("item_idx").distinct()
+    catalog = catalog_train(spark, sf_dir).select("item_idx").distinct()
     return P.filter_available(catalog, items.select("item_idx")).join(
         items.select("request_id", "item_idx"), "item_idx").select("request_id", "item_idx")
 
@@ -309,13 +314,13 @@ def q_filter_available_items(spark, sf_dir):
 @query("exclude_purchased")
 def q_exclude_purchased(spark, sf_dir):
     c = _known_items(spark, sf_dir).select("request_id", F.col("user_id").alias("user_idx"), "item_idx")
-    return CA.exclude_purchased(c, train(spark, sf_dir)).select("request_id", "item_idx")
+    return CA.exclude_purchased(c, catalog_train(spark, sf_dir)).select("request_id", "item_idx")
 
 
 @query("exclude_seen")
 def q_exclude_seen(spark, sf_dir):
     c = _known_items(spark, sf_dir).select("request_id", F.col("user_id").alias("user_idx"), "item_idx")
-    return CA.exclude_seen(c, train(spark, sf_dir)).select("request_id", "item_idx")
+    return CA.exclude_seen(c, catalog_train(spark, sf_dir)).select("request_id", "item_idx")
 
 
 @query("user_item_scores")
@@ -328,9 +333,11 @@ def q_user_item_scores(spark, sf_dir):
 
 @query("mf_top_k")
 def q_mf_top_k(spark, sf_dir):
-    c = _known_items(spark, sf_dir)
-    uv, iv = _vectors(spark, sf_dir, c)
-    top = CA.mf_top_k(c, train(spark, sf_dir), uv, iv, k=10)
+    # users the model does not know get the weight-sum list of their category
+    t = catalog_train(spark, sf_dir)
+    routed = SV.route(_requests(spark, sf_dir), t)
+    uv, iv = _vectors(spark, sf_dir, routed)
+    top = CA.mf_candidates(routed, t, uv, iv)
     return top.select("request_id", "item_idx", C.round6("mf_score").alias("mf_score"), "mf_rank")
 
 
@@ -338,7 +345,7 @@ def q_mf_top_k(spark, sf_dir):
 def q_lookup_item_meta(spark, sf_dir):
     c = _known_items(spark, sf_dir)
     uv, iv = _vectors(spark, sf_dir, c)
-    t = train(spark, sf_dir)
+    t = catalog_train(spark, sf_dir)
     top = CA.mf_top_k(c, t, uv, iv, k=S.CANDIDATE_K).join(P.item_meta(t), "item_idx")
     return top.select("request_id", "item_idx", "category_idx", C.round6("price_norm").alias("price_norm"))
 
@@ -348,7 +355,7 @@ def q_lookup_mf_score(spark, sf_dir):
     # ranker candidates = every scorable available item; first-stage scores only for the top 10
     c = _known_items(spark, sf_dir)
     uv, iv = _vectors(spark, sf_dir, c)
-    t = train(spark, sf_dir)
+    t = catalog_train(spark, sf_dir)
     full = CA.mf_top_k(c, t, uv, iv, k=S.CANDIDATE_K)
     # the top 10 is a prefix of the top 250 under the same order: one candidate pass
     out = full.select("request_id", "item_idx",
@@ -358,7 +365,7 @@ def q_lookup_mf_score(spark, sf_dir):
 
 @query("route_known_users")
 def q_route_known_users(spark, sf_dir):
-    return SV.route(_requests(spark, sf_dir), train(spark, sf_dir)).select("request_id", "user_id", "known")
+    return SV.route(_requests(spark, sf_dir), catalog_train(spark, sf_dir)).select("request_id", "user_id", "known")
 
 
 @query("uninteracted_items")
@@ -374,7 +381,7 @@ def q_uninteracted_items(spark, sf_dir):
 def q_hybrid_recommend(spark, sf_dir):
     c = _known_items(spark, sf_dir)
     uv, iv = _vectors(spark, sf_dir, c)
-    out = SV.hybrid(c, train(spark, sf_dir), uv, iv, TD.given_ranker)
+    out = SV.hybrid(c, catalog_train(spark, sf_dir), uv, iv, TD.given_ranker)
     return out.select("request_id", "item_idx", "position", C.round6("ranker_score").alias("ranker_score"),
                       C.round6("mf_score").alias("mf_score"), C.round6("final_score").alias("final_score"))
 
@@ -383,7 +390,7 @@ def q_hybrid_recommend(spark, sf_dir):
 def q_rerank(spark, sf_dir):
     c = _known_items(spark, sf_dir)
     uv, iv = _vectors(spark, sf_dir, c)
-    t = train(spark, sf_dir)
+    t = catalog_train(spark, sf_dir)
     cands = CA.mf_top_k(c, t, uv, iv).join(P.item_meta(t), "item_idx")
     r = CA.top_k(TD.given_ranker(cands), S.CANDIDATE_K, "request_id", "ranker_score", "item_idx", "position")
     return r.select("request_id", "item_idx", "position", C.round6("ranker_score").alias("ranker_score"))
@@ -391,16 +398,16 @@ def q_rerank(spark, sf_dir):
 
 @query("popularity_per_request")
 def q_popularity_per_request(spark, sf_dir):
-    items = CA.request_items(SV.route(_requests(spark, sf_dir), train(spark, sf_dir))).where(~F.col("known"))
-    out = SV.popular(items, train(spark, sf_dir))
+    items = CA.request_items(SV.route(_requests(spark, sf_dir), catalog_train(spark, sf_dir))).where(~F.col("known"))
+    out = SV.popular(items, catalog_train(spark, sf_dir))
     return out.select("request_id", "item_idx", "position", C.round6("popularity_score").alias("popularity_score"))
 
 
 def _serve_inputs(spark, sf_dir):
-    t = train(spark, sf_dir)
+    t = catalog_train(spark, sf_dir)
     r = _requests(spark, sf_dir)
     return r, t, TD.user_vectors(spark, sf_dir, r, "user_id").withColumnRenamed("user_vec", "embedding"), \
-        TD.item_vectors(spark, sf_dir)
+        TD.catalog_vectors(spark, sf_dir)
 
 
 @query("recommend_batch")

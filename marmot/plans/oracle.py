@@ -260,12 +260,18 @@ SELECT event_id, epoch_us(ts) AS ts_us, row_number() OVER (ORDER BY epoch_us(ts)
 
 
 # --------------------------------------------------------------------------- candidates / serving
-REQ = """req AS (
-  SELECT c_custkey AS request_id, c_custkey AS user_id, 10 AS top_n,
+CATALOG_TRAIN = """train AS (
+  SELECT user_idx, item_idx, label, weight, (price - pstats.mean) / CASE WHEN pstats.std = 0 THEN 1 ELSE pstats.std END AS price_norm, category_idx
+  FROM oi, pstats)"""
+CATALOG_BASE = (ITEMS, PSTATS, ORDER_ROWS, CATALOG_TRAIN)
+
+REQ = """nsh AS (SELECT CAST(ceil(COUNT(*) / 400.0) AS BIGINT) AS n FROM items),
+shelf AS (SELECT item_id % nsh.n AS s, list(item_id ORDER BY item_id) AS available_items FROM items, nsh GROUP BY 1),
+req AS (
+  SELECT c_custkey AS request_id, CASE WHEN c_mktsegment = 'MACHINERY' THEN -1 - c_custkey ELSE c_custkey END AS user_id, 10 AS top_n,
          CASE WHEN c_nationkey < 6 THEN c_nationkey + 1 END AS category_id,
-         CASE WHEN c_mktsegment = 'BUILDING' THEN 11 ELSE 1 END AS rank,
-         range(c_custkey % 7, 100, 3) AS available_items
-  FROM customer),
+         CASE c_mktsegment WHEN 'BUILDING' THEN 11 WHEN 'FURNITURE' THEN 96 ELSE 1 END AS rank, available_items
+  FROM customer CROSS JOIN nsh JOIN shelf ON shelf.s = c_custkey % nsh.n),
 ri AS (SELECT DISTINCT * FROM (
   SELECT request_id, user_id, top_n, category_id, rank, CAST(unnest(available_items) AS BIGINT) AS item_idx FROM req)),
 known AS (SELECT DISTINCT user_idx FROM train),
@@ -286,7 +292,7 @@ c0 AS (
     AND NOT EXISTS (SELECT 1 FROM bought WHERE bought.user_idx = kri.user_id AND bought.item_idx = kri.item_idx)),
 sc AS (
   SELECT c0.*, list_dot_product(ue.v, ie.v) AS mf_score
-  FROM c0 CROSS JOIN nemb JOIN emb ue ON ue.vec_id = c0.user_id % nemb.n JOIN emb ie ON ie.vec_id = c0.item_idx),
+  FROM c0 CROSS JOIN nemb JOIN emb ue ON ue.vec_id = c0.user_id % nemb.n JOIN emb ie ON ie.vec_id = c0.item_idx % nemb.n),
 mfk AS (SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY mf_score DESC, item_idx) AS INTEGER) AS mf_rank
         FROM sc),
 meta AS (SELECT item_idx, category_idx, price_norm FROM (
@@ -323,25 +329,34 @@ resp AS (
   FROM rq2 LEFT JOIN ranked ON ranked.request_id = rq2.request_id AND ranked.position >= rq2.st
                             AND ranked.position < rq2.st + rq2.top_n)"""
 
-SERVE_BASE = TRAIN_BASE + (REQ, EMB, MF)
+SERVE_BASE = CATALOG_BASE + (REQ, EMB, MF)
 
-register("filter_available_items", with_(*TRAIN_BASE, REQ) +
+register("filter_available_items", with_(*CATALOG_BASE, REQ) +
          "SELECT request_id, item_idx FROM ri WHERE item_idx IN (SELECT item_idx FROM train)")
 
-register("exclude_purchased", with_(*TRAIN_BASE, REQ, "bought AS (SELECT DISTINCT user_idx, item_idx FROM train WHERE weight = 5)") + """
+register("exclude_purchased", with_(*CATALOG_BASE, REQ, "bought AS (SELECT DISTINCT user_idx, item_idx FROM train WHERE weight = 5)") + """
 SELECT request_id, item_idx FROM kri
 WHERE NOT EXISTS (SELECT 1 FROM bought WHERE bought.user_idx = kri.user_id AND bought.item_idx = kri.item_idx)""")
 
-register("exclude_seen", with_(*TRAIN_BASE, REQ, "seen AS (SELECT DISTINCT user_idx, item_idx FROM train)") + """
+register("exclude_seen", with_(*CATALOG_BASE, REQ, "seen AS (SELECT DISTINCT user_idx, item_idx FROM train)") + """
 SELECT request_id, item_idx FROM kri
 WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.user_idx = kri.user_id AND seen.item_idx = kri.item_idx)""")
 
-register("user_item_scores", with_(*TRAIN_BASE, REQ, EMB) + """
+register("user_item_scores", with_(*CATALOG_BASE, REQ, EMB) + """
 SELECT kri.request_id, kri.item_idx, ROUND(list_dot_product(ue.v, ie.v), 6) AS score
-FROM kri CROSS JOIN nemb JOIN emb ue ON ue.vec_id = kri.user_id % nemb.n JOIN emb ie ON ie.vec_id = kri.item_idx""")
+FROM kri CROSS JOIN nemb JOIN emb ue ON ue.vec_id = kri.user_id % nemb.n JOIN emb ie ON ie.vec_id = kri.item_idx % nemb.n""")
 
-register("mf_top_k", with_(*SERVE_BASE) +
-         "SELECT request_id, item_idx, ROUND(mf_score, 6) AS mf_score, mf_rank FROM mfk WHERE mf_rank <= 10")
+register("mf_top_k", with_(*SERVE_BASE, """wsum AS (
+  SELECT category_idx AS c, item_idx, CAST(SUM(weight) AS DOUBLE) AS s FROM train WHERE item_idx IS NOT NULL GROUP BY category_idx, item_idx),
+lists AS (
+  SELECT c, item_idx, s, CAST(row_number() OVER (PARTITION BY c ORDER BY s DESC, item_idx) AS INTEGER) AS r FROM wsum WHERE c IS NOT NULL
+  UNION ALL
+  SELECT NULL, item_idx, SUM(s), CAST(row_number() OVER (ORDER BY SUM(s) DESC, item_idx) AS INTEGER) FROM wsum GROUP BY item_idx)""") + """
+SELECT request_id, item_idx, ROUND(mf_score, 6) AS mf_score, mf_rank FROM mfk WHERE mf_rank <= 250
+UNION ALL
+SELECT req.request_id, lists.item_idx, ROUND(lists.s, 6), lists.r
+FROM req JOIN lists ON req.category_id IS NOT DISTINCT FROM lists.c
+WHERE lists.r <= 250 AND req.user_id NOT IN (SELECT user_idx FROM known)""")
 
 register("lookup_item_meta", with_(*SERVE_BASE) + """
 SELECT mfk.request_id, mfk.item_idx, meta.category_idx, ROUND(meta.price_norm, 6) AS price_norm
@@ -352,7 +367,7 @@ SELECT f.request_id, f.item_idx, ROUND(COALESCE(t.mf_score, 0.0), 6) AS mf_score
 FROM (SELECT * FROM mfk WHERE mf_rank <= 250) f
 LEFT JOIN (SELECT * FROM mfk WHERE mf_rank <= 10) t ON f.request_id = t.request_id AND f.item_idx = t.item_idx""")
 
-register("route_known_users", with_(*TRAIN_BASE, REQ) +
+register("route_known_users", with_(*CATALOG_BASE, REQ) +
          "SELECT request_id, user_id, user_id IN (SELECT user_idx FROM known) AS known FROM req")
 
 register("uninteracted_items", with_(*TRAIN_BASE) + """
@@ -374,7 +389,7 @@ register("recommend_batch", with_(*SERVE_BASE, RANKED) + "SELECT * FROM resp")
 
 register("paginate", with_(*SERVE_BASE, RANKED) + "SELECT request_id, rank, item_id, has_next FROM resp")
 
-register("simplify_response", with_(*SERVE_BASE, RANKED) + """
+register("simplify_response", with_(*TRAIN_BASE, REQ, EMB, MF, RANKED) + """
 SELECT item_idx AS item_id, CAST(row_number() OVER (ORDER BY popularity_score DESC, item_idx) AS INTEGER) AS rank
 FROM psc QUALIFY rank <= 50""")
 

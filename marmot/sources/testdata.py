@@ -3,7 +3,7 @@
 * events (+ part)            -> D2 event table / D1 action log / interactions
 * part                       -> D3 item dimension (category = position of p_type)
 * lineitem + orders (+ part) -> a larger interaction catalog (customer x part)
-* customer                   -> D10 request table (customers absent from events are new users)
+* customer (+ part)          -> D10 request table (available items from part; one segment are guests)
 * embeddings                 -> D9 item vectors (vec_id = item id) and user vectors
 """
 
@@ -85,22 +85,38 @@ def order_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "price", "category_idx", F.col("o_orderdate").alias("ts"))
 
 
+def catalog_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows over the whole item table: one per line item, weight = quantity (5 counts as a
+    purchase), price z-scored with the statistics of the item dimension."""
+    df = P.zscore(order_interactions(spark, sf_dir), price_stats(spark, sf_dir), "price", "price_norm")
+    return df.select(*S.TRAINING_COLUMNS)
+
+
+#: items of one shelf, and so of one request's list: long enough that the cuts at 250 and 100 act
+SHELF_ITEMS = 400
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D10 request table, one request per customer.
 
-    top_n 10; category = nation key + 1 for nations 0..5 else none; page start
-    11 for the BUILDING segment else 1; available items = every third item id
-    of the event catalog starting at custkey mod 7 (about 33 per request).
+    The item table is laid out in shelves of about SHELF_ITEMS items; a request's available items
+    are its customer's shelf.  Customers of the MACHINERY segment are guests, whom no training row
+    knows.  top_n 10; category = nation key + 1 for nations 0..5 else none; the page starts at 11
+    for BUILDING, at 96 for FURNITURE (it meets the end of the served results), else at 1.
     """
+    it = items(spark, sf_dir)
+    n_shelves = F.lit(max(1, -(-it.count() // SHELF_ITEMS)))
+    shelves = (it.groupBy(F.pmod(F.col("item_id"), n_shelves).alias("_shelf"))
+               .agg(F.sort_array(F.collect_list("item_id")).alias("available_items")))  # about SHELF_ITEMS ids each
     c = table(spark, sf_dir, "customer")
+    c = c.join(shelves, F.pmod(F.col("c_custkey"), n_shelves) == F.col("_shelf"))
     return c.select(
         F.col("c_custkey").alias("request_id"),
-        F.col("c_custkey").alias("user_id"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", -1 - F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("user_id"),
         F.lit(10).cast("int").alias("top_n"),
         F.when(F.col("c_nationkey") < 6, F.col("c_nationkey") + 1).cast("int").alias("category_id"),
-        F.sequence(F.pmod("c_custkey", F.lit(7)).cast("bigint"), F.lit(99).cast("bigint"),
-                   F.lit(3).cast("bigint")).alias("available_items"),
-        F.when(F.col("c_mktsegment") == "BUILDING", 11).otherwise(1).cast("int").alias("rank"))
+        "available_items",
+        F.when(F.col("c_mktsegment") == "BUILDING", 11).when(F.col("c_mktsegment") == "FURNITURE", 96).otherwise(1).cast("int").alias("rank"))
 
 
 def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +124,11 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_idx"), "embedding")
 
 
+def catalog_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every item of the item table: the embedding with vec_id = item mod (number of vectors)."""
+    return user_vectors(spark, sf_dir, items(spark, sf_dir), "item_id").select(F.col("item_id").alias("item_idx"), F.col("user_vec").alias("embedding"))
+
+
 def user_vectors(spark: SparkSession, sf_dir: str, users: DataFrame, user: str = "user_idx") -> DataFrame:
     """User vector of user u is the embedding with vec_id = u mod (number of vectors)."""
     emb = table(spark, sf_dir, "embeddings")

@@ -215,3 +215,21 @@ def test_profile_is_one_aggregate(spark):
         m = np.mean([j for j in range(50) if j % (r["user_idx"] + 1) == 0])
         assert np.allclose(r["profile"], [m, 1.0, -m])
     assert "Generate" not in prof._jdf.queryExecution().executedPlan().toString()
+
+
+def test_users_outside_the_model_get_weight_sums_of_their_category(spark):
+    from marmot.operators import candidates as CA
+    from marmot.plans import serve as SV
+    t = spark.createDataFrame([(1, 10, 1.0, 1), (1, 11, 5.0, 1), (2, 10, 1.0, 1), (2, 12, 2.0, 2), (2, 13, None, 2), (2, None, 9.0, 1),
+                               (1, 14, 7.0, None), (3, 12, 4.0, 1)], "user_idx BIGINT, item_idx BIGINT, weight DOUBLE, category_idx INT")
+    reqs = spark.createDataFrame([(1, 1, None, [10, 11, 12]), (2, 7, None, [10]), (3, 8, 2, [10]), (4, None, 1, []), (5, 9, 6, [10])],
+                                 "request_id BIGINT, user_id BIGINT, category_id INT, available_items ARRAY<BIGINT>")
+    vec = lambda name, ids: spark.createDataFrame([(i, [float(i), 1.0]) for i in ids], f"{name} BIGINT, v ARRAY<DOUBLE>")
+    got = CA.mf_candidates(SV.route(reqs, t), t, vec("user_id", [1]), vec("item_idx", [10, 11, 12]), k=3)
+    rows = {}
+    for r in sorted(got.collect(), key=lambda r: (r["request_id"], r["mf_rank"])):
+        rows.setdefault(r["request_id"], []).append((r["item_idx"], r["mf_score"]))
+    assert rows == {1: [(12, 13.0), (10, 11.0)],                    # the model's; 11 was bought
+                    2: [(14, 7.0), (12, 6.0), (11, 5.0)],           # over all categories, the available items aside
+                    3: [(12, 2.0), (13, 0.0)],                      # only rows of the category count
+                    4: [(11, 5.0), (12, 4.0), (10, 2.0)]}           # a null user is unknown; category 6 has no rows
