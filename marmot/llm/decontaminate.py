@@ -1,7 +1,7 @@
 """Benchmark decontamination: prefix-filtered set join of document text with item windows.
 
 An item's windows are its runs of 10 consecutive words (the whole item if it is
-shorter).  A window's elements are its 3-word shingles; a global order of the
+shorter); equal windows are one, with all its items.  A window's elements are its 3-word shingles; a global order of the
 shingles by their frequency over **all documents**, rarest first, makes the
 rarest shingle the necessary prefix of an exact containment: a document without
 it holds no occurrence.  Documents meet windows on that shingle only; the
@@ -29,26 +29,40 @@ from marmot.llm.common import ALNUM, prepare, hashed_words, lowered, rows, shing
 WINDOW, SHINGLE = 10, 3
 #: words of benchmark text in one broadcast block: about 8 bytes each for words, windows and shingles
 BLOCK_WORDS = 2_000_000
+#: candidate (place, window) pairs of a document compared at a time; bounds memory, drops none
+CANDIDATES = 1_000_000
 
 
 class Block:
-    """Windows of one block of items: their words, owners and prefix shingles, as flat arrays."""
+    """Distinct windows of one block of items: their words, owners and prefix shingles, as flat arrays.
+
+    A window that occurs many times, in one item or in several, is held once with the list of its
+    items, so a repetitive item costs no more than its different windows.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]]):
         words, bounds = hashed_words([t for _, t in items], ALNUM)
         self.names = [n for n, _ in items]
         self.words = words
-        begin, length, owner = [], [], []
+        none = np.zeros(0, dtype=np.int64)
+        begin, length, owner, content, tokens = [none], [none], [none], [none.view(np.uint64)], [none.view(np.uint64)]
         for i in range(len(items)):
-            s, e = int(bounds[i]), int(bounds[i + 1])
-            w = min(WINDOW, e - s)
-            for at in range(s, e - w + 1 if w else s):
-                begin.append(at)
-                length.append(w)
-                owner.append(i)
-        self.begin, self.length, self.owner = (np.array(x, dtype=np.int64) for x in (begin, length, owner))
-        self.lengths = sorted({min(SHINGLE, int(x)) for x in set(length)})
-        self.tokens = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(shingles(words[b : b + n], SHINGLE) for b, n in zip(begin, length, strict=True))]))
+            own = words[bounds[i] : bounds[i + 1]]
+            windows = shingles(own, WINDOW)  # a window's fingerprint has its length in it
+            begin.append(bounds[i] + np.arange(len(windows)))
+            length.append(np.full(len(windows), min(WINDOW, len(own))))
+            owner.append(np.full(len(windows), i))
+            content.append(windows)
+            tokens.append(shingles(own, SHINGLE))
+        begin, length, owner = (np.concatenate(x).astype(np.int64) for x in (begin, length, owner))
+        _, first, window = np.unique(np.concatenate(content), return_index=True, return_inverse=True)
+        self.begin, self.length = begin[first], length[first]
+        # the items of window w are owners[owner_at[w] : owner_at[w + 1]]
+        pairs = np.unique(window * max(1, len(items)) + owner)
+        self.owners = pairs % max(1, len(items))
+        self.owner_at = np.searchsorted(pairs // max(1, len(items)), np.arange(len(first) + 1))
+        self.lengths = sorted({min(SHINGLE, int(x)) for x in np.unique(self.length)})
+        self.tokens = np.unique(np.concatenate(tokens))
 
     def choose_prefixes(self, counts: dict[int, int]) -> None:
         """Fix each window's rarest shingle; ties go to the smaller fingerprint, then the first place."""
@@ -64,12 +78,30 @@ class Block:
         self.token = token[order]
         self.offset = np.array(offset, dtype=np.int64)[order]
         self.size = np.array(size, dtype=np.int64)[order]
-        self.begin, self.length, self.owner = self.begin[order], self.length[order], self.owner[order]
+        self.begin, self.length, self.window = self.begin[order], self.length[order], order
         self.prefixes = np.unique(self.token)
 
     def hits(self, words: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-        """Begins and ends of window occurrences in a document's words, and the windows' owners."""
-        found: list[np.ndarray] = []
+        """Begins and ends of the document's word intervals that windows cover (overlapping ones as one), and the
+        items that have a window there."""
+        starts, ends, seen = [], [], np.zeros(0, dtype=np.int64)
+        for start, window in self._occurrences(words):
+            starts.append(start)
+            ends.append(start + self.length[window])
+            seen = np.union1d(seen, self.window[window])
+        if not len(seen):
+            return [], [], []
+        # merge: an interval opens where a begin lies beyond every end before it
+        s, e = np.concatenate(starts), np.concatenate(ends)
+        order = np.argsort(s, kind="stable")
+        s, e = s[order], np.maximum.accumulate(e[order])
+        opens = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
+        closes = np.concatenate([opens[1:], [len(s)]]) - 1
+        owners = np.unique(np.concatenate([self.owners[self.owner_at[w] : self.owner_at[w + 1]] for w in seen]))
+        return s[opens].tolist(), e[closes].tolist(), owners.tolist()
+
+    def _occurrences(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(begins, windows) of occurrences, at most about CANDIDATES candidates compared at a time."""
         for k in self.lengths:
             if len(words) < k or not len(self.prefixes):
                 continue
@@ -77,26 +109,26 @@ class Block:
             slot = np.searchsorted(self.prefixes, own)
             slot[slot == len(self.prefixes)] = 0
             places = np.flatnonzero(self.prefixes[slot] == own)
-            if not len(places):
-                continue
             lo = np.searchsorted(self.token, own[places], "left")
             n = np.searchsorted(self.token, own[places], "right") - lo
-            at = np.repeat(places, n)
-            window = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = at - self.offset[window]
-            fits = (self.size[window] == k) & (start >= 0) & (start + self.length[window] <= len(words))
-            start, window = start[fits], window[fits]
-            same = np.ones(len(start), dtype=bool)
-            for j in range(WINDOW):
-                live = np.flatnonzero(same & (self.length[window] > j))
-                same[live] = words[start[live] + j] == self.words[self.begin[window[live]] + j]
-            found.append(np.stack([start[same], start[same] + self.length[window[same]], self.owner[window[same]]]))
-        if not found:
-            return [], [], []
-        s, e, o = np.concatenate(found, axis=1)
-        # one interval for each begin and end; the owners apart
-        spans = sorted(set(zip(s.tolist(), e.tolist(), strict=True)))
-        return [x for x, _ in spans], [x for _, x in spans], sorted(set(o.tolist()))
+            total = np.cumsum(n)
+            at = 0
+            while at < len(places):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CANDIDATES, "right")))
+                yield self._compared(words, k, places[at:to], lo[at:to], n[at:to])
+                at = to
+
+    def _compared(self, words: np.ndarray, k: int, places: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.repeat(places, n)
+        window = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = at - self.offset[window]
+        fits = (self.size[window] == k) & (start >= 0) & (start + self.length[window] <= len(words))
+        start, window = start[fits], window[fits]
+        same = np.ones(len(start), dtype=bool)
+        for j in range(WINDOW):
+            live = np.flatnonzero(same & (self.length[window] > j))
+            same[live] = words[start[live] + j] == self.words[self.begin[window[live]] + j]
+        return start[same], window[same]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:

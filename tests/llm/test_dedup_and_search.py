@@ -145,9 +145,12 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 2, 3, 9, 10, 11, 25])))) for i in range(12)] + [(100, None), (101, ""), (102, "zz zz zz zz")]
     docs = [(i, ", ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 60)))) for i in range(25)]
     docs += [(26, None), (27, "zz " * 9), (28, "Pre " + items[5][1].upper() + " post"), (28, items[6][1])]
+    items += [(103, "zz " * 25 + "yy"), (104, "v0 v1 " * 12), (105, items[11][1])]
+    docs += [(29, "zz " * 40), (30, "v1 v0 " * 20 + "yy"), (31, "zz " * 12 + "yy")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for words in (D.BLOCK_WORDS, 30):  # one block, and many
+    for words, candidates in ((D.BLOCK_WORDS, D.CANDIDATES), (30, 7)):  # one block, and many; candidates a few at a time
         monkeypatch.setattr(D, "BLOCK_WORDS", words)
+        monkeypatch.setattr(D, "CANDIDATES", candidates)
         got = sorted((tuple(r) for r in D.summarise(D.contamination(_docs(spark, docs), bench)).collect()), key=str)
         assert got == _contaminated(docs, items)
     none = spark.createDataFrame([], "item_id bigint, text string")
@@ -158,6 +161,19 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     assert D.clean_documents(_docs(spark, []), bench).count() == 0
 
 
+def test_repetitive_items_and_texts_do_not_multiply():
+    from marmot.llm import decontaminate as D
+    from marmot.llm.common import ALNUM, hashed_words
+    block = D.Block([("a", b"zz " * 20_000), ("b", b"zz " * 20_000), ("c", b"short item")])
+    assert len(block.begin) == 2 and len(block.owners) == 3                  # one window of ten words, with two items
+    block.choose_prefixes({})
+    words, bounds = hashed_words([b"zz " * 200_000 + b"and a short item"], ALNUM)
+    places = sum(len(s) for s, _ in block._occurrences(words))
+    assert places == 200_000 - 9 + 1                                         # one candidate a place
+    assert block.hits(words) == ([0, 200_002], [200_000, 200_004], [0, 1, 2])
+    assert D.Block([]).owners.size == 0 and D.Block([("n", b"")]).owners.size == 0
+
+
 def test_block_max_wand_is_exact(monkeypatch):
     from marmot.llm import search as S
     monkeypatch.setattr(S, "POSTINGS_IN_BLOCK", 4)
