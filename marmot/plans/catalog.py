@@ -678,56 +678,79 @@ def q_negatives_global_ratio(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- 2.7 models
-MODEL_RANK = 8
+# The fitted numbers depend on the solver, so the queries return facts of the fitted models that SQL can state.
+MODEL_RANK = 50
+
+
+def _model_rows(spark, sf_dir):
+    return train(spark, sf_dir).select(*S.TRAINING_COLUMNS)
 
 
 @query("fit_mf")
 def q_fit_mf(spark, sf_dir):
-    m = RK.fit_mf(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), rank=MODEL_RANK, max_iter=5)
-    return m.user_factors().select("user_idx", F.size("embedding").alias("n_factors"))
+    t = _model_rows(spark, sf_dir)
+    m = RK.fit_mf(t, rank=MODEL_RANK)
+    e = m.errors(RK.ratings(t)).select(F.struct("n_pairs", (F.col("mse") < F.col("mse_of_mean")).alias("learned"))).scalar()
+    return m.user_factors().select("user_idx", F.size("embedding").alias("n_factors"), e.getField("learned").alias("beats_mean"))
 
 
 @query("fit_nmf")
 def q_fit_nmf(spark, sf_dir):
-    m = RK.fit_nonneg_mf(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), rank=MODEL_RANK, max_iter=5)
-    f = m.item_factors()
-    return f.select("item_idx", F.size("embedding").alias("n_factors"),
-                    F.forall("embedding", lambda x: x >= 0).alias("nonnegative"))
+    t = _model_rows(spark, sf_dir)
+    m = RK.fit_nonneg_mf(t, rank=MODEL_RANK)
+    return m.item_factors().select("item_idx", F.size("embedding").alias("n_factors"),
+                                   F.forall("embedding", lambda x: x >= 0).alias("nonnegative"),
+                                   F.exists("embedding", lambda x: x > 0).alias("in_use"))
 
 
 @query("save_load_model")
 def q_save_load_model(spark, sf_dir):
-    m = RK.fit_mf(train(spark, sf_dir).select(*S.TRAINING_COLUMNS), rank=MODEL_RANK, max_iter=5)
+    m = RK.fit_mf(_model_rows(spark, sf_dir), rank=MODEL_RANK)
     path = scratch_path(spark, "mf_model")
     m.save(path)
     loaded = RK.MFModel.load(spark, path)
-    return loaded.item_factors().select("item_idx", F.size("embedding").alias("n_factors"))
+    fitted = m.item_factors().select(F.col("item_idx").alias("_i"), F.col("embedding").alias("_e"))
+    both = loaded.item_factors().join(fitted, F.col("item_idx") == F.col("_i"))
+    return both.select("item_idx", F.size("embedding").alias("n_factors"), (F.col("embedding") == F.col("_e")).alias("same"))
 
 
 @query("fit_ranker")
 def q_fit_ranker(spark, sf_dir):
-    t = train(spark, sf_dir).select(*S.TRAINING_COLUMNS)
-    rk = RK.fit_ranker(t, max_iter=10)
-    return rk.score(t.select("user_idx", "item_idx", "category_idx", "price_norm").distinct()) \
-             .select("user_idx", "item_idx", C.round6("ranker_score").alias("ranker_score"))
+    t = _model_rows(spark, sf_dir)
+    rk = RK.fit_ranker(t)
+    rows = SA.negatives_with_attributes(t, 3, 42)  # the rows it learns from
+    scored = rk.score(rows).checkpoint(eager=True)
+    mean = lambda label: F.avg(F.when(F.col("label") == label, F.col("ranker_score")))
+    separates = scored.select(mean(1) > mean(0)).scalar()
+    return (scored.groupBy("user_idx").agg(F.count(F.lit(1)).alias("n_scored"),
+                                           F.bool_and((F.col("ranker_score") >= 0) & (F.col("ranker_score") <= 1)).alias("in_range"))
+            .withColumn("separates", separates))
+
+
+def _recommendation_facts(spark, sf_dir, model):
+    """Per validation user: recommendations, their last rank, how many of them the user had bought."""
+    t = train(spark, sf_dir)
+    recs = TR.recommend_all(model, t, val(spark, sf_dir).select("user_idx")).checkpoint(eager=True)
+    bought = t.where(F.col("weight") == S.PURCHASE_WEIGHT).select("user_idx", "item_idx", F.lit(1).alias("_b")).distinct()
+    return recs.join(bought, ["user_idx", "item_idx"], "left").groupBy("user_idx").agg(
+        F.count(F.lit(1)).alias("n_items"), F.countDistinct("item_idx").alias("n_distinct"),
+        F.max("rank").alias("last_rank"), F.count("_b").alias("n_bought"))
 
 
 @query("train_hybrid")
 def q_train_hybrid(spark, sf_dir):
-    t = train(spark, sf_dir)
-    model = TR.train_hybrid(t, mf_factors=MODEL_RANK, als_iters=5, ranker_iters=10)
-    return TR.recommend_all(model, t, val(spark, sf_dir).select("user_idx"), top_k=50, top_n=10)
+    return _recommendation_facts(spark, sf_dir, TR.train_hybrid(train(spark, sf_dir), mf_factors=MODEL_RANK))
 
 
 @query("grid_search")
 def q_grid_search(spark, sf_dir):
-    grid = {"mf_factors": [MODEL_RANK], "epochs": [5], "batch_size": [512], "top_k": [50], "top_n": [10, 20]}
+    grid = {"mf_factors": [8], "epochs": [5], "batch_size": [512], "top_k": [50], "top_n": [10, 20]}
     return TR.grid_search(train(spark, sf_dir), val(spark, sf_dir), grid)
 
 
 @query("write_tuning_results")
 def q_write_tuning_results(spark, sf_dir):
-    grid = {"mf_factors": [MODEL_RANK], "epochs": [5], "batch_size": [512], "top_k": [50], "top_n": [10]}
+    grid = {"mf_factors": [8], "epochs": [5], "batch_size": [512], "top_k": [50], "top_n": [10]}
     res = TR.grid_search(train(spark, sf_dir), val(spark, sf_dir), grid)
     path = scratch_path(spark, "tuning")
     res.write.mode("overwrite").option("header", True).csv(f"{path}/all_experiments")
@@ -794,6 +817,4 @@ def q_live_statistics(spark, sf_dir):
 
 @query("train_hybrid_mlp")
 def q_train_hybrid_mlp(spark, sf_dir):
-    t = train(spark, sf_dir)
-    model = TR.train_hybrid(t, mf_factors=MODEL_RANK, als_iters=5, ranker_iters=20, ranker="mlp")
-    return TR.recommend_all(model, t, val(spark, sf_dir).select("user_idx"), top_k=50, top_n=10)
+    return _recommendation_facts(spark, sf_dir, TR.train_hybrid(train(spark, sf_dir), mf_factors=MODEL_RANK, ranker="mlp"))

@@ -575,9 +575,21 @@ register("negatives_global_ratio", with_(*TRAIN_BASE) +
          "SELECT CAST(floor(CAST(COUNT(*) AS DOUBLE) * 0.2) AS BIGINT) AS n_negatives FROM train")
 
 # --------------------------------------------------------------------------- model key sets
-register("fit_mf", with_(*TRAIN_BASE) + "SELECT DISTINCT user_idx, 8 AS n_factors FROM train")
-register("fit_nmf", with_(*TRAIN_BASE) + "SELECT DISTINCT item_idx, 8 AS n_factors, true AS nonnegative FROM train")
-register("save_load_model", with_(*TRAIN_BASE) + "SELECT DISTINCT item_idx, 8 AS n_factors FROM train")
+# models by facts: who has factors, what they satisfy, who is recommended how much
+register("fit_mf", with_(*TRAIN_BASE) + "SELECT DISTINCT user_idx, 50 AS n_factors, true AS beats_mean FROM train")
+register("fit_nmf", with_(*TRAIN_BASE) + "SELECT DISTINCT item_idx, 50 AS n_factors, true AS nonnegative, true AS in_use FROM train")
+register("save_load_model", with_(*TRAIN_BASE) + "SELECT DISTINCT item_idx, 50 AS n_factors, true AS same FROM train")
+# a user's rows and three negatives for each of them, as far as the items go round
+register("fit_ranker", with_(*TRAIN_BASE) + """
+SELECT user_idx, COUNT(*) + LEAST(3 * COUNT(*), (SELECT COUNT(DISTINCT item_idx) FROM train) - COUNT(DISTINCT item_idx)) AS n_scored,
+       true AS in_range, true AS separates
+FROM train GROUP BY user_idx""")
+for _name in ("train_hybrid", "train_hybrid_mlp"):
+    register(_name, with_(*TRAIN_BASE, "n AS (SELECT COUNT(DISTINCT item_idx) AS n FROM train)", """bought AS (
+  SELECT user_idx, COUNT(DISTINCT item_idx) AS b FROM train WHERE weight = 5 GROUP BY user_idx),
+k AS (SELECT user_idx, LEAST(50, LEAST(250, n.n - COALESCE(b, 0))) AS k FROM (SELECT DISTINCT user_idx FROM val) CROSS JOIN n LEFT JOIN bought USING (user_idx))""") + """
+SELECT user_idx, CAST(k AS BIGINT) AS n_items, CAST(k AS BIGINT) AS n_distinct, CAST(k AS INTEGER) AS last_rank, CAST(0 AS BIGINT) AS n_bought
+FROM k WHERE k > 0""")
 
 # --------------------------------------------------------------------------- incremental = one-shot merge
 register("incremental_update", with_(*TRAIN_BASE, LOGS, LOGS_ZSCORE, dedup_cte("newrows", "ltz"), TRAIN_AND_NEW,
