@@ -47,3 +47,31 @@ def value_distribution(df: DataFrame, col: str, name: str | None = None) -> Data
     """Rows per distinct value of ``col`` as (column_name, value, n)."""
     return (df.groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
               .select(F.lit(name or col).alias("column_name"), "value", "n"))
+
+
+def category_distribution(df: DataFrame, by: str | None = None, category: str = "category_idx") -> DataFrame:
+    """Rows and their share per category (optionally within each group); rows without a category are one of them."""
+    keys = [by] if by else []
+    per = df.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("n_rows"))
+    # the totals add up one row per group and category
+    total = per.groupBy(*keys).agg(F.sum("n_rows").alias("_total"))
+    if by:
+        per = per.join(total.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
+        return per.select(by, category, "n_rows", (F.col("n_rows") / F.col("_total")).alias("share"))
+    return per.withColumn("share", F.col("n_rows") / total.scalar())
+
+
+def model_stats(model, df: DataFrame, user: str = "user_idx", item: str = "item_idx") -> DataFrame:
+    """One row about a factor model and the table it serves: its factors, users and items, and how many of the
+    table's users and items it does not know (they get popular items)."""
+    def side(factors: DataFrame, column: str) -> DataFrame:
+        known = factors.select(F.col(factors.columns[0]).alias("_k"))
+        own = df.select(column).where(F.col(column).isNotNull()).distinct().join(known, F.col(column) == F.col("_k"), "full")
+        return own.agg(F.count("_k").alias(f"model_{column}"), F.count_if(F.col("_k").isNull()).alias(f"unknown_{column}"))
+    # two one-row sides
+    users = side(model.user_factors(), user).select(F.struct("*")).scalar()
+    items = side(model.item_factors(), item).select(F.struct("*")).scalar()
+    one = df.sparkSession.range(1)
+    return one.select(F.lit(int(model.rank)).alias("model_rank"), users.getField(f"model_{user}").alias("model_users"),
+                      items.getField(f"model_{item}").alias("model_items"), users.getField(f"unknown_{user}").alias("unknown_users"),
+                      items.getField(f"unknown_{item}").alias("unknown_items"))

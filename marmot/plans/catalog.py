@@ -212,6 +212,18 @@ def q_system_stats(spark, sf_dir):
     return ST.system_stats(train(spark, sf_dir))
 
 
+@query("category_distribution")
+def q_category_distribution(spark, sf_dir):
+    out = ST.category_distribution(splits(spark, sf_dir), by="split")
+    return out.select("split", "category_idx", "n_rows", C.round6("share").alias("share"))
+
+
+@query("model_stats")
+def q_model_stats(spark, sf_dir):
+    # the model of the training rows beside the whole split table
+    return ST.model_stats(RK.fit_mf(_model_rows(spark, sf_dir), rank=MODEL_RANK), splits(spark, sf_dir))
+
+
 @query("compare_before_after")
 def q_compare_before_after(spark, sf_dir):
     before = train(spark, sf_dir).select(*S.TRAINING_COLUMNS)

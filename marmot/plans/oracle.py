@@ -620,3 +620,14 @@ SELECT statistic, ROUND(v, 6) AS value FROM la
 UNION ALL SELECT 'n_rows of category ' || c, CAST(n_rows AS DOUBLE) FROM percat
 UNION ALL SELECT 'n_items of category ' || c, CAST(n_items AS DOUBLE) FROM percat
 UNION ALL SELECT 'share of category ' || c, ROUND(share, 6) FROM percat""")
+
+register("category_distribution", with_(*TRAIN_BASE) + """
+SELECT split, category_idx, COUNT(*) AS n_rows, ROUND(COUNT(*) / CAST(SUM(COUNT(*)) OVER (PARTITION BY split) AS DOUBLE), 6) AS share
+FROM splits GROUP BY split, category_idx""")
+
+register("model_stats", with_(*TRAIN_BASE) + """
+SELECT 50 AS model_rank, COUNT(DISTINCT user_idx) FILTER (WHERE split = 'train') AS model_users,
+       COUNT(DISTINCT item_idx) FILTER (WHERE split = 'train') AS model_items,
+       COUNT(DISTINCT user_idx) - COUNT(DISTINCT user_idx) FILTER (WHERE split = 'train') AS unknown_users,
+       COUNT(DISTINCT item_idx) - COUNT(DISTINCT item_idx) FILTER (WHERE split = 'train') AS unknown_items
+FROM splits""")

@@ -132,3 +132,20 @@ def test_random_split_tears_repeated_rows_exactly(spark):
             assert sorted((r["user_idx"], r["item_idx"]) for r in got if r["split"] == name) == sorted(own), (ratios, name)
     plan = SP.random_split(spark.range(3000).select(F.col("id").alias("user_idx"), F.col("id").alias("item_idx")))._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "Exchange" not in plan
+
+
+def test_category_distribution_and_model_stats(spark):
+    from marmot.operators import stats as ST
+    df = spark.createDataFrame([("a", 1, 1, 10), ("a", 1, 1, 11), ("a", 2, None, 10), ("b", 3, 2, None), ("b", None, 2, 12), (None, 1, 1, 13)],
+                               "split STRING, user_idx BIGINT, category_idx INT, item_idx BIGINT")
+    got = {(r["split"], r["category_idx"]): (r["n_rows"], round(r["share"], 3)) for r in ST.category_distribution(df, "split").collect()}
+    assert got == {("a", 1): (2, 0.667), ("a", None): (1, 0.333), ("b", 2): (2, 1.0), (None, 1): (1, 1.0)}
+    assert {r["category_idx"]: round(r["share"], 3) for r in ST.category_distribution(df).collect()} == {1: 0.5, 2: 0.333, None: 0.167}
+    assert ST.category_distribution(df.limit(0)).count() == 0 and ST.category_distribution(df.limit(0), "split").count() == 0
+
+    class Model:
+        rank = 4
+        user_factors = staticmethod(lambda: spark.createDataFrame([(1, [0.0]), (2, [0.0]), (9, [0.0])], "user_idx BIGINT, embedding ARRAY<DOUBLE>"))
+        item_factors = staticmethod(lambda: spark.createDataFrame([(10, [0.0])], "item_idx BIGINT, embedding ARRAY<DOUBLE>"))
+
+    assert ST.model_stats(Model, df).first().asDict() == {"model_rank": 4, "model_users": 3, "model_items": 1, "unknown_users": 1, "unknown_items": 3}
