@@ -8,7 +8,8 @@ packings of its pieces; a packing's genes are its whole sequences (groups):
 * crossover injects well-filled sequences of one parent into the other, removes the
   sequences that now hold a piece twice, and best-fits the displaced pieces;
 * mutation dissolves the emptiest sequences and best-fits their pieces;
-* fitness is the number of sequences, then the mean square of their filling.
+* fitness is the number of sequences, then the mean square of their filling;
+* an island evolves until it meets the lower bound or PATIENCE generations bring no better packing.
 
 Between epochs every island's best packings migrate to the next island of its ring
 (a shuffle by shard and island).  Shards bound the memory of a task at any input size.
@@ -30,7 +31,9 @@ from marmot.llm.tokens import encoder
 
 CAPACITY = 2048
 SHARD, ISLANDS, EPOCHS = 8192, 2, 2
-POPULATION, GENERATIONS, ELITE = 4, 4, 2
+POPULATION, ELITE = 8, 2
+#: generations without a better packing after which an island rests until the next epoch
+PATIENCE = 24
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -156,18 +159,20 @@ def start_population(sizes: np.ndarray, capacity: int, rng: np.random.Generator,
 
 
 def evolve(population: list[np.ndarray], sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> list[np.ndarray]:
-    """GENERATIONS of one child each; the worst packing goes. Best first."""
+    """Generations of a crossover and a mutation each, until no packing can have fewer sequences or PATIENCE
+    generations in a row brought none with fewer or fuller ones; the worst packings go. Best first."""
     least = -(-int(sizes.sum()) // capacity)
-    scored = sorted(((fitness(p, sizes, capacity), i, p) for i, p in enumerate(population)), key=lambda x: x[:2], reverse=True)
-    for g in range(GENERATIONS):
-        if -scored[0][0][0] <= least:
-            break
+    scored = sorted(((fitness(p, sizes, capacity), -i, p) for i, p in enumerate(population)), key=lambda x: x[:2], reverse=True)[:POPULATION]
+    born, idle = len(population), 0
+    while -scored[0][0][0] > least and idle < PATIENCE:
+        best = scored[0][0]
         i, j = rng.choice(len(scored), 2, replace=len(scored) < 2)
-        a, b = scored[min(i, j)][2], scored[max(i, j)][2]
-        child = crossover(a, b, sizes, capacity, rng) if g % 2 == 0 else mutate(a, sizes, capacity, rng)
-        scored.append((fitness(child, sizes, capacity), -g, child))
-        scored.sort(key=lambda x: x[:2], reverse=True)
-        scored = scored[:POPULATION]
+        child = crossover(scored[min(i, j)][2], scored[max(i, j)][2], sizes, capacity, rng)
+        for new in (child, mutate(scored[int(rng.integers(len(scored)))][2], sizes, capacity, rng)):
+            scored.append((fitness(new, sizes, capacity), -born, new))
+            born += 1
+        scored = sorted(scored, key=lambda x: x[:2], reverse=True)[:POPULATION]
+        idle = 0 if scored[0][0] > best else idle + 1
     return [p for _, _, p in scored]
 
 

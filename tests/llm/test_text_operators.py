@@ -194,6 +194,28 @@ def test_token_files_round_trip(spark, tmp_dir):
 
 
 # ---------------------------------------------------------------- packing
+def test_packing_evolves_until_nothing_gains(monkeypatch):
+    import numpy as np
+    from marmot.llm import packing as P
+    rng = np.random.default_rng(5)
+    sizes = np.sort(rng.integers(300, 1100, 200))
+    start = P.start_population(sizes, P.CAPACITY, rng, P.POPULATION)
+    children = []
+    crossed = P.crossover
+    monkeypatch.setattr(P, "crossover", lambda *a: children.append(1) or crossed(*a))
+    out = P.evolve(start, sizes, P.CAPACITY, np.random.default_rng(6))
+    least = -(-int(sizes.sum()) // P.CAPACITY)
+    first, best = (max(P.fitness(p, sizes, P.CAPACITY) for p in x) for x in (start, out))
+    assert best > first
+    assert -best[0] == least or len(children) > P.PATIENCE
+    for p in out:
+        assert len(p) == len(sizes) and np.bincount(p, weights=sizes).max() <= P.CAPACITY
+    # a population at the bound is left alone
+    full = np.full(6, P.CAPACITY)
+    children.clear()
+    assert len(P.evolve([np.arange(6)], full, P.CAPACITY, rng)) == 1 and not children
+
+
 def test_packing_is_complete_and_close_to_the_bound(spark):
     from marmot.llm.packing import pack, pieces
     from marmot.llm.queries import tokenizer_path
