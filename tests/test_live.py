@@ -88,7 +88,7 @@ def test_stops_replays_and_lost_versions(spark, tmp_dir, monkeypatch):
     for k in range(4):
         BK.merge_batch(spark, root, new(f"n{k}", k), f"later {k}")
     BK.vacuum(spark, root, keep=1)                                                   # the state's version is no longer there
-    assert LV.refresh(spark, root) == 4
+    assert LV.refresh(spark, root) == 5                                              # created 0, "one" 1, four later batches
     _check(spark, root)
     with pytest.raises(FileNotFoundError):
         LV.state(spark, f"{tmp_dir}/none")
