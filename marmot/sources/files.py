@@ -81,21 +81,37 @@ def read_log_files(files: DataFrame, multiline: bool = True, schema: T.StructTyp
     object per line.  A document or line that cannot be parsed, and a file that cannot be
     opened, is a bad record; empty arrays and blank files have no rows.
     """
+    records = log_records(files, multiline, schema)
+    return good_records(records), bad_records(records)
+
+
+def good_records(records: DataFrame) -> DataFrame:
+    return records.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def bad_records(records: DataFrame) -> DataFrame:
+    return records.where(F.col(CORRUPT).isNotNull()).select("file_path", CORRUPT)
+
+
+def log_records(files: DataFrame, multiline: bool = True, schema: T.StructType = S.LOG_SCHEMA) -> DataFrame:
+    """Good rows and bad records of the files in one pass: the log columns, ``file_path`` and the unparsed text, null in good rows."""
     contents = read_contents(files)
     if multiline:
         docs = contents.withColumn("_d", F.trim("content"))
         rows = F.from_json("_d", T.ArrayType(schema))
         opened = rows.isNotNull() & F.col("_d").rlike(r"(?s)^[\[{].*[\]}]\s*$")
         parsed = docs.withColumn("_rows", F.when(opened, rows))
-        bad = parsed.where(F.col("_rows").isNull() & (F.col("content").isNull() | (F.trim(F.regexp_replace("content", r"\s+", " ")) != "")))
-        good = parsed.where("_rows is not null").select(F.explode("_rows").alias("_r"), "file_path").where("_r is not null").select("_r.*", "file_path")
-        return good, bad.select("file_path", F.coalesce("content", "error").alias(CORRUPT))
+        bad = F.col("_rows").isNull() & (F.col("content").isNull() | (F.trim(F.regexp_replace("content", r"\s+", " ")) != ""))
+        # a bad document is one record without a row
+        marked = parsed.select("file_path", F.when(bad, F.coalesce("content", "error")).alias(CORRUPT),
+                               F.when(bad, F.array(F.lit(None).cast(schema))).otherwise(F.col("_rows")).alias("_rows"))
+        return (marked.select("file_path", CORRUPT, F.explode("_rows").alias("_r")).where(F.col("_r").isNotNull() | F.col(CORRUPT).isNotNull())
+                .select("_r.*", "file_path", CORRUPT))
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     lines = contents.select("file_path", "error", F.explode_outer(F.split("content", r"\r?\n")).alias("_line")).where("_line is null or trim(_line) <> ''")
     parsed = lines.withColumn("_r", F.from_json("_line", full, {"columnNameOfCorruptRecord": CORRUPT}))
     lost = F.col("_line").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
-    good = parsed.where(~lost).select(*[F.col(f"_r.{f.name}") for f in schema.fields], "file_path")
-    return good, parsed.where(lost).select("file_path", F.coalesce("_line", "error").alias(CORRUPT))
+    return parsed.select(*[F.col(f"_r.{f.name}") for f in schema.fields], "file_path", F.when(lost, F.coalesce("_line", "error")).alias(CORRUPT))
 
 
 def read_logs(spark: SparkSession, path: str, multiline: bool = True, ext: str = ".json", recursive: bool = True,
@@ -190,16 +206,17 @@ def fetch_latest_logs(spark: SparkSession, path: str, ledger: DataFrame, n: int
     The names are listed by tasks and stay in a table; of ``max_files`` the greatest keys are looked at.
     The newest ``2 n`` unprocessed files are read first; while fewer than ``n`` of them
     hold rows, the window grows fourfold (empty and unreadable files do not count, and are not marked
-    done, so later runs try them again).  Returns (rows, chosen files).
+    done, so later runs try them again).  The names of files with rows are kept, so a window is read
+    once and the chosen files once more for their rows.  Returns (rows, chosen files).
     """
     files = unprocessed(list_log_files(spark, path, prefix, ext, max_files=max_files), ledger).select("file_path")
     total, window = files.count(), 2 * n
     while True:
         good, _ = read_log_files(files.orderBy(F.col("file_path").desc()).limit(window), multiline)
-        have = good.select("file_path").distinct()
+        have = good.select("file_path").distinct().checkpoint(eager=True)
         if window >= total or have.count() >= n:
             chosen = have.orderBy(F.col("file_path").desc()).limit(n)
-            return good.join(chosen, "file_path", "left_semi"), chosen
+            return read_log_files(chosen, multiline)[0], chosen
         window *= 4
 
 

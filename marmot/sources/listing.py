@@ -97,5 +97,8 @@ def _reader():
 
 
 def read_contents(files: DataFrame) -> DataFrame:
-    """(file_path, content, error) of every file of a table of names; a file that cannot be opened has an error."""
-    return files.select("file_path").repartition("file_path").mapInArrow(_reader(), "file_path string, content string, error string")
+    """(file_path, content, error) of every file of a table of names; a file that cannot be opened has an error.
+
+    The number of tasks is given: names are short, so adaptive execution would join them all into one task that reads every file."""
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("file_path").repartition(tasks).mapInArrow(_reader(), "file_path string, content string, error string")

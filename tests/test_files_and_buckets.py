@@ -145,3 +145,24 @@ def test_a_stop_at_any_point_leaves_a_readable_table(spark, tmp_dir, monkeypatch
     assert table.count() == 3 and trained == [2, 2, 3]
     assert spark.read.json(f"{root}/quarantine/*").where("item_id = 2").count() == 1            # the row without a user
     assert FS.file_states(FS.load_ledger(spark, led)).where("state = 'done'").count() == 2
+
+
+def test_files_are_read_by_many_tasks(spark, tmp_dir):
+    for i in range(16):
+        _put(f"{tmp_dir}/{i}.json", [_row(i, i, "a")])
+    files = L.list_files(spark, tmp_dir, ext=".json").checkpoint()
+    tasks = L.read_contents(files).select(F.spark_partition_id().alias("p"), F.length("content").alias("n"))
+    tasks.write.parquet(f"{tmp_dir}/tasks")
+    assert spark.read.parquet(f"{tmp_dir}/tasks").select("p").distinct().count() > 4
+
+
+def test_good_rows_and_bad_records_in_one_pass(spark, tmp_dir):
+    _put(f"{tmp_dir}/1.json", "[" + json.dumps(_row(1, 1, "a")) + ", null, " + json.dumps(_row(2, 2, "b")) + "]")
+    _put(f"{tmp_dir}/2.json", "[{not json")
+    _put(f"{tmp_dir}/3.json", " \n")
+    _put(f"{tmp_dir}/4.json", json.dumps(_row(3, 3, "c")) + "\n\nnot json\n")
+    files = FS.list_log_files(spark, tmp_dir)
+    got = lambda multiline, n: {(r["timestamp"], r[FS.CORRUPT]) for r in FS.log_records(files.where(F.col("file_path").endswith(f"{n}.json")), multiline).collect()}
+    assert [got(True, n) for n in (1, 2, 3)] == [{(1, None), (2, None)}, {(None, "[{not json")}, set()]
+    assert got(False, 4) == {(3, None), (None, "not json")}
+    assert FS.bad_records(FS.log_records(files)).columns == ["file_path", FS.CORRUPT]
