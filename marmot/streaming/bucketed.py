@@ -1,18 +1,22 @@
-"""A training table in buckets of users, kept current by rewriting touched buckets only.
+"""A training table in buckets of users, kept current by writing touched buckets only.
 
 Layout under ``root``:
-  data/v=<version>/bucket=<b>/   the buckets that a version rewrote
-  pointers/v=<version>/          for every bucket the version that holds its rows; a version is
-                                 published by this one small write, when its _SUCCESS appears
-
-A batch reads the buckets of its users, merges its rows into them by the highest-weight rule and
-writes these buckets anew, so the bytes written follow the batch.  Readers take the newest
-published pointer; whatever a stopped run left without a pointer is never read and is
-overwritten by the next one.  Older pointers keep older versions readable: they are the backups.
+  data/v=<version>/bucket=<b>/   the part of a bucket that a version wrote
+  pointers/v=<version>/          for every bucket the versions that hold its parts, with their rows; a
+                                 version is published by this one small write, when its _SUCCESS appears
+
+A batch writes one new part of each bucket of its users.  Newer parts of the bucket that hold no
+more rows than the batch has gathered are merged into it, so a part is at least outgrown by the
+older one before it is written again: a row is rewritten about log2(table / batch) times, however
+many batches come, and a bucket has as many parts at most.  Readers take the newest published
+pointer and merge parts by the highest-weight rule, which does not depend on how rows are grouped;
+whatever a stopped run left without a pointer is never read and is overwritten by the next one.
+Older pointers keep older versions readable: they are the backups.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,10 +26,10 @@ from pyspark.sql import functions as F
 from marmot import schemas as S
 from marmot.operators import prepare as P
 from marmot.operators.stats import compare_before_after
-from marmot.session import exists
+from marmot.session import exists, scratch_path
 from marmot.sources import files as FS
 
-POINTER = "bucket int, version bigint, source string"
+POINTER = "bucket int, version bigint, source string, n_rows bigint"
 
 
 def _tag(version: int) -> str:
@@ -59,16 +63,26 @@ def _pointer(spark: SparkSession, root: str, version: int) -> DataFrame:
 
 
 def _rows(spark: SparkSession, root: str, pointer: DataFrame) -> DataFrame:
-    """The rows of a pointer's buckets: one scan of each version it names, its buckets pruned by folder."""
-    held: dict[int, list[int]] = {}
-    for r in pointer.select("bucket", "version").collect():  # one row per bucket
-        held.setdefault(r["version"], []).append(r["bucket"])
-    parts = []
-    for version, buckets in sorted(held.items()):
-        path = f"{root}/data/{_tag(version)}"
-        if any(n.startswith("bucket=") for n in _children(spark, path)):  # none of an empty table
-            parts.append(spark.read.parquet(path).where(F.col("bucket").isin(buckets)).select(*S.TRAINING_COLUMNS))
-    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], S.INTERACTION_SCHEMA))
+    """The rows of a pointer's buckets: one scan of each version it names, its buckets pruned by folder.
+
+    Buckets of several parts are merged; those of one part are read as they are."""
+    return _union(spark, root, [(r["bucket"], r["version"]) for r in pointer.select("bucket", "version").collect()])  # a row per part
+
+
+def _union(spark: SparkSession, root: str, held: list[tuple[int, int]]) -> DataFrame:
+    """The rows of (bucket, version) parts."""
+    n_parts = Counter(b for b, _ in held)
+    none = spark.createDataFrame([], S.INTERACTION_SCHEMA)
+    single, several = (reduce(DataFrame.unionByName, [_part(spark, root, v, [b for b, at in held if at == v and (n_parts[b] > 1) == many])
+                                                      for v in sorted({v for b, v in held if (n_parts[b] > 1) == many})], none) for many in (False, True))
+    return single.unionByName(P.dedup_max_weight(several)) if any(n > 1 for n in n_parts.values()) else single
+
+
+def _part(spark: SparkSession, root: str, version: int, buckets: list[int]) -> DataFrame:
+    path = f"{root}/data/{_tag(version)}"
+    if not any(n.startswith("bucket=") for n in _children(spark, path)):  # none of an empty table
+        return spark.createDataFrame([], S.INTERACTION_SCHEMA)
+    return spark.read.parquet(path).where(F.col("bucket").isin(buckets)).select(*S.TRAINING_COLUMNS)
 
 
 def _typed(rows: DataFrame) -> DataFrame:
@@ -90,6 +104,14 @@ def _write(rows: DataFrame, root: str, version: int, buckets: int) -> None:
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/{_tag(version)}"))
 
 
+def _written(spark: SparkSession, root: str, version: int) -> dict[int, int]:
+    """Rows by bucket of what a version wrote; one entry per bucket."""
+    path = f"{root}/data/{_tag(version)}"
+    if not any(n.startswith("bucket=") for n in _children(spark, path)):
+        return {}
+    return {r["bucket"]: r["count"] for r in spark.read.parquet(path).groupBy("bucket").count().collect()}
+
+
 def _publish(pointer: DataFrame, root: str, version: int) -> None:
     pointer.coalesce(1).write.mode("overwrite").parquet(f"{root}/pointers/{_tag(version)}")
 
@@ -99,14 +121,14 @@ def create(spark: SparkSession, root: str, base: DataFrame, buckets: int = 64) -
     at = current(spark, root)
     if at is None:
         _write(P.dedup_max_weight(_typed(base)), root, 0, buckets)
-        every = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("bigint").alias("version"), F.lit("").alias("source"))
-        _publish(every, root, 0)
+        sizes = _written(spark, root, 0)
+        _publish(spark.createDataFrame([(b, 0, "", sizes.get(b, 0)) for b in range(buckets)], POINTER), root, 0)
         at = 0
     return at
 
 
 def merge_batch(spark: SparkSession, root: str, new: DataFrame, source: str) -> int:
-    """Merge rows into their buckets and publish the next version; returns the current version.
+    """Write rows as parts of their buckets, with the smaller parts there, and publish the next version; returns the current version.
 
     ``source`` names the batch: if the newest version has it, the batch is there already (a replay
     after a stop) and nothing is written.  A batch without rows writes nothing either.
@@ -115,16 +137,24 @@ def merge_batch(spark: SparkSession, root: str, new: DataFrame, source: str) ->
     pointer = _pointer(spark, root, at)
     if pointer.where(F.col("source") == source).limit(1).count():
         return at
-    buckets = pointer.count()
-    rows = _typed(new).withColumn("bucket", bucket_of(F.col("user_idx"), buckets))
-    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most one per bucket
+    parts: dict[int, list] = {}
+    for r in pointer.orderBy("bucket", "version").collect():  # a row per part, a few parts per bucket
+        parts.setdefault(r["bucket"], []).append(r)
+    rows = _typed(new).withColumn("bucket", bucket_of(F.col("user_idx"), len(parts)))
+    touched = {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}  # at most one per bucket
     if not touched:
         return at
-    old = _rows(spark, root, pointer.where(F.col("bucket").isin(touched)))
-    _write(P.merge(old, rows.drop("bucket")), root, at + 1, buckets)
-    hit = F.col("bucket").isin(touched)
-    _publish(pointer.select("bucket", F.when(hit, at + 1).otherwise(F.col("version")).cast("bigint").alias("version"),
-                            F.when(hit, source).otherwise(F.col("source")).alias("source")), root, at + 1)
+    joined: list[tuple[int, int]] = []
+    for bucket, n in touched.items():
+        stack = parts[bucket]
+        while stack and (stack[-1]["n_rows"] is None or stack[-1]["n_rows"] <= n):  # pointers of old had no rows noted
+            last = stack.pop()
+            joined.append((bucket, last["version"]))
+            n += last["n_rows"] or 0
+    _write(P.merge(_union(spark, root, joined), rows.drop("bucket")), root, at + 1, len(parts))
+    sizes = _written(spark, root, at + 1)
+    kept = [(r["bucket"], r["version"], r["source"], r["n_rows"]) for stack in parts.values() for r in stack]
+    _publish(spark.createDataFrame(kept + [(b, at + 1, source, sizes[b]) for b in touched], POINTER), root, at + 1)
     return at + 1
 
 
@@ -135,11 +165,15 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
     gone = [int(n[2:]) for n in _children(spark, f"{root}/data") if n.startswith("v=") and int(n[2:]) not in needed and int(n[2:]) <= max(kept)]
     doomed = [f"{root}/pointers/{_tag(v)}" for v in versions(spark, root) if v not in kept] + [f"{root}/data/{_tag(v)}" for v in gone]
     for path in doomed:
-        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+        _delete(spark, path)
     return gone
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 # --------------------------------------------------------------------------- the incremental job
 def ingest(spark: SparkSession, src: str, root: str, ledger: str, price_stats: DataFrame, n_files: int = 10, prefix: str = "",
            ext: str = ".json", multiline: bool = True, vocab=S.LOG_ACTION_WEIGHTS, quarantine: str | None = None) -> int:
@@ -152,9 +186,13 @@ def ingest(spark: SparkSession, src: str, root: str, ledger: str, price_stats: D
     """
     waiting = FS.unprocessed(FS.list_log_files(spark, src, prefix, ext), FS.load_ledger(spark, ledger)).select("file_path")
     total, window = waiting.count(), 2 * n_files
+    scratch = scratch_path(spark, "ingest")
     while True:
         tried = waiting.orderBy(F.col("file_path").desc()).limit(window).checkpoint(eager=True)
-        good, bad = FS.read_log_files(tried, multiline)
+        # the files are opened and parsed once; what follows reads the written records
+        FS.log_records(tried, multiline).write.mode("overwrite").parquet(f"{scratch}/records")
+        records = spark.read.parquet(f"{scratch}/records")
+        good, bad = FS.good_records(records), FS.bad_records(records)
         outcomes = FS.outcome(tried, good, bad).checkpoint(eager=True)
         done = outcomes.where(F.col("state") == FS.DONE).orderBy(F.col("file_path").desc()).limit(n_files).checkpoint(eager=True)
         names = done.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("file_path")).alias("x")).first()
@@ -163,12 +201,15 @@ def ingest(spark: SparkSession, src: str, root: str, ledger: str, price_stats: D
         window *= 4
     if names["n"]:
         row = price_stats.first()  # one row
-        logs, torn = FS.read_log_files(done, multiline)
-        new = P.logs_to_training(logs.drop("file_path"), vocab, price_mode="zscore", price_stats=(row["mean"], row["std"]))
+        logs, torn = good.join(done, "file_path", "left_semi").select(*good.columns), bad.join(done, "file_path", "left_semi")
+        rows = P.logs_to_training(logs.drop("file_path"), vocab, price_mode="zscore", price_stats=(row["mean"], row["std"]))
+        rows.write.parquet(f"{scratch}/rows")
+        new = spark.read.parquet(f"{scratch}/rows")
         version = merge_batch(spark, root, new, f"{names['n']} files, {names['x']}")
         _quarantine(torn, logs, quarantine or f"{root}/quarantine", version)
     # files with rows beyond n_files wait for a later run and are not noted
     FS.record(done.unionByName(outcomes.where(F.col("state") != FS.DONE)), ledger)
+    _delete(spark, scratch)
     return names["n"]
 
 

@@ -42,8 +42,10 @@ def changes(spark: SparkSession, root: str, before: int | None, after: int) -> D
     if before is None:
         return BK._rows(spark, root, new).withColumn("sign", F.lit(1))
     old = BK._pointer(spark, root, before)
-    held = old.select("bucket", F.col("version").alias("_old"))
-    moved = [r["bucket"] for r in new.join(held, "bucket").where(F.col("version") != F.col("_old")).select("bucket").collect()]  # at most one per bucket
+    # every version that touches a bucket adds a part of it
+    newest = lambda pointer: pointer.groupBy("bucket").agg(F.max("version").alias("version"))
+    held = newest(old).withColumnRenamed("version", "_old")
+    moved = [r["bucket"] for r in newest(new).join(held, "bucket").where(F.col("version") != F.col("_old")).select("bucket").collect()]  # at most one per bucket
     side = lambda pointer, sign: BK._rows(spark, root, pointer.where(F.col("bucket").isin(moved))).withColumn("sign", F.lit(sign))
     return side(new, 1).unionByName(side(old, -1))
 

@@ -166,3 +166,21 @@ def test_good_rows_and_bad_records_in_one_pass(spark, tmp_dir):
     assert [got(True, n) for n in (1, 2, 3)] == [{(1, None), (2, None)}, {(None, "[{not json")}, set()]
     assert got(False, 4) == {(3, None), (None, "not json")}
     assert FS.bad_records(FS.log_records(files)).columns == ["file_path", FS.CORRUPT]
+
+
+def test_batches_write_a_bounded_multiple_of_their_rows(spark, tmp_dir):
+    root = f"{tmp_dir}/t"
+    rows = lambda lo, hi, weight: spark.range(lo, hi).select((F.col("id") % 50).cast("string").alias("user_idx"), F.col("id").alias("item_idx"), F.lit(1).alias("label"),
+                                                     F.lit(weight).alias("weight"), F.lit(0.5).alias("price_norm"), F.lit(2).alias("category_idx"))
+    base = rows(0, 4000, 2.0)
+    BK.create(spark, root, base, buckets=4)
+    want, n = base, 8
+    for i in range(n):
+        new = rows(4000 + i * 100 - 20, 4100 + i * 100, 3.0).unionByName(rows(0, 20, 1.0))  # pairs of the base and of the batch before come again
+        BK.merge_batch(spark, root, new, f"batch {i}")
+        want = want.unionByName(new)
+    want = sorted(map(tuple, P.dedup_max_weight(want).collect()))
+    assert sorted(map(tuple, BK.read(spark, root).collect())) == want
+    written = sum(sum(BK._written(spark, root, v).values()) for v in BK.versions(spark, root)[1:])
+    assert written < 4 * 140 * n                       # every batch rewrote the table before: 8 * 4000 rows
+    assert max(r["count"] for r in BK._pointer(spark, root, n).groupBy("bucket").count().collect()) <= 6
