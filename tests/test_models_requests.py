@@ -1,4 +1,5 @@
 """Model invariants and the reference's valid request shapes as one request table."""
+import pytest
 from pyspark.sql import functions as F
 
 from marmot import schemas as S
@@ -141,3 +142,38 @@ def test_serving_with_fitted_models(spark):
                        lambda c: model.ranker.score(c, user="user_id")).collect()
     assert {r["request_id"] for r in out} == {1, 2}
     assert all(r["item_id"] is None or r["item_id"] in L20 for r in out)
+
+
+def _fitted_on(monkeypatch, estimator, call):
+    """(partitions, whether it is read from written rows) of the input that a Spark ML estimator gets."""
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(self, df, params=None):
+        df = df if "_x" not in df.columns or "_u" not in df.columns else df.select("_u", "_i")
+        seen.append((df.rdd.getNumPartitions(), "Exchange" not in df._jdf.queryExecution().executedPlan().toString()))
+        raise Stop
+
+    with monkeypatch.context() as m:
+        m.setattr(estimator, "fit", fit)
+        with pytest.raises(Stop):
+            call()
+    return seen[0]
+
+
+def test_solvers_get_written_rows_spread_over_all_cores(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.recommendation import ALS
+    rows = [(u, i, 1, 5.0, 0.1, 1 + i % 6) for u in range(12) for i in range(10) if (u + i) % 3]
+    t = spark.createDataFrame(rows, "user_idx BIGINT, item_idx BIGINT, label INT, weight DOUBLE, price_norm DOUBLE, category_idx INT")
+    cores = spark.sparkContext.defaultParallelism
+    assert _fitted_on(monkeypatch, ALS, lambda: RK.fit_mf(t, rank=2, max_iter=1))[1]
+    parts, written = _fitted_on(monkeypatch, Pipeline, lambda: RK.fit_ranker(t, max_iter=1))
+    assert parts == cores and written
+    mf = RK.fit_mf(t, rank=2, max_iter=1)
+    assert mf.user_factors().count() == 12
+    parts, written = _fitted_on(monkeypatch, MultilayerPerceptronClassifier, lambda: RK.fit_factor_ranker(t, mf, max_iter=1))
+    assert parts >= cores and written
