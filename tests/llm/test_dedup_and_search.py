@@ -252,6 +252,27 @@ def test_bounds_of_a_long_query_are_exact(monkeypatch):
             assert shard.best(np.arange(40), 5) == want
 
 
+def test_search_goes_in_rounds_with_floors(spark, monkeypatch):
+    """Many shards return few rows for a query, the results are the exact best k; ties at the floor go to the smaller id."""
+    from marmot.llm import search as S
+    rng = random.Random(19)
+    vocab = [f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(900)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([2, 30, 90])))) for i in range(700)]
+    rows += [(1000 + i, rows[8][1]) for i in range(60)] + [(8, "w1 w1 w3"), (8, rows[12][1])]
+    asked = [r for r in rows if r[0] % 4 == 0 and r[0] != 8]
+    want = _bm25(rows, asked, 5)
+    for name, value in (("ONE_ROUND", 100), ("SHARD_DOCS", 16), ("POSTINGS_IN_BLOCK", 4), ("CELLS", 16 * 30)):
+        monkeypatch.setattr(S, name, value)
+    sent = []
+    searcher = S._searcher
+    monkeypatch.setattr(S, "_searcher", lambda *a: sent.append(a[1].value[0].max()) or searcher(*a))
+    got = {}
+    for r in S.top_k(_docs(spark, rows).repartition(6), _docs(spark, asked), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    assert got == {q: w for q, w in want.items() if w}
+    assert len(sent) == 3 and sent[0] == 0 < sent[1] <= sent[2]
+
+
 def test_a_group_just_below_the_threshold_makes_no_pair_rows(spark):
     """150 copies of a text, each with its own edits: most pairs lie below 0.8, some above; no link is lost."""
     import random
