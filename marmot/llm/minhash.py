@@ -5,14 +5,17 @@
    keys of 6 minima each.  At similarity 0.8 a pair shares no band with
    probability 3e-6.
 2. Documents with one and the same set are one node (128-bit set digest and size).
-3. In each band bucket every node is paired with up to eight hubs of the bucket; a pair
-   goes on if the collision-corrected similarity of the packed signatures, estimated by
-   bit counts, is within six standard errors of the threshold.  Each node's best pair is
-   confirmed on full sets, and the links are joined into components.
+3. In each band bucket every node meets up to four hubs of the bucket.  Of all hubs it has
+   met it is paired with the four that it shares most buckets with; a pair goes on if the
+   collision-corrected similarity of the packed signatures, estimated by bit counts, is
+   within six standard errors of the threshold.  Each node's best pair is confirmed on full
+   sets, and the links are joined into components.  Buckets that then still hold nodes of
+   several components go the same way once more, with hubs of different components.
 4. Buckets whose nodes now all belong to one component need nothing more: a large
-   group of copies costs a few pairs per copy.  In the other buckets
-   every pair of nodes of different components that passes the estimate (a join
-   condition, so rejected pairs are never rows) is confirmed on full sets as well.
+   group of copies costs a few pairs per copy.  In the other buckets the nodes that pass
+   the estimate with one of another component get their full sets, and every such pair is
+   confirmed on them.  Estimate and confirmation are join conditions, so rejected pairs
+   are never rows, also where a whole group lies just below the threshold.
 
 Confirmed links are exactly ``100 * |A & B| >= 80 * |A | B|``.
 """
@@ -25,13 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from marmot.llm.common import NOT_SPACE, prepare, hashed_words, lowered, mix64, rows, saved, shingles
 from marmot.llm.components import components
 
 PERMS, BANDS, ROWS, BITS = 256, 42, 6, 2
 #: nodes of a bucket that its other nodes are compared with first
-HUBS = 8
+HUBS = 4
+#: hubs that a node is paired with: those it shares most buckets with
+NEAREST = 4
 #: six standard errors of the corrected estimate at the threshold
 SLACK = 0.18
 CHUNK = 1 << 15
@@ -197,6 +203,47 @@ def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
     return saved(moved.unionByName(more.join(comps.select("node"), "node", "left_anti")), "minhash-comps")
 
 
+def _close(na: str, nb: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)
+
+
+def _passing(threshold: float, percent: int) -> Column:
+    """Whether rows x and y of a bucket, of different components, may be linked by the estimate."""
+    return ((F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & _close("x.n", "y.n", percent)
+            & (estimate("x.sig", "y.sig") >= threshold - SLACK))
+
+
+def _hub_pairs(members: DataFrame, lean: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each node's likeliest link with a hub of another component, of ``members`` (bucket, rep, comp).
+
+    A bucket has up to HUBS hubs, each the least node of some of its components.  A node goes
+    to the estimate with NEAREST of the hubs it meets at most, so pairs grow with the nodes,
+    whatever the size of a group and the number of buckets that it falls into.
+    """
+    hubs = (members.groupBy("bucket", F.pmod(F.xxhash64("comp"), F.lit(HUBS)).alias("slot"))
+            .agg(F.min(F.struct(F.col("comp").alias("hub_comp"), F.col("rep").alias("hub"))).alias("h")).select("bucket", "h.*"))
+    met = members.join(hubs, "bucket").where("comp <> hub_comp").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("buckets"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("buckets"), "hub"))  # a node's few hundred hubs at most
+    met = (met.withColumn("place", place).where(F.col("place") <= NEAREST)
+           .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
+    star = saved(met.join(lean.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga")), "a")
+                 .join(lean.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb")), "b")
+                 .where(_close("na", "nb", percent)).select("a", "b", estimate("siga", "sigb").alias("est"))
+                 .where(F.col("est") >= percent / 100.0 - SLACK), "minhash-star")
+    ends = star.withColumn("x", F.col("a")).unionByName(star.withColumn("x", F.col("b")))
+    best = ends.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    return saved(best, "minhash-best")
+
+
+def _open(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """(bucket, rep, comp): the nodes of the buckets that hold several components."""
+    tagged = (shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+              .select("bucket", "rep", F.coalesce("component", "rep").alias("comp")))
+    still = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return tagged.join(still, "bucket")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -221,36 +268,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     crowded = members.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("bucket")
     shared = saved(members.join(crowded, "bucket"), "minhash-buckets")
     lean = nodes.select("rep", "n", "sig")
-
-    def close(na: str, nb: str) -> Column:
-        return F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)
-
-    # up to HUBS nodes of a bucket are its hubs; one of a small bucket's nodes is as a rule
-    hubs = shared.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("slot")).agg(F.min("rep").alias("hub")).drop("slot")
-    met = shared.join(hubs, "bucket").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    star = saved(met.join(lean.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga")), "a")
-                 .join(lean.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb")), "b")
-                 .where(close("na", "nb")).select("a", "b", estimate("siga", "sigb").alias("est"))
-                 .where(F.col("est") >= threshold - SLACK), "minhash-star")
-    # each node's best pair: most nodes of a group need no other
-    ends = star.withColumn("x", F.col("a")).unionByName(star.withColumn("x", F.col("b")))
-    best = ends.groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    best = saved(best, "minhash-best")
+    # most nodes of a group need no other pair than one with a hub
+    best = _hub_pairs(shared.withColumn("comp", F.col("rep")), lean, percent)
     sets = _sets(best.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
     comps = components(_verified(best, sets, percent))
+    # hubs of one group can lead to several components: in their buckets, a round with one hub of a component
+    best = _hub_pairs(_open(shared, comps), lean, percent)
+    if not best.isEmpty():
+        sets = _sets(best.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
+        comps = _joined(comps, _verified(_apart(best, comps), sets, percent))
     # what the hubs did not settle
-    tagged = (shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-              .select("bucket", "rep", F.coalesce("component", "rep").alias("comp")))
-    open_buckets = (tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                    .where("lo < hi").select("bucket"))
-    still = saved(tagged.join(open_buckets, "bucket").join(lean, "rep"), "minhash-open")
+    still = saved(_open(shared, comps).join(lean, "rep"), "minhash-open")
     x, y = still.alias("x"), still.alias("y")
-    rest = saved(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep"))
-                        & (F.col("x.comp") != F.col("y.comp")) & close("x.n", "y.n")
-                        & (estimate("x.sig", "y.sig") >= threshold - SLACK))
-                 .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "minhash-rest")
-    more = _sets(rest.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
-    comps = _joined(comps, _verified(_apart(rest, comps), more, percent))
+    able = saved(x.join(y, _passing(threshold, percent) & (F.col("x.rep") != F.col("y.rep")), "left_semi"), "minhash-able")
+    more = _sets(able.select(F.col("rep").alias("id")), docs, k)
+    able = saved(able.join(nodes.select("rep", "bands").join(more.withColumnRenamed("id", "rep"), "rep"), "rep"), "minhash-full")
+    x, y = able.alias("x"), able.alias("y")
+    both = F.size(F.array_intersect("x.set", "y.set"))
+    # sets are compared only where the estimate passes, and in the first bucket that holds both
+    same = F.expr("array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true)")
+    here = F.element_at("x.bands", same.cast("int")) == F.col("x.bucket")
+    linked = F.when(_passing(threshold, percent) & here, F.lit(100) * both >= F.lit(percent) * (F.col("x.n") + F.col("y.n") - both)).otherwise(F.lit(False))
+    links = saved(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & linked)
+                  .select(F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct(), "minhash-links")
+    comps = _joined(comps, links)
     # a document id with several texts is one document: its nodes are linked as well
     of_doc = saved(full.select("doc_id", "key_hi", "key_lo", F.col("n_shingles").alias("n"))
                    .join(reps, ["key_hi", "key_lo", "n"]).select("doc_id", "rep").distinct(), "minhash-docs")

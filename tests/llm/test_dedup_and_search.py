@@ -308,3 +308,29 @@ def test_a_group_just_below_the_threshold_makes_no_pair_rows(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, k=4, percent=80).collect()}
     assert got == {i: root(i) for i in range(150)}
+
+
+def test_a_node_is_paired_with_few_hubs(spark):
+    """Near copies that fall into many buckets: rows of pairs grow with the copies, whatever the number of buckets."""
+    from marmot.llm import minhash as M
+    rng = random.Random(3)
+    members = [(b, r, r) for b in range(60) for r in range(1, 81) if rng.random() < 0.5]
+    lean = spark.createDataFrame([(r, 100, [0] * 8) for r in range(1, 81)], "rep bigint, n bigint, sig array<bigint>")
+    seen = []
+    saved = M.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    M.saved = counted
+    try:
+        best = M._hub_pairs(spark.createDataFrame(members, "bucket bigint, rep bigint, comp bigint"), lean, 80)
+        one = M._hub_pairs(spark.createDataFrame([(b, r, r % 2) for b, r, _ in members], "bucket bigint, rep bigint, comp bigint"), lean, 80)
+    finally:
+        M.saved = saved
+    rows = {r for p in best.collect() for r in p}
+    assert rows == set(range(1, 81))                                         # every node has a pair
+    assert max(n for name, n in seen if name == "minhash-star") <= M.NEAREST * 80
+    assert all(r["a"] % 2 != r["b"] % 2 for r in one.collect())             # pairs are of different components
