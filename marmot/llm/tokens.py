@@ -5,6 +5,11 @@ on its own: both vocabularies split text so that no token crosses such a place,
 hence the ids of the pieces, one after another, are the ids of the text (tested
 against the library on whole texts).  A piece seen before comes from a bounded
 per-worker memo; a text in which a space lies between white space is encoded whole.
+
+For the vocabulary that keeps white space the memo is an Arrow array over an array of
+ids, asked for a batch's distinct pieces at once.  It holds parts of pieces: a run of
+letters, and what follows it, are encoded on their own there, as no token crosses from
+the one to the other, nor from a line end to what is no white space.
 """
 
 from __future__ import annotations
@@ -15,11 +20,22 @@ import re
 import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from marmot.llm.common import ragged
+
 #: entries of a generation of a worker's memo, about 60 MB; when it is full it becomes the old one, and what
 #: of that is asked for again moves on: common pieces are never forgotten
 MEMO = 300_000
 #: texts that are looked up together
 STRIDE = 100
+#: characters of texts that are looked up together in a vocabulary with white space, and parts in its memo, about 50 bytes each
+CHUNK, KNOWN = 1 << 20, 300_000
+#: bytes of letters (1, or beyond ASCII), marks (2) and a line end (3)
+_PART_KIND = np.array([1 if b >= 0x80 or chr(b).isalpha() else 3 if b == 0x0A else 2 if 0x21 <= b <= 0x7E and not chr(b).isdigit() else 0
+                       for b in range(256)], dtype=np.uint8)
 #: byte-level vocabularies write the bytes that are no printable Latin-1 as the letters from 256 on, in order
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 _PUNCTUATION = ".,;:!?*#$%&)]}\"|"
@@ -126,7 +142,139 @@ class Encoder:
         return [done[i] if i in done else b"".join([first[i], *found[i]]) for i in range(len(texts))]
 
 
+class SpacedEncoder(Encoder):
+    """The same for a byte-level vocabulary that keeps case and white space."""
+
+    def __init__(self, path: str):
+        super().__init__(path, lower=False)
+        self.known = pa.array([""], pa.large_string())  # the parts in the memo
+        self.start, self.count, self.used = (np.zeros(1, np.int64) for _ in range(3))  # where their ids are in the pool; last call that met them
+        self.pool = np.zeros(0, "<u4")
+        self.calls = 0
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of every text; a null text has none.  Pieces are looked up for about CHUNK characters at once."""
+        out: list[bytes] = []
+        a = size = 0
+        for b, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= CHUNK or b == len(texts):
+                out += self._chunk([t or "" for t in texts[a:b]])
+                a, size = b, 0
+        return out
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        heads, rest, at = [], [], []
+        for i, t in enumerate(texts):
+            if (_SPACE_THEN.search(t) and _INNER_SPACE.search(t)) or any(s in t for s in self.special):
+                heads.append(t)
+                continue
+            head, cut, tail = t.partition(" ")
+            heads.append(head)
+            if cut:
+                rest.append(tail)
+                at.append(i)
+        out = self._whole(heads)
+        if rest:
+            split = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
+            coded = split.flatten().dictionary_encode()
+            pieces = self._pieces(coded.dictionary)
+            ids, ends = ragged(*pieces, coded.indices.to_numpy())
+            bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()].tolist()
+            for i, s, e in zip(at, bounds[:-1], bounds[1:], strict=True):
+                out[i] += ids[s:e].tobytes()
+        return out
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of every piece after its space: a pool, starts and counts."""
+        parts, valid = _parts(pieces)
+        n, m = len(pieces), len(parts[0])
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pa.concat_arrays([parts[0], pieces.filter(pa.array(~valid))]),
+                                             pa.scalar("", pa.large_string()))
+        coded = pa.concat_arrays([spaced, *parts[1:]]).dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        of = np.zeros((n, 4), np.int64)  # place 0 has no ids
+        of[valid, 0], of[~valid, 0] = place[:m], place[m:n]
+        for k in range(3):
+            of[valid, k + 1] = place[n + k * m : n + (k + 1) * m]
+        ids, ends = ragged(self.pool, self.start, self.count, of.reshape(-1))
+        ends = ends[3::4]
+        return ids, np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Numbers of distinct parts in the memo; it learns what it lacks."""
+        self.calls += 1
+        found = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(found.is_null())
+        if len(self.known) + len(new) > KNOWN:  # half of it goes, but the parts asked for now
+            self.used[found.drop_null().to_numpy()] = self.calls
+            late = np.argsort(-self.used[1:], kind="stable") + 1
+            stay = np.sort(late[: max(KNOWN // 2, int((self.used[1:] == self.calls).sum()))])
+            stay = np.concatenate([[0], stay])
+            self.pool, ends = ragged(self.pool, self.start, self.count, stay)
+            self.known, self.count, self.used = self.known.take(pa.array(stay)), self.count[stay], self.used[stay]
+            self.start = ends - self.count
+            found = pc.index_in(parts, value_set=self.known)
+        place = found.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        if len(new):
+            ids, start, count = self._new(new.to_pylist())
+            self.start = np.concatenate([self.start, len(self.pool) + start])
+            self.count = np.concatenate([self.count, count])
+            self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+            self.pool = np.concatenate([self.pool, ids])
+            self.known = pa.concat_arrays([self.known, new])
+        self.used[place] = self.calls
+        return place
+
+    def _new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the parts, with starts and counts."""
+        ids, ends, others, tokenize = array("I"), [0], [], self.tokenizer.model.tokenize
+        space = chr(_BYTE_LETTERS[0x20])
+        for i, p in enumerate(parts):
+            word = p[1:] if p[0] == " " else p
+            if word.isalpha():  # letters, with the space before them, are one word to the vocabulary
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids.extend([t.id for t in tokenize(space + word if p[0] == " " else word)])
+            else:
+                others.append(i)
+            ends.append(len(ids))
+        start, count = np.array(ends[:-1], np.int64), np.diff(np.array(ends, np.int64))
+        each = self._whole([parts[i] for i in others])
+        count[others] = n = np.array([len(x) // 4 for x in each], np.int64)
+        start[others] = len(ids) + np.cumsum(n) - n
+        return np.frombuffer(ids.tobytes() + b"".join(each), "<u4"), start, count
+
+
+def _parts(pieces: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
+    """Letters, marks before a single line end, letters and marks of the pieces that are made so, and which those are."""
+    offsets, data = (np.frombuffer(b, t) if b is not None else np.zeros(0, t) for b, t in zip(pieces.buffers()[1:], (np.int64, np.uint8), strict=True))
+    begin, end = offsets[: len(pieces)], offsets[1 : len(pieces) + 1]
+    kind = _PART_KIND[data[: end[-1]]]
+    marks = np.concatenate([[0], np.cumsum(kind == 2)])
+    stops, breaks = (np.append(np.flatnonzero(x), len(kind)) for x in (kind != 1, kind == 3))
+    first = np.minimum(stops[np.searchsorted(stops, begin)], end)
+    line = breaks[np.searchsorted(breaks, begin)]
+    mid = np.where(line < end, line + 1, first)
+    second = np.minimum(stops[np.searchsorted(stops, mid)], end)
+    valid = (first > begin) & (marks[end] - marks[second] == end - second) & ((mid == first) | (marks[mid] - marks[first] == mid - 1 - first))
+    cut = [_slices(data, s[valid], e[valid]) for s, e in ((begin, first), (first, mid), (mid, second), (second, end))]
+    letters = np.logical_and(pc.utf8_is_alpha(cut[0]).to_numpy(zero_copy_only=False),
+                             (second == mid)[valid] | pc.utf8_is_alpha(cut[2]).to_numpy(zero_copy_only=False))
+    valid[np.flatnonzero(valid)[~letters]] = False
+    return [c.filter(pa.array(letters)) for c in cut], valid
+
+
+def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The strings that stand between bytes of the data."""
+    n = end - start
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    taken = data[np.repeat(start - offsets[:-1], n) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(taken)])
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, lower: bool = False) -> Encoder:
     """One encoder, with its memo, for a worker process."""
-    return Encoder(path, lower)
+    return Encoder(path, lower) if lower else SpacedEncoder(path)

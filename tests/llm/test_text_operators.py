@@ -164,6 +164,31 @@ def test_memo_gives_the_librarys_ids(name, lower):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == want.ids, repr(t)
 
 
+def test_memo_of_parts_gives_the_librarys_ids_and_stays_bounded(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from marmot.llm import tokens as K
+    from marmot.llm.queries import tokenizer_path
+    monkeypatch.setattr(K, "KNOWN", 200)
+    monkeypatch.setattr(K, "CHUNK", 400)
+    rng = random.Random(4)
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = [None, "", " ", " a", "a ", "a  b", "x \n y", "a b.\nCd, e\n f\n", "a b\n\nc d.\n\nE f", "we don't 's x'll, it's' 'm\n'd", "a é́b, é. ñ\u0301\nÉa x.é", "a <|endoftext|> b",
+             "a ,b .c d1 2e f.\n1 g\n,h 東京。\n大阪 東京, а.\nб", "a \u00a0b \u00a0 c\u00a0 \x85d e\x1c f", "a İ, ß.\nß ª² x²,"]
+    texts += ["".join(rng.choice(" \n\taAbc'1.,é̀!sL東 ") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    lib, asked = Tokenizer.from_file(path), K.SpacedEncoder(path)
+    got = asked.encode_many(texts)
+    for t, ids, want in zip(texts, got, lib.encode_batch_fast([t or "" for t in texts], add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(t)
+    assert asked.calls > 100 and len(asked.known) < 600
+    # a word is asked for once, whatever marks follow it
+    enc = K.SpacedEncoder(path)
+    new, seen = enc._new, []
+    enc._new = lambda parts: seen.extend(parts) or new(parts)
+    enc.encode_many(["x maggot", "x maggot, y", "x maggot.\nMaggot maggot!"])
+    assert sorted(seen) == [" maggot", " y", "!", ",", ".\n", "Maggot"]
+
+
 def test_token_files_round_trip(spark, tmp_dir):
     from tokenizers import Tokenizer
 
