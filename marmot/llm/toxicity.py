@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marmot.llm.common import NOT_SPACE, hashed_words, prepare, rows, saved, shingles
+from marmot.llm.common import NOT_SPACE, hashed_words, prepare, ragged, rows, saved, shingles
 from marmot.llm.quality import fit_sample
 
 # fixed values: letters that look-alike characters stand for
@@ -41,6 +42,8 @@ CUT = 0.7
 FIT_ROWS = 20_000
 MIN_TOXIC = 5
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: tokens in a worker's memo; when it is full the half met last stays
+MEMO = 400_000
 #: texts at the base rate that every entry's count starts from
 PRIOR = 5.0
 
@@ -321,69 +324,128 @@ def _left_out(counts_var, base: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counts_var.value
         starts = {f.rstrip("+")[:4] for f in counts}
-        memo: dict[str, list[tuple[int, int]]] = {}  # the counts of a word's entries
+        memo: dict[int, dict[str, float | None]] = {}  # by label: the weight of a word's best entry
+
+        def best(w: str, label: int) -> float | None:
+            found = [counts[f] for f in word_features({w}) if f in counts] if w[:4] in starts else []
+            return max((weight(max(0, k - label), max(n - 1, k - label, 0), base) for k, n in found), default=None)
+
         for batch in rows(batches):
-            if len(memo) > 400_000:
-                memo.clear()
             labels, x = batch.column(0).to_pylist(), []
             for label, features in zip(labels, batch.column(2).to_pylist(), strict=True):
-                weights = []
-                for w in features:
-                    if w[-1] != "+" and w[:4] in starts:
-                        found = memo.get(w)
-                        if found is None:
-                            found = memo[w] = [counts[f] for f in word_features({w}) if f in counts]
-                        weights += [max(weight(max(0, k - label), max(n - 1, k - label, 0), base) for k, n in found)] if found else []
-                x.append(summary(weights))
+                own = memo.setdefault(label, {})
+                if len(own) > 400_000:
+                    own.clear()
+                words = [w for w in features if w[-1] != "+"]
+                for w in words:
+                    if w not in own:
+                        own[w] = best(w, label)
+                x.append(summary([v for v in map(own.__getitem__, words) if v is not None]))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["kind", "label", "x"])
     return run
 
 
 class Model:
-    """Weights of restored words and their logistic function, with a bounded memo of what a token holds."""
+    """Weights of restored words and their logistic function, with a bounded memo of what a token holds.
+
+    The memo is asked for a batch's distinct tokens at once: an Arrow array of tokens over an array of word numbers.
+    """
 
     def __init__(self, characters: np.ndarray, weights: dict[str, float], coefficients: np.ndarray):
         self.weights, self.coefficients = weights, coefficients.tolist()
         self.restorer = Restorer(characters)
-        self.memo: dict[str, tuple[tuple[str, float], ...]] = {}  # of the tokens met lately
-        self.old: dict[str, tuple[tuple[str, float], ...]] = {}  # the generation before
         #: first letters of all entries: a word that begins otherwise has none
         self.starts = {f.rstrip("+")[:4] for f in weights}
+        #: weights of beginnings by their letters
+        self.begins = {f[:-1]: w for f, w in weights.items() if f[-1] == "+"}
+        self.known = pa.array([], pa.large_string())
+        self.start = self.count = self.used = np.zeros(0, np.int64)  # where a token's word numbers are in the pool; last call that met it
+        self.pool = np.zeros(0, np.int64)
+        self.number: dict[str, int] = {}  # of known words, in order
+        self.weight = np.zeros(0)
+        self.calls = 0
+
+    def _forget(self) -> None:
+        """Half the memo stays: the tokens met last, and their words."""
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: MEMO // 2])
+        pool, ends = ragged(self.pool, self.start, self.count, stay)
+        kept, self.pool = np.unique(pool, return_inverse=True)
+        words = [*self.number]
+        self.number = {words[k]: i for i, k in enumerate(kept.tolist())}
+        self.known, self.count, self.used, self.weight = self.known.take(pa.array(stay)), self.count[stay], self.used[stay], self.weight[kept]
+        self.start = ends - self.count
 
     def best(self, word: str) -> float | None:
         """The weight of a word's best entry."""
-        if word[:4] not in self.starts:
+        n = len(word)
+        if not 3 <= n <= 40 or word[:4] not in self.starts:
             return None
-        return max((self.weights[f] for f in word_features({word}) if f in self.weights), default=None)
-
-    def hits(self, tokens: set[str]) -> dict[str, float]:
-        """Known words among the tokens, each with the weight of its best entry."""
-        out: dict[str, float] = {}
-        if len(self.memo) > 250_000:
-            self.memo, self.old = {}, self.memo
-        memo, old = self.memo, self.old
-        for t in tokens:
-            got = memo.get(t)
-            if got is None:
-                got = old.get(t)
-                if got is None:
-                    # letters say the same with and without punctuation or capitals
-                    bare = t.strip(_EDGE).lower()
-                    word = bare if len(bare) > 1 and bare.isalpha() else t
-                    got = memo.get(word) if word != t else None
-                    if got is None:
-                        found = ((w, self.best(w)) for w in self.restorer.token(word))
-                        got = memo[word] = tuple(x for x in found if x[1] is not None)
-                memo[t] = got
-            if got:
-                out.update(got)
+        begins = self.begins
+        found = [begins[word[:k]] for k in BEGINNINGS if n > k and word[:k] in begins]
+        if word in self.weights:
+            found.append(self.weights[word])
+        return max(found, default=None)
+
+    def _learn(self, tokens: pa.Array) -> None:
+        """Put new tokens into the memo."""
+        number, pool, ends, weights = self.number, [], [0], []
+        for t in tokens.to_pylist():
+            # what begins with four letters, none of them repeated, keeps them in any reading
+            head = t[:4]
+            plain = head not in self.starts and t.isascii() and t.isalpha() and _REPEAT.search(head) is None
+            for w in () if plain else self.restorer.token(t):
+                at = number.get(w)
+                if at is None:
+                    best = self.best(w)
+                    if best is None:
+                        continue
+                    at = number[w] = len(number)
+                    weights.append(best)
+                pool.append(at)
+            ends.append(len(pool))
+        self.start = np.concatenate([self.start, len(self.pool) + np.array(ends[:-1], np.int64)])
+        self.count = np.concatenate([self.count, np.diff(ends)])
+        self.pool = np.concatenate([self.pool, np.array(pool, np.int64)])
+        self.used = np.concatenate([self.used, np.zeros(len(tokens), np.int64)])
+        self.weight = np.concatenate([self.weight, np.array(weights, np.float64)])
+        self.known = pa.concat_arrays([self.known, tokens])
+
+    def hits(self, texts: list[str | None]) -> list[list[float]]:
+        """Of every text, the weights of its distinct known words' best entries."""
+        tokens, ends = [], [0]
+        for text in texts:
+            tokens += self.restorer.tokens(text or "")
+            ends.append(len(tokens))
+        written = pa.array(tokens, pa.large_string()).dictionary_encode()
+        # letters say the same with and without punctuation or capitals
+        bare = pc.ascii_lower(pc.utf8_trim(written.dictionary, _EDGE))
+        letters = pc.and_(pc.utf8_is_alpha(bare), pc.greater(pc.binary_length(bare), 1))
+        coded = pc.if_else(letters, bare, written.dictionary).dictionary_encode()
+        if len(self.known) + len(coded.dictionary) > MEMO:
+            self._forget()
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        place = found.fill_null(-1).to_numpy().astype(np.int64)
+        new = place < 0
+        place[new] = len(self.known) + np.arange(new.sum())
+        self._learn(coded.dictionary.filter(found.is_null()))
+        self.calls += 1
+        self.used[place] = self.calls
+        place = place[coded.indices.to_numpy()[written.indices.to_numpy()]]
+        words, until = ragged(self.pool, self.start, self.count, place)
+        bounds = np.concatenate([[0], until])[ends]
+        # a word counts once a text
+        pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * len(self.weight) + words)
+        weights = self.weight[pairs % max(1, len(self.weight))].tolist()
+        bounds = np.searchsorted(pairs, np.arange(len(texts) + 1) * len(self.weight)).tolist()
+        return [weights[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        out = []
+        for found in self.hits(texts):
+            z = sum(c * v for c, v in zip(self.coefficients, summary(found), strict=True))
+            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
         return out
 
-    def score(self, text: str | None) -> float:
-        x = summary([*self.hits(self.restorer.tokens(text or "")).values()])
-        z = sum(c * v for c, v in zip(self.coefficients, x, strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FIT_ROWS) -> Model:
     """The weights of a bounded sample of learnable labelled rows, counted by Spark; near-copies (one least shingle) count once."""
@@ -416,7 +478,7 @@ def _scorer(model_var, text: int, cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_var.value
         for batch in rows(batches):
-            p = [model.score(t) for t in batch.column(text).to_pylist()]
+            p = model.scores(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array([int(x >= cut) for x in p], pa.int32())],
                                              names=[*batch.schema.names, "_score", "_predicted"])
     return run
@@ -428,6 +490,6 @@ def scored(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     A null text counts as empty; ids are never inputs, so null and repeated ids are rows
     like any other; an empty table gives an empty result.
     """
-    prepare(docs.sparkSession, 250)
+    prepare(docs.sparkSession)
     schema = docs.select("*", F.lit(0.0).alias("_score"), F.lit(0).alias("_predicted")).schema
     return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text"), cut), schema)

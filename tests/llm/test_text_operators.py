@@ -189,6 +189,25 @@ def test_memo_of_parts_gives_the_librarys_ids_and_stays_bounded(monkeypatch):
     assert sorted(seen) == [" maggot", " y", "!", ",", ".\n", "Maggot"]
 
 
+def test_toxic_scores_do_not_depend_on_the_memo(monkeypatch):
+    from marmot.llm import toxicity as T
+    rng = random.Random(5)
+    words = ["maggot", "magg0t", "m a g g o t", "Maggot,", "digger", "letter", "lettter", "the", "éreelle", "mаggot", "stupid!!", "x", "Ab"]
+    texts = [None, "", *(" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(60))]
+    weights = {"maggot": 2.0, "magg+": 1.0, "stupid": 1.5, "digger": -0.5, "digg+": -0.25, "lett+": -1.0, "the": -0.1, "ereel+": 0.7}
+    make = lambda: T.Model(_character_model("the maggot digger letter stupid ereele ab " * 30), weights, np.array([-1.0, 1, 1, 1, 0.5, 0.1]))
+    whole = make()
+    want = whole.scores(texts)
+    r = T.Restorer(_character_model("the maggot digger letter stupid ereele ab " * 30))
+    for t, got in zip(texts, whole.hits(texts), strict=True):  # every distinct restored word's best entry, once
+        found = [[weights[f] for f in T.word_features({w}) if f in weights] for w in r.words(t)]
+        assert sorted(got) == sorted(max(f) for f in found if f), t
+    monkeypatch.setattr(T, "MEMO", 6)
+    small = make()
+    assert [s for t in texts for s in small.scores([t])] == want
+    assert len(small.known) <= 6 + 13 and len(small.number) == len(small.weight)
+
+
 def test_token_files_round_trip(spark, tmp_dir):
     from tokenizers import Tokenizer
 
