@@ -177,3 +177,16 @@ def test_solvers_get_written_rows_spread_over_all_cores(spark, monkeypatch):
     assert mf.user_factors().count() == 12
     parts, written = _fitted_on(monkeypatch, MultilayerPerceptronClassifier, lambda: RK.fit_factor_ranker(t, mf, max_iter=1))
     assert parts >= cores and written
+
+
+def test_grid_query_searches_the_reference_grid(spark, monkeypatch):
+    from marmot.plans import catalog
+    from marmot.plans import train as TR
+    rows = spark.range(1).select(F.col("id").alias("user_idx"))
+    seen = []
+    monkeypatch.setattr(catalog, "train", lambda *a: rows)
+    monkeypatch.setattr(catalog, "val", lambda *a: rows)
+    monkeypatch.setattr(TR, "grid_search", lambda train, val, grid, **kw: seen.append(grid))
+    catalog.QUERIES["grid_search"](spark, "unread")
+    # server_fastAPI/train.py, quick tuning
+    assert seen == [{"mf_factors": [30, 50], "epochs": [20, 30], "batch_size": [512], "top_k": [200, 250], "top_n": [50]}]
